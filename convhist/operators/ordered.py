@@ -209,8 +209,24 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str,
 def runs(
     df: DataFrame, keys: Sequence[str], order: str, same: Sequence[str], run: str, chunk_rows: int | None = None
 ) -> DataFrame:
-    """Gaps-and-islands: number maximal runs of consecutive rows with equal ``same`` columns."""
-    probe = scan(df, keys, order, {"_prev": previous_row(F.struct(*same))}, chunk_rows)
-    fresh = F.when(F.col("_prev").isNull(), 1).when(F.col("_prev.v") == F.struct(*same), 0).otherwise(1)
-    marked = probe.withColumn("_fresh", fresh.cast("bigint")).drop("_prev")
-    return scan(marked, keys, order, {run: running_sum(F.col("_fresh"))}, chunk_rows).drop("_fresh")
+    """Gaps-and-islands: number maximal runs of consecutive rows with equal ``same`` columns.
+
+    One pass like :func:`scan`: runs are numbered inside each chunk, and the chunk summary (first
+    and last value, number of runs) tells how many runs end before a chunk and whether its first
+    run continues the one before.
+    """
+    keys = list(keys)
+    value = F.struct(*same)
+    inner = Window.partitionBy(*keys, _CHUNK).orderBy(order)
+    outer = Window.partitionBy(*keys).orderBy(_CHUNK)
+    base = df.withColumn(_CHUNK, F.expr(f"`{order}` div {int(chunk_rows or CHUNK_ROWS)}L"))
+    local = base.withColumn("_fresh", F.coalesce((F.lag(value).over(inner) != value).cast("bigint"), F.lit(0)))
+    local = local.withColumn("_local", F.sum("_fresh").over(inner.rowsBetween(_FIRST, 0)))
+    summary = local.groupBy(*keys, _CHUNK).agg(
+        F.max("_local").alias("_n"), F.min_by(value, order).alias("_head"), F.max_by(value, order).alias("_tail")
+    )
+    summary = summary.withColumn("_joins", F.coalesce(F.lag("_tail").over(outer) == F.col("_head"), F.lit(False)))
+    steps = F.col("_n") + F.when(F.col("_joins"), 0).otherwise(1)
+    summary = summary.select(*keys, _CHUNK, (F.sum(steps).over(outer.rowsBetween(_FIRST, 0)) - F.col("_n")).alias("_base"))
+    kept = [F.col(c) for c in df.columns if c != run]
+    return local.join(summary, [*keys, _CHUNK]).select(*kept, (F.col("_base") + F.col("_local")).alias(run))

@@ -153,7 +153,7 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Record forest per session: each record hangs below one of the three records before it."""
+    """Record forest per session: each record hangs below the last or the last even record before it."""
     raw = table(spark, sf_dir, "events").select(
         F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 12, "0")).alias("session_ref"),
         F.col("event_id").alias("record_no"),
@@ -162,14 +162,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    from convhist.operators.ordered import previous_row
-
-    one = scan(raw, ["session_ref"], "record_no", {"_p1": previous_row(F.col("record_no"))})
-    two = scan(one, ["session_ref"], "record_no", {"_p2": previous_row(F.col("_p1.v"))})
-    parent = F.when(F.col("record_no") % 3 == 0, F.col("_p1.v")).otherwise(
-        F.coalesce(F.col("_p2.v"), F.col("_p1.v"))
+    no = F.col("record_no")
+    linked = scan(
+        raw, ["session_ref"], "record_no",
+        {"_p1": last_value(no, strict=True), "_p2": last_value(F.when(no % 2 == 0, no), strict=True)},
     )
-    return two.select(
+    parent = F.when(no % 3 == 0, F.col("_p1")).otherwise(F.coalesce("_p2", "_p1"))
+    return linked.select(
         "session_ref", "record_no", "type", "ts", "value", "k",
         F.concat(F.lit("r"), F.col("record_no")).alias("record_id"),
         F.when(parent.isNotNull(), F.concat(F.lit("r"), parent)).alias("parent_id"),
@@ -262,7 +261,8 @@ tool_events AS (
 RECORDS = """record_raw AS (
   SELECT 'user:' || lpad(user_id::VARCHAR, 12, '0') AS session_ref, event_id AS record_no, event_type AS type,
     ts, value, json_extract_string(props, '$.k')::BIGINT AS k,
-    lag(event_id, 1) OVER w AS p1, lag(event_id, 2) OVER w AS p2
+    lag(event_id, 1) OVER w AS p1,
+    last_value(CASE WHEN event_id % 2 = 0 THEN event_id END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p2
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 records AS (
   SELECT session_ref, record_no, type, ts, value, k, 'r' || record_no AS record_id,

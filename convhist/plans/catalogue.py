@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from convhist.plans import beats_queries, catalog_queries, graph_queries, incremental_queries, tools_queries  # noqa: F401
+from convhist.plans import assembly_queries, beats_queries, catalog_queries, graph_queries, incremental_queries, tools_queries  # noqa: F401
 from convhist.plans.registry import CHECK_SQL, QUERIES  # noqa: F401
