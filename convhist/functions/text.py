@@ -5,8 +5,12 @@ Everything here is a built-in column expression, so it stays inside whole-stage
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -166,18 +170,11 @@ def content_kinds(blocks: Column) -> Column:
 CONTENT_BLOCKS = "array<struct<type:string,text:string,thinking:string,name:string,mimeType:string>>"
 
 
-def normalize_phrase(value: Column) -> Column:
-    """NFKC, lower case, runs of other characters to one blank. NFKC has no SQL form: Arrow UDF."""
-    return F.trim(F.regexp_replace(_nfkc_lower()(value), r"[^\p{L}\p{N}_.:/+-]+", " "))
-
-
-def _nfkc_lower():
-    import unicodedata
-
-    import pandas as pd
+@F.pandas_udf(T.StringType())
+def _nfkc_lower(values: pd.Series) -> pd.Series:
+    return values.map(lambda text: None if text is None else unicodedata.normalize("NFKC", text).lower())
 
-    @F.pandas_udf("string")
-    def nfkc_lower(values: pd.Series) -> pd.Series:
-        return values.map(lambda text: None if text is None else unicodedata.normalize("NFKC", text).lower())
 
-    return nfkc_lower
+def normalize_phrase(value: Column) -> Column:
+    """NFKC, lower case, runs of other characters to one blank. NFKC has no SQL form: Arrow UDF."""
+    return F.trim(F.regexp_replace(_nfkc_lower(value), r"[^\p{L}\p{N}_.:/+-]+", " "))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convhist.functions.ids import canonical_digest, framed_digest, multiset_digest
 from convhist.functions.paths import normalize_posix
@@ -128,7 +129,7 @@ def assistant_evidence(items: DataFrame, chunk_rows: int | None = None) -> DataF
 def _fragment_ends(limit: int):
     """Byte offsets where the fragments of long texts end. Scans bytes, hence an Arrow UDF."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def ends(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: None if text is None else fragment_ends(text, limit))
 
@@ -223,7 +224,8 @@ def cards(
     )
     empty = F.array().cast("array<struct<ordinal:bigint,text:string,truncated:boolean>>")
     head = sessions.select("session_ref", "agent", "context", "source_revision").join(lineages, "session_ref")
-    rows = lookup_join(beat_rows, head, ["session_ref"], "inner", ["turn_start"])
+    known = sessions.select("session_ref", F.col("n_items").alias("_n")) if "n_items" in sessions.columns else None
+    rows = lookup_join(beat_rows, head, ["session_ref"], "inner", ["turn_start"], counts=known)
     rows = rows.join(lists, ["session_ref", "turn_start"], "left")
     for name in ("preceding_assistant", "assistant"):
         rows = rows.withColumn(name, F.coalesce(F.col(name), empty))

@@ -18,19 +18,21 @@ def lookup_join(
     how: str = "left",
     spread: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``lookup`` (unique per key), splitting the hot keys of ``big``.
 
     The list of hot keys is broadcast. Its size is bounded by construction: at most
     ``rows(big) / hot_rows`` keys can exceed the threshold. Every other key takes the ordinary
     shuffle join. Lookup rows are replicated only for hot keys, once per salt. ``spread`` names the
-    columns that tell rows of one key apart (default: all of them).
+    columns that tell rows of one key apart (default: all of them). ``counts`` (keys, ``_n``) gives an
+    upper bound of the rows per key where one is already known, so that ``big`` is read only once.
     """
     keys = list(keys)
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = (
-        big.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
+        counts.filter(F.col("_n") > hot_rows)
         .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("bigint").alias("_salts"))
     )
     spread = list(spread) if spread else big.columns
