@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from convhist.functions import ids, paths, text
 from convhist.plans.bindings import ITEMS, SESSIONS, documents, items, sessions, table
 from convhist.plans.registry import query
-from convhist.session import scratch_path
+from convhist.session import materialize, scratch_path
 from convhist.sources import jsonl, snapshots, tables
 from convhist.streaming import streams
 
@@ -71,7 +71,8 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.lit(False), "")
     for index, shape in enumerate(shapes):
         path = path.when(k == index, shape)
-    return table(spark, sf_dir, "events").select(path.otherwise(c(F.lit("tmp/"), e)).alias("relative_path"))
+    # A listing is a stored table; inlined into every pattern test the derivation would only bloat the plan.
+    return materialize(table(spark, sf_dir, "events").select(path.otherwise(c(F.lit("tmp/"), e)).alias("relative_path")))
 
 
 @query("classify_paths", f"WITH {_FILES} SELECT * FROM classified")
