@@ -1,7 +1,7 @@
 """Session graphs: components, closures, orders, ancestors, lineages.
 
 Every iteration is a handful of DataFrame joins over the edges that are still of interest; each
-round ends in a reliable checkpoint, so plans stay short and a lost executor costs one round.
+round ends in a table in the shared folder, so plans stay short and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -10,24 +10,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convhist.functions.ids import multiset_digest
-from convhist.operators.skew import lookup_join
+from convhist.operators.skew import HOT_ROWS, lookup_join
 from convhist.session import materialize
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
-    """Smallest neighbour (or the node itself) per node; a hub combines map-side."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _with_nearest(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the smallest of u and its neighbours; hubs combine map-side.
+
+    The node table also tells the largest degree, so the salted join is planned only if some node
+    really is hot.
+    """
+    near = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")))
+    largest = near.agg(F.max("_n")).head()[0] or 0
+    nodes = near.select("u", "m")
+    if largest <= HOT_ROWS:
+        return edges.join(nodes, "u")
+    return lookup_join(edges, nodes, ["u"], "inner", ["v"], counts=near.select("u", "_n"))
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step of the two-phase star contraction."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = lookup_join(both, _nearest(both), ["u"], "inner", ["v"]).filter("v > u")
-    large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    small = lookup_join(down, least, ["u"], "inner", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    links = small.filter("u <> v").union(least.select("u", F.col("m").alias("v")))
+    large = _with_nearest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    down = materialize(large.distinct())
+    small = _with_nearest(down)
+    links = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(small.select("u", F.col("m").alias("v")))
     return links.distinct()
 
 
@@ -256,9 +263,11 @@ def lineages(digests: DataFrame, keys: DataFrame) -> DataFrame:
     values = digests.select("session_ref", F.concat(F.lit("d|"), "logical_digest").alias("value")).unionByName(
         keys.select("session_ref", F.concat(F.lit("k|"), "relation_key").alias("value"))
     )
+    values = materialize(values)
     links = values.select(F.concat(F.lit("s|"), "session_ref").alias("src"), F.col("value").alias("dst"))
     nodes = digests.select(F.concat(F.lit("s|"), "session_ref").alias("session_ref"))
     labels = components(nodes, links).select(F.substring("session_ref", 3, 1 << 30).alias("session_ref"), "component_ref")
+    labels = materialize(labels)
     members = lookup_join(values, labels, ["session_ref"], "inner", ["value"]).select("component_ref", "value").distinct()
     refs = members.groupBy("component_ref").agg(multiset_digest("lineage1_", F.sha2("value", 256)).alias("lineage_ref"))
     return lookup_join(labels, refs, ["component_ref"], "inner", ["session_ref"]).select("session_ref", "lineage_ref")

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convhist.session import ADAPTIVE_DEFAULTS
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
 
@@ -19,14 +17,7 @@ def query(name: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
 
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for key, value in ADAPTIVE_DEFAULTS.items():
-                if key not in ("spark.sql.adaptive.enabled",):
-                    spark.conf.set(key, value) if spark.conf.get(key, None) is None else None
-            return function(spark, sf_dir)
-
-        run.__name__ = name
-        QUERIES[name] = run
+        QUERIES[name] = function
         if sql is not None:
             CHECK_SQL[name] = sql
         return function
