@@ -361,6 +361,7 @@ def reconcile_mirror(model: DataFrame, display: DataFrame, chunk_rows: int | Non
         if late.isEmpty():
             break
         asked = late.select(*content, (F.col("_x") * 2 + 1).alias("_o"), F.lit(None).cast("bigint").alias("_pos"), F.col("ordinal").alias("_i"))
+        # Questions of one bound tie, but only occurrences carry a value, so their order is irrelevant.
         found = scan(spots.unionByName(asked), content, "_o", {"_next": next_value(F.col("_pos"))}, chunk_rows)
         found = found.filter("_i IS NOT NULL").select(*KEY, F.col("_i").alias("ordinal"), "_next", F.lit(True).alias("_hit"))
         state = materialize(

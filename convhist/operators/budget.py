@@ -140,14 +140,16 @@ def plan_budget(
 
     folded = rows.select(F.aggregate("rows", _fold_state().cast(_STATE_TYPE), lambda s, r: step(s, r).cast(_STATE_TYPE)).alias("s"))
     count = ordered.agg(F.count(F.lit(1)).alias("total_cards"))
-    selected = F.col("s.selected")
+    selected = F.col("selected")
     deep = F.when((selected == 0) | (selected < F.col("total_cards")), 0).otherwise(deep_tokens).cast("bigint")
-    summary = folded.crossJoin(F.broadcast(count)).select(  # one row each
+    # Two one-row results side by side: union and a maximum per column.
+    taken = folded.select("s.selected", "s.total", "s.requests").unionByName(count, allowMissingColumns=True)
+    summary = taken.agg(*[F.max(c).alias(c) for c in ("total_cards", "selected", "total", "requests")]).select(
         "total_cards",
         selected.alias("selected_cards"),
         (F.col("total_cards") - selected).alias("remaining_cards"),
-        F.col("s.total").alias("fast_input_tokens"),
-        F.col("s.requests").alias("fast_requests"),
+        F.col("total").alias("fast_input_tokens"),
+        F.col("requests").alias("fast_requests"),
         deep.alias("deep_input_tokens"),
         F.when(deep == 0, 0).otherwise(DEEP_REQUESTS).cast("bigint").alias("deep_requests"),
     )

@@ -120,15 +120,38 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, node: str = "session_ref", s
     return stuck if done is None else done.unionByName(stuck)
 
 
+def _rounds(rows: DataFrame) -> int:
+    """Doubling rounds that suffice for any forest of this many nodes; more mean a cycle."""
+    return max(rows.count(), 1).bit_length() + 1
+
+
 def doubled_parents(parents: DataFrame, key: list[str], node: str, parent: str):
     """Yield ancestor tables at distances 1, 2, 4, ... as (key, node, up); ends when none is left."""
     jump = materialize(parents.filter(F.col(parent).isNotNull()).select(*key, F.col(node).alias("node"), F.col(parent).alias("up")))
+    left = _rounds(jump)
     while not jump.isEmpty():
+        if left == 0:
+            raise ValueError("parent relation contains a cycle")
+        left -= 1
         yield jump
         hop = jump.select(*key, F.col("node").alias("up"), F.col("up").alias("_far"))
         jump = materialize(lookup_join(jump, hop, [*key, "up"], "inner", ["node"]).select(*key, "node", F.col("_far").alias("up")))
 
 
+def cyclic_nodes(parents: DataFrame, node: str, parent: str) -> DataFrame:
+    """Nodes on or behind a cycle of a single-parent relation, in a logarithmic number of rounds.
+
+    A node that still has an ancestor after more steps than there are nodes can only be one of them.
+    """
+    jump = materialize(parents.filter(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("up")))
+    for _ in range(_rounds(jump)):
+        if jump.isEmpty():
+            break
+        hop = jump.select(F.col("node").alias("up"), F.col("up").alias("_far"))
+        jump = materialize(lookup_join(jump, hop, ["up"], "inner", ["node"]).select("node", F.col("_far").alias("up")))
+    return jump.select(F.col("node").alias(node)).distinct()
+
+
 def forest_depth(parents: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:
     """(key, node, root, depth) by pointer doubling: rounds are the logarithm of the depth."""
     state = parents.select(
@@ -136,22 +159,18 @@ def forest_depth(parents: DataFrame, key: list[str], node: str, parent: str) ->
         F.when(F.col(parent).isNull(), 0).otherwise(1).cast("bigint").alias("hops"),
     )
     state = materialize(state)
-    limit = state.agg(F.count(F.lit(1))).head()[0]
-    span = 1
-    while True:
+    for _ in range(_rounds(state) + 1):
         hop = state.select(*key, F.col("node").alias("up"), F.col("up").alias("_far"), F.col("hops").alias("_more"))
+        moved = lookup_join(state, hop, [*key, "up"], "inner", ["node"])
         state = materialize(
-            lookup_join(state, hop, [*key, "up"], "inner", ["node"]).select(
-                *key, "node", F.col("_far").alias("up"), (F.col("hops") + F.col("_more")).alias("hops"), (F.col("_more") > 0).alias("_moved")
-            )
+            moved.select(*key, "node", F.col("_far").alias("up"), (F.col("hops") + F.col("_more")).alias("hops"), (F.col("_more") > 0).alias("_moved"))
         )
-        moved = state.filter("_moved").limit(1).count()
+        settled = state.filter("_moved").isEmpty()
         state = state.drop("_moved")
-        if not moved:
+        if settled:
             break
-        span *= 2
-        if span > 2 * max(limit, 1):
-            raise ValueError("parent relation contains a cycle")
+    else:
+        raise ValueError("parent relation contains a cycle")
     return state.select(*key, "node", F.col("up").alias("root"), F.col("hops").alias("depth"))
 
 
@@ -176,10 +195,14 @@ def nearest_marked_ancestor(parents: DataFrame, marked: DataFrame, key: list[str
     stops = marked.select(*key, F.col(node).alias("up"), F.lit(True).alias("_stop")).distinct()
     state = parents.select(*key, F.col(node).alias("node"), F.col(parent).alias("up"))
     state = materialize(state.join(stops, [*key, "up"], "left").withColumn("_stop", F.coalesce("_stop", F.lit(False))))
+    left = _rounds(state)
     while True:
         open_rows = state.filter("NOT _stop AND up IS NOT NULL")
         if open_rows.isEmpty():
             break
+        if left == 0:
+            raise ValueError("parent relation contains a cycle")
+        left -= 1
         hop = state.select(*key, F.col("node").alias("up"), F.col("up").alias("_far"), F.col("_stop").alias("_s"))
         moved = lookup_join(open_rows, hop, [*key, "up"], "left", ["node"]).select(
             *key, F.col("_far").alias("up"), "node", F.coalesce("_s", F.lit(False)).alias("_stop")

@@ -246,7 +246,9 @@ def batch_ready(sessions: DataFrame, resources: DataFrame) -> DataFrame:
     clashes = resources.groupBy("destination").agg((F.min(content) != F.max(content)).alias("_c")).agg(F.count_if("_c").alias("clashes"))
     s = sessions.agg(F.count_if(F.col("classification") == "conflict").alias("session_conflicts"))
     r = resources.agg(F.count_if(F.col("classification") == "conflict").alias("resource_conflicts"))
-    row = s.crossJoin(r).crossJoin(clashes)  # one row each
+    # Three one-row results side by side: union and a maximum per column.
+    row = s.unionByName(r, allowMissingColumns=True).unionByName(clashes, allowMissingColumns=True)
+    row = row.agg(*[F.max(c).alias(c) for c in ("session_conflicts", "resource_conflicts", "clashes")])
     return row.withColumn("ready", (F.col("session_conflicts") == 0) & (F.col("resource_conflicts") == 0) & (F.col("clashes") == 0))
 
 

@@ -343,12 +343,10 @@ def upsert_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "valid_library",
-    """SELECT doc_id, strlen(left(text, 300)) <= 4096 AND trim(left(text, 300)) = left(text, 300)
-      AND NOT regexp_matches(left(text, 300), '[\\x00-\\x1f\\x7f]') AND lang < source AS valid FROM documents""",
+    """SELECT doc_id, strlen(text) <= 4096 AND trim(text) = text AND NOT regexp_matches(text, '[\\x00-\\x1f\\x7f]') AND lang < source AS valid FROM documents""",
 )
 def valid_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.substring("text", 1, 300)
-    return documents(spark, sf_dir).select("doc_id", C.valid_library(name, F.array("lang", "source")).alias("valid"))
+    return documents(spark, sf_dir).select("doc_id", C.valid_library(F.col("text"), F.array("lang", "source")).alias("valid"))
 
 
 @query(

@@ -261,12 +261,12 @@ def _resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resources from the documents: digest of the text, spread over sessions and paths."""
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("s"), d % 60).alias("session_ref"), F.concat(F.lit("/r/"), d % 300).alias("path"), F.concat(F.lit("/t/"), d % 250).alias("destination"),
+        F.concat(F.lit("s"), d % 60).alias("session_ref"), F.concat(F.lit("/r/"), d % 300).alias("path"), F.concat(F.lit("/t/"), d - F.when(d % 5 == 4, 1).otherwise(0)).alias("destination"),
         F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size_bytes"), "doc_id",
     )
 
 
-_RES = """res AS (SELECT 's' || (doc_id % 60) AS session_ref, '/r/' || (doc_id % 300) AS path, '/t/' || (doc_id % 250) AS destination, sha256(text) AS sha256, strlen(text)::BIGINT AS size_bytes, doc_id FROM documents)"""
+_RES = """res AS (SELECT 's' || (doc_id % 60) AS session_ref, '/r/' || (doc_id % 300) AS path, '/t/' || (doc_id - CASE WHEN doc_id % 5 = 4 THEN 1 ELSE 0 END) AS destination, sha256(text) AS sha256, strlen(text)::BIGINT AS size_bytes, doc_id FROM documents)"""
 
 
 @query("dedupe_resources", f"WITH {_RES} SELECT sha256, min(size_bytes) AS size_bytes, count(*) AS bindings, 'object-' || substr(sha256, 1, 16) AS object_id FROM res GROUP BY sha256")
@@ -280,18 +280,19 @@ def resource_path_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _target(rows: DataFrame) -> DataFrame:
+    """What the receiver has: nothing at every third destination, other bytes at every third."""
     d = F.col("doc_id")
-    return rows.filter("doc_id < 250 AND doc_id % 3 <> 0").select("destination", F.when(d % 3 == 1, F.col("sha256")).otherwise("x").alias("sha256"), "size_bytes")
+    return rows.filter((d % 5 != 4) & (d % 3 != 0)).select("destination", F.when(d % 3 == 1, F.col("sha256")).otherwise("x").alias("sha256"), "size_bytes")
 
 
 @query(
     "resource_plan",
-    f"""WITH {_RES}, few AS (SELECT * FROM res WHERE doc_id < 250 OR doc_id % 5 = 0), p AS (SELECT destination, count(DISTINCT session_ref) AS sessions, count(DISTINCT sha256) AS k, min(doc_id) AS d FROM few GROUP BY 1)
+    f"""WITH {_RES}, p AS (SELECT destination, count(DISTINCT session_ref) AS sessions, count(DISTINCT sha256) AS k, min(doc_id) AS d FROM res GROUP BY 1)
     SELECT destination, sessions, CASE WHEN k > 1 THEN 'collision' WHEN d % 3 = 0 THEN 'new' WHEN d % 3 = 1 THEN 'already_present' ELSE 'conflict' END AS classification FROM p""",
 )
 def resource_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _resources(spark, sf_dir)
-    return M.resource_plan(rows.filter("doc_id < 250 OR doc_id % 5 = 0"), _target(rows))
+    return M.resource_plan(rows, _target(rows))
 
 
 @query(

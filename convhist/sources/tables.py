@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convhist.operators.graphs import topo_levels
+from convhist.operators.graphs import cyclic_nodes
 from convhist.operators.ordered import ranked
 
 
@@ -50,9 +50,8 @@ def referential_integrity(tables: dict[str, DataFrame]) -> DataFrame:
         found.append(say(sequence.join(owner.withColumnRenamed("session_id", "aggregate_id"), "aggregate_id", "left_anti"), "event_sequence_session", "aggregate_id"))
         if "event" in tables:
             found.append(say(tables["event"].join(sequence.select("aggregate_id"), "aggregate_id", "left_anti"), "event_sequence", "id"))
-    proper = parents.filter("parent_id <> id").select(F.col("id").alias("session_ref"), F.col("parent_id").alias("parent_ref"))
-    levels = topo_levels(session.select(F.col("id").alias("session_ref")), proper)
-    found.append(say(levels.filter("level IS NULL"), "session_parent_cycle", "session_ref"))
+    proper = parents.filter("parent_id <> id").select(F.col("id").alias("session_ref"), "parent_id")
+    found.append(say(cyclic_nodes(proper, "session_ref", "parent_id"), "session_parent_cycle", "session_ref"))
     result = found[0]
     for rows in found[1:]:
         result = result.unionByName(rows)

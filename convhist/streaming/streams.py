@@ -67,8 +67,8 @@ def pair_tools_stream(stream: DataFrame, root: str, checkpoint: str, timeout: st
         others = [c for c in CALL_COLUMNS if c not in ("session_ref", "call_id")]
         last = rows.filter("phase <> 'exchange'").groupBy("session_ref", "call_id").agg(F.max_by(F.struct(*others), "ordinal").alias("_l"))
         waiting = last.select("session_ref", "call_id", "_l.*").filter("phase = 'call'")
-        newest = rows.agg(F.max("ts").alias("_now"))  # one row
-        aged = waiting.crossJoin(F.broadcast(newest)).withColumn("_old", F.col("ts") < F.col("_now") - F.expr(timeout)).drop("_now")
+        newest = rows.agg(F.max("ts")).head()[0]  # one value
+        aged = waiting.withColumn("_old", F.coalesce(F.col("ts") < F.lit(newest) - F.expr(timeout), F.lit(False)))
         aged.filter("_old").drop("_old").select(*CALL_COLUMNS).write.mode("overwrite").parquet(f"{root}/unanswered/batch={batch_id}")
         aged.filter("NOT _old").drop("_old").select(*CALL_COLUMNS).write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}")
 
