@@ -59,7 +59,9 @@ def beats(items: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     The first scan looks at every item but carries two integers only; the second runs over the
     boundary rows (user messages and gaps) and carries at most ``ADJACENT_USER_BYTES`` of text.
     """
-    rows = with_visible(items).select("session_ref", "ordinal", "kind", "role", "ts", "visible")
+    # Only user texts travel; assistant texts, the bulk of a corpus, stay out of this shuffle.
+    said = F.when(_says("user"), F.col("visible")).alias("visible")
+    rows = with_visible(items).select("session_ref", "ordinal", "kind", "role", "ts", said)
     assistant = F.when(_says("assistant"), F.col("ordinal"))
     rows = scan(
         rows, ["session_ref"], "ordinal",
@@ -99,30 +101,35 @@ def assistant_evidence(items: DataFrame, chunk_rows: int | None = None) -> DataF
     A message is cut at the first budget overrun; later messages of that side are left out. The
     rows kept per beat are therefore bounded by the budget itself.
     """
-    rows = with_visible(items).select("session_ref", "ordinal", "kind", "role", "ts", "visible")
-    spoken = F.struct("ordinal", (_says("user") & (F.col("visible") != "")).alias("user"))
-    edge = F.when(_is_gap() | _says("user"), spoken)
+    # No more than the larger budget of a message can be kept, so the shuffles carry that prefix and
+    # the true size; user rows carry a flag instead of their text.
+    most = max(PRECEDING_ASSISTANT_BYTES, FOLLOWING_ASSISTANT_BYTES)
+    rows = with_visible(items).select(
+        "session_ref", "ordinal", "kind", "role", "ts", (F.col("visible") != "").alias("spoken"),
+        F.when(_says("assistant"), utf8_prefix(F.col("visible"), most)).alias("head"),
+        F.when(_says("assistant"), utf8_bytes(F.col("visible"))).alias("size"),
+    )
+    edge = F.when(_is_gap() | _says("user"), F.struct("ordinal", (_says("user") & F.col("spoken")).alias("user")))
     rows = scan(
         rows, ["session_ref"], "ordinal",
         {"_p": last_value(edge, strict=True), "_n": next_value(edge, strict=True)}, chunk_rows,
-    ).filter(_says("assistant") & (F.col("visible") != ""))
+    ).filter(_says("assistant") & F.col("spoken"))
     sides = F.array_compact(
         F.array(
             F.when(F.col("_p.user"), F.struct(F.lit("after").alias("side"), F.col("_p.ordinal").alias("turn_start"))),
             F.when(F.col("_n.user"), F.struct(F.lit("before").alias("side"), F.col("_n.ordinal").alias("turn_start"))),
         )
     )
-    rows = rows.select("session_ref", "ordinal", "ts", "visible", F.inline(sides))
+    rows = rows.select("session_ref", "ordinal", "ts", "head", "size", F.inline(sides))
     rows = scan(
-        rows, ["session_ref", "turn_start", "side"], "ordinal",
-        {"_used": running_sum(utf8_bytes(F.col("visible")), strict=True)}, chunk_rows,
+        rows, ["session_ref", "turn_start", "side"], "ordinal", {"_used": running_sum(F.col("size"), strict=True)}, chunk_rows
     )
     budget = F.when(F.col("side") == "after", FOLLOWING_ASSISTANT_BYTES).otherwise(PRECEDING_ASSISTANT_BYTES)
     left = budget - F.col("_used")
     return rows.filter(left > 0).select(
         "session_ref", "turn_start", "side", "ordinal", "ts",
-        utf8_prefix(F.col("visible"), left).alias("text"),
-        (F.octet_length("visible") > left).alias("truncated"),
+        utf8_prefix(F.col("head"), left).alias("text"),
+        (F.col("size") > left).alias("truncated"),
     )
 
 
@@ -194,15 +201,17 @@ def logical_digest(items: DataFrame, tools: DataFrame | None = None, chunk_rows:
     Positions come from a chunked scan and row digests are summed map-side, so one huge session
     is never gathered in a task. ``tools`` may add a ``tools_digest`` per (session_ref, ordinal).
     """
-    rows = with_visible(items).select("session_ref", "ordinal", "kind", "role", "ts", "visible", "code", "label")
+    # Texts are hashed where they are read; only fixed-size digests are shuffled.
+    content = F.when(_is_gap(), framed_digest(F.col("code"), F.col("label"))).otherwise(F.sha2("visible", 256))
+    rows = with_visible(items).select("session_ref", "ordinal", "kind", "role", "ts", content.alias("content"))
     rows = scan(rows, ["session_ref"], "ordinal", {"_pos": position()}, chunk_rows)
     extra = F.lit("")
     if tools is not None:
         rows = rows.join(tools, ["session_ref", "ordinal"], "left")
         extra = F.coalesce(F.col("tools_digest"), F.lit(""))
     at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    gap = framed_digest(F.col("_pos"), F.lit("gap"), at, F.col("code"), F.col("label"))
-    said = framed_digest(F.col("_pos"), F.col("role"), at, F.col("visible"), extra)
+    gap = framed_digest(F.col("_pos"), F.lit("gap"), at, F.col("content"))
+    said = framed_digest(F.col("_pos"), F.col("role"), at, F.col("content"), extra)
     return rows.groupBy("session_ref").agg(
         multiset_digest("logical1_", F.when(_is_gap(), gap).otherwise(said)).alias("logical_digest")
     )

@@ -152,8 +152,8 @@ LOGICAL = f"""positions AS (
   SELECT *, {_VISIBLE} AS visible, row_number() OVER (PARTITION BY session_ref ORDER BY ordinal) AS pos FROM items),
 logical AS (
   SELECT session_ref, {duck_multiset("logical1_", "d")} AS logical_digest FROM (
-    SELECT session_ref, CASE WHEN kind = 'gap' THEN {duck_digest(["pos", "'gap'", _AT, "code", "label"])}
-      ELSE {duck_digest(["pos", "role", _AT, "visible", "''"])} END AS d FROM positions)
+    SELECT session_ref, CASE WHEN kind = 'gap' THEN {duck_digest(["pos", "'gap'", _AT, duck_digest(["code", "label"])])}
+      ELSE {duck_digest(["pos", "role", _AT, "sha256(visible)", "''"])} END AS d FROM positions)
   GROUP BY session_ref)"""
 
 
