@@ -281,7 +281,10 @@ def cards(
 
 
 def fold_duplicates(card_rows: DataFrame) -> DataFrame:
-    """Per (lineage, content digest) keep the smallest card reference, by an aggregate and a semi-join."""
+    """Per (lineage, content digest) keep the smallest card reference, by an aggregate and a semi-join.
+
+    Reads ``card_rows`` twice: pass a stored table rather than a long plan.
+    """
     kept = card_rows.groupBy("lineage_ref", "content_digest").agg(F.min("card_ref").alias("card_ref"))
     return card_rows.join(kept.select("card_ref"), "card_ref", "left_semi")
 

@@ -189,6 +189,11 @@ def task_children_closed(rows: DataFrame, chunk_rows: int | None = None) -> Data
     return facts.filter("_fg + _bg > 0").select("session_ref", "child_id", F.coalesce(fg & bg & one, F.lit(False)).alias("closed"))
 
 
+def task_sessions_closed(children: DataFrame) -> DataFrame:
+    """Per session: closed iff all its child tasks are, with their number."""
+    return children.groupBy("session_ref").agg(F.bool_and("closed").alias("closed"), F.count(F.lit(1)).alias("children"))
+
+
 # -- files and events that belong to tool results -----------------------------------------------
 
 

@@ -11,6 +11,7 @@ from convhist.operators import budget as J
 from convhist.operators.ordered import ranked
 from convhist.plans.bindings import ITEMS, SESSIONS, documents, items, sessions
 from convhist.plans.registry import query
+from convhist.session import materialize
 
 _VISIBLE = "regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')"
 _BEATS = f"""{ITEMS}, vis AS (SELECT *, {_VISIBLE} AS visible FROM items),
@@ -216,7 +217,8 @@ def cards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_CARDS} SELECT lineage_ref, content_digest, min(card_ref) AS card_ref FROM sized GROUP BY 1, 2""",
 )
 def fold_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.fold_duplicates(_cards(spark, sf_dir)).select("lineage_ref", "content_digest", "card_ref")
+    # Folding reads the cards twice, so they are stored once.
+    return B.fold_duplicates(materialize(_cards(spark, sf_dir))).select("lineage_ref", "content_digest", "card_ref")
 
 
 @query(
@@ -239,7 +241,7 @@ def fold_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM agents""",
 )
 def corpus_profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    card_rows = _cards(spark, sf_dir)
+    card_rows = materialize(_cards(spark, sf_dir))
     session_rows = sessions(spark, sf_dir).join(B.logical_digest(items(spark, sf_dir)), "session_ref")
     return B.corpus_profile(session_rows, card_rows, B.fold_duplicates(card_rows))
 

@@ -184,16 +184,19 @@ _KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _
 _TASKS = f"""tasks AS (SELECT 'u' || user_id AS session_ref, 'k' || json_extract_string(props, '$.k') AS child_id, event_id AS ordinal, {_KIND_SQL} AS kind FROM events)"""
 
 
-@query(
-    "task_children_closed",
-    f"""WITH {_TASKS}, started AS (SELECT *, min(CASE WHEN kind LIKE 'background%' THEN ordinal END) OVER (PARTITION BY session_ref, child_id) AS st FROM tasks),
+_CHILDREN = f"""{_TASKS}, started AS (SELECT *, min(CASE WHEN kind LIKE 'background%' THEN ordinal END) OVER (PARTITION BY session_ref, child_id) AS st FROM tasks),
     facts AS (SELECT session_ref, child_id, count(*) FILTER (kind LIKE 'foreground%') AS fg, count(*) FILTER (kind LIKE 'background%') AS bg,
       min_by(kind, ordinal) FILTER (kind LIKE 'foreground%') AS ff, min_by(kind, ordinal) FILTER (kind LIKE 'background%') AS fb,
       count(*) FILTER (kind = 'foreground_completed') AS done, count(*) FILTER (kind = 'background_started') AS sts,
       count(*) FILTER (kind = 'notification' AND ordinal > st) AS notes, min(ordinal) FILTER (kind = 'notification' AND ordinal > st) AS na,
-      max(ordinal) FILTER (kind LIKE 'background%') AS lb FROM started GROUP BY ALL)
-    SELECT session_ref, child_id, (fg = 0 OR (ff = 'foreground_completed' AND done = 1)) AND (bg = 0 OR coalesce(fb = 'background_started' AND sts = 1 AND notes = 1 AND na > lb, false))
-      AND (fg = 0 OR bg = 0) AS closed FROM facts WHERE fg + bg > 0""",
+      max(ordinal) FILTER (kind LIKE 'background%') AS lb FROM started GROUP BY ALL),
+kids AS (SELECT session_ref, child_id, (fg = 0 OR (ff = 'foreground_completed' AND done = 1)) AND (bg = 0 OR coalesce(fb = 'background_started' AND sts = 1 AND notes = 1 AND na > lb, false))
+      AND (fg = 0 OR bg = 0) AS closed FROM facts WHERE fg + bg > 0)"""
+
+
+@query(
+    "task_children_closed",
+    f"WITH {_CHILDREN} SELECT * FROM kids",
 )
 def task_children_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
@@ -204,6 +207,11 @@ def task_children_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.task_children_closed(rows)
 
 
+@query("task_sessions_closed", f"WITH {_CHILDREN} SELECT session_ref, bool_and(closed) AS closed, count(*) AS children FROM kids GROUP BY 1")
+def task_sessions_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.task_sessions_closed(task_children_closed(spark, sf_dir))
+
+
 @query(
     "tool_output_owner",
     """WITH refs AS (SELECT CASE WHEN event_type = 'error' THEN '/tmp/out/' ELSE '/store/out/' END || (event_id % 6000) AS path, 'u' || (user_id % 50) AS s, event_id FROM events),
