@@ -102,6 +102,9 @@ def multiset_digest(prefix: str, row_digest: Column) -> Column:
 
 
 def epoch_time(value: Column, milliseconds: bool, fallback: Column) -> Column:
-    """Epoch seconds or milliseconds to a timestamp, else the fallback."""
-    millis = value if milliseconds else value * 1000
-    return F.coalesce(F.timestamp_millis(millis.cast("bigint")).cast("timestamp_ntz"), fallback)
+    """Epoch seconds or milliseconds to a zone-less UTC timestamp, else the fallback."""
+    millis = (value if milliseconds else value * 1000).cast("decimal(18,3)")
+    seconds = (millis / 1000).cast("decimal(18,6)")
+    zero = F.lit(0)
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.coalesce(start + F.make_dt_interval(zero, zero, zero, seconds), fallback)

@@ -388,7 +388,14 @@ def reminder_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return streams.read_records(spark, sf_dir, schema, "parquet", "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.read_records(spark, sf_dir, schema, "parquet", "events.parquet").withColumn(
+        "ts", F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")  # watermarks need an instant: read as UTC
+    )
+
+
+def _utc(column: str):
+    """Instant back to zone-less UTC, whatever the session's time zone is."""
+    return F.convert_timezone(None, F.lit("UTC"), F.col(column).cast("timestamp_ntz")).alias(column)
 
 
 def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -416,7 +423,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _drain(spark, streams.activity_windows(_stream(spark, sf_dir), ["event_type"]), "activity")
-    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "records")
+    return rows.select(_utc("window_start"), "event_type", "records")
 
 
 @query(
@@ -427,7 +434,7 @@ def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _drain(spark, streams.activity_sessions(_stream(spark, sf_dir), ["user_id"]), "sessions")
-    return rows.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "records")
+    return rows.select("user_id", _utc("session_start"), "records")
 
 
 _CALLS = """c AS (SELECT 'u' || user_id AS session_ref, event_id AS ordinal, ts, CASE event_type WHEN 'view' THEN 'call' WHEN 'click' THEN 'result' ELSE 'exchange' END AS phase, 'c' || (json_extract_string(props, '$.k')::BIGINT % 10) AS call_id
