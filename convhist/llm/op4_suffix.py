@@ -15,7 +15,6 @@ document; rows with a null id are documents of their own, last in order; other c
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +26,14 @@ from pyspark.sql import functions as F
 
 from convhist.llm import grams
 from convhist.llm.common import encoded, keyed, merged, runs_of, text_slices
-from convhist.llm.recurring import ANCHOR, classes, recurring, wanted_places
+from convhist.llm.recurring import ANCHOR, classes, marked_spans, recurring, wanted_places
 from convhist.session import materialize
 
 HOT_CLASSES = 512
 SHARD_BYTES = 1 << 20
 _LAST = (1 << 63) - 1
-_CONTEXT = "h long, ctx long, kinds long, ord long, key long, pos int, back int, context binary"
-_FLAGGED = "h long, ctx long, spans array<struct<a:int,b:int>>"
+CONTEXT = "h long, ctx long, kinds long, ord long, key long, pos int, back int, context binary"
+FLAGGED = "h long, ctx long, spans array<struct<a:int,b:int>>"
 
 
 def byte_anchors(blobs: list[bytes], windows: grams.Windows):
@@ -86,7 +85,7 @@ def unpacked(column) -> Iterator[bytes]:
     return (unpress.decompress(x) if x is not None else b"" for x in column.to_pylist())
 
 
-def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         held = 0
@@ -95,13 +94,13 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 rows.append((p["h"], p["ctx"], p["kinds"], p["ord"], key, p["pos"], p["back"], text[p["pos"] - p["back"] : p["pos"] + p["ahead"]]))
                 held += len(rows[-1][-1])
             if held > 4 << 20:
-                yield _context_batch(rows)
+                yield context_batch(rows)
                 rows, held = [], 0
         if rows:
-            yield _context_batch(rows)
+            yield context_batch(rows)
 
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+def context_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     names = ("h", "ctx", "kinds", "ord", "key", "pos", "back", "context")
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
@@ -240,31 +239,18 @@ def hot_flags(hot: DataFrame, windows: grams.Windows, keep: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, packed: DataFrame, min_len: int = 400, keep: str = "none", gram: int | None = None) -> DataFrame:
     """(key, spans): for each document with repeats the bytes that go, as unmerged half-open spans. docs: see `keyed`."""
     windows = grams.Windows(min_len, gram or max(1, min_len // 2))
-    found = recurring(docs.mapInArrow(_anchor_rows(windows), ANCHOR))
-    kinds = classes(found)
-    texts = materialize(
-        packed.join(wanted_places(kinds), "key").mapInArrow(_cut_contexts, _CONTEXT)
-    )
-    cool = texts.filter(F.col("kinds") <= HOT_CLASSES)
-    flags = cool.repartition("h").sortWithinPartitions("h").mapInArrow(by_shards(lambda rows: shard_flags(rows, windows, keep)), _FLAGGED)
-    if not texts.filter(F.col("kinds") > HOT_CLASSES).isEmpty():
-        flags = flags.union(hot_flags(texts.filter(F.col("kinds") > HOT_CLASSES), windows, keep))
-    # A class of several members repeats as a whole; with keep="first" its first member is judged against other classes.
-    low, high = F.greatest(-F.col("back"), F.lit(0) - (min_len - gram_of(windows))), F.least(F.col("ahead") - min_len, F.lit(0))
-    whole = F.array(F.struct(low.cast("int").alias("a"), (high + 1).cast("int").alias("b")))
-    marks = kinds.join(flags.hint("merge"), ["h", "ctx"], "left").select(
-        "h", "ctx", "members", F.col("first.key").alias("_key"), F.col("first.pos").alias("_pos"), "spans"
-    ).filter("members > 1 or spans is not null")
-    lead = (F.col("key") == F.col("_key")) & (F.col("pos") == F.col("_pos"))
-    copied = F.col("members") > 1 if keep == "none" else ~lead
-    hit = found.join(marks.hint("merge"), ["h", "ctx"]).select("key", "pos", F.when(copied, whole).otherwise(F.col("spans")).alias("spans")).filter("spans is not null")
-    return hit.groupBy("key").agg(F.collect_set(F.struct("pos", "spans")).alias("marks")).select(
-        "key", F.flatten(F.transform("marks", lambda m: F.transform(m["spans"], lambda s: F.struct((m["pos"] + s["a"]).alias("a"), (m["pos"] + s["b"] - 1 + min_len).alias("b"))))).alias("spans")
-    )
-
-
-def gram_of(windows: grams.Windows) -> int:
-    return windows.gram
+    place = F.xxhash64("key", "pos")
+    found = recurring(docs.mapInArrow(_anchor_rows(windows), ANCHOR), place)
+    kinds = classes(found, place)
+    texts = materialize(packed.join(wanted_places(kinds).hint("merge"), "key").mapInArrow(cut_contexts, CONTEXT))
+    cool, hot = texts.filter(F.col("kinds") <= HOT_CLASSES), texts.filter(F.col("kinds") > HOT_CLASSES)
+    flags = cool.repartition("h").sortWithinPartitions("h").mapInArrow(by_shards(lambda rows: shard_flags(rows, windows, keep)), FLAGGED)
+    if not hot.isEmpty():
+        flags = flags.union(hot_flags(hot, windows, keep))
+    # With keep="first" the first member of a class is judged against other classes only.
+    lead = (F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos"))
+    copied = F.col("several") if keep == "none" else ~lead
+    return marked_spans(found, kinds, flags, copied, min_len, windows.starts)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +296,6 @@ def brute_force(texts: dict[int, bytes], min_len: int, keep: str) -> dict[int, l
     return {d: merged(s) for d, s in out.items()}
 
 
-def sha256_hex(value: bytes) -> str:
-    return hashlib.sha256(value).hexdigest()
-
-
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Documents without any string of 400 bytes that stands more than once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

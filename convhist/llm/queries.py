@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from convhist.llm import op4_suffix
+from convhist.llm import op4_suffix, op6_phrases, op9_lines
 
 QUERIES = {
     "op4_suffix_dedup": op4_suffix.op4_suffix_dedup,
+    "op6_phrase_dedup": op6_phrases.op6_phrase_dedup,
+    "op9_line_quality": op9_lines.op9_line_quality,
 }
 
-CHECK_SQL: dict[str, str] = {}
+CHECK_SQL = {
+    "op6_phrase_dedup": op6_phrases.SQL,
+    "op9_line_quality": op9_lines.SQL,
+}
