@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convhist.llm import op2_bpe, op4_suffix, op5_packing, op6_phrases, op7_arrow_tokens, op9_lines
+from convhist.llm import op2_bpe, op10_simhash, op4_suffix, op5_packing, op6_phrases, op7_arrow_tokens, op9_lines
 
 QUERIES = {
     "op2_bpe_roundtrip": op2_bpe.op2_bpe_roundtrip,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_phrase_dedup": op6_phrases.op6_phrase_dedup,
     "op7_arrow_tokens": op7_arrow_tokens.op7_arrow_tokens,
     "op9_line_quality": op9_lines.op9_line_quality,
+    "op10_simhash_components": op10_simhash.op10_simhash_components,
 }
 
 CHECK_SQL = {
