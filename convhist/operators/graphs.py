@@ -15,29 +15,27 @@ from convhist.session import materialize
 
 
 def _with_nearest(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with m, the smallest of u and its neighbours; hubs combine map-side.
-
-    The node table also tells the largest degree, so the salted join is planned only if some node
-    really is hot.
-    """
-    near = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")))
-    largest = near.agg(F.max("_n")).head()[0] or 0
-    nodes = near.select("u", "m")
-    if largest <= HOT_ROWS:
-        return edges.join(nodes, "u")
-    return lookup_join(edges, nodes, ["u"], "inner", ["v"], counts=near.select("u", "_n"))
+    """Edges (u, v) with m, the smallest of u and its neighbours. Minima combine map-side; a hub's edges are split by AQE."""
+    near = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return edges.join(near, "u")
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step of the two-phase star contraction."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     large = _with_nearest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    down = materialize(large.distinct())
-    small = _with_nearest(down)
+    small = _with_nearest(materialize(large.distinct()))
     links = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(small.select("u", F.col("m").alias("v")))
     return links.distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: nothing is left to contract."""
+    ends = edges.select(F.col("u").alias("_x"), F.lit(1).alias("_u"), F.lit(0).alias("_v")).union(edges.select("v", F.lit(0), F.lit(1)))
+    state = ends.groupBy("_x").agg(F.sum("_u").alias("_u"), F.max("_v").alias("_v"))
+    return state.filter("_u > 1 or (_u = 1 and _v = 1)").isEmpty()
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "session_ref", src: str = "src", dst: str = "dst") -> DataFrame:
     """Undirected connected components: (node, component_ref = smallest member).
 
@@ -47,14 +45,8 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "session_ref", sr
     pairs = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     )
-    current, seen = materialize(pairs), None
-    while True:
-        state = current.agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")
-        ).head()
-        if (state["n"], state["h"]) == seen or state["n"] == 0:
-            break
-        seen = (state["n"], state["h"])
+    current = materialize(pairs)
+    while not _all_stars(current):
         current = materialize(_stars(current))
     labels = current.select(F.col("u").alias(node), F.col("v").alias("_root"))
     return nodes.select(node).join(labels, node, "left").select(node, F.coalesce("_root", node).alias("component_ref"))
