@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from convhist.llm import op2_bpe, op10_simhash, op4_suffix, op5_packing, op6_phrases, op7_arrow_tokens, op9_lines
+from convhist.llm import op1_adaptive, op2_bpe, op4_suffix, op5_packing, op6_phrases, op7_arrow_tokens, op8_urls, op9_lines, op10_simhash
 
 QUERIES = {
+    "op1_adaptive_search": op1_adaptive.op1_adaptive_search,
     "op2_bpe_roundtrip": op2_bpe.op2_bpe_roundtrip,
     "op4_suffix_dedup": op4_suffix.op4_suffix_dedup,
     "op5_harmonic_packing": op5_packing.op5_harmonic_packing,
     "op6_phrase_dedup": op6_phrases.op6_phrase_dedup,
     "op7_arrow_tokens": op7_arrow_tokens.op7_arrow_tokens,
+    "op8_url_verdicts": op8_urls.op8_url_verdicts,
     "op9_line_quality": op9_lines.op9_line_quality,
     "op10_simhash_components": op10_simhash.op10_simhash_components,
 }
