@@ -29,7 +29,7 @@ from convhist.llm.common import encoded, keyed, merged, runs_of, text_slices
 from convhist.llm.recurring import ANCHOR, classes, marked_spans, recurring, wanted_places
 from convhist.session import materialize
 
-HOT_CLASSES = 512
+HOT_CLASSES = 1024
 SHARD_BYTES = 1 << 20
 _LAST = (1 << 63) - 1
 CONTEXT = "h long, ctx long, kinds long, ord long, key long, pos int, back int, context binary"
@@ -93,7 +93,7 @@ def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in places:
                 rows.append((p["h"], p["ctx"], p["kinds"], p["ord"], key, p["pos"], p["back"], text[p["pos"] - p["back"] : p["pos"] + p["ahead"]]))
                 held += len(rows[-1][-1])
-            if held > 4 << 20:
+            if held > 1 << 20:
                 yield context_batch(rows)
                 rows, held = [], 0
         if rows:
@@ -208,19 +208,17 @@ def _window_rows(windows: grams.Windows):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, ctx, o, key, pos, back, text in zip(*(batch.column(c).to_pylist() for c in ("h", "ctx", "ord", "key", "pos", "back", "context")), strict=True):
-                n = len(text) - windows.length + 1
-                if n <= 0:
-                    continue
-                lanes = [xxhash.xxh3_128_intdigest(text[i : i + windows.length]) for i in range(n)]
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("h", "ctx", "ord", "key", "pos", "back", "context")), strict=True))
+            for i in range(0, len(rows), 256):
+                part = [r for r in rows[i : i + 256] if len(r[6]) >= windows.length]
+                sizes = [len(r[6]) - windows.length + 1 for r in part]
+                lanes = [xxhash.xxh3_128_digest(r[6][j : j + windows.length]) for r, n in zip(part, sizes, strict=True) for j in range(n)]
+                halves = np.frombuffer(b"".join(lanes), dtype="<i8").reshape(-1, 2)
+                step = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.empty(0, dtype=np.int32)])
+                each = [np.repeat(np.array([r[c] for r in part], dtype=np.int64), sizes) for c in range(4)]
+                pos, back = (np.repeat(np.array([r[c] for r in part], dtype=np.int32), sizes) for c in (4, 5))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array([x >> 64 for x in lanes], dtype=np.uint64).view(np.int64)),
-                        pa.array(np.array([x & _LAST for x in lanes], dtype=np.int64)),
-                        *(pa.array(np.full(n, v, dtype=np.int64)) for v in (h, ctx, o, key)),
-                        pa.array(np.arange(n, dtype=np.int32) + np.int32(pos - back)),
-                        pa.array(np.arange(n, dtype=np.int32) - np.int32(back)),
-                    ],
+                    [pa.array(x) for x in (np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), *each, step + pos - back, step - back)],
                     names=["w1", "w2", "h", "ctx", "ord", "key", "place", "rel"],
                 )
 
