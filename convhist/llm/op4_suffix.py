@@ -281,6 +281,36 @@ def dedup_substrings(docs: DataFrame, min_len: int = 400, keep: str = "first", t
     return packed_texts(base).join(spans.hint("merge"), "key", "left").mapInArrow(_kept, "doc_id long, key long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary")
 
 
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a changed text: their key and the text that is left, in valid UTF-8."""
+    for batch in batches:
+        keys, texts = [], []
+        for key, text, spans in zip(batch.column("key").to_pylist(), unpacked(batch.column("packed")), batch.column("spans").to_pylist(), strict=True):
+            pieces, at = [], 0
+            for a, b in merged([(s["a"], s["b"]) for s in spans]):
+                pieces.append(text[at:a].decode(errors="ignore"))  # a span may end inside a character
+                at = b
+            keys.append(key)
+            texts.append("".join((*pieces, text[at:].decode(errors="ignore"))))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["_cut_key", "_cut_text"])
+
+
+def without_repeats(docs: DataFrame, min_len: int = 400, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """All columns of the documents, texts without later copies of strings of `min_len` bytes.
+
+    Characters that a removed run cuts in half go as a whole. Documents of which only white space is left go if something
+    was removed from them; all others stay.
+    """
+    base = keyed(docs, text_col, id_col)
+    packed = packed_texts(base)
+    spans = repeated_spans(base, packed, min_len, "first")
+    cut = packed.join(spans.hint("merge"), "key").dropDuplicates(["key"]).mapInArrow(_cut_rows, "_cut_key long, _cut_text string")
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    marked = docs.withColumn("_cut_key", F.xxhash64(doc_id, doc_id.isNull(), text)).join(cut.hint("merge"), "_cut_key", "left")
+    left = marked.filter(F.col("_cut_text").isNull() | F.col("_cut_text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[F.coalesce("_cut_text", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def brute_force(texts: dict[int, bytes], min_len: int, keep: str) -> dict[int, list[tuple[int, int]]]:
     """Removed runs by counting every string; for tests."""
     seen: dict[bytes, list[tuple[int, int]]] = {}

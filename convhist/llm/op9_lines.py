@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convhist.llm import grams
 from convhist.llm.common import encoded, text_slices
@@ -135,8 +136,8 @@ def judge(docs: DataFrame, text_col: str = "text", with_text: bool = True, **rul
     """All columns (or the first alone) and, with names that begin with _q_, the measures, the verdicts and the text
     without failed lines."""
     limits = RULES | rules
-    kinds = {"int64": "long", "string": "string"}
-    schema = docs.schema if with_text else docs.select(docs.columns[0]).schema
+    kinds = {"int64": T.LongType(), "string": T.StringType()}
+    schema = T.StructType(docs.schema.fields[: None if with_text else 1])
     for name, kind in _MEASURES:
         schema = schema.add(f"_q_{name}", kinds[str(kind)])
     out = docs.mapInArrow(_judge(text_col, limits, with_text), schema)
