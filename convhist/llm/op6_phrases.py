@@ -29,7 +29,7 @@ from convhist.llm.common import encoded, keyed, materialize, merged, text_slices
 from convhist.llm.op4_suffix import CONTEXT, FLAGGED, by_shards, context_batch, packed_texts, unpacked
 from convhist.llm.recurring import ANCHOR, classes, marked_spans, recurring, wanted_places
 
-HOT_CLASSES = 512
+HOT_CLASSES = 1024
 GRAM = 20
 _LAST = (1 << 63) - 1
 
@@ -82,7 +82,7 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for p in places:
                 rows.append((p["h"], p["ctx"], p["kinds"], p["ord"], key, p["pos"], p["back"], b" ".join(words[p["pos"] - p["back"] : p["pos"] + p["ahead"]])))
                 held += len(rows[-1][-1])
-            if held > 4 << 20:
+            if held > 1 << 20:
                 yield context_batch(rows)
                 rows, held = [], 0
         if rows:
@@ -122,19 +122,18 @@ def _window_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, ctx, o, back, text in zip(*(batch.column(c).to_pylist() for c in ("h", "ctx", "ord", "back", "context")), strict=True):
-                words = text.split()
-                n = len(words) - window + 1
-                if n <= 0:
-                    continue
-                lanes = [xxhash.xxh3_128_intdigest(b" ".join(words[i : i + window])) for i in range(n)]
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("h", "ctx", "ord", "back", "context")), strict=True))
+            for i in range(0, len(rows), 512):
+                part = rows[i : i + 512]
+                texts = [r[4].split() for r in part]
+                sizes = [max(0, len(words) - window + 1) for words in texts]
+                lanes = [xxhash.xxh3_128_digest(b" ".join(words[j : j + window])) for words, n in zip(texts, sizes, strict=True) for j in range(n)]
+                halves = np.frombuffer(b"".join(lanes), dtype="<i8").reshape(-1, 2)
+                step = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                each = [np.repeat(np.array([r[c] for r in part], dtype=np.int64), sizes) for c in range(3)]
+                back = np.repeat(np.array([r[3] for r in part], dtype=np.int32), sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array([x >> 64 for x in lanes], dtype=np.uint64).view(np.int64)),
-                        pa.array(np.array([x & _LAST for x in lanes], dtype=np.int64)),
-                        *(pa.array(np.full(n, v, dtype=np.int64)) for v in (h, ctx, o)),
-                        pa.array(np.arange(n, dtype=np.int32) - np.int32(back)),
-                    ],
+                    [pa.array(x) for x in (np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), *each, step - back)],
                     names=["w1", "w2", "h", "ctx", "ord", "rel"],
                 )
 
