@@ -109,7 +109,7 @@ def similar_links(nodes: DataFrame, packed: DataFrame, shingle: int, similarity:
     cells = F.transform(F.concat(F.array("fp"), F.col("views")), lambda v, i: F.struct(i.alias("view"), v.alias("print"), segment_counts(v).alias("cell")))
     placed = materialize(nodes.select("ord", "key", "n", F.explode(cells).alias("c")).select("ord", "key", "n", "c.*"))
     cell = ["view", "cell", "print"]  # radius 0: equal vectors, checked by the bits themselves
-    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    sizes = materialize(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
     shared = materialize(placed.join(sizes.hint("merge"), cell).withColumn("class", F.xxhash64(*cell)).select("class", "ord", "key", "n", "members"))
     small = shared.filter(F.col("members") <= SMALL_CLASS)
     pairs = small.select("class", F.col("key").alias("a"), "n").join(small.select("class", F.col("key").alias("b"), F.col("n").alias("m")).hint("merge"), "class").filter("a < b").select("a", "b", "n", "m")
@@ -127,7 +127,7 @@ def similar_links(nodes: DataFrame, packed: DataFrame, shingle: int, similarity:
                 break
             first = ranked.groupBy("class").agg(F.max_by(F.struct("key", "n"), F.struct(F.col("degree"), F.xxhash64("class", "key", F.lit(step)))).alias("lead"))
             pairs = None
-        stars = open_rows.join(first.hint("merge"), "class").select(F.col("key").alias("a"), F.col("lead.key").alias("b"), "n", F.col("lead.n").alias("m"))
+        stars = open_rows.join(materialize(first).hint("merge"), "class").select(F.col("key").alias("a"), F.col("lead.key").alias("b"), "n", F.col("lead.n").alias("m"))
         found = verified((stars if pairs is None else pairs.union(stars)).filter(sized).select("a", "b"), packed, shingle, similarity)
         links = found if links is None else links.union(found)
     return links

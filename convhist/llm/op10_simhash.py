@@ -89,7 +89,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     Below HOT_CELL every such pair is a row; in hot cells a pair may be joined through their least neighbour instead.
     """
     cells = materialize(prints.select("fp", F.explode(_cells(segment_counts(F.col("fp")))).alias("cell")))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = materialize(cells.join(sizes.hint("merge"), "cell"))
     cool = shared.filter(F.col("n") <= HOT_CELL).select("cell", "fp")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
@@ -97,7 +97,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     hot = shared.filter(F.col("n") > HOT_CELL).select("fp").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)])
     balls = materialize(hot.select("fp", F.explode(flips).alias("ball")))
-    least = balls.groupBy("ball").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("ball", "a")
+    least = materialize(balls.groupBy("ball").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("ball", "a"))
     stars = balls.join(least.hint("merge"), "ball").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
 
@@ -108,7 +108,7 @@ def near_components(prints: DataFrame) -> DataFrame:
     nodes = materialize(stored.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = near_links(nodes.select("fp"))
     joined = materialize(components(nodes.select("fp"), links, "fp", "a", "b").join(nodes.hint("merge"), "fp"))
-    ids = joined.groupBy("component_ref").agg(F.min("least").alias("component_id"))
+    ids = materialize(joined.groupBy("component_ref").agg(F.min("least").alias("component_id")))
     labels = joined.select("fp", "component_ref").join(ids.hint("merge"), "component_ref").select("fp", "component_id")
     return stored.join(labels.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
