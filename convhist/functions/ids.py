@@ -12,12 +12,18 @@ SOURCE_KINDS = ("event_log", "uuid_graph", "table_store", "record_tree")
 REFERENCE_PATTERN = rf"^({'|'.join(SOURCE_KINDS)}):([0-9a-z_]{{1,64}})$"
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 CURSOR_PREFIX = "cursor1_"
+# JSON for digests: null members stay, times keep their microseconds.
+EXACT_JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def canonical_json(**fields: Column) -> Column:
     """JSON object with sorted keys; null members are kept."""
     ordered = [fields[name].alias(name) for name in sorted(fields)]
-    return F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*ordered), EXACT_JSON)
 
 
 def canonical_digest(prefix: str, **fields: Column) -> Column:
@@ -25,9 +31,12 @@ def canonical_digest(prefix: str, **fields: Column) -> Column:
 
 
 def framed_digest(*parts: Column) -> Column:
-    """SHA-256 over parts that each carry their byte length, so no two part lists collide."""
+    """SHA-256 over parts that each carry their byte length, so no two part lists collide.
+
+    A null part has a mark of its own: the digest is never null and unknown differs from empty.
+    """
     texts = [part.cast("string") for part in parts]
-    framed = [F.concat(F.octet_length(text).cast("string"), F.lit(":"), text) for text in texts]
+    framed = [F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-1:")) for text in texts]
     return F.sha2(F.concat(*framed), 256)
 
 

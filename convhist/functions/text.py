@@ -64,7 +64,7 @@ def token_estimate(value: Column) -> Column:
 
 
 def compact_title(value: Column, limit: int = 200) -> Column:
-    flat = F.trim(F.regexp_replace(value, r"\s+", " "))
+    flat = F.trim(F.regexp_replace(value, f"{_SPACE}+", " "))
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 3), F.lit("...")))
 
 

@@ -414,7 +414,7 @@ def inherit_history(sessions: DataFrame, records: DataFrame) -> DataFrame:
 
     ``sessions``: session_ref, base_ref, cutoff (both null without a base), compacted. Chains are
     followed by joins on the pair list (session, ancestor, cut-off); a compacted session inherits
-    nothing further up. A cycle raises.
+    nothing further up. A cycle raises; see :func:`inheritance_issues` for bases that don't exist.
     """
     links = sessions.select(F.col("session_ref").alias("owner"), "base_ref", F.col("cutoff").alias("_cut"), "compacted")
     level = sessions.select("session_ref", F.col("session_ref").alias("owner"), F.lit(None).cast("bigint").alias("cutoff"), F.lit(0).cast("bigint").alias("distance"))
@@ -431,6 +431,17 @@ def inherit_history(sessions: DataFrame, records: DataFrame) -> DataFrame:
     return joined.filter(F.col("cutoff").isNull() | (F.col("record_no") < F.col("cutoff")))
 
 
+def inheritance_issues(sessions: DataFrame, records: DataFrame) -> DataFrame:
+    """(session_ref, issue): base_missing, or cutoff_outside where the base has no record just before the cut-off."""
+    based = sessions.filter("base_ref IS NOT NULL").select("session_ref", "base_ref", "cutoff")
+    known = sessions.select(F.col("session_ref").alias("base_ref")).distinct()
+    missing = based.join(known, "base_ref", "left_anti").select("session_ref", F.lit("base_missing").alias("issue"))
+    ends = records.groupBy(F.col("session_ref").alias("base_ref")).agg(F.max("record_no").alias("_last"))
+    held = based.join(known, "base_ref", "left_semi").filter("cutoff IS NOT NULL").join(ends, "base_ref", "left")
+    outside = held.filter((F.col("cutoff") < 0) | (F.col("cutoff") > F.coalesce(F.col("_last") + 1, F.lit(0))))
+    return missing.unionByName(outside.select("session_ref", F.lit("cutoff_outside").alias("issue")))
+
+
 def split_inherited(items: DataFrame, starts: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Rows below the start ordinal form the inherited projection, where runs of user messages merge.
 

@@ -246,7 +246,7 @@ def cards(
             "omitted_tools", F.coalesce("omitted_tools", F.lit(0).cast("bigint"))
         )
     rows = split_text(rows, "user_text", limit)
-    at = F.date_format("user_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    at = F.date_format("user_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     content = dict(
         turn_start=F.col("turn_start"), turn_end=F.col("turn_end"), user_ts=at,
         fragment_index=F.col("fragment_index"), user_text=F.col("fragment_text"),

@@ -39,7 +39,7 @@ def spread_position(index: Column, size: Column) -> Column:
             )
         )
 
-    levels = F.sequence(F.lit(1), F.lit(40))
+    levels = F.sequence(F.lit(1), F.lit(63))
     inner = F.aggregate(levels, start, step, lambda state: state["depth"])
     depth = F.when(index == 0, F.lit(-1)).when(index == size - 1, F.lit(0)).otherwise(inner)
     return F.struct(depth.alias("depth"), index.alias("index"))

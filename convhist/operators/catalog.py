@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convhist.functions.ids import SOURCE_KINDS, valid_reference
 from convhist.functions.paths import normalize_posix
+from convhist.functions.text import trim_space
 from convhist.operators.skew import lookup_join
 
 VIEWS = ("active", "archived", "deleted", "all")
@@ -94,9 +95,12 @@ def show_session(sessions: DataFrame, items: DataFrame, reference: str) -> DataF
     if kind not in SOURCE_KINDS:
         raise ValueError("invalid session reference")
     head = sessions.filter((F.col("agent") == kind) & (F.col("session_ref") == reference))
-    head = head.select("session_ref", display_title().alias("title"), F.col("name").alias("library_name"))
-    # At most one row by construction: a session reference is unique.
-    return items.filter(F.col("session_ref") == reference).join(F.broadcast(head.limit(1)), "session_ref").orderBy("ordinal")
+    head = head.select("session_ref", F.struct(display_title().alias("title"), F.col("name").alias("library_name")).alias("_h"))
+    # A reference that stands twice is an error, not a choice; what is broadcast is one row.
+    head = head.groupBy("session_ref").agg(F.min("_h").alias("_h"), F.count(F.lit(1)).alias("_n"))
+    repeated = F.raise_error(F.concat(F.lit("repeated session reference "), "session_ref")).cast("string")
+    head = head.select("session_ref", F.when(F.col("_n") > 1, repeated).otherwise(F.col("_h.title")).alias("title"), F.col("_h.library_name").alias("library_name"))
+    return items.filter(F.col("session_ref") == reference).join(F.broadcast(head), "session_ref").orderBy("ordinal")
 
 
 def select_by_reference(sessions: DataFrame, requested: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +195,7 @@ def apply_overlay(sessions: DataFrame, overlay: DataFrame) -> DataFrame:
 
 
 def _valid_text(value: Column, limit: int, allow_empty: bool) -> Column:
-    sound = (F.octet_length(value) <= limit) & (F.trim(value) == value) & ~value.rlike(r"[\x00-\x1f\x7f]")
+    sound = (F.octet_length(value) <= limit) & (trim_space(value) == value) & ~value.rlike(r"[\x00-\x1f\x7f]")
     return sound if allow_empty else sound & (value != "")
 
 

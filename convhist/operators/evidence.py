@@ -126,15 +126,16 @@ def validate_evidence(requested: DataFrame, responses: DataFrame) -> tuple[DataF
     """Check labelled output; returns (issues per requested card, valid event rows, discarded refs).
 
     ``requested``: card_ref, quote_ids ARRAY. ``responses``: card_ref, response (JSON text). A card
-    passes only if it was answered and neither it nor any of its events has an issue.
+    passes only if it was answered once and neither it nor any of its events has an issue.
     """
     discarded = responses.join(requested, "card_ref", "left_anti").select("card_ref").distinct()
-    parsed = lookup_join(requested, responses.dropDuplicates(["card_ref"]), ["card_ref"], "left").withColumn(
-        "_r", F.from_json("response", _RESPONSE)
-    )
+    # Of several answers none is taken on trust: the card gets an issue, whatever the others say.
+    answers = responses.groupBy("card_ref").agg(F.min("response").alias("response"), F.count(F.lit(1)).alias("_answers"))
+    parsed = lookup_join(requested, answers, ["card_ref"], "left").withColumn("_r", F.from_json("response", _RESPONSE))
     count = F.coalesce(F.size("_r.events"), F.lit(0))
     card_codes = F.when(F.col("response").isNull(), F.array(F.lit("missing"))).otherwise(
         _codes({
+            "card.repeated": F.col("_answers") > 1,
             "card.keys": _keys_differ(F.col("response"), _CARD_KEYS),
             "task_anchor": _text_issue(F.col("_r.task_anchor"), 200),
             "episode_summary": _text_issue(F.col("_r.episode_summary"), 500),
@@ -197,7 +198,7 @@ def explode_evidence(cards: DataFrame, events: DataFrame) -> tuple[DataFrame, Da
         answered.join(cards, "card_ref", "left_anti").select("card_ref", F.lit("without_card").alias("status"))
     )
     rows = events.join(cards, "card_ref")
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     event = F.to_json(F.struct("topic", "basis", "lenses", "observation", "quotes"))
     mention = lambda q: F.concat(
         F.lit("mention1_"),

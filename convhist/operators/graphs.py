@@ -224,33 +224,74 @@ def spread_blocked(nodes: DataFrame, edges: DataFrame, blocked: DataFrame, node:
     return reached.join(known, node, "left_semi")
 
 
+def closure_pairs(roots: DataFrame, edges: DataFrame, node: str = "session_ref", src: str = "session_ref", dst: str = "parent_ref") -> DataFrame:
+    """(root, member) for the given roots along dependency edges, the roots themselves included.
+
+    Only for results that need the pairs themselves; each round joins and appends the new ones only.
+    """
+    links = materialize(edges.select(F.col(src).alias("member"), F.col(dst).alias("_dep")).distinct())
+    fresh = seen = materialize(roots.select(F.col(node).alias("root"), F.col(node).alias("member")).distinct())
+    while True:
+        found = fresh.join(links, "member").select("root", F.col("_dep").alias("member")).distinct()
+        fresh = materialize(found.join(seen, ["root", "member"], "left_anti"))
+        if fresh.isEmpty():
+            return seen
+        seen = seen.unionByName(fresh)
+
+
+def _greedy(candidates: DataFrame, claims: DataFrame) -> DataFrame:
+    """Candidates (root, place) that a pass in the order of `place` accepts; claims: root, resource, owner.
+
+    Two candidates exclude each other if they need one resource from different owners. A candidate is accepted in a round
+    if every candidate before it that is still open agrees with it, and leaves when it contradicts an accepted one; the
+    first open candidate is always decided, so the rounds end with what the sequential pass gives.
+    """
+    open_, accepted = materialize(claims.join(candidates, "root")), candidates.join(claims.select("root").distinct(), "root", "left_anti").select("root")
+    while not open_.isEmpty():
+        least = open_.groupBy("resource", "owner").agg(F.min("place").alias("_first"))
+        # The two owners of a resource that come first tell, for each owner, when another one comes first.
+        heads = least.groupBy("resource").agg(F.min(F.struct("_first", "owner")).alias("_a"), F.min("_first").alias("_m"))
+        others = least.join(heads, "resource").filter(F.col("owner") != F.col("_a.owner")).groupBy("resource").agg(F.min("_first").alias("_b"))
+        rivals = open_.join(heads.join(others, "resource", "left"), "resource")
+        rival = F.when(F.col("owner") == F.col("_a.owner"), F.col("_b")).otherwise(F.col("_m"))
+        good = materialize(rivals.groupBy("root", "place").agg(F.min(F.coalesce(rival > F.col("place"), F.lit(True))).alias("_good")).filter("_good").select("root"))
+        taken = open_.join(good, "root", "left_semi").select("resource", F.col("owner").alias("_owner")).distinct()
+        lost = open_.join(taken, "resource").filter("owner <> _owner").select("root").distinct()
+        accepted = materialize(accepted.unionByName(good))
+        open_ = materialize(open_.join(good, "root", "left_anti").join(lost, "root", "left_anti"))
+    return accepted
+
+
 def select_exportable(
     requested: DataFrame, nodes: DataFrame, edges: DataFrame, blocked: DataFrame, owned: DataFrame, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(sessions to export with their closure, skipped sessions with a reason).
 
-    A session is a candidate iff nothing in its closure is blocked or missing. Candidates of one
-    exclusively owned resource (``owned``: session_ref, resource) compete: the one with the larger
-    closure wins, then the smaller reference. Closures of parent chains have depth + 1 members.
+    ``edges``: all dependencies, several per session allowed. ``owned``: session_ref, resource; a resource can be
+    exported for one owner only. A session is a candidate iff nothing in its closure is blocked or missing and no two
+    members own one resource. Candidates are tried by size of their closure, larger first, then by reference; one that
+    needs a resource which an accepted closure takes from another owner is skipped.
     """
-    bad = spread_blocked(nodes, edges, blocked)
+    bad = materialize(spread_blocked(nodes, edges, blocked))
     asked = requested.select("session_ref").distinct()
+    good = asked.join(bad, "session_ref", "left_anti")
+    pairs = closure_pairs(good, edges)
+    sizes = pairs.groupBy("root").agg(F.count(F.lit(1)).alias("_size"))
+    claims = materialize(pairs.join(owned.select(F.col("session_ref").alias("member"), "resource").distinct(), "member").select("root", "resource", F.col("member").alias("owner")))
+    torn = claims.groupBy("root", "resource").agg((F.min("owner") != F.max("owner")).alias("_torn")).filter("_torn").select("root").distinct()
+    refused = asked.join(bad, "session_ref", "left_semi").unionByName(torn.withColumnRenamed("root", "session_ref"))
     if strict:
-        first = asked.join(bad, "session_ref", "left_semi").orderBy("session_ref").head(1)
+        first = refused.orderBy("session_ref").head(1)
         if first:
             raise ValueError(f"session cannot be exported: {first[0][0]}")
-    good = asked.join(bad, "session_ref", "left_anti")
-    known_edges = edges.join(nodes.select(F.col("session_ref").alias("parent_ref")), "parent_ref", "left_semi")
-    parents = nodes.select("session_ref").join(known_edges.groupBy("session_ref").agg(F.min("parent_ref").alias("parent_ref")), "session_ref", "left")
-    depth = forest_depth(parents, [], "session_ref", "parent_ref").select(F.col("node").alias("session_ref"), (F.col("depth") + 1).alias("closure_size"))
-    claims = owned.join(good, "session_ref", "left_semi").join(depth, "session_ref")
-    winner = claims.groupBy("resource").agg(F.min_by("session_ref", F.struct(-F.col("closure_size"), F.col("session_ref"))).alias("_winner"))
-    losers = lookup_join(claims, winner, ["resource"], "inner", ["session_ref"]).filter("session_ref <> _winner").select("session_ref").distinct()
-    chosen = good.join(losers, "session_ref", "left_anti")
-    exported = closure(chosen, edges, nodes)[0]
-    skipped = asked.join(bad, "session_ref", "left_semi").withColumn("reason", F.lit("closure_blocked")).unionByName(
-        losers.join(exported, "session_ref", "left_anti").withColumn("reason", F.lit("ownership_conflict"))
-    )
+    place = F.struct((-F.col("_size")).alias("size"), F.col("root").alias("ref"))
+    candidates = sizes.join(torn, "root", "left_anti").select("root", place.alias("place"))
+    chosen = _greedy(candidates, claims.join(torn, "root", "left_anti"))
+    losers = candidates.join(chosen, "root", "left_anti").select(F.col("root").alias("session_ref"))
+    if strict and not losers.isEmpty():
+        raise ValueError(f"session cannot be exported: {losers.orderBy('session_ref').head(1)[0][0]}")
+    exported = pairs.join(chosen, "root", "left_semi").select(F.col("member").alias("session_ref")).distinct()
+    skipped = refused.withColumn("reason", F.lit("closure_blocked")).unionByName(losers.withColumn("reason", F.lit("ownership_conflict")))
     return exported, skipped
 
 

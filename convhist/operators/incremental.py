@@ -90,10 +90,10 @@ def source_revision(sessions: DataFrame, item_digest: DataFrame) -> DataFrame:
 
     Title, tags and scan state are left out on purpose: renaming a session must not rebuild it.
     """
-    at = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     named = [
         F.col("session_ref"), F.col("agent"), F.col("native_id"), F.col("context"), F.col("model"), F.col("provider"),
-        at("created_at"), at("updated_at"), F.col("archived").cast("string"), F.coalesce("item_digest", F.lit("")),
+        at("created_at"), at("updated_at"), F.col("archived").cast("string"), F.col("item_digest"),
     ]
     joined = sessions.join(item_digest, "session_ref", "left")
     return joined.select("session_ref", F.concat(F.lit("revision1_"), framed_digest(*named)).alias("revision"))
@@ -101,7 +101,7 @@ def source_revision(sessions: DataFrame, item_digest: DataFrame) -> DataFrame:
 
 def item_digest(items: DataFrame) -> DataFrame:
     """Digest of the raw conversation of each session; the ordinal keeps it order-sensitive."""
-    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     row = framed_digest(F.col("ordinal"), F.col("kind"), F.col("role"), F.col("text"), at, F.col("model"), F.col("code"))
     return items.groupBy("session_ref").agg(multiset_digest("items1_", row).alias("item_digest"))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convhist.functions.ids import UUID_PATTERN, encode_cursor, kind_order
 from convhist.functions.paths import normalize_posix
@@ -101,7 +105,10 @@ def map_paths(paths: DataFrame, rules: DataFrame, column: str = "path") -> tuple
     A path lists its ancestors (as many as it is deep), so matching is an equi-join on distinct
     paths; the deepest hit wins by a map-side combined ``max_by``.
     """
-    book = rules.select(_clean(F.col("source")).alias("_dir"), F.col("source").alias("rule_source"), _clean(F.col("target")).alias("_target")).dropDuplicates(["_dir"])
+    each = rules.select(_clean(F.col("source")).alias("_dir"), F.col("source").alias("rule_source"), _clean(F.col("target")).alias("_target"))
+    book = each.groupBy("_dir").agg(F.min("rule_source").alias("rule_source"), F.min("_target").alias("_low"), F.max("_target").alias("_high"))
+    doubt = F.raise_error(F.concat(F.lit("ambiguous targets for "), "_dir")).cast("string")
+    book = book.select("_dir", "rule_source", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(doubt).alias("_target"))
     distinct = paths.select(F.col(column).alias("_raw")).distinct().withColumn("_clean", _clean(F.col("_raw")))
     chains = distinct.withColumn("_dir", F.explode(F.array_distinct(ancestor_paths(F.col("_clean")))))
     hits = lookup_join(chains, book, ["_dir"], "inner", ["_raw"])
@@ -112,7 +119,8 @@ def map_paths(paths: DataFrame, rules: DataFrame, column: str = "path") -> tuple
     target = F.when(F.col("_b._target") == "/", F.when(rest == "", "/").otherwise(rest)).otherwise(F.concat("_b._target", rest))
     mapped = known.select("_raw", F.when(F.col("_b").isNull(), F.col("_clean")).otherwise(target).alias("mapped"), F.col("_b.rule_source").alias("rule_source"))
     result = lookup_join(paths.withColumnRenamed(column, "_raw"), mapped, ["_raw"], "inner").withColumnRenamed("_raw", column)
-    unused = rules.select("source").distinct().join(mapped.select(F.col("rule_source").alias("source")), "source", "left_anti")
+    used = mapped.select(_clean(F.col("rule_source")).alias("_dir")).distinct()
+    unused = each.select("_dir", F.col("rule_source").alias("source")).distinct().join(used, "_dir", "left_anti").select("source")
     return result, unused
 
 
@@ -324,24 +332,61 @@ def resolve_provider(original: Column, policy: str, current: str | None = None,
     return F.when(valid, F.lit(chosen)).otherwise(F.raise_error(F.lit("provider id is invalid")).cast("string"))
 
 
-def rewrite_fields(records: DataFrame, schema: str, changes: dict[str, tuple[str, str]], only: str = "session_meta") -> tuple[DataFrame, DataFrame]:
-    """Replace fields of metadata payloads where the old value still matches.
+def member_spans(text: str) -> list[tuple[str, object, int, int]]:
+    """(name, value, start, end) of the members of a JSON object, with the span of each value in the text."""
+    space = json.decoder.WHITESPACE.match
+    at = space(text, 0).end()
+    found, at = [], space(text, at + 1).end()
+    while text[at] == '"':
+        name, at = json.decoder.scanstring(text, at + 1)
+        at = space(text, space(text, at).end() + 1).end()
+        value, end = _DECODER.raw_decode(text, at)
+        found.append((name, value, at, end))
+        at = space(text, end).end()
+        if text[at] == ",":
+            at = space(text, at + 1).end()
+    return found
+
+
+_DECODER = json.JSONDecoder()
+
+
+def _spliced(fields: list[str]):
+    """Texts with members of the given names replaced where they hold the old value; all other bytes stay."""
+
+    @F.pandas_udf("string")
+    def splice(payload: pd.Series, old: pd.DataFrame, new: pd.DataFrame) -> pd.Series:
+        out = []
+        for text, olds, news in zip(payload, old.itertuples(index=False), new.itertuples(index=False), strict=True):
+            if text is not None:
+                for name, value, start, end in reversed(member_spans(text)):
+                    if name in fields and value == olds[fields.index(name)] != news[fields.index(name)]:
+                        text = text[:start] + json.dumps(news[fields.index(name)], ensure_ascii=False) + text[end:]
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return splice
+
+
+def rewrite_fields(records: DataFrame, changes: dict[str, tuple[str, str]], only: str = "session_meta") -> tuple[DataFrame, DataFrame]:
+    """Replace text fields of metadata payloads where the old value still matches.
 
-    ``records``: session_ref, record_no, type, payload (JSON), plus the columns that ``changes``
-    names: field -> (old column, new column). Returns the rewritten records and, per session, the
-    number of changed rows and the change in bytes.
+    ``records``: session_ref, record_no, type, payload (JSON object), plus the columns that ``changes``
+    names: field -> (old column, new column). Only the value of the named member is replaced; unknown
+    members and the rest of the text stay as they are. Rows that match go to Python, all others don't.
+    Returns the rewritten records and, per session, the number of changed rows and the change in bytes.
     """
-    rows = records.withColumn("_p", F.from_json("payload", schema))
-    matching, updated = F.lit(False), F.col("_p")
+    schema = T.StructType([T.StructField(field, T.StringType()) for field in changes])
+    parsed, matching = F.from_json("payload", schema), F.lit(False)
     for field, (old, new) in changes.items():
-        same = F.coalesce(F.col(f"_p.{field}") == F.col(old), F.lit(False)) & F.coalesce(F.col(old) != F.col(new), F.lit(False))
-        matching = matching | same
-        updated = updated.withField(field, F.when(same, F.col(new)).otherwise(F.col(f"_p.{field}")))
-    hit = (F.col("type") == only) & matching
-    rows = rows.withColumn("_hit", hit).withColumn("_new", F.when(hit, F.to_json(updated)).otherwise(F.col("payload")))
+        matching = matching | F.coalesce((parsed[field] == F.col(old)) & (F.col(old) != F.col(new)), F.lit(False))
+    rows = records.withColumn("_hit", F.coalesce((F.col("type") == only) & matching, F.lit(False)))
+    pair = lambda side: F.struct(*[F.col(c[side]).alias(f) for f, c in changes.items()])
+    spliced = _spliced(list(changes))(F.when(F.col("_hit"), F.col("payload")), pair(0), pair(1))
+    rows = rows.withColumn("_new", F.when(F.col("_hit"), spliced).otherwise(F.col("payload")))
     delta = F.octet_length("_new") - F.octet_length("payload")
     report = rows.groupBy("session_ref").agg(F.count_if("_hit").alias("changed"), F.sum(delta).cast("bigint").alias("byte_delta"))
-    return rows.withColumn("payload", F.col("_new")).drop("_p", "_hit", "_new"), report
+    return rows.withColumn("payload", F.col("_new")).drop("_hit", "_new"), report
 
 
 def three_way(before: DataFrame, after: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:

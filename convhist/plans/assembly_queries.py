@@ -338,6 +338,19 @@ def inherit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.inherit_history(heads, lines).select("session_ref", "owner", "record_no", "distance")
 
 
+@query(
+    "inheritance_issues",
+    """WITH s AS (SELECT conv_id AS c, max(turn) AS last, CASE WHEN conv_id % 4 <> 0 THEN conv_id - CASE WHEN conv_id % 12 = 5 THEN 1000000 ELSE 1 END END AS base, conv_id % 4 * 3 AS cut FROM conversations GROUP BY 1)
+    SELECT 's' || a.c AS session_ref, CASE WHEN b.c IS NULL THEN 'base_missing' ELSE 'cutoff_outside' END AS issue FROM s a LEFT JOIN s b ON b.c = a.base WHERE a.base IS NOT NULL AND (b.c IS NULL OR a.cut > b.last + 1)""",
+)
+def inheritance_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    raw = table(spark, sf_dir, "conversations")
+    base = F.concat(F.lit("s"), c - F.when(c % 12 == 5, 1000000).otherwise(1))
+    heads = raw.select("conv_id").distinct().select(F.concat(F.lit("s"), c).alias("session_ref"), F.when(c % 4 != 0, base).alias("base_ref"), F.when(c % 4 != 0, c % 4 * 3).alias("cutoff"))
+    return A.inheritance_issues(heads, raw.select(F.concat(F.lit("s"), c).alias("session_ref"), F.col("turn").alias("record_no")))
+
+
 _MESSAGES = f"""{ITEMS}, msgs AS (SELECT *, lag(role) OVER w AS pr FROM items WHERE kind = 'message' WINDOW w AS (PARTITION BY session_ref ORDER BY ordinal)),
 numbered AS (SELECT *, sum(CASE WHEN role IS DISTINCT FROM pr THEN 1 ELSE 0 END) OVER (PARTITION BY session_ref ORDER BY ordinal)::BIGINT AS run FROM msgs)"""
 

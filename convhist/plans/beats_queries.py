@@ -138,7 +138,7 @@ def project_key_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duck_digest(parts: list[str]) -> str:
-    return "sha256(" + " || ".join(f"strlen(({p})::VARCHAR) || ':' || ({p})::VARCHAR" for p in parts) + ")"
+    return "sha256(" + " || ".join(f"coalesce(strlen(({p})::VARCHAR) || ':' || ({p})::VARCHAR, '-1:')" for p in parts) + ")"
 
 
 def duck_multiset(prefix: str, digest: str) -> str:
@@ -179,7 +179,7 @@ lists AS (
 card_base AS (
   SELECT b.*, s.agent, s.context, 'rev' || s.n_items AS revision, 'lin' || (s.conv_id % 11) AS lineage_ref,
     coalesce(l.pa, []) AS pa, coalesce(l.aa, []) AS aa, {_cut_sql("previous_text", "3072")} AS pt, {_cut_sql("next_text", "3072")} AS nt,
-    strftime(user_ts, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS stamp
+    strftime(user_ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp
   FROM beats b JOIN sessions s USING (session_ref) LEFT JOIN lists l USING (session_ref, turn_start)),
 digested AS (
   SELECT *, 'content1_' || sha256(to_json(struct_pack(assistant := aa, fragment_index := 0::BIGINT, next_user := nt,

@@ -44,9 +44,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(gap, "gap").otherwise("message").alias("kind"),
         F.when(gap, "").otherwise(F.col("role")).alias("role"),
         F.when(gap, "").otherwise(F.col("text")).alias("text"),
-        F.expr(
-            "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, cast(conv_id as int), cast(turn as int), 0)"
-        ).alias("ts"),
+        # Some times are unknown, the others differ below a millisecond.
+        F.when((F.col("conv_id") * 5 + F.col("turn")) % 29 != 3, F.expr(
+            "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, cast(conv_id as int), cast(turn as int), cast(turn * 1001 as decimal(18, 6)) / 1000000)"
+        )).alias("ts"),
         F.when(~gap & (F.col("role") == "assistant"), F.concat(F.lit("m"), (F.col("conv_id") + F.col("turn")) % 3))
         .otherwise("")
         .alias("model"),
@@ -201,7 +202,7 @@ ITEMS = f"""items AS (
     CASE WHEN {_GAP} THEN 'gap' ELSE 'message' END AS kind,
     CASE WHEN {_GAP} THEN '' ELSE role END AS role,
     CASE WHEN {_GAP} THEN '' ELSE text END AS text,
-    TIMESTAMP '2026-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) AS ts,
+    CASE WHEN (conv_id * 5 + turn) % 29 <> 3 THEN TIMESTAMP '2026-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) + to_microseconds(turn * 1001) END AS ts,
     CASE WHEN NOT {_GAP} AND role = 'assistant' THEN 'm' || ((conv_id + turn) % 3) ELSE '' END AS model,
     CASE WHEN {_GAP} THEN ({_list(GAP_CODES)})[conv_id % 3 + 1] ELSE '' END AS code,
     CASE WHEN {_GAP} THEN 'retained ' || ({_list(GAP_CODES)})[conv_id % 3 + 1] ELSE '' END AS label,

@@ -149,7 +149,7 @@ def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cards, events
 
 
-_S = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+_S = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 _OCC = f"""{_CARDS}, ev AS (SELECT c.*, e.i AS event_index, ({_LIST(K.TOPICS)})[(conv_id + turn_start + e.i) % 12 + 1] AS topic, ({_LIST(K.BASES)})[(conv_id + e.i) % 8 + 1] AS basis,
   ({_LIST(K.LENSES)})[conv_id % 6 + 1] AS lens, 'obs' || turn_start AS observation, CASE WHEN e.i = 1 AND next_ordinal IS NOT NULL THEN 'next_user' ELSE 'user_text' END AS source
   FROM cards c, LATERAL (SELECT unnest(range(0, turn_start % 2 + 1)) AS i) e WHERE conv_id % 11 <> 5),
@@ -229,7 +229,7 @@ def alias_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _proposed(aliases: DataFrame) -> DataFrame:
     """Proposed groups: every three consecutive aliases, some repeated, some requests with a defect."""
     n = F.substring("alias", 2, 10).cast("bigint")
-    rows = aliases.withColumn("_n", n).filter("_n < 15")
+    rows = aliases.withColumn("_n", n)
     sets = rows.groupBy("request_ref", F.expr("_n div 3").alias("group_no")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_n", "alias"))), lambda r: r["alias"]).alias("event_ids")
     ).filter(F.size("event_ids") == 3)
@@ -239,15 +239,15 @@ def _proposed(aliases: DataFrame) -> DataFrame:
         F.when((flaw == 0) & (F.col("group_no") == 1), "guess").otherwise("shared_principle").alias("relation"),
         F.when((flaw == 1) & (F.col("group_no") == 0), F.array_append("event_ids", F.lit("a99999"))).otherwise(F.col("event_ids")).alias("event_ids"),
     )
-    again = sets.filter("group_no = 2").withColumn("group_no", F.lit(12).cast("bigint"))
+    again = sets.filter("group_no = 2").withColumn("group_no", F.lit(-1).cast("bigint"))
     return sets.unionByName(again)
 
 
 _GROUPS = f"""{_SCOPED}, nums AS (SELECT *, substr(alias, 2)::BIGINT AS n, ('0x' || substr(request_ref, 10, 1))::INT % 4 AS flaw FROM aliased),
-sets AS (SELECT request_ref, n // 3 AS group_no, min(flaw) AS flaw, count(*) AS size, string_agg(occurrence_ref, ',' ORDER BY n) AS members FROM nums WHERE n < 15 GROUP BY 1, 2 HAVING count(*) = 3),
+sets AS (SELECT request_ref, n // 3 AS group_no, min(flaw) AS flaw, count(*) AS size, string_agg(occurrence_ref, ',' ORDER BY n) AS members FROM nums GROUP BY 1, 2 HAVING count(*) = 3),
 bad AS (SELECT DISTINCT request_ref, 'relation' AS code FROM sets WHERE flaw = 0 AND group_no = 1 UNION SELECT DISTINCT request_ref, 'unknown_member' FROM sets WHERE flaw = 1 AND group_no = 0),
 kept AS (SELECT s.*, 'group1_' || {duck_digest(["s.request_ref", "'style'", "'idea ' || s.group_no", "'general'", "'shared_principle'", "s.members"])} AS group_ref FROM sets s WHERE request_ref NOT IN (SELECT request_ref FROM bad)),
-member AS (SELECT k.group_ref, k.request_ref, n.occurrence_ref FROM kept k JOIN nums n ON n.request_ref = k.request_ref AND n.n // 3 = k.group_no AND n.n < 15),
+member AS (SELECT k.group_ref, k.request_ref, n.occurrence_ref FROM kept k JOIN nums n ON n.request_ref = k.request_ref AND n.n // 3 = k.group_no),
 rest AS (SELECT request_ref, occurrence_ref FROM nums WHERE request_ref NOT IN (SELECT request_ref FROM bad) AND occurrence_ref NOT IN (SELECT occurrence_ref FROM member))"""
 
 

@@ -119,33 +119,49 @@ def migratable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_ref", F.array_join("_b", ",").alias("blockers"), (F.size("_b") == 0).alias("exportable"))
 
 
-_EXPORT = f"""bad AS (SELECT session_ref FROM sessions WHERE deleted OR model = ''
-  UNION SELECT session_ref FROM session_edges WHERE parent_ref NOT IN (SELECT session_ref FROM sessions)
-  UNION SELECT e.session_ref FROM session_edges e JOIN bad b ON e.parent_ref = b.session_ref),
-depth AS (SELECT session_ref, 1::BIGINT AS size FROM sessions WHERE session_ref NOT IN (SELECT session_ref FROM session_edges WHERE parent_ref <> 'event_log:missing')
-  UNION ALL SELECT e.session_ref, d.size + 1 FROM depth d JOIN session_edges e ON e.parent_ref = d.session_ref),
+# Every session depends on its parent and every tenth also on its third predecessor; two resources each.
+_EXPORT = f"""deps AS (SELECT session_ref, parent_ref FROM session_edges UNION SELECT a.session_ref, b.session_ref FROM sessions a JOIN sessions b ON b.conv_id = a.conv_id - 3 WHERE a.conv_id % 10 = 6),
+bad AS (SELECT session_ref FROM sessions WHERE deleted OR model = ''
+  UNION SELECT session_ref FROM deps WHERE parent_ref NOT IN (SELECT session_ref FROM sessions)
+  UNION SELECT e.session_ref FROM deps e JOIN bad b ON e.parent_ref = b.session_ref),
+owned AS (SELECT session_ref, 'file' || (conv_id % 20) AS resource FROM sessions UNION SELECT session_ref, 'log' || (conv_id % 17) FROM sessions WHERE conv_id % 3 = 0),
 good AS (SELECT session_ref, conv_id FROM sessions WHERE conv_id % 2 = 0 AND session_ref NOT IN (SELECT session_ref FROM bad)),
-claims AS (SELECT g.session_ref, 'file' || (g.conv_id % 20) AS resource, d.size FROM good g JOIN depth d USING (session_ref)),
-losers AS (SELECT session_ref FROM (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY size DESC, session_ref) AS rn FROM claims) WHERE rn > 1),
-exported AS (SELECT session_ref FROM good WHERE session_ref NOT IN (SELECT session_ref FROM losers)
-  UNION SELECT e.parent_ref FROM exported x JOIN session_edges e USING (session_ref))"""
+reach AS (SELECT session_ref AS root, session_ref AS member FROM good UNION SELECT r.root, d.parent_ref FROM reach r JOIN deps d ON d.session_ref = r.member),
+claims AS (SELECT DISTINCT root, resource, member AS owner FROM reach JOIN owned ON owned.session_ref = member),
+torn AS (SELECT DISTINCT root FROM claims GROUP BY root, resource HAVING min(owner) <> max(owner)),
+cand AS (SELECT root, row_number() OVER (ORDER BY size DESC, root) AS rn FROM (SELECT root, count(*) AS size FROM reach GROUP BY root) WHERE root NOT IN (SELECT root FROM torn)),
+lists AS (SELECT c.rn, c.root, coalesce(list(resource || '=' || owner) FILTER (resource IS NOT NULL), []) AS mine, coalesce(list(resource) FILTER (resource IS NOT NULL), []) AS res FROM cand c LEFT JOIN claims USING (root) GROUP BY 1, 2),
+greedy AS (SELECT 0::BIGINT AS rn, ''::VARCHAR AS root, true AS ok, []::VARCHAR[] AS held, []::VARCHAR[] AS names
+  UNION ALL SELECT l.rn, l.root, len(list_filter(l.mine, lambda x: list_contains(g.names, split_part(x, '=', 1)) AND NOT list_contains(g.held, x))) = 0,
+    CASE WHEN len(list_filter(l.mine, lambda x: list_contains(g.names, split_part(x, '=', 1)) AND NOT list_contains(g.held, x))) = 0 THEN list_distinct(list_concat(g.held, l.mine)) ELSE g.held END,
+    CASE WHEN len(list_filter(l.mine, lambda x: list_contains(g.names, split_part(x, '=', 1)) AND NOT list_contains(g.held, x))) = 0 THEN list_distinct(list_concat(g.names, l.res)) ELSE g.names END
+  FROM greedy g JOIN lists l ON l.rn = g.rn + 1),
+exported AS (SELECT DISTINCT r.member AS session_ref FROM reach r JOIN greedy g ON g.root = r.root AND g.ok)"""
 
 
 @query(
     "select_exportable",
     f"""WITH RECURSIVE {SESSIONS}, {EDGES}, {_EXPORT} SELECT session_ref, 'exported' AS outcome FROM exported
-    UNION ALL SELECT session_ref, 'closure_blocked' FROM sessions WHERE conv_id % 2 = 0 AND session_ref IN (SELECT session_ref FROM bad)
-    UNION ALL SELECT DISTINCT session_ref, 'ownership_conflict' FROM losers WHERE session_ref NOT IN (SELECT session_ref FROM exported)""",
+    UNION ALL SELECT session_ref, 'closure_blocked' FROM sessions WHERE conv_id % 2 = 0 AND (session_ref IN (SELECT session_ref FROM bad) OR session_ref IN (SELECT root FROM torn))
+    UNION ALL SELECT root, 'ownership_conflict' FROM greedy WHERE NOT ok""",
 )
 def select_exportable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _nodes(spark, sf_dir), session_edges(spark, sf_dir)
-    owned = nodes.filter("conv_id % 2 = 0").select("session_ref", F.concat(F.lit("file"), F.col("conv_id") % 20).alias("resource"))
-    exported, skipped = H.select_exportable(
-        nodes.filter("conv_id % 2 = 0"), nodes, edges, nodes.filter("deleted OR model = ''"), owned
-    )
+    nodes, edges, owned = export_inputs(spark, sf_dir)
+    exported, skipped = H.select_exportable(nodes.filter("conv_id % 2 = 0"), nodes, edges, nodes.filter("deleted OR model = ''"), owned)
     return exported.select("session_ref", F.lit("exported").alias("outcome")).unionByName(skipped.select("session_ref", F.col("reason").alias("outcome")))
 
 
+def export_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sessions, dependencies, owned resources), with several of both per session."""
+    nodes, c = _nodes(spark, sf_dir), F.col("conv_id")
+    earlier = nodes.select((c + 3).alias("conv_id"), F.col("session_ref").alias("parent_ref"))
+    more = nodes.filter(c % 10 == 6).join(earlier, "conv_id").select("session_ref", "parent_ref")
+    owned = nodes.select("session_ref", F.concat(F.lit("file"), c % 20).alias("resource")).unionByName(
+        nodes.filter(c % 3 == 0).select("session_ref", F.concat(F.lit("log"), c % 17).alias("resource"))
+    )
+    return nodes, session_edges(spark, sf_dir).unionByName(more), owned
+
+
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("conv_id")
     return _nodes(spark, sf_dir).select(

@@ -132,7 +132,7 @@ def removed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("session_ref", F.lit(True).alias("kept")).unionByName(removed.select("session_ref", F.lit(False).alias("kept")))
 
 
-_D = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+_D = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 @query(

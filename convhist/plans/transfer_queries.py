@@ -12,13 +12,12 @@ from convhist.operators.assembly import coalesce_runs, same_role_runs
 from convhist.plans.beats_queries import duck_digest
 from convhist.plans.bindings import EDGES, ITEMS, SESSIONS, items, pick, session_edges, sessions, table
 from convhist.plans.catalog_queries import event_blocks
-from convhist.plans.graph_queries import _EXPORT
+from convhist.plans.graph_queries import _EXPORT, export_inputs
 from convhist.plans.registry import query
 
 
 def _plan(spark: SparkSession, sf_dir: str):
-    nodes, edges = sessions(spark, sf_dir), session_edges(spark, sf_dir)
-    owned = nodes.filter("conv_id % 2 = 0").select("session_ref", F.concat(F.lit("file"), F.col("conv_id") % 20).alias("resource"))
+    nodes, edges, owned = export_inputs(spark, sf_dir)
     return M.plan_export(nodes.filter("conv_id % 2 = 0"), nodes, edges, nodes.filter("deleted OR model = ''"), owned)
 
 
@@ -369,18 +368,37 @@ def resolve_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_REWRITE = """r AS (SELECT 'u' || user_id AS session_ref, event_id, event_type = 'signup' AND event_id % 4 = 0 AS hit,
+  CASE WHEN event_id % 4 = 0 THEN 'old' ELSE 'own' END AS provider, props FROM events)"""
+
+
 @query(
     "rewrite_fields",
-    """WITH r AS (SELECT 'u' || user_id AS session_ref, event_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'old' ELSE 'own' END AS provider, event_type = 'signup' AND event_id % 4 = 0 AS hit FROM events)
-    SELECT session_ref, count(*) FILTER (hit) AS changed, sum(CASE WHEN hit THEN 4 ELSE 0 END)::BIGINT AS byte_delta FROM r GROUP BY 1""",
+    f"""WITH {_REWRITE} SELECT session_ref, count(*) FILTER (hit) AS changed, sum(CASE WHEN hit THEN 4 ELSE 0 END)::BIGINT AS byte_delta FROM r GROUP BY 1""",
 )
 def rewrite_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.rewrite_fields(_rewritable(spark, sf_dir), {"provider": ("old_provider", "new_provider")})[1]
+
+
+@query(
+    "rewrite_payloads",
+    f"""WITH {_REWRITE} SELECT event_id AS record_no, '{{"extra": {{"provider":"old", "a":1.0}}, "provider" : "' || CASE WHEN hit THEN 'unified' ELSE provider END || '","cwd":"/w","props":' || props || ',"n":12345678901234567890}}' AS payload FROM r""",
+)
+def rewrite_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that the rewrite doesn't name, nested ones of the same name and numbers keep their bytes."""
+    return M.rewrite_fields(_rewritable(spark, sf_dir), {"provider": ("old_provider", "new_provider")})[0].select("record_no", "payload")
+
+
+def _rewritable(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(
+    payload = F.concat(
+        F.lit('{"extra": {"provider":"old", "a":1.0}, "provider" : "'), F.when(e % 4 == 0, "old").otherwise("own"), F.lit('","cwd":"/w","props":'), F.col("props"),
+        F.lit(',"n":12345678901234567890}'),
+    )
+    return table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), "user_id").alias("session_ref"), e.alias("record_no"), F.when(F.col("event_type") == "signup", "session_meta").otherwise("other").alias("type"),
-        F.concat(F.lit('{"provider":"'), F.when(e % 4 == 0, "old").otherwise("own"), F.lit('","cwd":"/w"}')).alias("payload"), F.lit("old").alias("old_provider"), F.lit("unified").alias("new_provider"),
+        payload.alias("payload"), F.lit("old").alias("old_provider"), F.lit("unified").alias("new_provider"),
     )
-    return M.rewrite_fields(rows, "provider string, cwd string", {"provider": ("old_provider", "new_provider")})[1]
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:

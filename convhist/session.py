@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,12 +36,20 @@ def local_session(cores: int | str = 8, app: str = "convhist", memory: str = "12
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only if unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    If it is unset, a temporary folder serves sessions whose master is local; elsewhere executors would write to disks of
+    their own, so that is an error. Tables stay until the folder is cleaned.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="convhist-checkpoint-"))
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="convhist-checkpoint-")
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 

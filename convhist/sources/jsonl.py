@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convhist.functions.text import trim_space
 from convhist.operators.ordered import position, scan
 from convhist.session import materialize
 
@@ -32,7 +33,7 @@ def scan_jsonl(spark: SparkSession, paths: str | list[str], policy: str = "fail"
     rows = scan(lines, ["file_path"], ["_block", "_id"], {"record_no": position()}, chunk="_block").drop("_block", "_id")
     parsed = F.try_parse_json(F.col("line"))
     issue = (
-        F.when(F.trim("line") == "", "blank").when(F.octet_length("line") > MAX_RECORD_BYTES, "too_large")
+        F.when(trim_space(F.col("line")) == "", "blank").when(F.octet_length("line") > MAX_RECORD_BYTES, "too_large")
         .when(parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT"), "bad_json")
     )
     rows = rows.withColumn("issue", issue)
@@ -60,7 +61,8 @@ PATH_ROLES = (
     ("checkpoint", rf"^file-history/{_UUID}/.+$"),
     ("task-highwatermark", rf"^tasks/{_UUID}/\.highwatermark$"),
     ("task-entry", rf"^tasks/{_UUID}/[0-9]+\.json$"),
-    ("auxiliary", r"^(?:history\.jsonl|projects/[^/]+/(?!memory(?:/|$)).+|file-history/[^/]+/.+|daemon/roster\.json|jobs/[^/]+/state\.json)$"),
+    ("auxiliary", r"^(?:history\.jsonl|projects/(?!(?:[^/]+/memory)(?:/|$)).+|daemon/roster\.json|jobs/[^/]+/state\.json)$"),
+    ("auxiliary", r"^(?:file-history|paste-cache|image-cache|tasks|session-env|plans|teams)/.+$"),
 )
 PROJECT_ROLES = ("session-sidecar", "subagent-transcript", "subagent-metadata", "tool-result")
 

@@ -13,9 +13,13 @@ def write_snapshot(sessions: DataFrame, root: str, snapshot_id: str, published_a
 
     The data is complete before the head rows appear, so a reader never sees half a snapshot.
     """
-    rows = sessions.withColumn("snapshot_id", F.lit(snapshot_id))
+    known = F.coalesce(F.col("agent").isin(*SOURCE_KINDS), F.lit(False))
+    agent = F.when(known, F.col("agent")).otherwise(F.raise_error(F.concat(F.lit("unknown source kind "), F.coalesce("agent", F.lit("null")))).cast("string"))
+    rows = sessions.withColumn("agent", agent).withColumn("snapshot_id", F.lit(snapshot_id))
     rows.write.mode("append").partitionBy("agent", "snapshot_id").parquet(f"{root}/sessions")
-    heads = rows.select("agent", "snapshot_id").distinct().withColumn("published_at", F.lit(published_at).cast("timestamp_ntz"))
+    # The kinds are read from the folders just written; the sessions are not computed again.
+    written = sessions.sparkSession.read.parquet(f"{root}/sessions").filter(F.col("snapshot_id") == snapshot_id)
+    heads = written.select("agent", F.lit(snapshot_id).alias("snapshot_id")).distinct().withColumn("published_at", F.lit(published_at).cast("timestamp_ntz"))
     heads.write.mode("append").parquet(f"{root}/heads")
 
 

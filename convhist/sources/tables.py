@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convhist.functions.ids import EXACT_JSON
 from convhist.operators.graphs import cyclic_nodes
 from convhist.operators.ordered import ranked
 
@@ -87,7 +88,7 @@ def merge_datasets(parts: list[DataFrame], key: list[str]) -> tuple[DataFrame, D
     for part in parts[1:]:
         rows = rows.unionByName(part)
     others = [c for c in rows.columns if c not in key]
-    row_hash = F.sha2(F.to_json(F.struct(*others), {"ignoreNullFields": "false"}), 256)
+    row_hash = F.sha2(F.to_json(F.struct(*others), EXACT_JSON), 256)
     folded = rows.withColumn("_h", row_hash).groupBy(*key).agg(
         F.min("_h").alias("_low"), F.max("_h").alias("_high"), F.min_by(F.struct(*others), "_h").alias("_v")
     )
@@ -95,16 +96,17 @@ def merge_datasets(parts: list[DataFrame], key: list[str]) -> tuple[DataFrame, D
     return folded.filter(same).select(*key, "_v.*"), folded.filter(~same).select(*key)
 
 
-def align_schema(source: DataFrame, target: DataFrame, key: str, required: dict[str, Column]) -> DataFrame:
+def align_schema(source: DataFrame, target: DataFrame, key: str, required: dict[str, Column], not_null: tuple[str, ...] = ()) -> DataFrame:
     """Source rows in the target's columns; a row already in the target wins.
 
-    ``required``: default expression per target column that must not be null. Source columns and
-    key must exist in the target; another required column without a default raises.
+    ``required``: default expression per target column. ``not_null``: target columns that must not be null (files don't
+    tell, so they are named); one that neither the source nor a default fills raises. Source columns and key must exist
+    in the target.
     """
     missing = [c for c in source.columns if c not in target.columns]
     if missing or key not in source.columns:
         raise ValueError(f"target lacks columns: {missing or [key]}")
-    lacking = [f.name for f in target.schema.fields if not f.nullable and f.name not in source.columns and f.name not in required]
+    lacking = [c for c in not_null if c not in source.columns and c not in required]
     if lacking:
         raise ValueError(f"required columns have no default: {lacking}")
     there = target.select(key, F.struct(*target.columns).alias("_t"))
