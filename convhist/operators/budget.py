@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convhist.operators.ordered import ranked
+from convhist.operators.ordered import ranked, running_sum, scan
 from convhist.operators.skew import lookup_join
+from convhist.session import materialize
 
 # Card limits and request overhead of the planner.
 REQUEST_OVERHEAD_TOKENS = 1_200
@@ -21,8 +22,8 @@ DEEP_REQUESTS = 4
 def spread_position(index: Column, size: Column) -> Column:
     """Sort key of a 0-based index: first, last, then midpoints level by level, left to right.
 
-    The bisection depth is found by halving the interval that holds the index; 40 halvings cover
-    groups of 10^12 rows. The result packs (depth, index) into one comparable struct.
+    The bisection depth is found by halving the interval that holds the index; 63 halvings cover
+    any bigint. The result packs (depth, index) into one comparable struct.
     """
     start = F.struct(
         F.lit(0).cast("bigint").alias("low"), (size - 1).cast("bigint").alias("high"), F.lit(-1).alias("depth")
@@ -80,71 +81,39 @@ def stratified_order(cards: DataFrame, time: str = "user_ts") -> DataFrame:
 ORDER_COLUMNS = ("spread_place", "lineage_rank", "project_key")
 
 
-def _fold_state() -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.struct(
-        F.lit(False).alias("stopped"), zero.alias("total"), zero.alias("requests"), zero.alias("current"),
-        zero.alias("in_request"), zero.alias("selected"),
-        F.array().cast("array<struct<card_ref:string,request_no:bigint,tokens:bigint>>").alias("picked"),
-    )
-
-
 def plan_budget(
     ordered: DataFrame, total_tokens: int, deep_tokens: int = DEFAULT_DEEP_TOKENS,
     request_tokens: int = DEFAULT_REQUEST_TOKENS, order: tuple[str, ...] = ORDER_COLUMNS,
 ) -> tuple[DataFrame, DataFrame]:
     """Take cards in order until the next one would exceed the total; returns (picked cards, summary).
 
-    A card costs at least ``MIN_CARD_TOKENS``, so at most ``total_tokens / MIN_CARD_TOKENS`` cards
-    can be picked. Only that many rows (a parameter, not a share of the data) reach the fold; the
-    corpus is never gathered. An oversize card before the stop raises, as does a bad budget.
+    Requests are next-fit batches, so :func:`pack_batches` numbers them; what a prefix costs is the running sum of its
+    tokens plus the overhead of its requests, and the first card beyond the total is the stop. No card list is gathered.
+    A card costs at least ``MIN_CARD_TOKENS``, so places past ``total_tokens / MIN_CARD_TOKENS`` are left out before
+    packing. An oversize card before the stop raises, as does a bad budget.
     """
     for value in (total_tokens, deep_tokens, request_tokens):
         if not isinstance(value, int) or value < 0:
             raise ValueError("token budgets must be non-negative integers")
-    bound = total_tokens // MIN_CARD_TOKENS + 1
-    top = ordered.select(*order, "card_ref", "estimated_tokens").orderBy(*order).limit(bound)
-    rows = top.agg(
-        F.array_sort(F.collect_list(F.struct(*order, "card_ref", "estimated_tokens"))).alias("rows")
-    )
-
-    def step(state: Column, row: Column) -> Column:
-        tokens = row["estimated_tokens"]
-        oversize = tokens + REQUEST_OVERHEAD_TOKENS > request_tokens
-        fresh = (
-            (state["selected"] == 0)
-            | (state["in_request"] >= MAX_CARDS_PER_REQUEST)
-            | (state["current"] + tokens > request_tokens)
-        )
-        cost = tokens + F.when(fresh, REQUEST_OVERHEAD_TOKENS).otherwise(0)
-        stop = state["total"] + cost > total_tokens
-        request_no = state["requests"] + F.when(fresh, 1).otherwise(0)
-        picked = F.struct(row["card_ref"].alias("card_ref"), request_no.alias("request_no"), tokens.alias("tokens"))
-        taken = F.struct(
-            F.lit(False).alias("stopped"),
-            (state["total"] + cost).alias("total"),
-            request_no.alias("requests"),
-            (F.when(fresh, F.lit(REQUEST_OVERHEAD_TOKENS)).otherwise(state["current"]) + tokens).alias("current"),
-            (F.when(fresh, F.lit(0)).otherwise(state["in_request"]) + 1).cast("bigint").alias("in_request"),
-            (state["selected"] + 1).alias("selected"),
-            F.array_append(state["picked"], picked).alias("picked"),
-        )
-        halted = state.withField("stopped", F.lit(True))
-        message = F.concat(F.lit("card exceeds the request token budget: "), row["card_ref"])
-        return (
-            F.when(state["stopped"], state)
-            .when(oversize, F.raise_error(message).cast(_STATE_TYPE))
-            .when(stop, halted)
-            .otherwise(taken)
-        )
-
-    folded = rows.select(F.aggregate("rows", _fold_state().cast(_STATE_TYPE), lambda s, r: step(s, r).cast(_STATE_TYPE)).alias("s"))
+    one, limit = F.lit(1).cast("bigint"), max(request_tokens - REQUEST_OVERHEAD_TOKENS, 0)
+    slim = ordered.select(*order, "card_ref", F.col("estimated_tokens").alias("tokens")).withColumn("_all", one)
+    placed = ranked(slim, ["_all"], [*order, "card_ref"], "_rank").select("_all", (F.col("_rank") - 1).alias("place"), "card_ref", "tokens")
+    placed = materialize(placed.filter(F.col("place") <= total_tokens // MIN_CARD_TOKENS))
+    fitting = placed.withColumn("_fit", F.least("tokens", F.lit(limit)))
+    packed = pack_batches(fitting, ["_all"], "place", "_fit", request_tokens).select("_all", "place", "card_ref", "tokens", F.col("batch_no").alias("request_no"))
+    spent = materialize(scan(packed, ["_all"], "place", {"_sum": running_sum(F.col("tokens"))}))
+    total = F.col("_sum") + REQUEST_OVERHEAD_TOKENS * F.col("request_no")
+    state = spent.agg(F.min(F.when(total > total_tokens, F.col("place"))).alias("stop"), F.min(F.when(F.col("tokens") > limit, F.struct("place", "card_ref"))).alias("big")).head()
+    if state["big"] is not None and (state["stop"] is None or state["big"]["place"] <= state["stop"]):
+        raise ValueError(f"card exceeds the request token budget: {state['big']['card_ref']}")
+    picked = spent if state["stop"] is None else spent.filter(F.col("place") < state["stop"])
+    zero, selected = F.lit(0).cast("bigint"), F.col("selected")
+    taken = picked.agg(F.count(F.lit(1)).alias("selected"), F.coalesce(F.max(total), zero).alias("total"), F.coalesce(F.max("request_no"), zero).alias("requests"))
     count = ordered.agg(F.count(F.lit(1)).alias("total_cards"))
-    selected = F.col("selected")
     deep = F.when((selected == 0) | (selected < F.col("total_cards")), 0).otherwise(deep_tokens).cast("bigint")
     # Two one-row results side by side: union and a maximum per column.
-    taken = folded.select("s.selected", "s.total", "s.requests").unionByName(count, allowMissingColumns=True)
-    summary = taken.agg(*[F.max(c).alias(c) for c in ("total_cards", "selected", "total", "requests")]).select(
+    both = taken.unionByName(count, allowMissingColumns=True)
+    summary = both.agg(*[F.max(c).alias(c) for c in ("total_cards", "selected", "total", "requests")]).select(
         "total_cards",
         selected.alias("selected_cards"),
         (F.col("total_cards") - selected).alias("remaining_cards"),
@@ -153,16 +122,7 @@ def plan_budget(
         deep.alias("deep_input_tokens"),
         F.when(deep == 0, 0).otherwise(DEEP_REQUESTS).cast("bigint").alias("deep_requests"),
     )
-    picked = folded.select(F.posexplode("s.picked").alias("place", "card")).select(
-        F.col("place").cast("bigint").alias("place"), "card.card_ref", "card.request_no", "card.tokens"
-    )
-    return picked, summary
-
-
-_STATE_TYPE = (
-    "struct<stopped:boolean,total:bigint,requests:bigint,current:bigint,in_request:bigint,selected:bigint,"
-    "picked:array<struct<card_ref:string,request_no:bigint,tokens:bigint>>>"
-)
+    return picked.select("place", "card_ref", "request_no", "tokens"), summary
 
 
 PACK_CHUNK = 1_024

@@ -170,7 +170,9 @@ def scan(
     for name, spec in columns.items():
         frame = {"all": (_FIRST, _LAST)}.get(spec.span, (_FIRST, -1) if spec.forward else (1, _LAST))
         carries.append(_windowed(spec, F.col(f"_p_{name}"), outer.rowsBetween(*frame)).alias(f"_c_{name}"))
-    summary = summary.select(*keys, _CHUNK, *carries)
+    # One row per chunk, stored: chained scans read their input once more each instead of twice as often each, and
+    # Spark can split a hot key of the join below.
+    summary = materialize(summary.select(*keys, _CHUNK, *carries))
 
     local = base.select(
         "*",
@@ -227,6 +229,6 @@ def runs(
     )
     summary = summary.withColumn("_joins", F.coalesce(F.lag("_tail").over(outer) == F.col("_head"), F.lit(False)))
     steps = F.col("_n") + F.when(F.col("_joins"), 0).otherwise(1)
-    summary = summary.select(*keys, _CHUNK, (F.sum(steps).over(outer.rowsBetween(_FIRST, 0)) - F.col("_n")).alias("_base"))
+    summary = materialize(summary.select(*keys, _CHUNK, (F.sum(steps).over(outer.rowsBetween(_FIRST, 0)) - F.col("_n")).alias("_base")))
     kept = [F.col(c) for c in df.columns if c != run]
     return local.join(summary, [*keys, _CHUNK]).select(*kept, (F.col("_base") + F.col("_local")).alias(run))

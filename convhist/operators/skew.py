@@ -5,53 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# A key with more rows than this on the large side is spread over several tasks.
-HOT_ROWS = 1_000_000
+from convhist.session import materialize
 
 
-def lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    spread: Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
-    counts: DataFrame | None = None,
-) -> DataFrame:
-    """Join ``big`` to ``lookup`` (unique per key), splitting the hot keys of ``big``.
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", spread: Sequence[str] | None = None) -> DataFrame:
+    """Join ``big`` to ``lookup`` (unique per key), whatever share of ``big`` one key has.
 
-    The list of hot keys is broadcast. Its size is bounded by construction: at most
-    ``rows(big) / hot_rows`` keys can exceed the threshold. Every other key takes the ordinary
-    shuffle join. Lookup rows are replicated only for hot keys, once per salt. ``spread`` names the
-    columns that tell rows of one key apart (default: all of them). ``counts`` (keys, ``_n``) gives an
-    upper bound of the rows per key where one is already known, so that ``big`` is read only once.
+    The lookup is stored first. So it is computed once, even where it is derived from ``big`` and used several times, and
+    the join reads plain exchanges on both sides, which adaptive execution splits where a key is hot: the rows of that key
+    go to several tasks, its lookup row to each. ``spread`` is kept for callers that name the columns which tell rows of
+    one key apart; nothing depends on it.
     """
-    keys = list(keys)
-    if counts is None:
-        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (
-        counts.filter(F.col("_n") > hot_rows)
-        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("bigint").alias("_salts"))
-    )
-    spread = list(spread) if spread else big.columns
-    salted = (
-        big.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_salts"))).otherwise(
-                F.lit(0).cast("bigint")
-            ),
-        )
-        .drop("_salts")
-    )
-    copies = (
-        lookup.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), F.lit(1)) - 1)),
-        )
-        .drop("_salts")
-    )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return big.join(materialize(lookup), list(keys), how)

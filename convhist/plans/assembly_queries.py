@@ -137,7 +137,7 @@ def forward_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "partial_compaction",
     f"""WITH {ITEMS}, cp AS (SELECT DISTINCT session_ref, conv_id, CASE WHEN conv_id % 2 = 0 THEN 'up_to' ELSE 'from' END AS mode, 3::BIGINT AS so FROM items WHERE conv_id % 4 <> 3 AND ordinal = 3),
-    ok AS (SELECT *, TIMESTAMP '2026-01-01' + to_hours(conv_id) + to_minutes(3) AS stamp FROM cp WHERE conv_id % 5 <> 0),
+    ok AS (SELECT *, CASE WHEN (conv_id * 5 + 3) % 29 <> 3 THEN TIMESTAMP '2026-01-01' + to_hours(conv_id) + to_minutes(3) + to_microseconds(3003) END AS stamp FROM cp WHERE conv_id % 5 <> 0),
     j AS (SELECT i.*, ok.mode, ok.stamp, ordinal IN (1, 2) AND mode IS NOT NULL AS kept FROM items i LEFT JOIN ok USING (session_ref))
     SELECT session_ref, CASE WHEN mode IS NULL THEN 2 WHEN ordinal = 3 THEN CASE WHEN mode = 'up_to' THEN 0 ELSE 1 END WHEN kept THEN CASE WHEN mode = 'up_to' THEN 1 ELSE 0 END ELSE 2 END::BIGINT AS section,
       CASE WHEN kept THEN ordinal - 1 ELSE ordinal END AS place, ordinal, CASE WHEN mode IS NOT NULL AND ordinal = 3 THEN 'user' ELSE role END AS role, text,

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convhist.functions.text import trim_space
-from convhist.operators.ordered import position, scan
 from convhist.session import materialize
 
 MAX_RECORD_BYTES = 64 * 1024 * 1024
@@ -17,20 +16,22 @@ def scan_jsonl(spark: SparkSession, paths: str | list[str], policy: str = "fail"
     """One row per record: file_path, record_no (1-based line order), line, issue (null, bad_json,
     too_large or blank).
 
-    Files are read in splits. Line order inside a split is the row id of its task, splits are
-    ordered by their offset, and positions are summed over the splits -- so one huge file is
-    numbered by all its splits in parallel. ``policy='fail'`` raises on the first bad line when the
+    Files are read in splits. A row's place in its split comes from the row id of its task; what is aggregated, stored
+    and summed up is one small row per split, so texts are neither copied nor shuffled unless there are too many splits
+    to broadcast under Spark's own size limit. ``policy='fail'`` raises on the first bad line when the
     rows are used, ``'note'`` keeps it with its issue. ``blank``: skip, note or fail.
     """
     if policy not in POLICIES or blank not in ("skip", "note", "fail"):
         raise ValueError("unsupported policy")
+    # Both reads of one listing have the same splits, so a row has the same id in both.
     raw = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"),
     )
-    # Row ids must not change between the two reads of the numbering, so they are frozen here.
-    lines = materialize(raw)
-    rows = scan(lines, ["file_path"], ["_block", "_id"], {"record_no": position()}, chunk="_block").drop("_block", "_id")
+    splits = materialize(raw.groupBy("file_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    earlier = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file_path", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    rows = raw.join(starts, ["file_path", "_block"]).select("file_path", (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias("record_no"), "line")
     parsed = F.try_parse_json(F.col("line"))
     issue = (
         F.when(trim_space(F.col("line")) == "", "blank").when(F.octet_length("line") > MAX_RECORD_BYTES, "too_large")

@@ -67,5 +67,5 @@ def test_lookup_join_splits_hot_keys(spark):
     big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(120)], "k string, i bigint")
     small = spark.createDataFrame([("hot", "H")] + [(f"k{i}", f"v{i}") for i in range(0, 60)], "k string, v string")
     for how in ("left", "inner"):
-        got = sorted(lookup_join(big, small, ["k"], how, ["i"], hot_rows=10).select("k", "i", "v").collect())
+        got = sorted(lookup_join(big, small, ["k"], how, ["i"]).select("k", "i", "v").collect())
         assert got == sorted(big.join(small, "k", how).select("k", "i", "v").collect())
