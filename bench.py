@@ -15,7 +15,7 @@ from convhist.session import local_session
 # The six operations of the reference harness in their Spark form, then the analytical core.
 HEADLINE = {
     "scan": "scan_jsonl",
-    "rescan": "rescan_unchanged",
+    "rescan": "rescan_changed",
     "list": "list_sessions",
     "search_miss": "search_miss",
     "search_hit": "search_page",

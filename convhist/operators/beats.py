@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from convhist.functions.ids import canonical_digest, framed_digest, multiset_digest
 from convhist.functions.paths import normalize_posix
-from convhist.functions.text import exceeds, strip_envelopes, token_estimate, utf8_bytes, utf8_prefix
+from convhist.functions.text import ENVELOPE_TAG, exceeds, strip_envelopes, token_estimate, utf8_bytes, utf8_prefix
 from convhist.operators.ordered import (
     following_row,
     last_value,
@@ -30,19 +30,20 @@ CARD_TEXT_BYTES = 8 * 1024
 PARSER_VERSION = "beats/1"
 
 
-def visible_text(text: Column, blocks: Column | None = None) -> Column:
+def visible_text(text: Column, blocks: Column | None = None, tag: str = ENVELOPE_TAG) -> Column:
     """Text blocks joined by a blank line (else the raw text), envelopes removed, trimmed."""
     if blocks is not None:
         joined = F.array_join(
             F.transform(F.filter(blocks, lambda b: b["kind"] == "text"), lambda b: b["text"]), "\n\n"
         )
         text = F.when(F.coalesce(F.size(blocks), F.lit(0)) > 0, joined).otherwise(text)
-    return strip_envelopes(text)
+    return strip_envelopes(text, tag)
 
 
-def with_visible(items: DataFrame) -> DataFrame:
+def with_visible(items: DataFrame, tag: str = ENVELOPE_TAG) -> DataFrame:
+    """Adds ``visible``; ``tag`` names the envelopes that the exporting tool embeds in texts."""
     blocks = F.col("blocks") if "blocks" in items.columns else None
-    return items.withColumn("visible", visible_text(F.col("text"), blocks))
+    return items.withColumn("visible", visible_text(F.col("text"), blocks, tag))
 
 
 def _is_gap() -> Column:
@@ -53,15 +54,15 @@ def _says(role: str) -> Column:
     return ~_is_gap() & (F.col("role") == role)
 
 
-def beats(items: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def beats(items: DataFrame, chunk_rows: int | None = None, tag: str = ENVELOPE_TAG, adjacent_bytes: int = ADJACENT_USER_BYTES) -> DataFrame:
     """One row per user message with visible text, with its neighbours and the end of its turn.
 
     The first scan looks at every item but carries two integers only; the second runs over the
-    boundary rows (user messages and gaps) and carries at most ``ADJACENT_USER_BYTES`` of text.
+    boundary rows (user messages and gaps) and carries at most ``adjacent_bytes`` of text.
     """
     # Only user texts travel; assistant texts, the bulk of a corpus, stay out of this shuffle.
     said = F.when(_says("user"), F.col("visible")).alias("visible")
-    rows = with_visible(items).select("session_ref", "ordinal", "kind", "role", "ts", said)
+    rows = with_visible(items, tag).select("session_ref", "ordinal", "kind", "role", "ts", said)
     assistant = F.when(_says("assistant"), F.col("ordinal"))
     rows = scan(
         rows, ["session_ref"], "ordinal",
@@ -70,8 +71,8 @@ def beats(items: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     spoken = _says("user") & (F.col("visible") != "")
     edge = F.struct(
         "ordinal", "ts", _is_gap().alias("gap"), F.col("_before").alias("assistant_before"),
-        F.when(spoken, utf8_prefix(F.col("visible"), ADJACENT_USER_BYTES)).alias("text"),
-        F.when(spoken, exceeds(F.col("visible"), ADJACENT_USER_BYTES)).alias("truncated"),
+        F.when(spoken, utf8_prefix(F.col("visible"), adjacent_bytes)).alias("text"),
+        F.when(spoken, exceeds(F.col("visible"), adjacent_bytes)).alias("truncated"),
     )
     edges = rows.filter(_is_gap() | _says("user"))
     edges = scan(
@@ -95,7 +96,10 @@ def beats(items: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     )
 
 
-def assistant_evidence(items: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def assistant_evidence(
+    items: DataFrame, chunk_rows: int | None = None, tag: str = ENVELOPE_TAG,
+    before_bytes: int = PRECEDING_ASSISTANT_BYTES, after_bytes: int = FOLLOWING_ASSISTANT_BYTES,
+) -> DataFrame:
     """Assistant messages before and after each beat, within their byte budgets.
 
     A message is cut at the first budget overrun; later messages of that side are left out. The
@@ -103,8 +107,8 @@ def assistant_evidence(items: DataFrame, chunk_rows: int | None = None) -> DataF
     """
     # No more than the larger budget of a message can be kept, so the shuffles carry that prefix and
     # the true size; user rows carry a flag instead of their text.
-    most = max(PRECEDING_ASSISTANT_BYTES, FOLLOWING_ASSISTANT_BYTES)
-    rows = with_visible(items).select(
+    most = max(before_bytes, after_bytes)
+    rows = with_visible(items, tag).select(
         "session_ref", "ordinal", "kind", "role", "ts", (F.col("visible") != "").alias("spoken"),
         F.when(_says("assistant"), utf8_prefix(F.col("visible"), most)).alias("head"),
         F.when(_says("assistant"), utf8_bytes(F.col("visible"))).alias("size"),
@@ -124,7 +128,7 @@ def assistant_evidence(items: DataFrame, chunk_rows: int | None = None) -> DataF
     rows = scan(
         rows, ["session_ref", "turn_start", "side"], "ordinal", {"_used": running_sum(F.col("size"), strict=True)}, chunk_rows
     )
-    budget = F.when(F.col("side") == "after", FOLLOWING_ASSISTANT_BYTES).otherwise(PRECEDING_ASSISTANT_BYTES)
+    budget = F.when(F.col("side") == "after", after_bytes).otherwise(before_bytes)
     left = budget - F.col("_used")
     return rows.filter(left > 0).select(
         "session_ref", "turn_start", "side", "ordinal", "ts",
@@ -195,7 +199,7 @@ def project_key(context: Column) -> Column:
     return F.concat(F.lit("project1_"), F.sha2(F.when(context == "", "").otherwise(normalize_posix(context)), 256))
 
 
-def logical_digest(items: DataFrame, tools: DataFrame | None = None, chunk_rows: int | None = None) -> DataFrame:
+def logical_digest(items: DataFrame, tools: DataFrame | None = None, chunk_rows: int | None = None, tag: str = ENVELOPE_TAG) -> DataFrame:
     """Order-sensitive digest of what a conversation says, equal for migrated copies.
 
     Positions come from a chunked scan and row digests are summed map-side, so one huge session
@@ -203,7 +207,7 @@ def logical_digest(items: DataFrame, tools: DataFrame | None = None, chunk_rows:
     """
     # Texts are hashed where they are read; only fixed-size digests are shuffled.
     content = F.when(_is_gap(), framed_digest(F.col("code"), F.col("label"))).otherwise(F.sha2("visible", 256))
-    rows = with_visible(items).select("session_ref", "ordinal", "kind", "role", "ts", content.alias("content"))
+    rows = with_visible(items, tag).select("session_ref", "ordinal", "kind", "role", "ts", content.alias("content"))
     rows = scan(rows, ["session_ref"], "ordinal", {"_pos": position()}, chunk_rows)
     extra = F.lit("")
     if tools is not None:

@@ -386,11 +386,16 @@ def reminder_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams --------------------------------------------------------------------------------------
 
 
+def _instant(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp"))  # watermarks need an instant: read as UTC
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return streams.read_records(spark, sf_dir, schema, "parquet", "events.parquet").withColumn(
-        "ts", F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")  # watermarks need an instant: read as UTC
-    )
+    return _instant(streams.read_records(spark, sf_dir, table(spark, sf_dir, "events").schema, "parquet", "events.parquet"))
+
+
+def _arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _instant(table(spark, sf_dir, "events"))
 
 
 def _utc(column: str):
@@ -419,10 +424,12 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_activity",
-    """SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS records FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""",
+    """SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS records FROM events GROUP BY 1, 2""",
 )
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _drain(spark, streams.activity_windows(_stream(spark, sf_dir), ["event_type"]), "activity")
+    windows = lambda rows: streams.activity_windows(rows, ["event_type"])
+    emitted = _drain(spark, windows(_stream(spark, sf_dir)), "activity")
+    rows = streams.with_open(emitted, _arrived(spark, sf_dir), windows, "window_end")
     return rows.select(_utc("window_start"), "event_type", "records")
 
 
@@ -430,10 +437,12 @@ def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stream_sessions",
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
     r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g), w AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS e, count(*) AS records FROM r GROUP BY user_id, run)
-    SELECT user_id, session_start, records FROM w WHERE e <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+    SELECT user_id, session_start, records FROM w""",
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _drain(spark, streams.activity_sessions(_stream(spark, sf_dir), ["user_id"]), "sessions")
+    windows = lambda rows: streams.activity_sessions(rows, ["user_id"])
+    emitted = _drain(spark, windows(_stream(spark, sf_dir)), "sessions")
+    rows = streams.with_open(emitted, _arrived(spark, sf_dir), windows, "session_end")
     return rows.select("user_id", _utc("session_start"), "records")
 
 

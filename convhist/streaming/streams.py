@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from convhist.operators.tools import pair_tools
+from convhist.session import materialize
 
 CALL_COLUMNS = ["session_ref", "ordinal", "phase", "call_id", "name", "namespace", "status", "input", "output", "error", "ts"]
 
@@ -46,6 +49,21 @@ def activity_sessions(stream: DataFrame, keys: list[str], time: str = "ts", gap:
     return counted.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, "records")
 
 
+def with_open(emitted: DataFrame, rows: DataFrame, windows: Callable[[DataFrame], DataFrame], end: str, time: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """What a finished stream has emitted, and the windows that its watermark had not passed yet.
+
+    ``rows`` are the records it has read, as a table; ``windows`` is the function that made the windows and ``end`` their
+    end column. A stream that goes on emits those windows itself later.
+    """
+    newest = rows.agg(F.max(time)).head()[0]  # one value
+    if newest is None:
+        return emitted
+    # Watermarks count whole milliseconds.
+    mark = F.date_trunc("millisecond", F.lit(newest)) - F.expr(f"INTERVAL {delay}")
+    # Stored first: a filter on the end must not reach the rows from which session windows are merged.
+    return emitted.unionByName(materialize(windows(rows)).filter(F.col(end) > mark))
+
+
 def pair_tools_stream(stream: DataFrame, root: str, checkpoint: str, timeout: str = "INTERVAL 1 DAY", available_now: bool = True) -> StreamingQuery:
     """Pair tool calls across micro-batches; results in ``root/paired``, expired calls in ``root/unanswered``.
 
