@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -68,8 +69,13 @@ def sha(value: bytes) -> str:
     return hashlib.sha256(value).hexdigest()
 
 
+@functools.cache
+def library(name: str) -> Tokenizer:
+    return Tokenizer.from_file(vocabulary(name))
+
+
 def ids_of(name: str, text: str) -> list[int]:
-    return Tokenizer.from_file(vocabulary(name)).encode(text, add_special_tokens=False).ids
+    return library(name).encode(text, add_special_tokens=False).ids
 
 
 # ---- 1
@@ -124,19 +130,17 @@ def test_encoders_agree_with_the_library_on_odd_texts():
     for kind, name in ((SpacedWords, BYTE), (BareWords, WORD)):
         got = [np.frombuffer(b, "<u4").tolist() for b in kind(vocabulary(name), "<u4").batch(ODD)]
         assert got == [ids_of(name, t) for t in ODD]
-    library = Tokenizer.from_file(vocabulary(WORD))
     for text, (ids, decoded, n) in zip(ODD, op2_bpe.Codec(vocabulary(WORD)).batch(ODD), strict=True):
         want = ids_of(WORD, text)
-        assert (ids, decoded, n) == (" ".join(map(str, want)), library.decode(want, skip_special_tokens=False), len(want))
+        assert (ids, decoded, n) == (" ".join(map(str, want)), library(WORD).decode(want, skip_special_tokens=False), len(want))
 
 
 def test_op2_is_the_librarys_round_trip(spark, sf_dir, texts):
-    library = Tokenizer.from_file(vocabulary(WORD))
     for r in op2_bpe.op2_bpe_roundtrip(spark, sf_dir).collect():
-        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        ids = library(WORD).encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == sha(" ".join(map(str, ids)).encode())
-        assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False).encode())
+        assert r.decoded_sha256 == sha(library(WORD).decode(ids, skip_special_tokens=False).encode())
 
 
 def test_op2_defined_cases(cases, none):
