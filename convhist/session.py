@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -19,7 +20,13 @@ ADAPTIVE_DEFAULTS = {
 
 
 def local_session(cores: int | str = 8, app: str = "convhist", memory: str = "12g") -> SparkSession:
-    """Single-JVM session for tests and the bench; a cluster brings its own."""
+    """Single-JVM session for tests and the bench; a cluster brings its own.
+
+    Python workers find the package wherever the session is started from.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)

@@ -36,7 +36,7 @@ from convhist.session import scratch_path  # noqa: E402
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 SCHEMA = "doc_id long, text string, key string, spans int, ids string, kept string, n_chars long"
-PASSAGE = "one two three four five six seven eight nine ten eleven twelve " * 9
+PASSAGE = "one two three four five six seven eight nine ten eleven twelve " * 12
 CASES = [
     (1, PASSAGE + "alpha", "k", 1, "i", "x", 1),
     (2, None, None, None, None, None, None),
@@ -245,7 +245,7 @@ def test_op4_defined_cases(cases, none):
     kept = {(r.doc_id, r.n_bytes): bytes(r.kept) for r in rows}
     assert kept[1, len(PASSAGE) + 5] == b"alpha" and kept[4, len(PASSAGE) + 5] == b"beta\n"
     assert kept[None, len(PASSAGE)] == b"" and kept[3, 0] == b""
-    first = {(r.doc_id, r.n_bytes): r.n_removed for r in op4_suffix.dedup_substrings(cases, 600, "first").collect()}
+    first = {(r.doc_id, r.n_bytes): r.n_removed for r in op4_suffix.dedup_substrings(cases, 700, "first").collect()}
     assert first[1, len(PASSAGE) + 5] == 0 and first[4, len(PASSAGE) + 5] == len(PASSAGE)
     assert op4_suffix.dedup_substrings(none, 100).collect() == []
     cut = op4_suffix.without_repeats(cases, 100)
@@ -272,8 +272,8 @@ def test_op6_removes_what_a_table_of_windows_removes(spark, sf_dir, texts, monke
 
 def test_op6_defined_cases(cases, none):
     kept = {(r.doc_id, r.n_words): (r.n_removed, bytes(r.kept)) for r in op6_phrases.dedup_phrases(cases, 50).collect()}
-    assert kept[1, 109] == (0, (PASSAGE + "alpha").encode()) and kept[4, 109] == (108, b"beta")
-    assert kept[None, 108] == (108, b"") and kept[3, 0] == (0, b"") and kept[8, 3002][0] == 0
+    assert kept[1, 145] == (0, (PASSAGE + "alpha").encode()) and kept[4, 145] == (144, b"beta")
+    assert kept[None, 144] == (144, b"") and kept[3, 0] == (0, b"") and kept[8, 3002][0] == 0
     assert op6_phrases.dedup_phrases(none, 50).collect() == []
 
 
