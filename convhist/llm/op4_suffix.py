@@ -1,7 +1,7 @@
 """Suffix-array dedup by longest-previous-factor arrays.
 
 Texts are bytes. Anchors (see `grams`) find where a string of `min_len` bytes may stand twice. The contexts of anchors
-that recur meet in shards; each shard sorts its suffixes by prefix doubling, up to `min_len` bytes, and reads from the
+that recur meet in shards; each shard sorts its suffixes by multiplying prefixes, up to `min_len` bytes, and reads from the
 suffix order whether a smaller (or larger) position precedes or follows within a run of common prefixes of that length:
 the longest previous (or next) factor reaches `min_len` exactly there. A later copy goes, the first stays (`keep="first"`),
 or all copies go (`keep="none"`).
@@ -29,8 +29,8 @@ from convhist.llm.common import encoded, keyed, merged, runs_of, text_slices
 from convhist.llm.recurring import ANCHOR, classes, marked_spans, recurring, wanted_places
 from convhist.session import materialize
 
-HOT_CLASSES = 1024
-SHARD_BYTES = 1 << 20
+HOT_CLASSES = 4096
+SHARD_BYTES = 1 << 16
 _LAST = (1 << 63) - 1
 CONTEXT = "h long, ctx long, kinds long, ord long, key long, pos int, back int, context binary"
 FLAGGED = "h long, ctx long, spans array<struct<a:int,b:int>>"
@@ -109,10 +109,13 @@ def context_batch(rows: list[tuple]) -> pa.RecordBatch:
 def suffix_ranks(flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, ranks) of the suffixes with at least `length` bytes in their context, by their first `length` bytes.
 
-    Prefix doubling: the rank by 2m bytes is the rank of the pair of ranks by m bytes. Equal ranks: equal prefixes.
+    Prefix multiplying: the rank by k * m bytes is the rank of the k ranks by m bytes, side by side in one number, as many
+    as fit up to four. Equal ranks: equal prefixes.
     """
     n = len(flat)
     room = ends - np.arange(n)
+    bits = n.bit_length()
+    fold = min(4, 63 // bits)
     width = min(8, length)
     values = np.zeros(n, dtype=np.uint64)
     padded = np.concatenate((flat, np.zeros(8, dtype=np.uint8)))
@@ -122,11 +125,13 @@ def suffix_ranks(flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     ranks = np.zeros(n, dtype=np.int64)
     ranks[at] = np.unique(values[at], return_inverse=True)[1]
     while width < length:
-        step = min(width, length - width)
-        at = np.flatnonzero(room >= width + step)
-        pair = ranks[at] * n + ranks[at + step]
-        ranks[at] = np.unique(pair, return_inverse=True)[1]
-        width += step
+        wider = min(width * fold, length)
+        at = np.flatnonzero(room >= wider)
+        key = np.zeros(len(at), dtype=np.int64)
+        for piece in range(-(-wider // width)):
+            key = key << bits | ranks[at + min(piece * width, wider - width)]
+        ranks[at] = np.unique(key, return_inverse=True)[1]
+        width = wider
     return at, ranks[at]
 
 

@@ -13,10 +13,11 @@ ANCHOR = "h long, ctx long, ord long, key long, pos int, back int, ahead int"
 def recurring(anchors: DataFrame, place: Column) -> DataFrame:
     """Anchors whose hash stands at more than one `place` (a long), as a table.
 
-    Least and largest places combine before the shuffle, and the join that keeps the rows can split a hot hash.
+    Least and largest places combine before the shuffle. They are stored, so that the join that keeps the rows reads plain
+    exchanges and Spark can split a hot hash; so do the other joins here.
     """
     stored = materialize(anchors)
-    spread = stored.groupBy("h").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).filter("_a <> _b").select("h")
+    spread = materialize(stored.groupBy("h").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).filter("_a <> _b").select("h"))
     return materialize(stored.join(spread.hint("merge"), "h", "left_semi"))
 
 
@@ -29,7 +30,7 @@ def classes(found: DataFrame, place: Column) -> DataFrame:
         F.max("ahead").alias("ahead"),
     )
     each = materialize(each)
-    kinds = each.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")))
     return materialize(each.join(kinds.hint("merge"), "h"))
 
 
@@ -51,7 +52,7 @@ def marked_spans(found: DataFrame, kinds: DataFrame, flags: DataFrame, copied: C
     """
     low, high = F.greatest(-F.col("back"), F.lit(1 - starts)), F.least(F.col("ahead") - length, F.lit(0))
     whole = F.array(F.struct(low.cast("int").alias("a"), (high + 1).cast("int").alias("b")))
-    marks = kinds.join(flags.hint("merge"), ["h", "ctx"], "left").select("h", "ctx", "several", "first", "spans").filter("several or spans is not null")
+    marks = materialize(kinds.join(flags.hint("merge"), ["h", "ctx"], "left").select("h", "ctx", "several", "first", "spans").filter("several or spans is not null"))
     hit = found.join(marks.hint("merge"), ["h", "ctx"]).select("key", "pos", F.when(copied, whole).otherwise(F.col("spans")).alias("spans")).filter("spans is not null")
     cover = lambda m: F.transform(m["spans"], lambda s: F.struct((m["pos"] + s["a"]).alias("a"), (m["pos"] + s["b"] - 1 + length).alias("b")))
     return hit.groupBy("key").agg(F.collect_set(F.struct("pos", "spans")).alias("marks")).select("key", F.flatten(F.transform("marks", cover)).alias("spans"))
