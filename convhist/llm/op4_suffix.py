@@ -29,7 +29,7 @@ from convhist.llm.common import encoded, keyed, merged, runs_of, text_slices
 from convhist.llm.recurring import ANCHOR, classes, marked_spans, recurring, wanted_places
 from convhist.session import materialize
 
-HOT_CLASSES = 4096
+HOT_CLASSES = 1024
 SHARD_BYTES = 1 << 16
 _LAST = (1 << 63) - 1
 CONTEXT = "h long, ctx long, kinds long, ord long, key long, pos int, back int, context binary"
@@ -231,11 +231,13 @@ def _window_rows(windows: grams.Windows):
 
 
 def hot_flags(hot: DataFrame, windows: grams.Windows, keep: str) -> DataFrame:
-    rows = materialize(hot.mapInArrow(_window_rows(windows), "w1 long, w2 long, h long, ctx long, ord long, key long, place int, rel int"))
-    ends = rows.groupBy("w1", "w2").agg(F.min(F.struct("ord", "key", "place")).alias("_min"), F.max(F.struct("ord", "key", "place")).alias("_max")).filter("_min <> _max")
+    rows = hot.mapInArrow(_window_rows(windows), "w1 long, w2 long, h long, ctx long, ord long, key long, place int, rel int")
+    where = F.struct("ord", "key", "place") if keep == "first" else F.xxhash64("key", "place")
+    rows = materialize(rows.select("w1", "w2", "h", "ctx", "rel", where.alias("at")))
+    ends = materialize(rows.groupBy("w1", "w2").agg(F.min("at").alias("_min"), F.max("at").alias("_max")).filter("_min <> _max").select("w1", "w2", "_min"))
     hit = rows.join(ends.hint("merge"), ["w1", "w2"])
     if keep == "first":
-        hit = hit.filter(F.struct("ord", "key", "place") != F.col("_min"))
+        hit = hit.filter(F.col("at") != F.col("_min"))
     return hit.groupBy("h", "ctx").agg(F.collect_set(F.struct(F.col("rel").alias("a"), (F.col("rel") + 1).alias("b"))).alias("spans"))
 
 
