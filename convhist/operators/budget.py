@@ -100,7 +100,7 @@ def plan_budget(
     placed = ranked(slim, ["_all"], [*order, "card_ref"], "_rank").select("_all", (F.col("_rank") - 1).alias("place"), "card_ref", "tokens")
     placed = materialize(placed.filter(F.col("place") <= total_tokens // MIN_CARD_TOKENS))
     fitting = placed.withColumn("_fit", F.least("tokens", F.lit(limit)))
-    packed = pack_batches(fitting, ["_all"], "place", "_fit", request_tokens).select("_all", "place", "card_ref", "tokens", F.col("batch_no").alias("request_no"))
+    packed = pack_batches(fitting, ["_all"], "place", "_fit", limit + REQUEST_OVERHEAD_TOKENS).select("_all", "place", "card_ref", "tokens", F.col("batch_no").alias("request_no"))
     spent = materialize(scan(packed, ["_all"], "place", {"_sum": running_sum(F.col("tokens"))}))
     total = F.col("_sum") + REQUEST_OVERHEAD_TOKENS * F.col("request_no")
     state = spent.agg(F.min(F.when(total > total_tokens, F.col("place"))).alias("stop"), F.min(F.when(F.col("tokens") > limit, F.struct("place", "card_ref"))).alias("big")).head()
