@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from convhist.llm import op1_adaptive, op2_bpe, op4_suffix, op5_packing, op6_phrases, op7_arrow_tokens, op8_urls, op9_lines, op10_simhash
+from convhist.llm import op1_adaptive, op2_bpe, op3_quotes, op4_suffix, op5_packing, op6_phrases, op7_arrow_tokens, op8_urls, op9_lines, op10_simhash
 
 QUERIES = {
     "op1_adaptive_search": op1_adaptive.op1_adaptive_search,
     "op2_bpe_roundtrip": op2_bpe.op2_bpe_roundtrip,
+    "op3_quotation_links": op3_quotes.op3_quotation_links,
     "op4_suffix_dedup": op4_suffix.op4_suffix_dedup,
     "op5_harmonic_packing": op5_packing.op5_harmonic_packing,
     "op6_phrase_dedup": op6_phrases.op6_phrase_dedup,
