@@ -5,8 +5,9 @@ VIEWS fingerprints, each the SimHash of three of its shingles, those with the le
 of similarity s agree in one with probability s^3 (some view: over 0.99 at 0.8). They go through the same grid at radius
 0. Candidates are checked by the exact Jaccard similarity of their shingle sets; groups are the components of what passes.
 
-Skew: texts with equal words are one node. In a class of more than SMALL_CLASS nodes no pairs are made: in each of ROUNDS
-rounds one leader per class, at first by hash, then the member with most links, is compared with all that have none yet.
+Skew: texts with equal words are one node. A class of more than SMALL_CLASS nodes makes no rows of pairs: its nodes are dealt
+by a hash into blocks of about BLOCK, every two blocks meet in one group, and a group compares all its pairs at once. So
+every pair of every class is compared; a task holds two blocks at most, and a text travels once per block of its class.
 
 Defined cases: null text is empty, and texts without words are copies of each other; rows equal in id and text are one
 document of which one row stays; of equal ids the smaller key goes first, null ids last; all columns are returned.
@@ -30,7 +31,7 @@ from convhist.operators.graphs import components
 
 VIEWS = 8
 SMALL_CLASS = 16
-ROUNDS = 3
+BLOCK = 256
 _LAST = (1 << 63) - 1
 
 
@@ -99,6 +100,55 @@ def verified(pairs: DataFrame, packed: DataFrame, shingle: int, similarity: floa
     return materialize(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(_similar(shingle, similarity), "a long, b long"))
 
 
+def _block_links(shingle: int, similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        keys, own = table.column("key").to_pylist(), table.column("own").to_numpy()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        sets = [np.unique(shingle_hashes(t.lower().split(), shingle)) for t in unpacked(table.column("packed"))]
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        root = list(range(len(keys)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        order = np.argsort(own, kind="stable")  # texts of the lower block first
+        codes = np.concatenate([codes[ends[i] - sizes[i] : ends[i]] for i in order.tolist()])
+        sizes, keys = sizes[order], [keys[i] for i in order.tolist()]
+        ends = np.cumsum(sizes)
+        held = int((own == low).sum())
+        links = []  # a spanning forest of what is similar joins as much as all of it
+        for i in range(held):
+            first = i + 1 if low == high else held
+            if first == len(keys):
+                break
+            marks = np.zeros(len(distinct), dtype=bool)
+            marks[codes[ends[i] - sizes[i] : ends[i]]] = True
+            start = ends[first] - sizes[first]
+            shared = np.concatenate(([0], np.cumsum(marks[codes[start:]])))
+            both = shared[ends[first:] - start] - shared[ends[first:] - sizes[first:] - start]
+            for j in (first + np.flatnonzero(both >= similarity * (sizes[i] + sizes[first:] - both))).tolist():
+                x, y = find(i), find(j)
+                if x != y:
+                    root[x] = y
+                    links.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+        left, right = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
+def block_links(large: DataFrame, packed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) whose closure joins all similar texts of each class. large: (class, key, members)."""
+    texts = materialize(packed.join(large.select("key").distinct().hint("merge"), "key").select("key", "packed").dropDuplicates(["key"]))
+    dealt = large.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int"))
+    met = dealt.select("class", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("class", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key")
+    return materialize(met.join(texts.hint("merge"), "key").groupBy("class", "low", "high").applyInArrow(_block_links(shingle, similarity), "a long, b long").distinct())
+
+
 def similar_links(nodes: DataFrame, packed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Verified links (a, b) between nodes (ord, key, fp, n, views)."""
     sized = (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
@@ -113,24 +163,9 @@ def similar_links(nodes: DataFrame, packed: DataFrame, shingle: int, similarity:
     shared = materialize(placed.join(sizes.hint("merge"), cell).withColumn("class", F.xxhash64(*cell)).select("class", "ord", "key", "n", "members"))
     small = shared.filter(F.col("members") <= SMALL_CLASS)
     pairs = small.select("class", F.col("key").alias("a"), "n").join(small.select("class", F.col("key").alias("b"), F.col("n").alias("m")).hint("merge"), "class").filter("a < b").select("a", "b", "n", "m")
-    large = shared.filter(F.col("members") > SMALL_CLASS)
-    links = None
-    for step in range(ROUNDS):
-        if links is None:
-            first = large.groupBy("class").agg(F.min_by(F.struct("key", "n"), F.xxhash64("class", "key")).alias("lead"))
-            open_rows, pairs = large, pairs.union(by_print)
-        else:
-            degree = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
-            ranked = large.join(degree.hint("merge"), "key", "left").select("class", "key", "n", F.coalesce("degree", F.lit(0)).alias("degree"))
-            open_rows = materialize(ranked.filter("degree = 0"))
-            if open_rows.isEmpty():
-                break
-            first = ranked.groupBy("class").agg(F.max_by(F.struct("key", "n"), F.struct(F.col("degree"), F.xxhash64("class", "key", F.lit(step)))).alias("lead"))
-            pairs = None
-        stars = open_rows.join(materialize(first).hint("merge"), "class").select(F.col("key").alias("a"), F.col("lead.key").alias("b"), "n", F.col("lead.n").alias("m"))
-        found = verified((stars if pairs is None else pairs.union(stars)).filter(sized).select("a", "b"), packed, shingle, similarity)
-        links = found if links is None else links.union(found)
-    return links
+    large = shared.filter(F.col("members") > SMALL_CLASS).select("class", "key", "members")
+    found = verified(pairs.union(by_print).filter(sized).select("a", "b"), packed, shingle, similarity)
+    return found.union(block_links(large, packed, shingle, similarity))
 
 
 def dropped_keys(base: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:

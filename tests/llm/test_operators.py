@@ -447,3 +447,41 @@ def test_near_copies_in_large_classes(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in near_text.drop_near_copies(df).collect()} == slow_near(texts)
     assert math.isclose(near_text.jaccard(b"a b c d e f", b"a b c d e g", 5), 1 / 3)
+
+
+def noisy(rng: random.Random, base: list[str], most: float) -> str:
+    """The words of `base` of which a random share up to `most` is replaced by words of this copy alone."""
+    copy = list(base)
+    for at in rng.sample(range(len(base)), rng.randrange(int(most * len(base)) + 1)):
+        copy[at] = f"x{rng.getrandbits(40)}"
+    return " ".join(copy)
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_near_copies_in_large_classes_are_settled(spark, monkeypatch, block):
+    monkeypatch.setattr(near_text, "BLOCK", block, raising=False)
+    rng = random.Random(11)
+    bases = [rng.choices([f"w{i}" for i in range(900)], k=300) for _ in range(2)]
+    texts = {i: noisy(rng, bases[i % 2], 0.06) for i in range(240)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in near_text.drop_near_copies(df).collect()} == slow_near(texts)
+
+
+def test_near_copies_pairs_aside_of_the_leaders(spark):
+    rng = random.Random(12)
+    common = rng.choices([f"w{i}" for i in range(900)], k=150)
+    texts = {}
+    for i in range(60):  # pairs that are alike, in one class, with no likeness of 0.8 to other pairs
+        own = [*common, *(f"p{i}q{k}" for k in range(60))]
+        texts[2 * i], texts[2 * i + 1] = " ".join(own), " ".join([*own, "end"])
+    hashes = {d: near_text.shingle_hashes(t.encode().split(), 5) for d, t in texts.items()}
+    views = defaultdict(set)
+    for d, h in hashes.items():
+        for v, x in enumerate(near_text.view_prints(h)):
+            views[v, x].add(d)
+    assert max(map(len, views.values())) > near_text.SMALL_CLASS
+    keys = spark.createDataFrame([(1, d, 120) for d in texts], "class long, key long, members long")
+    packed = near_text.packed_texts(spark.createDataFrame([(d, d, t) for d, t in texts.items()], "key long, doc_id long, text string"))
+    assert {(r.a, r.b) for r in near_text.block_links(keys, packed, 5, 0.8).collect()} == {(2 * i, 2 * i + 1) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in near_text.drop_near_copies(df).collect()} == slow_near(texts)
