@@ -302,8 +302,51 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["_cut_key", "_cut_text"])
 
 
-def without_repeats(docs: DataFrame, min_len: int = 400, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """All columns of the documents, texts without later copies of strings of `min_len` bytes.
+def _short_passages(words: int, min_len: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["w1", "w2", "ord", "key", "size", "places"])
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for ord_, key, text in zip(batch.column("doc_id").fill_null(_LAST).to_pylist(), batch.column("key").to_pylist(), encoded(batch.column("text")), strict=True):
+                flat = np.frombuffer(text, dtype=np.uint8)
+                bounds = runs_of((flat != 32) & ((flat < 9) | (flat > 13)))
+                if len(bounds) < words:
+                    continue
+                first, last = bounds[: len(bounds) - words + 1, 0], bounds[words - 1 :, 1]
+                short = np.flatnonzero(last - first < min_len)
+                places: dict[bytes, tuple[int, list[int]]] = {}
+                for a, b in zip(first[short].tolist(), last[short].tolist(), strict=True):
+                    places.setdefault(xxhash.xxh3_128_digest(text[a:b]), (b - a, []))[1].append(a)
+                rows += [(*np.frombuffer(h, dtype="<i8").tolist(), ord_, key, *found) for h, found in places.items()]
+                if len(rows) > 10_000:
+                    yield block(rows)
+                    rows = []
+            yield block(rows)
+
+    return run
+
+
+def short_repeats(docs: DataFrame, words: int, min_len: int) -> DataFrame:
+    """(key, spans): later copies of passages of `words` words that are shorter than `min_len` bytes. docs: see `keyed`.
+
+    Such passages are few, so each is hashed with 128 bits; a document has one row per different passage, the first copy
+    is a minimum that combines before the shuffle.
+    """
+    found = materialize(docs.mapInArrow(_short_passages(words, min_len), "w1 long, w2 long, ord long, key long, size int, places array<int>"))
+    owner = F.struct("ord", "key")
+    seen = found.groupBy("w1", "w2").agg(F.min(owner).alias("first"), F.max(owner).alias("last"), F.max(F.size("places")).alias("times"))
+    several = materialize(seen.filter("first <> last or times > 1").select("w1", "w2", F.col("first.key").alias("_key")))
+    later = found.join(several.hint("merge"), ["w1", "w2"]).select("key", "size", F.when(F.col("key") == F.col("_key"), F.expr("slice(places, 2, size(places))")).otherwise(F.col("places")).alias("places"))
+    spans = later.filter(F.size("places") > 0).select("key", F.transform("places", lambda p: F.struct(p.alias("a"), (p + F.col("size")).alias("b"))).alias("spans"))
+    return spans.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def without_repeats(docs: DataFrame, min_len: int = 400, text_col: str = "text", id_col: str = "doc_id", min_words: int | None = None) -> DataFrame:
+    """All columns of the documents, texts without later copies of strings of `min_len` bytes, or of `min_words` words.
 
     Characters that a removed run cuts in half go as a whole. Documents of which only white space is left go if something
     was removed from them; all others stay.
@@ -311,6 +354,9 @@ def without_repeats(docs: DataFrame, min_len: int = 400, text_col: str = "text",
     base = keyed(docs, text_col, id_col)
     packed = packed_texts(base)
     spans = repeated_spans(base, packed, min_len, "first")
+    if min_words:  # longer ones hold a string of min_len bytes that repeats
+        both = spans.union(short_repeats(base, min_words, min_len))
+        spans = both.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cut = packed.join(spans.hint("merge"), "key").dropDuplicates(["key"]).mapInArrow(_cut_rows, "_cut_key long, _cut_text string")
     doc_id, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     marked = docs.withColumn("_cut_key", F.xxhash64(doc_id, doc_id.isNull(), text)).join(cut.hint("merge"), "_cut_key", "left")

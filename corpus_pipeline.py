@@ -14,8 +14,10 @@ from convhist.llm import near_text, op4_suffix, op5_packing, op9_lines
 from convhist.llm.encoders import vocabulary
 from convhist.session import scratch_path
 
-#: Strings of this many bytes that repeat lose their later copies; 50 words of five letters and a space are shorter.
+#: Strings of this many bytes that repeat lose their later copies. 51 words of four letters and a space have 254 bytes and
+#: 51 of one letter have 101, so passages of REPEAT_WORDS words that are shorter lose theirs too.
 REPEAT_BYTES = 256
+REPEAT_WORDS = 51
 
 
 def _with_length(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -35,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of strings of REPEAT_BYTES bytes; documents without any text left go."""
-    return _with_length(op4_suffix.without_repeats(docs, REPEAT_BYTES), docs)
+    """Documents without later copies of strings of REPEAT_BYTES bytes or REPEAT_WORDS words; documents without any text left go."""
+    return _with_length(op4_suffix.without_repeats(docs, REPEAT_BYTES, min_words=REPEAT_WORDS), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -485,3 +485,18 @@ def test_near_copies_pairs_aside_of_the_leaders(spark):
     assert {(r.a, r.b) for r in near_text.block_links(keys, packed, 5, 0.8).collect()} == {(2 * i, 2 * i + 1) for i in range(60)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in near_text.drop_near_copies(df).collect()} == slow_near(texts)
+
+
+def test_pipeline_repeats_of_short_words(spark):
+    rng = random.Random(13)
+    for size in (1, 2, 3):  # 101, 152 and 203 bytes
+        passage = " ".join("".join(rng.choices("abcdefghijklmnop", k=size)) for _ in range(51))
+        shorter = " ".join(passage.split()[:50])
+        texts = {i: f"Opening here{i}. {passage} Closing{i} there." for i in range(1, 5)}
+        texts[5], texts[6] = f"{shorter} five", f"six {shorter} six"
+        texts[7] = f"seven {passage} {passage} seven"
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        left = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, df, "").collect()}
+        want = {1: texts[1], 5: texts[5], 6: texts[6]} | {i: texts[i].replace(passage, "") for i in (2, 3, 4)}
+        assert {d: left[d] for d in want} == want
+        assert passage not in left[7] and left[7].startswith("seven ") and left[7].endswith(" seven")
