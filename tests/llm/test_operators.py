@@ -23,6 +23,7 @@ from convhist.llm import (  # noqa: E402
     near_text,
     op1_adaptive,
     op2_bpe,
+    op3_quotes,
     op4_suffix,
     op5_packing,
     op6_phrases,
@@ -500,3 +501,87 @@ def test_pipeline_repeats_of_short_words(spark):
         want = {1: texts[1], 5: texts[5], 6: texts[6]} | {i: texts[i].replace(passage, "") for i in (2, 3, 4)}
         assert {d: left[d] for d in want} == want
         assert passage not in left[7] and left[7].startswith("seven ") and left[7].endswith(" seven")
+
+
+# ---- 3
+
+def slow_links(turns: list[tuple[str, int, str]]) -> dict[tuple[str, int], int]:
+    """The reply of each turn, by looking for every quoted run of words in every earlier turn."""
+    def runs(text):
+        out = []
+        for line in text.split("\n"):
+            body = line.lstrip("> \t")
+            level, words = line[: len(line) - len(body)].count(">"), body.lower().split()
+            if words and out and out[-1][0] == level:
+                out[-1][1].append(words)
+            elif words:
+                out.append((level, [words]))
+        return out
+
+    replies = {}
+    for conv, turn, text in turns:
+        votes = defaultdict(Counter)
+        pieces = set()
+        for level, lines in runs(text):
+            words = sum(lines, [])
+            n = min(5, len(words))
+            if level:
+                pieces |= {(level, tuple(words[i : i + n])) for i in range(len(words) - n + 1)} | {(level, tuple(x)) for x in lines if len(x) < n}
+        for level, piece in pieces:
+            for other in sorted((t, x) for c, t, x in turns if c == conv and t < turn):
+                if any(f" {' '.join(piece)} " in f" {' '.join(sum(lines, []))} " for at, lines in runs(other[1]) if not at):
+                    votes[level][other[0]] += len(piece)
+                    break
+        if votes:
+            replies[conv, turn] = max(votes[min(votes)].items(), key=lambda x: (x[1], x[0]))[0]
+    return replies
+
+
+def quoting_turns() -> list[tuple[str, int, str]]:
+    rng = random.Random(17)
+    turns = [("n", 1, "A1\nA2\nA3"), ("n", 2, "> A1\n> A2\n> A3\nB"), ("n", 3, ">> A1\n>> A2\n>> A3\n> B\nC"), ("n", 4, "> A1\n> A3\nD")]
+    said = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    turns += [("w", 1, "some words before it\n" + said), ("w", 2, "other things"), ("w", 3, "> fox jumps over\n> the lazy dog\n> and runs\nyes"), ("w", 4, "> brown FOX\nno"), ("w", 5, "> never said by anyone at all\nno")]
+    texts: list[str] = []
+    for i in range(60):  # a long conversation, its first turn quoted very often
+        own = " ".join(rng.choices([f"v{k}" for k in range(400)], k=30))
+        if i:
+            source = texts[0 if i % 3 else rng.randrange(i)].split("\n")
+            words, width = [f"> {x}" if not x.startswith(">") else f">{x}" for x in source], 7
+            if i % 2:  # wrapped anew
+                plain = " ".join(x for x in source if not x.startswith(">")).split()[3:]
+                words = ["> " + " ".join(plain[k : k + width]) for k in range(0, len(plain), width)]
+            own = "\n".join([*words, own])
+        texts.append(own)
+    return turns + [("h", i, t) for i, t in enumerate(texts)]
+
+
+def test_op3_links_and_order(spark):
+    turns = quoting_turns()
+    df = spark.createDataFrame([(*t[:2], "user", t[2]) for t in turns], "conv_id string, turn long, role string, text string")
+    linked = op3_quotes.link_quotations(df)
+    got = {(r.conv_id, r.turn): r.reply_to for r in linked.collect()}
+    want = slow_links(turns)
+    assert got == {t[:2]: want.get(t[:2]) for t in turns}
+    assert [got["n", i] for i in (1, 2, 3, 4)] == [None, 1, 2, 1] and [got["w", i] for i in (3, 4, 5)] == [1, 1, None]
+    levels = {(r.conv_id, r.turn, r.level): r.origin for r in op3_quotes.quoted_links(df).collect()}
+    assert (levels["n", 3, 1], levels["n", 3, 2]) == (2, 1)
+    below = defaultdict(list)
+    for (conv, turn), up in sorted(got.items()):
+        below[conv, up].append(turn)
+
+    def walk(conv, up):
+        for turn in below[conv, up]:
+            yield turn
+            yield from walk(conv, turn)
+
+    placed = {(r.conv_id, r.turn): r.position for r in op3_quotes.reading_order(linked).collect()}
+    assert placed == {(c, t): i for c in "nwh" for i, t in enumerate(walk(c, None))}
+
+
+def test_op3_defined_cases(spark):
+    rows = [("a", 1, "u", "Hello there"), ("a", 2, "u", "> hello   THERE\nyes"), ("a", 2, "u", "> hello   THERE\nyes"), (None, 3, "u", "> Hello there"), ("a", None, "u", "> Hello there"), ("a", 4, None, None), ("a", 5, "u", ">\n> \n")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = sorted((str(r.conv_id), str(r.turn), r.reply_to, r.n_quoted, r.max_level, r.text) for r in op3_quotes.link_quotations(df).collect())
+    assert got == sorted([("a", "1", None, 0, 0, "Hello there"), ("a", "2", 1, 1, 1, "yes"), ("a", "2", 1, 1, 1, "yes"), ("None", "3", None, 1, 1, ""), ("a", "None", None, 1, 1, ""), ("a", "4", None, 0, 0, ""), ("a", "5", None, 2, 1, "")])
+    assert op3_quotes.link_quotations(df.limit(0)).collect() == []
