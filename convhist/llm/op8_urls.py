@@ -1,8 +1,8 @@
 """URL filter: host and path rules first, then gradient-boosted trees on lexical features.
 
 Features: length, depth, digit ratio, character entropy, number of parameters, parts and length of the host, and the
-smoothed share of blocked labelled URLs of its last one and two host parts. The trees are fitted on at most TRAIN_ROWS
-labelled URLs (those with the least hash); everything else covers all rows. Without labels of both kinds the verdict of
+smoothed share of blocked URLs among all labelled ones with its last one and two host parts. The trees are fitted on at most
+TRAIN_ROWS labelled URLs (those with the least hash); everything else covers all rows. Without labels of both kinds the verdict of
 the method is the one kind there is, or allow.
 
 Defined cases: a null url, or one without ://, has empty host and path, no rule and the features of an empty text; ids and
@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convhist.llm.common import materialize
+
 TRAIN_ROWS = 20_000
 SMOOTHING = 20.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,24 +73,25 @@ class UrlModel:
     """Trees and suffix statistics fitted on labelled URLs (url, label with 1 to block)."""
 
     def __init__(self, labelled: DataFrame, max_rows: int = TRAIN_ROWS, trees: int = 10, depth: int = 4, seed: int = 5):
-        sample = labelled.filter("url is not null and label is not null").select(F.col("url"), F.col("label").cast("double").alias("label"))
-        sample = sample.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
-        rows = _parts(sample, "url", "label").withColumnRenamed("page_id", "label")
-        rows = rows.persist()
-        said = rows.agg(F.avg("label").alias("share"), F.min("label").alias("low"), F.max("label").alias("high")).head()
+        known = labelled.filter("url is not null and label is not null").select(F.col("url"), F.col("label").cast("double").alias("label"))
+        totals = (F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        counts = materialize(_parts(known, "url", "label").withColumnRenamed("page_id", "label").groupBy("suffix", "site").agg(*totals))
+        said = counts.agg((F.sum("bad") / F.sum("n")).alias("share"), F.min("low").alias("low"), F.max("high").alias("high")).head()
         self.prior = said["share"] or 0.0
         self.constant = None if said["low"] != said["high"] else (said["low"] or 0.0) > 0.5
         self.shares: dict[str, DataFrame] = {}
         if self.constant is None:
             for name, column in (("suffix_share", "suffix"), ("site_share", "site")):
-                self.shares[name] = rows.groupBy(column).agg(((F.sum("label") + SMOOTHING * self.prior) / (F.count(F.lit(1)) + SMOOTHING)).alias(name))
+                self.shares[name] = materialize(counts.groupBy(column).agg(((F.sum("bad") + SMOOTHING * self.prior) / (F.sum("n") + SMOOTHING)).alias(name)))
+            sample = known.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
+            rows = _parts(sample, "url", "label").withColumnRenamed("page_id", "label").persist()
             trained = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(self.with_shares(rows))
             self.trees = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(trained)
-        rows.unpersist()
+            rows.unpersist()
 
     def with_shares(self, rows: DataFrame) -> DataFrame:
         for name, column in (("suffix_share", "suffix"), ("site_share", "site")):
-            rows = rows.join(self.shares[name], column, "left").withColumn(name, F.coalesce(name, F.lit(self.prior)))
+            rows = rows.join(self.shares[name].hint("merge"), column, "left").withColumn(name, F.coalesce(name, F.lit(self.prior)))
         return rows
 
     def blocks(self, rows: DataFrame) -> DataFrame:

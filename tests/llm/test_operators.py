@@ -309,6 +309,23 @@ def test_op8_trees_learn_lexical_features(spark):
     assert sum((said[i] == "block") == (y == 1.0) for i, (_, y) in enumerate(made[600:])) >= 0.95 * 300
 
 
+def test_op8_shares_cover_all_labels(spark):
+    made = [(f"http://h{i % 40}.site{i % 80}.t{i % 40}/p{i}", float(i % 40 < 10 or i % 7 == 0)) for i in range(800)]
+    model = op8_urls.UrlModel(spark.createDataFrame(made, "url string, label double"), max_rows=30)
+    prior = sum(y for _, y in made) / len(made)
+    bad, n = defaultdict(float), Counter()
+    for url, y in made:
+        host = url.split("/")[2].split(".")
+        for part in (host[-1], ".".join(host[-2:])):
+            bad[part] += y
+            n[part] += 1
+    assert math.isclose(model.prior, prior)
+    for name, column in (("suffix_share", "suffix"), ("site_share", "site")):
+        got = {r[column]: r[name] for r in model.shares[name].collect()}
+        assert got.keys() == {p for p in n if ("." in p) == (column == "site")}
+        assert all(math.isclose(v, (bad[p] + 20 * prior) / (n[p] + 20)) for p, v in got.items())
+
+
 def test_op8_judges_every_page(spark, sf_dir):
     rows = op8_urls.op8_url_verdicts(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
