@@ -13,8 +13,8 @@ QUERY_CHUNK, so copies of one vector never meet in one task.
 Bounds: centroids come from at most TRAIN_ROWS vectors (those with the least id hash), there are at most MAX_LISTS lists,
 and the driver holds one row per list. Every vector is indexed.
 
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do vectors
-whose length isn't the most frequent one; a repeated (id, vector) counts once; rows with the query's id are no
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors
+of different lengths are searched apart, the driver holds one row per length; a repeated (id, vector) counts once; rows with the query's id are no
 candidates; ties go to the smaller id; rows with a null id take no part; other columns are ignored.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,15 +176,20 @@ def search(table: DataFrame, is_query: Column, k: int = 20, probe_share: float =
 
     probe_share trades recall for work; 0.75 suits vectors with little structure, as real ones need far less.
     """
-    spark = table.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = valid_vectors(table, id_col, vector_col)
     norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
-    shapes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("square")).orderBy(F.desc("n"), F.desc("dim")).head(1)
-    if not shapes:
-        return empty
-    dim, n, square = shapes[0]["dim"], shapes[0]["n"], shapes[0]["square"]
-    rows = rows.filter(F.size("vec") == dim)
+    shapes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("square")).orderBy("dim").collect()  # one row per length
+    out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_search_length(rows.filter(F.size("vec") == s["dim"]), is_query, s["dim"], s["n"], s["square"], k, probe_share, eps, seed) for s in shapes]
+    if len(found) < 2:
+        return found[0] if found else out
+    best = reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_length(rows: DataFrame, is_query: Column, dim: int, n: int, square: float, k: int, probe_share: float, eps: float, seed: int) -> DataFrame:
+    """The nearest of each query among the n vectors of one length."""
     sample = rows.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("vec").toArrow()
     lists = max(1, min(MAX_LISTS, round(math.sqrt(n) / 2)))
     centers = centroids(turned(_matrix(sample.column("vec"), dim), square, seed), lists)

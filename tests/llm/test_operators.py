@@ -122,6 +122,12 @@ def test_op1_defined_cases(spark):
     assert op1_adaptive.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_op1_mixed_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0]), (20, [1.0, 2.0, 3.0]), (5, [1.0, 1.0, 1.0]), (40, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in op1_adaptive.search(df, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 1, 1.0), (0, 2, 2, 0.0), (20, 1, 5, 6.0)]
+
+
 # ---- 2, 5, 7
 
 ODD = ["", " two  spaces\n\nx ", "<|endoftext|> a<|startoftext|>b it's İSTANBUL ΣΑΣ ﬁ é ́x", "tab\tand\x1cfs\x85nel nbsp 　wide", "12345 ½ ١٢ !!! ''s 'll", "日本語 🎉🎉 👩‍👩‍👧", "a\r\nb\n", " x<|endoftext|>y <|endoftext|>", "ab" * 3000, "a <|endoftext|>  b"]
