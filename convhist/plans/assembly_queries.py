@@ -358,7 +358,7 @@ numbered AS (SELECT *, sum(CASE WHEN role IS DISTINCT FROM pr THEN 1 ELSE 0 END)
 @query(
     "coalesce_runs",
     f"""WITH {_MESSAGES} SELECT session_ref, run, min(role) AS role, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text, min(ordinal) AS "first", max(ordinal) AS "last",
-    max_by(ts, ordinal) AS ts, coalesce(max_by(model, CASE WHEN model <> '' THEN ordinal END), '') AS model, count(*) - 1 AS merged FROM numbered GROUP BY session_ref, run""",
+    last(ts ORDER BY ordinal) AS ts, coalesce(max_by(model, CASE WHEN model <> '' THEN ordinal END), '') AS model, count(*) - 1 AS merged FROM numbered GROUP BY session_ref, run""",
 )
 def coalesce_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.coalesce_runs(A.same_role_runs(items(spark, sf_dir).filter("kind = 'message'")))

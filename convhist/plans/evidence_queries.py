@@ -227,27 +227,34 @@ def alias_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _proposed(aliases: DataFrame) -> DataFrame:
-    """Proposed groups: every three consecutive aliases, some repeated, some requests with a defect."""
+    """Proposed groups: up to 84 aliases spread evenly over all of a request's, dealt to seven groups; one group repeated, some requests with a defect."""
     n = F.substring("alias", 2, 10).cast("bigint")
-    rows = aliases.withColumn("_n", n)
-    sets = rows.groupBy("request_ref", F.expr("_n div 3").alias("group_no")).agg(
+    sizes = aliases.groupBy("request_ref").agg(F.count(F.lit(1)).alias("_size"))
+    rows = aliases.withColumn("_n", n).join(sizes, "request_ref")
+    rows = rows.filter("_n = 0 OR _n * 84 div _size <> (_n - 1) * 84 div _size").withColumn("group_no", F.expr("_n * 84 div _size % 7"))
+    sets = rows.groupBy("request_ref", "group_no").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_n", "alias"))), lambda r: r["alias"]).alias("event_ids")
-    ).filter(F.size("event_ids") == 3)
-    flaw = F.conv(F.substring("request_ref", 10, 1), 16, 10).cast("int") % 4
+    ).filter(F.size("event_ids") >= 2)
+    flaw = F.conv(F.substring("request_ref", 10, 1), 16, 10).cast("int") % 5
     sets = sets.select(
         "request_ref", "group_no", F.lit("style").alias("lens"), F.concat(F.lit("idea "), "group_no").alias("hypothesis"), F.lit("general").alias("topic"),
         F.when((flaw == 0) & (F.col("group_no") == 1), "guess").otherwise("shared_principle").alias("relation"),
         F.when((flaw == 1) & (F.col("group_no") == 0), F.array_append("event_ids", F.lit("a99999"))).otherwise(F.col("event_ids")).alias("event_ids"),
     )
     again = sets.filter("group_no = 2").withColumn("group_no", F.lit(-1).cast("bigint"))
-    return sets.unionByName(again)
+    ninth = sets.filter((flaw == 2) & (F.col("group_no") == 1)).withColumn("group_no", F.lit(-2).cast("bigint"))
+    return sets.unionByName(again).unionByName(ninth)
 
 
-_GROUPS = f"""{_SCOPED}, nums AS (SELECT *, substr(alias, 2)::BIGINT AS n, ('0x' || substr(request_ref, 10, 1))::INT % 4 AS flaw FROM aliased),
-sets AS (SELECT request_ref, n // 3 AS group_no, min(flaw) AS flaw, count(*) AS size, string_agg(occurrence_ref, ',' ORDER BY n) AS members FROM nums GROUP BY 1, 2 HAVING count(*) = 3),
-bad AS (SELECT DISTINCT request_ref, 'relation' AS code FROM sets WHERE flaw = 0 AND group_no = 1 UNION SELECT DISTINCT request_ref, 'unknown_member' FROM sets WHERE flaw = 1 AND group_no = 0),
+_GROUPS = f"""{_SCOPED}, nums AS (SELECT *, substr(alias, 2)::BIGINT AS n, ('0x' || substr(request_ref, 10, 1))::INT % 5 AS flaw, count(*) OVER (PARTITION BY request_ref) AS total FROM aliased),
+drawn AS (SELECT *, n * 84 // total % 7 AS group_no FROM nums WHERE n = 0 OR n * 84 // total <> (n - 1) * 84 // total),
+sets AS (SELECT request_ref, group_no, min(flaw) AS flaw, count(*) AS size, string_agg(occurrence_ref, ',' ORDER BY n) AS members FROM drawn GROUP BY 1, 2 HAVING count(*) >= 2),
+bad AS (SELECT DISTINCT request_ref, 'relation' AS code FROM sets WHERE flaw = 0 AND group_no = 1 UNION SELECT DISTINCT request_ref, 'unknown_member' FROM sets WHERE flaw = 1 AND group_no = 0
+  UNION SELECT request_ref, 'too_many_groups' FROM sets GROUP BY 1 HAVING count(*) + count(*) FILTER (group_no = 2) + count(*) FILTER (flaw = 2 AND group_no = 1) > 8
+  UNION SELECT request_ref, 'members' FROM sets WHERE size + CASE WHEN flaw = 1 AND group_no = 0 THEN 1 ELSE 0 END > 12),
+issue AS (SELECT request_ref, string_agg(code, ',' ORDER BY code) AS codes FROM bad GROUP BY 1),
 kept AS (SELECT s.*, 'group1_' || {duck_digest(["s.request_ref", "'style'", "'idea ' || s.group_no", "'general'", "'shared_principle'", "s.members"])} AS group_ref FROM sets s WHERE request_ref NOT IN (SELECT request_ref FROM bad)),
-member AS (SELECT k.group_ref, k.request_ref, n.occurrence_ref FROM kept k JOIN nums n ON n.request_ref = k.request_ref AND n.n // 3 = k.group_no),
+member AS (SELECT k.group_ref, k.request_ref, d.occurrence_ref FROM kept k JOIN drawn d ON d.request_ref = k.request_ref AND d.group_no = k.group_no),
 rest AS (SELECT request_ref, occurrence_ref FROM nums WHERE request_ref NOT IN (SELECT request_ref FROM bad) AND occurrence_ref NOT IN (SELECT occurrence_ref FROM member))"""
 
 
@@ -260,7 +267,7 @@ def _validated(spark: SparkSession, sf_dir: str):
 
 @query(
     "validate_groups",
-    f"""WITH {_GROUPS} SELECT request_ref, code AS value, 'issue' AS kind FROM bad UNION ALL SELECT request_ref, group_ref || ':' || occurrence_ref, 'member' FROM member
+    f"""WITH {_GROUPS} SELECT request_ref, codes AS value, 'issue' AS kind FROM issue UNION ALL SELECT request_ref, group_ref || ':' || occurrence_ref, 'member' FROM member
     UNION ALL SELECT request_ref, occurrence_ref, 'not_grouped' FROM rest""",
 )
 def validate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

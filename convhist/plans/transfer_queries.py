@@ -462,7 +462,7 @@ def merge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sequence_valid",
     f"""WITH {ITEMS}, m AS (SELECT *, lag(role) OVER w AS pr, last_value(ts IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pt FROM items WHERE kind = 'message' WINDOW w AS (PARTITION BY session_ref ORDER BY ordinal))
     SELECT session_ref, CASE WHEN min_by(role, ordinal) <> 'user' THEN 'first_not_user' WHEN max_by(role, ordinal) <> 'assistant' THEN 'last_not_assistant' WHEN bool_or(coalesce(pr = role, false)) THEN 'not_alternating'
-      WHEN bool_or(coalesce(ts < pt, false)) THEN 'times_not_monotone' ELSE 'ok' END AS status FROM m GROUP BY 1""",
+      WHEN bool_or(ts IS NULL OR coalesce(ts < pt, false)) THEN 'times_not_monotone' ELSE 'ok' END AS status FROM m GROUP BY 1""",
 )
 def sequence_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.sequence_valid(items(spark, sf_dir).filter("kind = 'message'"))
@@ -470,8 +470,12 @@ def sequence_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sequence_valid_merged",
-    f"""WITH {ITEMS}, m AS (SELECT *, lag(role) OVER (PARTITION BY session_ref ORDER BY ordinal) AS pr FROM items WHERE kind = 'message')
-    SELECT session_ref, CASE WHEN min_by(role, ordinal) <> 'user' THEN 'first_not_user' WHEN max_by(role, ordinal) <> 'assistant' THEN 'last_not_assistant' ELSE 'ok' END AS status FROM m GROUP BY 1""",
+    f"""WITH {ITEMS}, m AS (SELECT *, lag(role) OVER (PARTITION BY session_ref ORDER BY ordinal) AS pr FROM items WHERE kind = 'message'),
+    n AS (SELECT *, sum(CASE WHEN role IS DISTINCT FROM pr THEN 1 ELSE 0 END) OVER (PARTITION BY session_ref ORDER BY ordinal) AS run FROM m),
+    r AS (SELECT session_ref, run, min(role) AS role, last(ts ORDER BY ordinal) AS ts FROM n GROUP BY 1, 2),
+    t AS (SELECT *, last_value(ts IGNORE NULLS) OVER (PARTITION BY session_ref ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pt FROM r)
+    SELECT session_ref, CASE WHEN min_by(role, run) <> 'user' THEN 'first_not_user' WHEN max_by(role, run) <> 'assistant' THEN 'last_not_assistant'
+      WHEN bool_or(ts IS NULL OR coalesce(ts < pt, false)) THEN 'times_not_monotone' ELSE 'ok' END AS status FROM t GROUP BY 1""",
 )
 def sequence_valid_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = coalesce_runs(same_role_runs(items(spark, sf_dir).filter("kind = 'message'"))).withColumnRenamed("first", "ordinal")

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from convhist.operators import ordered
+from convhist.plans import catalogue
 from tools.check import canonical
 
 FAMILIES = [
@@ -39,4 +40,4 @@ def test_query_matches_sql(spark, sf_dir, name, monkeypatch):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalogue.QUERIES) == set(catalogue.CHECK_SQL)
