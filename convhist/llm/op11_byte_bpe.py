@@ -1,13 +1,14 @@
 """Byte-level BPE by one global shuffle of distinct words.
 
 Each task explodes its texts into pre-tokens chunk by chunk: a chunk is whole documents of about CHUNK_BYTES, and leaves
-one row per distinct word (chunk, number, word) and one row with the positions, the word number of every pre-token in
-order. The word rows are shuffled by word, so that each distinct word of the corpus stands in one place and is encoded
-once; its ids go back to (chunk, number), where they join the positions and documents are put together. Decoding joins
-the ids with the token-byte table, which has one row per vocabulary entry.
+its distinct words, numbered, and the positions, the word number of every pre-token in order. The words are shuffled by a
+hash of the word, in bundles of one chunk and one hash bucket, so that every occurrence of a distinct word in the corpus
+meets in one task and is encoded once; its ids go back to (chunk, number), where they join the positions and documents are
+put together. Decoding joins the ids with the token-byte table, which has one row per vocabulary entry.
 
-Skew: the hottest word is one short row per chunk, never one per occurrence. Bounds: a chunk, or one longer document, is
-what a task holds. The explosion is a table in the shared folder, so chunk numbers are the same for all that reads them.
+Skew: the hottest word is one entry per chunk, never one per occurrence, and a bucket is read bundle by bundle. Bounds: a
+chunk, or one longer document, is what a task holds, besides up to WORDS encoded words. The explosion is a table in the
+shared folder, so chunk numbers are the same for all that reads them. Bundles are compressed columns of sorted words.
 
 Character classes are those of the tokenizer library: where Python's pattern module knows newer characters, a stand-in of
 the library's class takes their place while a text is split.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,9 @@ from convhist.session import scratch_path
 
 #: Text bytes of a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 24 << 20
-EXPLODED = "chunk long, number int, word string, doc_ids array<long>, counts array<long>, positions binary"
+#: Encoded words a worker keeps; beyond it starts again.
+WORDS = 1_000_000
+EXPLODED = "chunk long, bucket int, numbers binary, sizes binary, words binary, doc_ids array<long>, counts array<long>, positions binary"
 
 
 def token_bytes(path: str) -> list[bytes]:
@@ -91,8 +95,18 @@ class WordEncoder:
         self.encode = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.dtype = dtype
 
-    def ids(self, word: str) -> bytes:
-        return np.array(self.encode(word), dtype=self.dtype).tobytes()
+        self.known: dict[bytes, bytes] = {}
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        known, out = self.known, []
+        if len(known) > WORDS:
+            known.clear()
+        for w in words:
+            found = known.get(w)
+            if found is None:
+                found = known[w] = np.array(self.encode(w.decode()), dtype=self.dtype).tobytes()
+            out.append(found)
+        return out
 
 
 class TokenTable:
@@ -137,6 +151,20 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def bundled(parts: list[bytes]) -> tuple[bytes, bytes]:
+    """Byte strings as (sizes, bytes), both compressed."""
+    import zstandard
+
+    return packed(np.array([len(x) for x in parts], dtype=np.int64)), zstandard.compress(b"".join(parts), 3)
+
+
+def opened(sizes: bytes, data: bytes) -> tuple[np.ndarray, bytes]:
+    """Where the strings of a bundle start and end, and their bytes."""
+    import zstandard
+
+    return np.concatenate(([0], np.cumsum(unpacked(sizes)))), zstandard.decompress(data)
+
+
 class _Chunk:
     """Documents of one chunk: their distinct words and positions."""
 
@@ -154,22 +182,29 @@ class _Chunk:
         self.counts.append(len(words))
         self.size += size
 
-    def batches(self, chunk: int) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("chunk", pa.int64()), ("number", pa.int32()), ("word", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("positions", pa.binary())])
+    def batches(self, chunk: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        names = [f.split()[0] for f in EXPLODED.split(", ")]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         positions = np.concatenate(self.parts)
         # Frequent words get small numbers, which pack well.
         order = np.argsort(-np.bincount(positions, minlength=len(self.index)), kind="stable")
-        number = np.empty(len(order), dtype=np.int32)
-        number[order] = np.arange(len(order), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([self.doc_ids], pa.list_(pa.int64())), pa.array([self.counts], pa.list_(pa.int64())), pa.array([packed(number[positions])], pa.binary())], schema=schema)
-        words = list(self.index)
-        for a in range(0, len(words), 1 << 16):
-            some = pa.array(words[a : a + (1 << 16)], pa.string())
-            n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(number[a : a + n]), some, *(pa.nulls(n, f.type) for f in list(schema)[3:])], schema=schema)
-
-
-def _explode(pattern: str, chunk_bytes: int):
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.arange(len(order))
+        yield batch([(chunk, None, None, None, None, self.doc_ids, self.counts, packed(number[positions]))])
+        words = [w.encode() for w in self.index]
+        bucket = np.array([zlib.crc32(w) for w in words], dtype=np.int64) % buckets
+        order = pc.sort_indices(pa.table({"bucket": bucket, "word": pa.array(words, pa.binary())}), [("bucket", "ascending"), ("word", "ascending")]).to_numpy()
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            some = order[edges[k] : edges[k + 1]]
+            rows.append((chunk, k, packed(number[some]), *bundled([words[i] for i in some.tolist()]), None, None, None))
+        if rows:
+            yield batch(rows)
+
+
+def _explode(pattern: str, chunk_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made, chunk = TaskContext.get().partitionId() << 32, 0, _Chunk()
         split = encoder(Splitter, pattern, "").words
@@ -177,11 +212,11 @@ def _explode(pattern: str, chunk_bytes: int):
             doc_ids, texts = batch.column("doc_id").to_pylist(), encoded(batch.column("text"))
             for doc_id, text in zip(doc_ids, texts, strict=True):
                 if chunk.doc_ids and chunk.size + len(text) > chunk_bytes:
-                    yield from chunk.batches(first + made)
+                    yield from chunk.batches(first + made, buckets)
                     made, chunk = made + 1, _Chunk()
                 chunk.add(doc_id, split(text.decode()), len(text))
         if chunk.doc_ids:
-            yield from chunk.batches(first + made)
+            yield from chunk.batches(first + made, buckets)
 
     return run
 
@@ -189,18 +224,15 @@ def _explode(pattern: str, chunk_bytes: int):
 def _encode(path: str, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(WordEncoder, path, dtype).ids
-        last: tuple[str | None, bytes] = None, b""
         for batch in batches:
-            words, n = batch.column("word"), batch.num_rows
-            if not n:
-                continue
-            fresh = np.ones(n, dtype=bool)  # equal words are neighbours
-            fresh[1:] = pc.not_equal(words.slice(1), words.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            distinct = words.take(pa.array(np.flatnonzero(fresh))).to_pylist()
-            blobs = [last[1] if w == last[0] else ids_of(w) for w in distinct[:1]] + [ids_of(w) for w in distinct[1:]]
-            last = distinct[-1], blobs[-1]
-            ids = pa.array(blobs, pa.binary()).take(pa.array(np.cumsum(fresh) - 1))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("number"), ids], names=["chunk", "number", "ids"])
+            rows = []
+            for sizes, words in zip(batch.column("sizes").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                at, data = opened(sizes, words)
+                at = at.tolist()
+                rows.append(bundled(ids_of([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])))
+            if rows:
+                columns = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("numbers"), *columns], names=["chunk", "numbers", "sizes", "ids"])
 
     return run
 
@@ -209,10 +241,11 @@ def _assemble(path: str, dtype: str, digests: bool):
     def run(chunks: pa.Table, words: pa.Table) -> pa.Table:
         tokens = encoder(TokenTable, path, "")
         width = np.dtype(dtype).itemsize
-        order = np.argsort(words.column("number").to_numpy())
-        at, data = flat(words.column("ids"))
-        begin, size = at[:-1][order] // width, np.diff(at)[order] // width
-        values = np.frombuffer(data, dtype=dtype)
+        bundles = [opened(x, y) for x, y in zip(words.column("sizes").to_pylist(), words.column("ids").to_pylist(), strict=True)]
+        order = np.argsort(np.concatenate([np.empty(0, dtype=np.int64), *(unpacked(x) for x in words.column("numbers").to_pylist())]))
+        size = np.concatenate([np.empty(0, dtype=np.int64), *(np.diff(at) for at, _ in bundles)]) // width
+        begin, size = (np.cumsum(size) - size)[order], size[order]
+        values = np.frombuffer(b"".join([data for _, data in bundles]), dtype=dtype)
         out = []
         for doc_ids, counts, blob in zip(chunks.column("doc_ids").to_pylist(), chunks.column("counts").to_pylist(), chunks.column("positions").to_pylist(), strict=True):
             positions = unpacked(blob)
@@ -240,12 +273,13 @@ def _assemble(path: str, dtype: str, digests: bool):
 def _run(docs: DataFrame, ranks: str, pattern: str, text_col: str, id_col: str, chunk_bytes: int, digests: bool, schema: str) -> DataFrame:
     dtype = "<u2" if len(token_bytes(ranks)) <= 1 << 16 else "<u4"
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    path = scratch_path(docs.sparkSession, "words")
-    slim.mapInArrow(_explode(pattern, chunk_bytes), EXPLODED).write.option("compression", "zstd").parquet(path)
-    exploded = docs.sparkSession.read.schema(EXPLODED).parquet(path)
-    words = exploded.filter("word IS NOT NULL").select("chunk", "number", "word").repartition("word").sortWithinPartitions("word")
-    ids = words.mapInArrow(_encode(ranks, dtype), "chunk long, number int, ids binary")
-    chunks = exploded.filter("word IS NULL").select("chunk", "doc_ids", "counts", "positions")
+    spark = docs.sparkSession
+    path, buckets = scratch_path(spark, "words"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim.mapInArrow(_explode(pattern, chunk_bytes, buckets), EXPLODED).write.parquet(path)
+    exploded = spark.read.schema(EXPLODED).parquet(path)
+    words = exploded.filter("bucket IS NOT NULL").select("chunk", "bucket", "numbers", "sizes", "words").repartition("bucket")
+    ids = words.mapInArrow(_encode(ranks, dtype), "chunk long, numbers binary, sizes binary, ids binary")
+    chunks = exploded.filter("bucket IS NULL").select("chunk", "doc_ids", "counts", "positions")
     return chunks.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_assemble(ranks, dtype, digests), schema)
 
 
