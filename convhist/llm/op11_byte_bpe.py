@@ -3,12 +3,13 @@
 Each task explodes its texts into pre-tokens chunk by chunk: a chunk is whole documents of about CHUNK_BYTES, and leaves
 its distinct words, numbered, and the positions, the word number of every pre-token in order. The words are shuffled by a
 hash of the word, in bundles of one chunk and one hash bucket, so that every occurrence of a distinct word in the corpus
-meets in one task and is encoded once; its ids go back to (chunk, number), where they join the positions and documents are
-put together. Decoding joins the ids with the token-byte table, which has one row per vocabulary entry.
+meets in one task and is encoded once; its ids go back to their chunk, where they join the positions and documents are
+put together. Decoding joins the ids with the token-byte table, which has one row per vocabulary entry. The positions go
+the same two ways, so nothing is written but two shuffles and each text is split once.
 
 Skew: the hottest word is one entry per chunk, never one per occurrence, and a bucket is read bundle by bundle. Bounds: a
-chunk, or one longer document, is what a task holds, besides up to WORDS encoded words. The explosion is a table in the
-shared folder, so chunk numbers are the same for all that reads them. Bundles are compressed columns of sorted words.
+chunk, or one longer document, is what a task holds, besides up to WORDS encoded words. A lost task makes the same chunk
+again. Bundles are compressed columns of sorted words.
 
 Character classes are those of the tokenizer library: where Python's pattern module knows newer characters, a stand-in of
 the library's class takes their place while a text is split.
@@ -33,13 +34,17 @@ from pyspark.sql import functions as F
 
 from convhist.llm.common import encoded, table, text_slices
 from convhist.llm.encoders import encoder, vocabulary
-from convhist.session import scratch_path
 
 #: Text bytes of a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 24 << 20
 #: Encoded words a worker keeps; beyond it starts again.
 WORDS = 1_000_000
-EXPLODED = "chunk long, bucket int, numbers binary, sizes binary, words binary, doc_ids array<long>, counts array<long>, positions binary"
+#: Ids that are digested at once; a longer document stands alone.
+IDS_AT_ONCE = 1 << 20
+#: A bundle (bucket, and words or their ids as sizes and data), or, without a bucket, what holds a chunk's documents.
+ROWS = "chunk long, bucket int, sizes binary, data binary, doc_ids array<long>, counts array<long>, places binary, positions binary"
+_KINDS = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+_NAMES = [column.split()[0] for column in ROWS.split(", ")]
 
 
 def token_bytes(path: str) -> list[bytes]:
@@ -141,7 +146,7 @@ def packed(numbers: np.ndarray) -> bytes:
     """Numbers as compressed byte planes; small numbers leave planes of zeros."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 9)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -155,7 +160,7 @@ def bundled(parts: list[bytes]) -> tuple[bytes, bytes]:
     """Byte strings as (sizes, bytes), both compressed."""
     import zstandard
 
-    return packed(np.array([len(x) for x in parts], dtype=np.int64)), zstandard.compress(b"".join(parts), 3)
+    return packed(np.array([len(x) for x in parts], dtype=np.int64)), zstandard.compress(b"".join(parts), 9)
 
 
 def opened(sizes: bytes, data: bytes) -> tuple[np.ndarray, bytes]:
@@ -183,25 +188,25 @@ class _Chunk:
         self.size += size
 
     def batches(self, chunk: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-        names = [f.split()[0] for f in EXPLODED.split(", ")]
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         positions = np.concatenate(self.parts)
         # Frequent words get small numbers, which pack well.
         order = np.argsort(-np.bincount(positions, minlength=len(self.index)), kind="stable")
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.arange(len(order))
-        yield batch([(chunk, None, None, None, None, self.doc_ids, self.counts, packed(number[positions]))])
         words = [w.encode() for w in self.index]
         bucket = np.array([zlib.crc32(w) for w in words], dtype=np.int64) % buckets
         order = pc.sort_indices(pa.table({"bucket": bucket, "word": pa.array(words, pa.binary())}), [("bucket", "ascending"), ("word", "ascending")]).to_numpy()
+        places = np.empty(len(order), dtype=np.int64)
+        places[number[order]] = np.arange(len(order))
+        rows = [(chunk, None, None, None, self.doc_ids, self.counts, packed(places), packed(number[positions]))]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
         for k in np.flatnonzero(np.diff(edges)).tolist():
-            some = order[edges[k] : edges[k + 1]]
-            rows.append((chunk, k, packed(number[some]), *bundled([words[i] for i in some.tolist()]), None, None, None))
-        if rows:
-            yield batch(rows)
+            rows.append((chunk, k, *bundled([words[i] for i in order[edges[k] : edges[k + 1]].tolist()]), None, None, None, None))
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
 def _explode(pattern: str, chunk_bytes: int, buckets: int):
@@ -222,65 +227,75 @@ def _explode(pattern: str, chunk_bytes: int, buckets: int):
 
 
 def _encode(path: str, dtype: str):
+    """Words of bundles become ids; rows of documents pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(WordEncoder, path, dtype).ids
         for batch in batches:
-            rows = []
-            for sizes, words in zip(batch.column("sizes").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                at, data = opened(sizes, words)
-                at = at.tolist()
-                rows.append(bundled(ids_of([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])))
-            if rows:
-                columns = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("numbers"), *columns], names=["chunk", "numbers", "sizes", "ids"])
+            sizes, data = [], []
+            for size, words in zip(batch.column("sizes").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if size is not None:
+                    at, words = opened(size, words)
+                    at = at.tolist()
+                    size, words = bundled(ids_of([words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]))
+                sizes.append(size)
+                data.append(words)
+            columns = [batch.column(n) if n not in ("sizes", "data") else pa.array(sizes if n == "sizes" else data, pa.binary()) for n in _NAMES]
+            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     return run
 
 
 def _assemble(path: str, dtype: str, digests: bool):
-    def run(chunks: pa.Table, words: pa.Table) -> pa.Table:
+    def run(rows: pa.Table) -> pa.Table:
         tokens = encoder(TokenTable, path, "")
         width = np.dtype(dtype).itemsize
-        bundles = [opened(x, y) for x, y in zip(words.column("sizes").to_pylist(), words.column("ids").to_pylist(), strict=True)]
-        order = np.argsort(np.concatenate([np.empty(0, dtype=np.int64), *(unpacked(x) for x in words.column("numbers").to_pylist())]))
-        size = np.concatenate([np.empty(0, dtype=np.int64), *(np.diff(at) for at, _ in bundles)]) // width
-        begin, size = (np.cumsum(size) - size)[order], size[order]
-        values = np.frombuffer(b"".join([data for _, data in bundles]), dtype=dtype)
-        out = []
-        for doc_ids, counts, blob in zip(chunks.column("doc_ids").to_pylist(), chunks.column("counts").to_pylist(), chunks.column("positions").to_pylist(), strict=True):
-            positions = unpacked(blob)
-            sizes = size[positions]
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            ids = values[np.repeat(begin[positions] - ends[:-1], sizes) + np.arange(ends[-1])]
-            bounds = ends[np.concatenate(([0], np.cumsum(counts)))]
-            head = [pa.array(doc_ids, pa.int64()), pa.array(np.diff(bounds))]
+        rows = rows.sort_by("bucket")  # documents have none and come last
+        *bundles, whole = rows.select(_NAMES[1:]).to_pylist()
+        opened_ = [opened(r["sizes"], r["data"]) for r in bundles]
+        size = np.concatenate([np.empty(0, dtype=np.int64), *(np.diff(at) for at, _ in opened_)]) // width
+        begin = np.cumsum(size) - size
+        values = np.frombuffer(b"".join([data for _, data in opened_]), dtype=dtype)
+        positions = unpacked(whole["places"])[unpacked(whole["positions"])]
+        doc_ids, counts = whole["doc_ids"], whole["counts"]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        n_ids = np.diff(np.concatenate(([0], np.cumsum(size[positions])))[ends])
+        out = [_EMPTY[digests]]
+        for a, b in text_slices(n_ids.tolist(), IDS_AT_ONCE):
+            some = positions[ends[a] : ends[b]]
+            sizes = size[some]
+            stop = np.cumsum(sizes)
+            ids = values[np.repeat(begin[some] - stop + sizes, sizes) + np.arange(sizes.sum())]
+            bounds = np.concatenate(([0], np.cumsum(n_ids[a:b])))
+            head = [pa.array(doc_ids[a:b], pa.int64()), pa.array(n_ids[a:b])]
             raw, edge = joined(tokens.bytes, ids, bounds)
+            spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
             if digests:
-                text, mark = joined(tokens.decimals, ids, bounds)
-                hexed = lambda view, a, b: hashlib.sha256(view[a:b]).hexdigest()
-                ids_sha = [hexed(text, a, max(a, b - 1)) for a, b in zip(mark[:-1].tolist(), mark[1:].tolist(), strict=True)]
-                raw_sha = [hexed(raw, a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-                out.append(pa.table([*head, pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]))
+                raw_sha = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in spans]
+                text, edge = joined(tokens.decimals, ids, bounds)  # each id with a space after it, the last of a document unread
+                ids_sha = [hashlib.sha256(text[x : max(x, y - 1)]).hexdigest() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                columns = [pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())]
             else:
-                lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
-                raws = pa.array([bytes(raw[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())
-                out.append(pa.table([*head, lists, raws], names=["doc_id", "n_tokens", "ids", "decoded"]))
+                columns = [pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32())), pa.array([bytes(raw[x:y]) for x, y in spans], pa.binary())]
+            out.append(pa.table([*head, *columns], schema=_EMPTY[digests].schema))
         return pa.concat_tables(out)
 
     return run
 
 
+_EMPTY = {
+    True: pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]).empty_table(),
+    False: pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]).empty_table(),
+}
+
+
 def _run(docs: DataFrame, ranks: str, pattern: str, text_col: str, id_col: str, chunk_bytes: int, digests: bool, schema: str) -> DataFrame:
     dtype = "<u2" if len(token_bytes(ranks)) <= 1 << 16 else "<u4"
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    spark = docs.sparkSession
-    path, buckets = scratch_path(spark, "words"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim.mapInArrow(_explode(pattern, chunk_bytes, buckets), EXPLODED).write.parquet(path)
-    exploded = spark.read.schema(EXPLODED).parquet(path)
-    words = exploded.filter("bucket IS NOT NULL").select("chunk", "bucket", "numbers", "sizes", "words").repartition("bucket")
-    ids = words.mapInArrow(_encode(ranks, dtype), "chunk long, numbers binary, sizes binary, ids binary")
-    chunks = exploded.filter("bucket IS NULL").select("chunk", "doc_ids", "counts", "positions")
-    return chunks.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_assemble(ranks, dtype, digests), schema)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exploded = slim.mapInArrow(_explode(pattern, chunk_bytes, buckets), ROWS)
+    by_word = exploded.repartition(F.coalesce("bucket", F.pmod("chunk", F.lit(buckets))))
+    return by_word.mapInArrow(_encode(ranks, dtype), ROWS).groupBy("chunk").applyInArrow(_assemble(ranks, dtype, digests), schema)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
