@@ -49,6 +49,24 @@ def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes of a binary column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(1, dtype=np.int64), memoryview(b"")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return at - at[0], memoryview(data or b"")[at[0] : at[-1]]
+
+
+def joined(column: pa.Array, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """Join ids with a column indexed by id: all bytes in order, and where each document's end (given in ids) falls."""
+    at, data = flat(column.take(pa.array(ids)))
+    return data, at[ends]
+
+
 def runs_of(flags: np.ndarray) -> np.ndarray:
     """Start and end (exclusive) of each run of true values, as an array of two columns."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8) if flags.dtype == bool else flags, [0]))))
@@ -67,4 +85,4 @@ def merged(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-__all__ = ["BATCH_BYTES", "encoded", "keyed", "materialize", "merged", "runs_of", "table", "text_slices"]
+__all__ = ["BATCH_BYTES", "encoded", "flat", "joined", "keyed", "materialize", "merged", "runs_of", "table", "text_slices"]

@@ -1,18 +1,22 @@
-"""Token ids of texts as bytes, by the tokenizers library, each distinct word encoded once per worker.
+"""Token ids of texts, each distinct word encoded once per worker.
 
-A text splits at white space into words whose ids don't depend on each other; texts where that can't be told by sight
-(runs of spaces, rare space characters) go to the library whole. `path` is the vocabulary file, a parameter.
+A text splits at white space into words whose ids don't depend on each other. A worker keeps the ids of the words it met in
+flat arrays; a batch of texts is looked up word by word and its ids are gathered at once in numpy. Words where that can't
+be told by sight (rare space characters) send their text to the library whole. `path` is the vocabulary file, a parameter.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Words a worker keeps; beyond it starts again.
-WORDS = 400_000
+#: Words a worker keeps, and ids of theirs; beyond either it starts again.
+WORDS = 500_000
+IDS = 8_000_000
 _open: dict[tuple, object] = {}
 
 
@@ -39,91 +43,197 @@ def encoder(kind: type, path: str, dtype: str):
     return _open[kind, path, dtype]
 
 
-class SpacedWords:
-    """Byte-level vocabularies whose words carry the space before them."""
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array and their sizes."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum())), sizes
 
-    _odd = re.compile(r"[ \n]{2}|[^\S \n]|[ \n]\Z")
+
+def byte_characters() -> list[str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the others from U+0100 on, in order."""
+    shown = [33 <= k <= 126 or 161 <= k <= 172 or 174 <= k <= 255 for k in range(256)]
+    hidden = np.cumsum(~np.array(shown)).tolist()
+    return [chr(k if shown[k] else 255 + hidden[k]) for k in range(256)]
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1 .. of each range, one range after the other."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
+
+
+class IdTable:
+    """Ids by word, in flat arrays."""
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict = {}
+        self.ids, self.begin, self.size = (np.empty(0, dtype=np.int64) for _ in range(3))
+
+    def numbers(self, words: list) -> np.ndarray:
+        """Numbers of words, for `begin` and `size`; unknown ones are learnt."""
+        found = self._found(words)
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            if len(self.known) > WORDS or len(self.ids) > IDS:
+                self.clear()
+                found, missing = np.empty(len(words), dtype=np.int64), range(len(words))
+            new = list(dict.fromkeys([words[i] for i in missing]))
+            ids, sizes = self.learn(new)
+            first = len(self.known)
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.size = np.concatenate((self.size, sizes))
+            self.ids = np.concatenate((self.ids, ids))
+            found[missing] = self._found([words[i] for i in missing])
+        return found
+
+    def _found(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        return self.ids[ranges(self.begin[numbers], self.size[numbers])]
+
+
+class WordEncoder:
+    """Ids of texts (UTF-8) through those of their words; subclasses say how to split and how to learn words."""
 
     def __init__(self, path: str, dtype: str):
         self.tokenizer, self.dtype = library(path), dtype
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.newline = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if "<|" not in w]
-        ids = np.array(self.tokenizer.encode(" " + " ".join(new), add_special_tokens=False).ids if new else [], dtype=self.dtype)
-        at = np.flatnonzero(self.leads[ids]).tolist()
-        if len(at) == len(new):
-            step = ids.itemsize
-            data = ids.tobytes()
-            self.spaced.update(zip(new, [data[a * step : b * step] for a, b in zip(at, [*at[1:], len(ids)], strict=True)], strict=True))
-        else:
-            self.spaced.update((w, self.whole(" " + w)) for w in new)
-        self.spaced.update((w, self.whole(" " + w)) for w in words if "<|" in w)
+        self.table = IdTable(self.learn)
+
+    def split(self, text: bytes) -> list[bytes]:
+        raise NotImplementedError
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and the number of each text."""
+        split = [self.split(t) for t in texts]
+        counts = np.concatenate(([0], np.cumsum([len(w) for w in split])))
+        numbers = self.table.numbers(list(chain.from_iterable(split)))
+        sizes = np.diff(np.concatenate(([0], np.cumsum(self.table.size[numbers])))[counts])
+        return self.table.gather(numbers), sizes
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if self._odd.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        need = {w for lines in split if lines for words in lines for w in words[1:]}
-        if missing := need - self.spaced.keys():
-            if len(self.spaced) > WORDS:
-                self.spaced.clear()
-                missing = need
-            self._learn(missing)
-        out = []
-        for text, lines in zip(texts, split, strict=True):
-            if lines is None:
-                out.append(self.whole(text))
-                continue
-            parts = []
-            for words in lines:
-                first = words[0]
-                if first not in self.plain:
-                    if len(self.plain) > WORDS:
-                        self.plain.clear()
-                    self.plain[first] = self.whole(first)
-                parts.append(self.plain[first] + b"".join(map(self.spaced.__getitem__, words[1:])))
-            out.append(self.newline.join(parts))
-        return out
-
-
-class BareWords:
-    """Vocabularies that drop white space and mark the ends of words."""
-
-    _odd = re.compile("[\x1c-\x1f\x85]")
+        """Ids of each text as bytes of `dtype`."""
+        ids, sizes = self.encode([t.encode() for t in texts])
+        data, ends = ids.astype(self.dtype), np.cumsum(sizes).tolist()
+        return [data[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
+
+class SpacedWords(WordEncoder):
+    """Byte-level vocabularies whose words carry the white space before them."""
+
+    _units = re.compile(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
+    #: ASCII and the Latin letters up to U+024F, which all libraries know alike.
+    _plain = re.compile(rb"(?:[\x00-\x1b\x20-\x7f]|[\xc3-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])*")
+    #: Characters that some take for white space: a text that holds one goes to the library whole.
+    _odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: By first byte of their UTF-8 form: whether a batch may hold any.
+    _may = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
+
+    def __init__(self, path: str, dtype: str):
+        super().__init__(path, dtype)
+        self.split = self._units.findall
+        self.quick = self._quick(path)
+
+    def _quick(self, path: str):
+        """The ranks library's encoder for ASCII words, where the file is the plain kind that it knows; else None."""
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        byte_of = {c: k for k, c in enumerate(byte_characters())}
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [model["vocab"].get(m, -1) for m in made]
+        options = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        ordered = len(model["vocab"]) == 256 + len(made) and ids == sorted(set(ids)) and (not ids or ids[0] >= 256)
+        if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or options or not ordered:
+            return None
+        ranks = {bytes([byte_of[c] for c in token]): i for token, i in model["vocab"].items()}
+        return tiktoken.Encoding("ascii", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        quick, plain = self.quick, self._plain.fullmatch
+        return flattened([quick(w.decode()) if quick and plain(w) and b"<|" not in w else self.whole(w.decode()) for w in words])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        may = self._may[np.frombuffer(b"".join(texts), dtype=np.uint8)].any()
+        odd = [bool(may and self._odd.search(t.decode())) for t in texts]
+        if not any(odd):
+            return super().encode(texts)
+        parts = [flattened([self.whole(t.decode())]) if o else super(SpacedWords, self).encode([t]) for t, o in zip(texts, odd, strict=True)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+class BareWords(WordEncoder):
+    """Vocabularies that drop white space and mark the ends of words.
+
+    Words of printable ASCII and Latin letters up to U+024F, which all libraries know alike, split further into pieces by the
+    file's own pattern; each distinct piece is encoded once.
+    """
+
+    _printable = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\xbf]|\xc4[\x80-\xaf\xb2-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
     _mark = "<|endoftext|>"
 
     def __init__(self, path: str, dtype: str):
-        self.tokenizer, self.dtype = library(path), dtype
+        super().__init__(path, dtype)
         self.mark = self.tokenizer.token_to_id(self._mark)
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if "<|" not in w]
-        ids = np.array(self.tokenizer.encode(self._mark.join(new), add_special_tokens=False).ids, dtype=self.dtype)
-        ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-        if len(ends) == len(new):
-            step = ids.itemsize
-            data = ids.tobytes()
-            self.words.update(zip(new, [data[a * step : b * step] for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)], strict=True))
-        else:
-            self.words.update((w, self.whole(w)) for w in new)
-        self.words.update((w, self.whole(w)) for w in words if "<|" in w)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if self._odd.search(t) else t.split() for t in texts]
-        need = {w for words in split if words for w in words}
-        if missing := need - self.words.keys():
-            if len(self.words) > WORDS:
-                self.words.clear()
-                missing = need
-            self._learn(missing)
-        return [self.whole(t) if words is None else b"".join(map(self.words.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        self.pieces = IdTable(self.learn_pieces)
+        self.find = self._pattern(path)
+
+    @staticmethod
+    def _pattern(path: str):
+        """What finds the pieces of a lower-case word, where the file is of the usual kind; else None."""
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[0]["behavior"] != "Removed" or steps[1]["use_regex"]:
+            return None
+        return regex.compile(steps[0]["pattern"]["Regex"]).findall
+
+    def split(self, text: bytes) -> list[bytes]:
+        return text.split()
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [bool(self.find and self._printable.fullmatch(w) and b"<|" not in w) for w in words]
+        split = [self.find(w.decode().lower()) for w, p in zip(words, plain, strict=True) if p]
+        counts = np.concatenate(([0], np.cumsum([len(p) for p in split], dtype=np.int64)))
+        numbers = self.pieces.numbers(list(chain.from_iterable(split)))
+        sizes = np.empty(len(words), dtype=np.int64)
+        plain = np.array(plain, dtype=bool)
+        sizes[plain] = np.diff(np.concatenate(([0], np.cumsum(self.pieces.size[numbers])))[counts])
+        odd_ids, sizes[~plain] = self.learn_odd([w.decode() for w, p in zip(words, plain, strict=True) if not p])
+        owner = np.repeat(plain, sizes)
+        ids = np.empty(len(owner), dtype=np.int64)
+        ids[owner], ids[~owner] = self.pieces.gather(numbers), odd_ids
+        return ids, sizes
+
+    def learn_odd(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.by_library(words)
+
+    def learn_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.by_library(pieces)
+
+    def by_library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All in one call with a mark between them, unless one holds a mark itself."""
+        if not pieces:
+            return flattened([])
+        ids = np.array(self.whole(self._mark.join(pieces)), dtype=np.int64)
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+        if len(ends) != len(pieces):
+            return flattened([self.whole(p) for p in pieces])
+        return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1

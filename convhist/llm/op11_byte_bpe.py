@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convhist.llm.common import encoded, table, text_slices
+from convhist.llm.common import encoded, joined, table, text_slices
 from convhist.llm.encoders import encoder, vocabulary
 
 #: Text bytes of a chunk; a longer document is a chunk of its own.
@@ -89,7 +89,7 @@ class Splitter:
         return [text[m.start() : m.end()] for m in self.iterate(text.translate(self.stand_ins))]
 
 
-class WordEncoder:
+class RankEncoder:
     """Ids of single words: no further splitting."""
 
     def __init__(self, path: str, dtype: str):
@@ -123,25 +123,6 @@ class TokenTable:
         self.decimals = pa.array([b"%d " % i for i in range(len(tokens))], pa.large_binary())
 
 
-def joined(column: pa.Array, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
-    """Join ids with a column of the table: all bytes in order, and where each document's end (given in ids) falls."""
-    found = column.take(pa.array(ids))
-    at, data = flat(found)
-    return data, at[ends]
-
-
-def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, memoryview]:
-    """Offsets and bytes of a binary column without nulls."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
-    if not len(column):
-        return np.zeros(1, dtype=np.int64), memoryview(b"")
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    return at - at[0], memoryview(data or b"")[at[0] : at[-1]]
-
-
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers as compressed byte planes; small numbers leave planes of zeros."""
     import zstandard
@@ -230,7 +211,7 @@ def _encode(path: str, dtype: str):
     """Words of bundles become ids; rows of documents pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(WordEncoder, path, dtype).ids
+        ids_of = encoder(RankEncoder, path, dtype).ids
         for batch in batches:
             sizes, data = [], []
             for size, words in zip(batch.column("sizes").to_pylist(), batch.column("data").to_pylist(), strict=True):

@@ -24,11 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convhist.llm.common import encoded, text_slices
-from convhist.llm.encoders import encoder, library, vocabulary
-
-#: Words a worker keeps; beyond it starts again.
-WORDS = 250_000
+from convhist.llm.common import encoded, joined, text_slices
+from convhist.llm.encoders import BareWords, byte_characters, encoder, flattened, vocabulary
 
 
 class Merges:
@@ -86,45 +83,63 @@ class Merges:
         return flat[index], out
 
 
-class Codec:
-    """Words to (ids as text, tokens as text, count), learnt in batches."""
+class Codec(BareWords):
+    """Ids and tokens of texts, words learnt in batches by the merge rounds."""
 
-    def __init__(self, path: str, _: str = ""):
+    def __init__(self, path: str, dtype: str = "<u4"):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         suffix = model["end_of_word_suffix"]
         if not suffix or spec["decoder"] or model["unk_token"] or model["continuing_subword_prefix"]:
             raise ValueError("the vocabulary needs an end-of-word suffix and no decoder, unknown token or prefix")
+        super().__init__(path, dtype)
         vocab = model["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.parts = library(path)
         self.merges = Merges(model["merges"], vocab)
         self.inner = {c: i for c, i in vocab.items() if len(c) == 1}
         self.last = {c[: -len(suffix)]: i for c, i in vocab.items() if c.endswith(suffix) and len(c) == 1 + len(suffix)}
-        self.tokens = [""] * (max([*vocab.values(), *added.values()]) + 1)
+        self.by_byte = np.array([[table[c] for c in byte_characters()] for table in (self.inner, self.last)])
+        tokens = [""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, i in (vocab | added).items():
-            self.tokens[i] = token
-        self.numbers = [str(i) for i in range(len(self.tokens))]
+            tokens[i] = token
+        # Each with a space after it: what a text ends with is cut.
+        self.tokens = pa.array([t + " " for t in tokens], pa.large_binary())
+        self.decimals = pa.array([b"%d " % i for i in range(len(tokens))], pa.large_binary())
         self.added = added
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.words: dict[str, tuple[str, str, int]] = {}
 
-    def pieces(self, words: list[str]) -> tuple[list[str], list[int]]:
+    def learn_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Their bytes are symbols, the last one with the end of the word."""
+        raw = [p.encode() for p in pieces]
+        sizes = np.array([len(p) for p in raw], dtype=np.int64)
+        points = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        symbols = self.by_byte[0][points]
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.by_byte[1][points[ends]]
+        return self.merges.apply(symbols, sizes)
+
+    def learn_odd(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [w for w in words if not (self.special and self.special.search(w))]
+        known = dict(zip(plain, self.by_rounds(plain), strict=True))
+        return flattened([known[w] if w in known else self.with_specials(w) for w in words])
+
+    def split_words(self, words: list[str]) -> tuple[list[str], list[int]]:
         """The word pieces of words without special tokens, and how many belong to each."""
-        text = self.parts.normalizer.normalize_str(" ".join(words))
+        normal, before = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        text = normal.normalize_str(" ".join(words))
         each = text.split(" ")
         if len(each) == len(words):
-            found = self.parts.pre_tokenizer.pre_tokenize_str(text)
+            found = before.pre_tokenize_str(text)
             ends = np.cumsum([len(w) + 1 for w in each])
             owner = np.searchsorted(ends, [span[0] for _, span in found], side="right")
             return [p for p, _ in found], np.bincount(owner, minlength=len(words)).tolist()
-        split = [[p for p, _ in self.parts.pre_tokenizer.pre_tokenize_str(self.parts.normalizer.normalize_str(w))] for w in words]
+        split = [[p for p, _ in before.pre_tokenize_str(normal.normalize_str(w))] for w in words]
         return [p for x in split for p in x], [len(x) for x in split]
 
-    def encode(self, words: list[str]) -> list[list[int]]:
+    def by_rounds(self, words: list[str]) -> list[list[int]]:
         """Ids of words, or of whole texts, without special tokens."""
-        pieces, counts = self.pieces(words)
+        pieces, counts = self.split_words(words)
         symbols, sizes = [], []
         for p in pieces:
             symbols += [self.inner[c] for c in p[:-1]]
@@ -143,63 +158,43 @@ class Codec:
             if part in self.added:
                 out.append(self.added[part])
             elif part.strip():
-                out += self.encode([part])[0]
+                out += self.by_rounds([part])[0]
         return out
 
-    def entry(self, ids: list[int]) -> tuple[str, str, int]:
-        return " ".join([self.numbers[i] for i in ids]), " ".join([self.tokens[i] for i in ids]), len(ids)
+    def written(self, column: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> Iterator[memoryview]:
+        """Per text: its ids through a column of the table, with one space between."""
+        data, edge = joined(column, ids, np.concatenate(([0], np.cumsum(sizes))))
+        return (data[a : max(a, b - 1)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
     def batch(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """(ids joined by spaces, tokens joined by spaces, count) of each text."""
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        need = {w for words in split if words for w in words}
-        if missing := need - self.words.keys():
-            if len(self.words) > WORDS:
-                self.words.clear()
-                missing = need
-            plain = [w for w in missing if not (self.special and self.special.search(w))]
-            self.words.update(zip(plain, map(self.entry, self.encode(plain)), strict=True))
-            self.words.update((w, self.entry(self.with_specials(w))) for w in missing.difference(plain))
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self.entry(self.with_specials(text)))
-                continue
-            found = [x for x in map(self.words.__getitem__, words) if x[2]]
-            out.append((" ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])))
-        return out
-
-
-#: Characters at which str.split() and the vocabulary's white space differ.
-_ODD = re.compile("[\x1c-\x1f\x85]")
+        ids, sizes = self.encode([t.encode() for t in texts])
+        return list(zip(*([str(x, "utf-8") for x in self.written(c, ids, sizes)] for c in (self.decimals, self.tokens)), sizes.tolist(), strict=True))
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(Codec, path, "")
+        codec = encoder(Codec, path, "<u4")
         for batch in batches:
             texts = encoded(batch.column("text"))
             for a, b in text_slices([len(t) for t in texts]):
-                ids, tokens, counts = zip(*codec.batch([t.decode() for t in texts[a:b]]), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), pa.array(tokens, pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
+                ids, sizes = codec.encode(texts[a:b])
+                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
+                tokens = pa.array([str(x, "utf-8") for x in codec.written(codec.tokens, ids, sizes)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes), lists, tokens], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(Codec, path, "")
-        hexed = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        codec = encoder(Codec, path, "<u4")
         for batch in batches:
             texts = encoded(batch.column("text"))
-            rows = []
             for a, b in text_slices([len(t) for t in texts]):
-                rows += [(n, hexed(ids), hexed(tokens)) for ids, tokens, n in codec.batch([t.decode() for t in texts[a:b]])]
-            counts, ids, tokens = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(tokens, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, sizes = codec.encode(texts[a:b])
+                hexed = [pa.array([hashlib.sha256(x).hexdigest() for x in codec.written(c, ids, sizes)], pa.string()) for c in (codec.decimals, codec.tokens)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes), *hexed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

@@ -106,8 +106,10 @@ def _pack(path: str, capacity: int, end_id: int):
             texts, doc_ids = encoded(batch.column("text")), batch.column("doc_id").to_pylist()
             for a, b in text_slices([len(t) for t in texts]):
                 rows = []
-                for doc_id, ids in zip(doc_ids[a:b], ids_of.batch([t.decode() for t in texts[a:b]]), strict=True):
-                    ids += end
+                flat, sizes = ids_of.encode(texts[a:b])
+                data, stops = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+                for doc_id, x, y in zip(doc_ids[a:b], [0, *stops], stops, strict=False):
+                    ids = data[x:y] + end
                     n = len(ids) // 4
                     for start, length in cuts(n, capacity):
                         rows += bins.add((doc_id, start, length, ids[start * 4 : (start + length) * 4], n))

@@ -50,32 +50,31 @@ class Writer:
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [files.open_output_stream(f"{root}/{name}.{k}.arrow") for k in ("tokens", "docs")]
         self.tokens, self.index = (pa.ipc.new_file(s, x) for s, x in zip(self.sinks, (self.schema, self.index_schema), strict=True))
-        self.rest, self.n_ids, self.n_docs = b"", 0, 0
+        self.rest, self.n_ids, self.n_docs = np.empty(0, dtype=self.dtype), 0, 0
 
-    def _write(self, data: bytes, padding: int = 0) -> None:
-        values = np.concatenate((np.frombuffer(data, dtype=self.dtype), np.zeros(padding, dtype=self.dtype)))
+    def _write(self, ids: np.ndarray, padding: int = 0) -> None:
+        values = np.concatenate((ids, np.zeros(padding, dtype=self.dtype)))
         mask = np.ones(len(values), dtype=bool)
         mask[len(values) - padding :] = False
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.seq_len) for v in (values, mask)]
         self.tokens.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
-    def add(self, doc_ids: list, blobs: list[bytes]) -> None:
-        sizes = np.array([len(b) // self.dtype.itemsize for b in blobs], dtype=np.int64)
+    def add(self, doc_ids: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents whose ids stand one after the other, and the number of each."""
         starts = self.n_ids + np.cumsum(sizes) - sizes
         self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=self.index_schema))
-        self.n_ids += int(sizes.sum())
-        self.n_docs += len(blobs)
-        data = self.rest + b"".join(blobs)
-        size = self.seq_len * self.dtype.itemsize * BATCH_ROWS
-        at = 0
-        while len(data) - at >= size:
+        self.n_ids += len(ids)
+        self.n_docs += len(sizes)
+        data = np.concatenate((self.rest, ids.astype(self.dtype)))
+        size = self.seq_len * BATCH_ROWS
+        whole = len(data) // size * size
+        for at in range(0, whole, size):
             self._write(data[at : at + size])
-            at += size
-        self.rest = data[at:]
+        self.rest = data[whole:]
 
     def close(self) -> None:
-        if self.rest:
-            self._write(self.rest, -(len(self.rest) // self.dtype.itemsize) % self.seq_len)
+        if len(self.rest):
+            self._write(self.rest, -len(self.rest) % self.seq_len)
         for x in (self.tokens, self.index, *self.sinks):
             x.close()
 
@@ -108,12 +107,12 @@ def _write(folder: str, path: str, seq_len: int, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
         ids_of = encoder(BareWords, path, dtype)
-        end = np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:
             texts, doc_ids = encoded(batch.column("text")), batch.column("doc_id").to_pylist()
             for a, b in text_slices([len(t) for t in texts]):
                 writer = writer or Writer(folder, seq_len, dtype)
-                writer.add(doc_ids[a:b], [x + end for x in ids_of.batch([t.decode() for t in texts[a:b]])])
+                ids, sizes = ids_of.encode(texts[a:b])
+                writer.add(doc_ids[a:b], np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
         if writer:
             writer.close()
             row = (TaskContext.get().partitionId(), *writer.paths, writer.n_ids, writer.n_docs)
