@@ -14,7 +14,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Words a worker keeps, and ids of theirs; beyond either it starts again.
+#: Words a worker keeps, and ids of theirs; beyond either it forgets the words that it met in one batch only.
 WORDS = 500_000
 IDS = 8_000_000
 _open: dict[tuple, object] = {}
@@ -71,16 +71,26 @@ class IdTable:
 
     def clear(self) -> None:
         self.known: dict = {}
-        self.ids, self.begin, self.size = (np.empty(0, dtype=np.int64) for _ in range(3))
+        self.ids, self.begin, self.size, self.met = (np.empty(0, dtype=np.int64) for _ in range(4))
+
+    def forget(self) -> None:
+        """Keep the words of two batches or more, if they are few enough."""
+        kept = np.flatnonzero(self.met > 1)
+        size = self.size[kept]
+        if len(kept) > WORDS // 2 or size.sum() > IDS // 2:
+            self.clear()
+            return
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.ids, self.begin, self.size, self.met = self.gather(kept), np.cumsum(size) - size, size, np.ones(len(kept), dtype=np.int64)
 
     def numbers(self, words: list) -> np.ndarray:
         """Numbers of words, for `begin` and `size`; unknown ones are learnt."""
+        if len(self.known) > WORDS or len(self.ids) > IDS:
+            self.forget()
         found = self._found(words)
         missing = np.flatnonzero(found < 0).tolist()
         if missing:
-            if len(self.known) > WORDS or len(self.ids) > IDS:
-                self.clear()
-                found, missing = np.empty(len(words), dtype=np.int64), range(len(words))
             new = list(dict.fromkeys([words[i] for i in missing]))
             ids, sizes = self.learn(new)
             first = len(self.known)
@@ -88,7 +98,9 @@ class IdTable:
             self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(sizes) - sizes))
             self.size = np.concatenate((self.size, sizes))
             self.ids = np.concatenate((self.ids, ids))
+            self.met = np.concatenate((self.met, np.zeros(len(new), dtype=np.int64)))
             found[missing] = self._found([words[i] for i in missing])
+        self.met[found] += 1  # once a batch, however often the word is in it
         return found
 
     def _found(self, words: list) -> np.ndarray:

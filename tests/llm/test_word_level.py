@@ -258,3 +258,19 @@ def test_op13_skip_list_reaches_every_rank(seed):
     for _ in range(30):
         ranks = [rng.randrange(len(u) + 1) for u in units]
         assert lists.find(np.array(ranks)).tolist() == [len("".join(u[:r])) for u, r in zip(units, ranks, strict=True)]
+
+
+# ---- words that a worker keeps
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    from convhist.llm import encoders
+
+    monkeypatch.setattr(encoders, "WORDS", 60)
+    texts = [" ".join(f"w{i % 7} common x{i}" for i in range(k, k + 30)) for k in range(0, 900, 30)]
+    for kind, name in ((encoders.SpacedWords, "byte_bpe_50k.json"), (encoders.BareWords, "word_bpe_49k.json")):
+        path = encoders.vocabulary(name)
+        coder, library = kind(path, "<u4"), encoders.library(path)
+        for a in range(0, len(texts), 3):
+            got = coder.batch(texts[a : a + 3])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[a : a + 3]]
+            assert len(coder.table.known) <= 60 + 100
