@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from convhist.operators.ordered import ranked, running_sum, scan
@@ -138,31 +138,34 @@ def pack_batches(
     before, but only through one small number: how many leading rows still belong to the batch
     that is already open (fewer than ``max_rows``). So every chunk is a function from that number
     to (number handed on, batches opened). Chunks of ``chunk`` rows are folded into functions,
-    chunks of ``chunk`` functions again, and only the last list is folded per key -- one entry per
-    ``chunk`` squared rows. No task ever sees a whole key.
+    ``chunk`` neighbouring functions into one, and so on until a key has one list of at most
+    ``chunk`` functions; on the way back each function gets what enters it. No list is longer than
+    ``chunk``, whatever the size of a key.
     """
     wide = _with_reach(rows.select(*keys, order, tokens), keys, order, tokens, max_tokens - overhead, max_rows, chunk)
-    level1 = wide.groupBy(*keys, "_c1").agg(_in_order(order, "_reach").alias("_steps"))
-    maps1 = level1.select(
-        *keys, "_c1", F.expr(f"_c1 div {chunk}L").alias("_c2"),
-        _as_map(max_rows, lambda entry: _walk(F.col("_steps"), entry)).alias("_map"),
-    )
-    level2 = maps1.groupBy(*keys, "_c2").agg(_in_order("_c1", "_map").alias("_maps"))
-    maps2 = level2.select(*keys, "_c2", _as_map(max_rows, lambda entry: _through(F.col("_maps"), entry)).alias("_map"))
-    top = maps2.groupBy(*keys).agg(_in_order("_c2", "_map").alias("_maps"))
+    seen = Observation()
+    leaves = wide.groupBy(*keys, F.col("_c1").alias("_c")).agg(_in_order(order, "_reach").alias("_steps"))
+    leaves = materialize(leaves.observe(seen, F.max("_c").alias("last")))
+    last = int(seen.get.get("last") or 0)
+    maps = leaves.select(*keys, "_c", _as_map(max_rows, lambda entry: _walk(F.col("_steps"), entry)).alias("_map"))
+    lists = []
+    while last >= chunk:
+        parents = maps.withColumn("_up", F.expr(f"_c div {chunk}L")).groupBy(*keys, "_up").agg(_in_order("_c", "_map").alias("_maps"))
+        lists.append(materialize(parents))
+        through = _as_map(max_rows, lambda entry: _through(F.col("_maps"), entry))
+        maps, last = lists[-1].select(*keys, F.col("_up").alias("_c"), through.alias("_map")), last // chunk
+    # At most `chunk` functions of a key are left: their list is bounded.
+    top = maps.groupBy(*keys).agg(_in_order("_c", "_map").alias("_maps"))
     start = F.struct(F.lit(0).alias("left"), F.lit(0).cast("bigint").alias("opened"))
-    enter2 = top.select(*keys, F.posexplode(_entries(F.col("_maps"), start)).alias("_c2", "_in")).withColumn(
-        "_c2", F.col("_c2").cast("bigint")
-    )
-    enter1 = (
-        level2.join(enter2, [*keys, "_c2"])
-        .select(*keys, "_c2", F.posexplode(_entries(F.col("_maps"), F.col("_in"))).alias("_p", "_in"))
-        .select(*keys, (F.col("_c2") * chunk + F.col("_p")).alias("_c1"), "_in")
-    )
-    numbers = level1.join(enter1, [*keys, "_c1"]).select(
-        *keys, F.posexplode(_numbers(F.col("_steps"), F.col("_in"))).alias("_p", "batch_no"), "_c1"
+    enter = top.select(*keys, F.posexplode(_entries(F.col("_maps"), start)).alias("_c", "_in")).withColumn("_c", F.col("_c").cast("bigint"))
+    for parents in reversed(lists):
+        inside = parents.join(enter.withColumnRenamed("_c", "_up"), [*keys, "_up"])
+        inside = inside.select(*keys, "_up", F.posexplode(_entries(F.col("_maps"), F.col("_in"))).alias("_p", "_in"))
+        enter = inside.select(*keys, (F.col("_up") * chunk + F.col("_p")).alias("_c"), "_in")
+    numbers = leaves.join(enter, [*keys, "_c"]).select(
+        *keys, F.posexplode(_numbers(F.col("_steps"), F.col("_in"))).alias("_p", "batch_no"), "_c"
     )
-    numbers = numbers.select(*keys, (F.col("_c1") * chunk + F.col("_p")).alias(order), "batch_no")
+    numbers = numbers.select(*keys, (F.col("_c") * chunk + F.col("_p")).alias(order), "batch_no")
     return rows.join(numbers, [*keys, order])
 
 

@@ -5,10 +5,15 @@ session holds a large share of the data. Here every key is cut into chunks of co
 ordinals. Three cheap steps replace the window:
 
 1. an ordinary window inside each ``(key, chunk)``, bounded by ``chunk_rows`` rows;
-2. a map-side combined aggregate that leaves one row per ``(key, chunk)``, then a window over
-   those few rows to obtain what each chunk inherits from its neighbours;
+2. a map-side combined aggregate that leaves one row per ``(key, chunk)``, and a prefix tree over
+   those: up to ``FAN`` neighbouring nodes share a parent, whose value is their fold, until one
+   root is left; on the way down each node gets what its parent inherits and what its siblings
+   add, from a window over siblings alone. A tree of any depth has windows of ``FAN`` rows at most;
 3. an equi-join of both on ``(key, chunk)`` -- the partitioning step 1 already established.
 
+Chunks are value ranges of the ordinal, which needs no sort. Where that would leave many chunks
+with few rows each (sparse ordinals), they are cut by rows instead: range partitions of the order.
+
 All supported scans are associative (sum, min, max, first / last non-null), so the result is
 exactly that of the plain window.
 """
@@ -18,13 +23,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from convhist.session import materialize
 
 CHUNK_ROWS = 65_536
+#: Children of a node in the prefix tree over chunks.
+FAN = 65_536
+#: A tree of several levels is cut by rows if its chunks hold fewer rows than this on average.
+SPARSE_ROWS = 8
 _CHUNK = "_chunk"
+_UP = "_up"
 _FIRST, _LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
 
@@ -161,18 +171,15 @@ def scan(
     rows = int(chunk_rows or CHUNK_ROWS)
     base = df.withColumn(_CHUNK, F.col(chunk) if chunk else F.expr(f"`{order[0]}` div {rows}L"))
     inner = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    outer = Window.partitionBy(*keys).orderBy(_CHUNK)
 
-    summary = base.groupBy(*keys, _CHUNK).agg(
-        *[_partial(spec, order).alias(f"_p_{name}") for name, spec in columns.items()]
-    )
-    carries = []
-    for name, spec in columns.items():
-        frame = {"all": (_FIRST, _LAST)}.get(spec.span, (_FIRST, -1) if spec.forward else (1, _LAST))
-        carries.append(_windowed(spec, F.col(f"_p_{name}"), outer.rowsBetween(*frame)).alias(f"_c_{name}"))
     # One row per chunk, stored: chained scans read their input once more each instead of twice as often each, and
     # Spark can split a hot key of the join below.
-    summary = materialize(summary.select(*keys, _CHUNK, *carries))
+    summary, bounds = _stored_nodes(base.groupBy(*keys, _CHUNK).agg(
+        F.count(F.lit(1)).alias("_rows"), *[_partial(spec, order).alias(f"_p_{name}") for name, spec in columns.items()]
+    ))
+    if not chunk and bounds.high - bounds.low >= FAN and bounds.rows < SPARSE_ROWS * bounds.nodes:
+        return scan(range_chunks(df, keys, order), keys, order, columns, rows, "_range").drop("_range")
+    summary = _inherited(summary, keys, columns, bounds.low, bounds.high)
 
     local = base.select(
         "*",
@@ -191,6 +198,53 @@ def scan(
     return local.join(summary, [*keys, _CHUNK]).select(*kept, *result)
 
 
+@dataclass(frozen=True)
+class _Bounds:
+    """Least and greatest chunk of all keys, chunks and rows."""
+
+    low: int
+    high: int
+    nodes: int
+    rows: int
+
+
+def _stored_nodes(nodes: DataFrame) -> tuple[DataFrame, _Bounds]:
+    """Nodes as a table, with bounds that the job that writes them observes. ``nodes`` has ``_rows``."""
+    seen = Observation()
+    facts = [F.min(_CHUNK).alias("low"), F.max(_CHUNK).alias("high"), F.count(F.lit(1)).alias("nodes"), F.sum("_rows").alias("rows")]
+    stored = materialize(nodes.observe(seen, *facts))
+    found = seen.get
+    return stored, _Bounds(*[int(found.get(name) or 0) for name in ("low", "high", "nodes", "rows")])
+
+
+def _inherited(nodes: DataFrame, keys: list[str], columns: Mapping[str, Scan], low: int, high: int) -> DataFrame:
+    """(keys, chunk, ``_c_`` columns): what each node inherits from the nodes before, after or around it.
+
+    ``nodes`` have ``_p_`` columns, the fold of what is below them. Siblings are ``FAN`` consecutive chunk numbers, so no
+    window has more rows than that; the parents' own inheritance comes from the next level of the tree.
+    """
+    parent = F.expr(f"({_CHUNK} - ({low}L)) div {FAN}L")  # never negative
+    siblings = Window.partitionBy(*keys, _UP).orderBy(_CHUNK)
+    children = nodes.withColumn(_UP, parent)
+
+    def among(name: str, spec: Scan) -> Column:
+        frame = {"all": (_FIRST, _LAST)}.get(spec.span, (_FIRST, -1) if spec.forward else (1, _LAST))
+        return _windowed(spec, F.col(f"_p_{name}"), siblings.rowsBetween(*frame))
+
+    if high - low < FAN:
+        return children.select(*keys, _CHUNK, *[among(name, spec).alias(f"_c_{name}") for name, spec in columns.items()])
+    folds = [_partial(Scan(spec.fold, F.col(f"_p_{name}"), spec.span), [_CHUNK]).alias(f"_p_{name}") for name, spec in columns.items()]
+    parents = materialize(children.groupBy(*keys, _UP).agg(*folds)).withColumnRenamed(_UP, _CHUNK)
+    above = _inherited(parents, keys, columns, 0, (high - low) // FAN).withColumnRenamed(_CHUNK, _UP)
+    above = materialize(above.withColumnsRenamed({f"_c_{name}": f"_u_{name}" for name in columns}))
+    local = children.select(*keys, _UP, _CHUNK, *[among(name, spec).alias(f"_l_{name}") for name, spec in columns.items() if spec.span != "all"])
+    whole = [
+        (F.col(f"_u_{name}") if spec.span == "all" else _combined(spec, F.col(f"_l_{name}"), F.col(f"_u_{name}"))).alias(f"_c_{name}")
+        for name, spec in columns.items()
+    ]
+    return local.join(above, [*keys, _UP]).select(*keys, _CHUNK, *whole)
+
+
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_range") -> DataFrame:
     """Number range partitions of ``(keys, order)`` so that any sort order can be scanned.
 
@@ -213,22 +267,33 @@ def runs(
 ) -> DataFrame:
     """Gaps-and-islands: number maximal runs of consecutive rows with equal ``same`` columns.
 
-    One pass like :func:`scan`: runs are numbered inside each chunk, and the chunk summary (first
-    and last value, number of runs) tells how many runs end before a chunk and whether its first
-    run continues the one before.
+    Like :func:`scan`: runs are numbered inside each chunk, and the chunk summary (first and last
+    value, number of runs) tells, through the prefix tree, how many runs end before a chunk and
+    whether its first run continues the one before.
     """
     keys = list(keys)
     value = F.struct(*same)
+    cut = F.expr(f"`{order}` div {int(chunk_rows or CHUNK_ROWS)}L")
+    nodes, bounds, local = _run_nodes(df.withColumn(_CHUNK, cut), keys, order, value)
+    if bounds.high - bounds.low >= FAN and bounds.rows < SPARSE_ROWS * bounds.nodes:
+        ranged = range_chunks(df, keys, [order])
+        nodes, bounds, local = _run_nodes(ranged.withColumnRenamed("_range", _CHUNK), keys, order, value)
+    before = _inherited(nodes, keys, {"tail": Scan("value", F.col("_p_tail"), "before")}, bounds.low, bounds.high)
+    joins = F.coalesce(F.col("_c_tail") == F.col("_head"), F.lit(False))
+    steps = nodes.join(before, [*keys, _CHUNK]).withColumn("_p_base", F.col("_n") + F.when(joins, 0).otherwise(1)).withColumn("_new", F.when(joins, 0).otherwise(1))
+    steps = materialize(steps.select(*keys, _CHUNK, "_p_base", "_new"))
+    ahead = _inherited(steps, keys, {"base": Scan("sum", F.col("_p_base"), "before")}, bounds.low, bounds.high)
+    base = steps.join(ahead, [*keys, _CHUNK]).select(*keys, _CHUNK, (F.coalesce("_c_base", F.lit(0)) + F.col("_new")).alias("_base"))
+    kept = [F.col(c) for c in df.columns if c != run]
+    return local.join(materialize(base), [*keys, _CHUNK]).select(*kept, (F.col("_base") + F.col("_local")).alias(run))
+
+
+def _run_nodes(base: DataFrame, keys: list[str], order: str, value: Column) -> tuple[DataFrame, _Bounds, DataFrame]:
+    """Chunks with the runs that begin inside them, their first and last value; bounds; rows numbered inside chunks."""
     inner = Window.partitionBy(*keys, _CHUNK).orderBy(order)
-    outer = Window.partitionBy(*keys).orderBy(_CHUNK)
-    base = df.withColumn(_CHUNK, F.expr(f"`{order}` div {int(chunk_rows or CHUNK_ROWS)}L"))
     local = base.withColumn("_fresh", F.coalesce((F.lag(value).over(inner) != value).cast("bigint"), F.lit(0)))
     local = local.withColumn("_local", F.sum("_fresh").over(inner.rowsBetween(_FIRST, 0)))
-    summary = local.groupBy(*keys, _CHUNK).agg(
-        F.max("_local").alias("_n"), F.min_by(value, order).alias("_head"), F.max_by(value, order).alias("_tail")
-    )
-    summary = summary.withColumn("_joins", F.coalesce(F.lag("_tail").over(outer) == F.col("_head"), F.lit(False)))
-    steps = F.col("_n") + F.when(F.col("_joins"), 0).otherwise(1)
-    summary = materialize(summary.select(*keys, _CHUNK, (F.sum(steps).over(outer.rowsBetween(_FIRST, 0)) - F.col("_n")).alias("_base")))
-    kept = [F.col(c) for c in df.columns if c != run]
-    return local.join(summary, [*keys, _CHUNK]).select(*kept, (F.col("_base") + F.col("_local")).alias(run))
+    nodes, bounds = _stored_nodes(local.groupBy(*keys, _CHUNK).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max("_local").alias("_n"), F.min_by(value, order).alias("_head"), F.max_by(value, order).alias("_p_tail")
+    ))
+    return nodes, bounds, local

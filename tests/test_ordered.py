@@ -56,6 +56,42 @@ def test_runs_equal_python(spark, chunk_rows):
             assert got[(key, o)] == run
 
 
+@pytest.mark.parametrize(("fan", "sparse"), [(2, 0), (3, 0), (7, 10**9)])
+def test_prefix_tree_of_several_levels(spark, monkeypatch, fan, sparse):
+    """Sparse and negative ordinals, a hot key; sparse=0 keeps the tree, a large one cuts by rows."""
+    monkeypatch.setattr(O, "FAN", fan)
+    monkeypatch.setattr(O, "SPARSE_ROWS", sparse)
+    rng = random.Random(fan)
+    rows = [(key, o, rng.choice([None, 1, 2, -4]), rng.choice("xy")) for key, n in (("hot", 150), ("a", 3)) for o in sorted(rng.sample(range(-400, 3000), n))]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint, c string").repartition(4)
+    v = F.col("v")
+    scanned = O.scan(df, ["k"], "o", {
+        "s": O.running_sum(v), "mx": O.running_max(v, strict=True), "last": O.last_value(v, strict=True), "nxt": O.next_value(v),
+        "low": O.remaining_min(v), "prev": O.previous_row(v), "tot": O.total_sum(v), "top": O.total_max(v), "n": O.position(),
+    }, 2)
+    got = {(r.k, r.o): r for r in O.runs(scanned, ["k"], "o", ["c"], "run", 2).collect()}
+    assert len(got) == len(rows)
+    for key in ("hot", "a"):
+        group = [r for r in rows if r[0] == key]
+        values, run = [r[2] for r in group], 0
+        known = lambda part: [x for x in part if x is not None]
+        for i, (_, o, _, c) in enumerate(group):
+            run += i == 0 or c != group[i - 1][3]
+            row = got[key, o]
+            assert (row.s, row.n, row.run) == (sum(known(values[: i + 1])), i + 1, run)
+            assert row.mx == max(known(values[:i]), default=None) and row.low == min(known(values[i + 1 :]), default=None)
+            assert row["last"] == (known(values[:i]) or [None])[-1] and row.nxt == (known(values[i + 1 :]) or [None])[0]
+            assert (row.prev.v if row.prev else "none") == (values[i - 1] if i else "none")
+            assert row.tot == sum(known(values)) and row.top == max(known(values))
+
+
+def test_scans_of_empty_tables(spark):
+    df = spark.createDataFrame([], "k string, o bigint, c string")
+    assert O.scan(df, ["k"], "o", {"n": O.position()}).collect() == []
+    assert O.runs(df, ["k"], "o", ["c"], "run").collect() == []
+    assert O.ranked(df, ["k"], ["c", "o"], "rank", "size").collect() == []
+
+
 def test_ranked_any_order(spark):
     rows = [("g", random.Random(i).random(), i) for i in range(300)] + [("h", 0.5, 1)]
     got = O.ranked(spark.createDataFrame(rows, "k string, x double, i bigint"), ["k"], ["x", "i"], "rank", "size").collect()
