@@ -32,7 +32,11 @@ def pair_tools(events: DataFrame, group: list[str], chunk_rows: int | None = Non
     turns = scan(events.filter("phase <> 'exchange'"), [*group, "call_id"], "ordinal", {"_p": previous_row(call)}, chunk_rows)
     closed = turns.filter((F.col("phase") == "result") & (F.col("_p.v.phase") == "call")).withColumn("_call", F.col("_p.v")).drop("_p")
     alone = events.filter("phase = 'exchange'").withColumn("_call", F.lit(None).cast(closed.schema["_call"].dataType))
-    rows = closed.unionByName(alone)
+    return answer_fields(closed.unionByName(alone), group)
+
+
+def answer_fields(rows: DataFrame, group: list[str], extra: list[str] = []) -> DataFrame:
+    """Fields of closed calls: what a result leaves empty comes from its call, the struct ``_call`` (or null)."""
     blank = F.lit("")
     return rows.select(
         *group, "ordinal", "call_id",
@@ -40,7 +44,7 @@ def pair_tools(events: DataFrame, group: list[str], chunk_rows: int | None = Non
         _or(F.col("namespace"), F.coalesce(F.col("_call.namespace"), blank)).alias("namespace"),
         _or(F.col("status"), F.when(F.col("error") == "", "completed").otherwise("error")).alias("status"),
         _or(F.col("input"), F.coalesce(F.col("_call.input"), blank)).alias("input"),
-        "output", "error",
+        "output", "error", *extra,
     )
 
 

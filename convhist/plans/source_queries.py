@@ -10,7 +10,7 @@ from convhist.plans.bindings import ITEMS, SESSIONS, documents, items, sessions,
 from convhist.plans.registry import query
 from convhist.session import materialize, scratch_path
 from convhist.sources import jsonl, snapshots, tables
-from convhist.streaming import streams
+from convhist.streaming import calls, streams
 
 
 @query(
@@ -468,3 +468,32 @@ def stream_pair_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.pair_tools_stream(rows, root, f"{root}/checkpoint").awaitTermination()
     read = lambda name, outcome: spark.read.parquet(f"{root}/{name}").select("session_ref", "ordinal", "call_id", F.lit(outcome).alias("outcome"))
     return read("paired", "paired").unionByName(read("unanswered", "unanswered")).unionByName(read("open", "open"))
+
+
+_TIMED = """c AS (SELECT 'u' || user_id AS session_ref, event_id AS ordinal, ts, CASE WHEN event_type IN ('view', 'signup') THEN 'call' WHEN event_type IN ('click', 'error') THEN 'result' ELSE 'exchange' END AS phase, 'c' || (json_extract_string(props, '$.k')::BIGINT % 10) AS call_id FROM events),
+w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS mark FROM c),
+l AS (SELECT *, lag(phase) OVER o AS pp, lag(ts) OVER o AS pt, lead(ts) OVER o AS nt FROM c, w WHERE phase <> 'exchange' AND ts <= mark WINDOW o AS (PARTITION BY session_ref, call_id ORDER BY ts, ordinal))"""
+
+
+@query(
+    "stream_pair_calls",
+    f"""WITH {_TIMED} SELECT session_ref, ordinal, call_id, 'paired' AS outcome FROM c WHERE phase = 'exchange'
+    UNION ALL SELECT session_ref, ordinal, call_id, 'paired' FROM l WHERE phase = 'result' AND pp = 'call' AND ts < pt + INTERVAL 1 DAY
+    UNION ALL SELECT session_ref, ordinal, call_id, CASE WHEN nt IS NOT NULL OR ts + INTERVAL 1 DAY <= mark THEN 'unanswered' ELSE 'open' END FROM l WHERE phase = 'call' AND (nt IS NULL OR nt >= ts + INTERVAL 1 DAY)
+    UNION ALL SELECT session_ref, ordinal, call_id, 'waiting' FROM c, w WHERE phase <> 'exchange' AND ts > mark""",
+)
+def stream_pair_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, blank = F.col("event_type"), F.lit("")
+    phase = F.when(kind.isin("view", "signup"), "call").when(kind.isin("click", "error"), "result").otherwise("exchange")
+    rows = _stream(spark, sf_dir).select(
+        F.concat(F.lit("u"), "user_id").alias("session_ref"), F.col("event_id").alias("ordinal"), phase.alias("phase"),
+        F.concat(F.lit("c"), F.get_json_object("props", "$.k").cast("bigint") % 10).alias("call_id"),
+        *[blank.alias(c) for c in ("name", "namespace", "status", "input", "output", "error")], "ts",
+    )
+    root = scratch_path(spark, "calls")
+    paired = calls.pair_calls(rows)
+    with calls.state_store(spark):
+        streams.append_records(paired, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    emitted = spark.read.schema(paired.schema).parquet(f"{root}/out")
+    held = calls.unfinished(spark, f"{root}/checkpoint").withColumnRenamed("held", "outcome")
+    return emitted.select("session_ref", "ordinal", "call_id", "outcome").unionByName(held.select("session_ref", "ordinal", "call_id", "outcome"))
