@@ -269,33 +269,61 @@ def provider_usage(sessions: DataFrame, current: str | None) -> DataFrame:
     )
 
 
+_LEAST = -(1 << 63)
+# Where the length of a decimal number changes, and the length from there on.
+_LENGTHS = [(_LEAST, 20), *((1 - 10**j, j + 1) for j in range(18, 0, -1)), (0, 1), *((10**j, j + 1) for j in range(1, 19))]
+
+
+def _digits(number: Column) -> Column:
+    return F.length(number.cast("string"))
+
+
+def _growth_steps(offset: Column, own: Column) -> Column:
+    """How a log grows, as a step function of the shift of its base: sorted (start, value), valid from start on."""
+    step = lambda start, length: F.struct(
+        (F.lit(start) if start == _LEAST else F.lit(start) - offset).cast("bigint").alias("start"), (own + length - _digits(offset)).cast("bigint").alias("value")
+    )
+    return F.array(*[step(start, length) for start, length in _LENGTHS])
+
+
+def _step_at(steps: Column, place: Column) -> Column:
+    return F.element_at(F.filter(steps, lambda s: s["start"] <= place), -1)["value"]
+
+
 def provider_unify(sessions: DataFrame, target: str) -> DataFrame:
     """Before/after provider per session and the moved end offset of its history base.
 
     ``sessions``: session_ref, provider, base_ref (nullable), base_offset, own_delta (bytes its log
     grows by the new provider). A log moves by its own rewrite plus the change in digits of its own
-    base offset, which in turn moves with the base's log -- so shifts run down the base edges, one
-    join per generation. Sessions behind a missing base or a cycle come back with a null offset.
+    base offset, which in turn moves with the base's log. So a log's growth is a step function of
+    its base's growth, with one step per number of digits, and the composition with an ancestor's
+    function has the ancestor's steps: its size never grows. Pointer doubling composes them along
+    the base edges, so a chain of n bases takes log n rounds. Sessions behind a missing base or a
+    cycle come back with a null offset.
     """
     changed = F.col("provider") != target
-    rows = sessions.select(
+    rows = materialize(sessions.select(
         "session_ref", "provider", "base_ref", "base_offset", F.when(changed, F.col("own_delta")).otherwise(0).cast("bigint").alias("_own")
+    ))
+    root = F.array(F.struct(F.lit(_LEAST).cast("bigint").alias("start"), F.col("_own").alias("value")))
+    steps = F.when(F.col("base_ref").isNull(), root).otherwise(_growth_steps(F.col("base_offset"), F.col("_own")))
+    # Growth as a function of the growth of `jump`; without a jump it is settled: one value, or null if nothing leads to a root.
+    state = rows.select("session_ref", F.col("base_ref").alias("jump"), steps.alias("steps"))
+    total, reach = rows.count(), 1
+    while reach <= 2 * total:
+        waiting = state.filter("jump IS NOT NULL")
+        if waiting.isEmpty():
+            break
+        upper = state.select(F.col("session_ref").alias("jump"), F.col("jump").alias("_next"), F.col("steps").alias("_upper"))
+        met = lookup_join(waiting, upper, ["jump"], "left", ["session_ref"])
+        through = F.transform("_upper", lambda u: F.struct(u["start"].alias("start"), _step_at(F.col("steps"), u["value"]).alias("value")))
+        state = materialize(state.filter("jump IS NULL").unionByName(met.select("session_ref", F.col("_next").alias("jump"), through.alias("steps"))))
+        reach *= 2
+    growth = state.filter("jump IS NULL AND steps IS NOT NULL").select(F.col("session_ref").alias("base_ref"), F.col("steps")[0]["value"].alias("_shift"))
+    after = (F.col("base_offset") + F.col("_shift")).alias("after_offset")
+    return lookup_join(rows, growth, ["base_ref"], "left", ["session_ref"]).select(
+        "session_ref", F.col("provider").alias("before"), F.lit(target).alias("after"), changed.alias("changed"), after
     )
-    digits = lambda c: F.length(c.cast("string"))
-    frontier = materialize(
-        rows.filter("base_ref IS NULL").select("session_ref", F.lit(None).cast("bigint").alias("after_offset"), F.col("_own").alias("_delta"))
-    )
-    waiting, done = rows.filter("base_ref IS NOT NULL"), None
-    while not frontier.isEmpty():
-        done = frontier if done is None else done.unionByName(frontier)
-        shift = frontier.select(F.col("session_ref").alias("base_ref"), F.col("_delta").alias("_shift"))
-        moved = lookup_join(waiting, shift, ["base_ref"], "inner", ["session_ref"])
-        after = F.col("base_offset") + F.col("_shift")
-        frontier = materialize(
-            moved.select("session_ref", after.alias("after_offset"), (F.col("_own") + digits(after) - digits(F.col("base_offset"))).alias("_delta"))
-        )
-    result = rows if done is None else rows.join(done, "session_ref", "left")
-    return result.select("session_ref", F.col("provider").alias("before"), F.lit(target).alias("after"), changed.alias("changed"), "after_offset")
 
 
 def lineage_levels(sessions: DataFrame, node: str = "session_ref", parent: str = "base_ref") -> DataFrame:

@@ -228,3 +228,49 @@ def test_normalize_phrase_uses_nfkc(spark):
 def test_cursor_rejects_foreign_text(spark):
     df = spark.createDataFrame([("cursor1_",), ("other",), ("cursor1_YQ==",), ("cursor1_YQ",)], "c string")
     assert [r[0] for r in df.select(ids.decode_cursor(F.col("c"))).collect()] == [None, None, None, "a"]
+
+
+def _unified(rows, target):
+    """Offsets by following each session's bases one by one."""
+    by = {r[0]: r for r in rows}
+
+    def growth(ref, seen):
+        _, provider, base, offset, own = by[ref]
+        own = own if provider != target else 0
+        if base is None:
+            return own
+        if base not in by or base in seen:
+            return None
+        shift = growth(base, seen | {base})
+        return None if shift is None else own + len(str(offset + shift)) - len(str(offset))
+
+    out = {}
+    for ref, _, base, offset, _ in rows:
+        shift = growth(base, {ref, base}) if base in by and base != ref else None
+        out[ref] = None if base is None or shift is None else offset + shift
+    return out
+
+
+def test_provider_unify_on_forests_cycles_and_missing_bases(spark):
+    rng, rows = random.Random(4), []
+    for i in range(300):
+        base = None if rng.random() < 0.1 else f"s{rng.randrange(max(1, i))}" if rng.random() < 0.9 else rng.choice(["gone", f"s{rng.randrange(300)}"])
+        rows.append((f"s{i}", rng.choice("pq"), base, None if base is None else rng.choice([8, 9, 95, 99, 998, 9_995, 10**9 - 3, 0]), rng.randrange(-9, 12)))
+    schema = "session_ref string, provider string, base_ref string, base_offset bigint, own_delta bigint"
+    got = {r.session_ref: r.after_offset for r in M.provider_unify(spark.createDataFrame(rows, schema), "q").collect()}
+    assert got == _unified(rows, "q") and any(v is None for v in got.values())
+
+
+def test_provider_unify_on_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, tables = 10_000, []
+    rows = [(f"s{i}", "p", f"s{i - 1}" if i else None, 10 ** (i % 4 + 1) - 1 if i else None, i % 3) for i in range(n)]
+    keep = M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df: tables.append(1) or keep(df))
+    schema = "session_ref string, provider string, base_ref string, base_offset bigint, own_delta bigint"
+    got = {r.session_ref: r.after_offset for r in M.provider_unify(spark.createDataFrame(rows, schema), "q").collect()}
+    shift, want = 0, {"s0": None}
+    for ref, _, _, offset, own in rows[1:]:
+        want[ref] = offset + shift
+        shift = own + len(str(want[ref])) - len(str(offset))
+    assert got == want
+    assert len(tables) <= 16  # the sessions, and one table a round
