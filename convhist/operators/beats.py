@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from convhist.functions.ids import canonical_digest, framed_digest, multiset_digest
 from convhist.functions.paths import normalize_posix
@@ -137,48 +135,54 @@ def assistant_evidence(
     )
 
 
-def _fragment_ends(limit: int):
-    """Byte offsets where the fragments of long texts end. Scans bytes, hence an Arrow UDF."""
+def _fragment_end(view: Column, limit: int) -> Column:
+    """Length of the fragment that a longer text begins with.
+
+    ``view``: the ``limit + 1`` bytes from its start on, one character per byte. The fragment ends behind the last blank
+    line of its second half, else behind the last line break there, else at the last whole character. A blank line may
+    begin on the last byte.
+    """
+    byte = lambda at: F.substring(view, at + 1, 1)
+    inner = [byte(limit - k).between("\x80", "\xbf") for k in range(3)]
+    whole = limit - F.when(~inner[0], 0).when(~inner[1], 1).when(~inner[2], 2).otherwise(3)
+    half = F.floor(whole / 2).cast("int")
+    late = lambda extra: F.reverse(F.substring(view, half + 1, whole - half + extra))
+    blank, line = F.locate("\n\n", late(1)), F.locate("\n", late(0))
+    return F.when(blank > 0, whole + 2 - blank).when(line > 0, whole + 1 - line).otherwise(whole)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def ends(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: None if text is None else fragment_ends(text, limit))
 
-    return ends
+def _fragment_ends(text: Column, limit: int) -> Column:
+    """Byte offsets where the fragments of a text of more than ``limit`` bytes end: a fold over its fragments.
 
+    Each step reads ``limit + 1`` bytes; a fragment has more than half of the limit, which bounds the number of steps.
+    """
+    raw = text.cast("binary")
+    size = utf8_bytes(text)
+    steps = F.sequence(F.lit(1).cast("bigint"), F.floor(size / ((limit - 3) // 2 + 1)) + 1)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("ends"), raw.alias("raw"), size.alias("size"))
+
+    def cut(state: Column, _: Column) -> Column:
+        view = F.decode(F.substring(state["raw"], (state["at"] + 1).cast("int"), F.lit(limit + 1)), "ISO-8859-1")
+        end = F.when(state["size"] - state["at"] <= limit, state["size"]).otherwise(state["at"] + _fragment_end(view, limit)).cast("bigint")
+        done = state["at"] >= state["size"]
+        return F.struct(
+            F.when(done, state["at"]).otherwise(end).alias("at"), F.when(done, state["ends"]).otherwise(F.array_append(state["ends"], end)).alias("ends"),
+            state["raw"].alias("raw"), state["size"].alias("size"),
+        )
 
-def fragment_ends(text: str, limit: int) -> list[int]:
-    data = text.encode("utf-8")
-    total, cuts, begin = len(data), [], 0
-    while total - begin > limit:
-        stop = begin + limit
-        while data[stop] & 0xC0 == 0x80:
-            stop -= 1
-        half = begin + (stop - begin) // 2
-        # A paragraph break may start on the last byte and so reach one byte past the limit.
-        blank = data.rfind(b"\n\n", half, stop + 1)
-        line = data.rfind(b"\n", half, stop)
-        if blank >= half:
-            stop = blank + 2
-        elif line >= half:
-            stop = line + 1
-        cuts.append(stop)
-        begin = stop
-    if total > begin:
-        cuts.append(total)
-    return cuts
+    return F.aggregate(steps, start, cut, lambda state: state["ends"])
 
 
 def split_text(df: DataFrame, text: str, limit: int = CARD_TEXT_BYTES) -> DataFrame:
     """Explode a text into fragments of about ``limit`` bytes at paragraph or line breaks.
 
-    Only texts above the limit travel to Python; the rest stays one fragment in the JVM.
+    Column expressions throughout. Texts up to the limit stay one fragment.
     """
     if limit < 64:
         raise ValueError("text byte limit must be at least 64")
     size = utf8_bytes(F.col(text))
-    long_text = F.when(size > limit, F.col(text))
-    ends = F.coalesce(_fragment_ends(limit)(long_text), F.when(size > 0, F.array(size)), F.array().cast("array<bigint>"))
+    whole = F.when(size > 0, F.array(size.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    ends = F.when(size > limit, _fragment_ends(F.col(text), limit)).otherwise(whole)
     pieces = (
         df.withColumn("_ends", ends)
         .withColumn("fragment_count", F.size("_ends").cast("bigint"))

@@ -274,3 +274,34 @@ def test_provider_unify_on_a_long_chain_takes_few_rounds(spark, monkeypatch):
         shift = own + len(str(want[ref])) - len(str(offset))
     assert got == want
     assert len(tables) <= 16  # the sessions, and one table a round
+
+
+def _cuts(text, limit):
+    """Fragment ends from the rule: the last place in the window that ends a blank line, else a line, else a character."""
+    data, ends = text.encode(), []
+    boundary = {len(text[:i].encode()) for i in range(len(text) + 1)}
+    while (ends[-1] if ends else 0) < len(data):
+        at = ends[-1] if ends else 0
+        if len(data) - at <= limit:
+            ends.append(len(data))
+            break
+        whole = max(x for x in boundary if x <= at + limit)
+        half = at + (whole - at) // 2
+        blanks = [x + 2 for x in range(half, whole) if data[x : x + 2] == b"\n\n"]
+        lines = [x + 1 for x in range(half, whole) if data[x : x + 1] == b"\n"]
+        ends.append((blanks or lines or [whole])[-1])
+    return ends
+
+
+def test_split_text_cuts_where_the_rule_says(spark):
+    rng = random.Random(8)
+    made = ["".join(rng.choices(["a", " ", "\n", "\n\n", "ä", "漢", "🎉", "word "], weights, k=rng.choice([1, 40, 300, 900]))) for weights in ([9, 3, 1, 1, 3, 3, 3, 3], [1, 1, 0, 0, 1, 5, 5, 1], [5, 5, 5, 5, 1, 1, 1, 1]) for _ in range(25)]
+    made += ["", "x" * 64, "x" * 65, "\n" * 400, "é" * 33, "a" * 63 + "\n\n" + "b" * 90, "a" * 62 + "🎉" * 40]
+    df = spark.createDataFrame(list(enumerate(made)), "i bigint, t string")
+    plan = B.split_text(df, "t", 64)
+    got = {}
+    for r in plan.orderBy("i", "fragment_index").collect():
+        got.setdefault(r.i, []).append(r.byte_end)
+        assert made[r.i].encode()[r.byte_start : r.byte_end].decode() == r.fragment_text
+    assert {i: got.get(i, []) for i in range(len(made))} == {i: _cuts(t, 64) for i, t in enumerate(made)}
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
