@@ -91,7 +91,7 @@ class Codec(BareWords):
             spec = json.load(f)
         model = spec["model"]
         suffix = model["end_of_word_suffix"]
-        if not suffix or spec["decoder"] or model["unk_token"] or model["continuing_subword_prefix"]:
+        if not self.reads(path):
             raise ValueError("the vocabulary needs an end-of-word suffix and no decoder, unknown token or prefix")
         super().__init__(path, dtype)
         vocab = model["vocab"]
@@ -109,6 +109,14 @@ class Codec(BareWords):
         self.added = added
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
 
+    @staticmethod
+    def reads(path: str) -> bool:
+        """Whether the vocabulary is of the kind that is supported."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        return bool(model["end_of_word_suffix"] and not spec["decoder"] and not model["unk_token"] and not model["continuing_subword_prefix"])
+
     def learn_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Their bytes are symbols, the last one with the end of the word."""
         raw = [p.encode() for p in pieces]

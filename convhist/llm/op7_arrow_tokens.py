@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from convhist.llm.common import encoded, materialize, text_slices
 from convhist.llm.encoders import BareWords, encoder, vocabulary
+from convhist.llm.op2_bpe import Codec
 from convhist.session import scratch_path
 
 #: Rows of a record batch.
@@ -106,7 +107,7 @@ class TokenFile:
 def _write(folder: str, path: str, seq_len: int, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        ids_of = encoder(BareWords, path, dtype)
+        ids_of = encoder(Codec if Codec.reads(path) else BareWords, path, dtype)
         for batch in batches:
             texts, doc_ids = encoded(batch.column("text")), batch.column("doc_id").to_pylist()
             for a, b in text_slices([len(t) for t in texts]):
