@@ -20,7 +20,7 @@ FAMILIES = [
     "cache_upsert", "workspace_plan", "classify_import", "portable_findings", "derived_ids", "project_rows", "classify_paths", "merge_datasets",
     "canonical_digest", "path_identity", "stream_dedupe", "stream_activity",
 ]
-NAMES = list(entry.queries()) if os.environ.get("CONVHIST_ALL_QUERIES") else FAMILIES
+NAMES = list(catalogue.QUERIES) if os.environ.get("CONVHIST_ALL_QUERIES") else FAMILIES
 
 
 @pytest.mark.parametrize("name", NAMES)
