@@ -115,6 +115,7 @@ def _pack(path: str, capacity: int, end_id: int):
                         rows += bins.add((doc_id, start, length, ids[start * 4 : (start + length) * 4], n))
                 if rows:
                     yield _batch(rows)
+        ids_of.table.clear()  # the worker may go on with other work that needs its memory
         if rows := bins.finish():
             yield _batch(rows)
 
