@@ -73,20 +73,94 @@ def children(edges: DataFrame) -> DataFrame:
     return edges.select("parent_ref", "session_ref").distinct()
 
 
+def _chain_ends(steps: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Follow steps (node, up, w), one per node, to the first node without a step.
+
+    Returns (node, up = end, w = total), the nodes that never get there as (node, up = a node of their cycle), and the
+    jump tables (node, up) of the rounds. Pointer doubling; a row is written again only while its chain goes on.
+    """
+    open_, done = materialize(steps.select("node", "up", "w")), None
+    left, jumps = _rounds(open_), []
+    jumps.append(open_)
+    while left > 0 and not open_.isEmpty():
+        left -= 1
+        hop = open_.select("node", "up", "w", F.lit(False).alias("_end"))
+        if done is not None:
+            hop = hop.unionByName(done.withColumn("_end", F.lit(True)))
+        hop = hop.select(F.col("node").alias("up"), F.lit(True).alias("_on"), F.col("up").alias("_far"), F.col("w").alias("_more"), "_end")
+        moved = materialize(
+            open_.join(hop, "up", "left").select(
+                "node", F.when(F.col("_on"), F.col("_far")).otherwise(F.col("up")).alias("up"),
+                (F.col("w") + F.coalesce("_more", F.lit(0))).alias("w"), F.coalesce("_end", F.lit(True)).alias("_end"),
+            )
+        )
+        jumps.append(moved.select("node", "up"))
+        ended = moved.filter("_end").drop("_end")
+        done = ended if done is None else done.unionByName(ended)
+        open_ = moved.filter("NOT _end").drop("_end")
+    return (steps.limit(0) if done is None else done), open_.select("node", "up"), jumps
+
+
+def _shortcuts(links: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(chain ends, links out of the other nodes, jump tables) of the nodes with a single successor.
+
+    A cycle of such nodes is opened at its smallest member, which then counts as one of the others.
+    """
+    single = links.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("up").alias("up")).filter("_n = 1")
+    steps = materialize(single.select("node", "up", F.lit(1).cast("bigint").alias("w")))
+    ends, stuck, jumps = _chain_ends(steps)
+    if not stuck.isEmpty():
+        ring = materialize(stuck.select(F.col("up").alias("node")).distinct())
+        labels = components(ring, steps.join(ring, "node", "left_semi"), "node", "node", "up")
+        steps = materialize(steps.join(labels.select(F.col("component_ref").alias("node")).distinct(), "node", "left_anti"))
+        ends, _, jumps = _chain_ends(steps)
+    return ends, links.join(steps, "node", "left_anti"), jumps
+
+
+#: Rounds of a search along the links themselves before long chains are shortcut.
+PLAIN_ROUNDS = 4
+
+
+def _reach(start: DataFrame, links: DataFrame) -> DataFrame:
+    """All nodes that links (node, up) lead to from the start nodes, which are included. Found nodes are only appended.
+
+    A shallow search ends within PLAIN_ROUNDS. Beyond, a round goes from a node to the end of its chain of single
+    successors and then to what follows that end, so only branchings cost rounds; the nodes passed are added at last, from
+    the jump tables of the chains.
+    """
+    links = materialize(links)
+    reached = frontier = materialize(start)
+    for _ in range(PLAIN_ROUNDS):
+        frontier = _fresh(links, frontier, reached)
+        if frontier.isEmpty():
+            return reached
+        reached = reached.unionByName(frontier)
+    ends, forks, jumps = _shortcuts(links)
+    ends, forks = ends.select("node", F.col("up").alias("_end")), materialize(forks)
+    heads = frontier
+    while not frontier.isEmpty():
+        stops = frontier.join(ends, "node", "left").select(F.coalesce("_end", "node").alias("node")).distinct()
+        frontier = _fresh(forks, stops, heads)
+        heads = heads.unionByName(frontier)
+    passed = heads
+    for jump in jumps:
+        passed = passed.unionByName(_fresh(jump, passed, passed))
+    return reached.unionByName(materialize(passed.join(reached, "node", "left_anti")))
+
+
+def _fresh(links: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:
+    """Nodes one link behind `nodes` that were not seen, stored."""
+    found = links.join(nodes, "node", "left_semi").select(F.col("up").alias("node")).distinct()
+    return materialize(found.join(seen, "node", "left_anti"))
+
+
 def closure(selected: DataFrame, edges: DataFrame, nodes: DataFrame, node: str = "session_ref", src: str = "session_ref", dst: str = "parent_ref") -> tuple[DataFrame, DataFrame]:
     """Transitive dependencies of a selection, and the dependencies that do not exist.
 
-    Semi-naive: each round follows the edges of the newest nodes only. The result is a node set
-    (never root/node pairs), so it cannot outgrow the node table.
+    The result is a node set (never root/node pairs), so it cannot outgrow the node table; see :func:`_reach`.
     """
-    links = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).distinct()
-    reached = frontier = materialize(selected.select(node).distinct())
-    while True:
-        targets = links.join(frontier.withColumnRenamed(node, "_from"), "_from", "left_semi").select(F.col("_to").alias(node)).distinct()
-        frontier = materialize(targets.join(reached, node, "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached = materialize(reached.unionByName(frontier))
+    links = edges.select(F.col(src).alias("node"), F.col(dst).alias("up")).distinct()
+    reached = _reach(selected.select(F.col(node).alias("node")).distinct(), links).withColumnRenamed("node", node)
     known = nodes.select(node)
     return reached.join(known, node, "left_semi"), reached.join(known, node, "left_anti")
 
@@ -94,22 +168,36 @@ def closure(selected: DataFrame, edges: DataFrame, nodes: DataFrame, node: str =
 def topo_levels(nodes: DataFrame, edges: DataFrame, node: str = "session_ref", src: str = "session_ref", dst: str = "parent_ref") -> DataFrame:
     """(node, level): dependencies have smaller levels; null marks nodes on or behind a cycle.
 
-    Peels all nodes whose dependencies are peeled; a round touches the remaining edges only.
+    Contraction: a node with one dependency hangs on it, at distance 1, and chains of such nodes on their end, by pointer
+    doubling; edges to hung nodes are moved to the end and keep the greatest distance per pair. All nodes without
+    dependencies are one floor (null), so a round settles what peeling would, and whole chains beside. What hangs on a
+    node gets its level from that node's in the end, in reverse.
     """
-    known = nodes.select(node)
-    links = edges.select(F.col(src).alias(node), F.col(dst).alias("_dep")).distinct()
-    links = links.join(known.withColumnRenamed(node, "_dep"), "_dep", "left_semi").join(known, node, "left_semi")
-    rest, left, level, done = materialize(known), materialize(links), 0, None
+    known = nodes.select(F.col(node).alias("node"))
+    links = edges.select(F.col(src).alias("node"), F.col(dst).alias("up")).distinct()
+    links = materialize(links.join(known.withColumnRenamed("node", "up"), "up", "left_semi").join(known, "node", "left_semi").select("node", "up"))
+    floor = materialize(known.join(links, "node", "left_anti"))
+    marks = floor.select(F.col("node").alias("up"), F.lit(True).alias("_floor")).distinct()
+    left = links.join(marks, "up", "left").select("node", F.when(F.col("_floor").isNull(), F.col("up")).alias("up"), F.lit(1).cast("bigint").alias("w"))
+    left, hung = materialize(left.groupBy("node", "up").agg(F.max("w").alias("w"))), []
     while True:
-        ready = materialize(rest.join(left.select(node), node, "left_anti").withColumn("level", F.lit(level).cast("bigint")))
-        if ready.isEmpty():
+        single = left.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.max("up").alias("up"), F.max("w").alias("w")).filter("_n = 1")
+        steps = materialize(single.select("node", "up", "w"))
+        if steps.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
-        rest = materialize(rest.join(ready.select(node), node, "left_anti"))
-        left = materialize(left.join(ready.select(F.col(node).alias("_dep")), "_dep", "left_anti"))
-        level += 1
-    stuck = rest.withColumn("level", F.lit(None).cast("bigint"))
-    return stuck if done is None else done.unionByName(stuck)
+        ends, stuck, _ = _chain_ends(steps)
+        hung.append((ends, stuck))
+        moves = ends.select(F.col("node").alias("up"), F.lit(True).alias("_on"), F.col("up").alias("_end"), F.col("w").alias("_more"))
+        rest = left.join(steps, "node", "left_anti").join(moves, "up", "left")
+        rest = rest.select("node", F.when(F.col("_on"), F.col("_end")).otherwise(F.col("up")).alias("up"), (F.col("w") + F.coalesce("_more", F.lit(0))).alias("w"))
+        left = materialize(rest.groupBy("node", "up").agg(F.max("w").alias("w")))
+    unknown = F.lit(None).cast("bigint").alias("level")
+    levels = floor.select("node", F.lit(0).cast("bigint").alias("level")).unionByName(left.select("node").distinct().select("node", unknown))
+    for ends, stuck in reversed(hung):
+        below = levels.select(F.col("node").alias("up"), "level")
+        placed = ends.join(below, "up", "left").select("node", F.when(F.col("up").isNull(), F.col("w")).otherwise(F.col("level") + F.col("w")).alias("level"))
+        levels = levels.unionByName(materialize(placed.unionByName(stuck.select("node", unknown))))
+    return levels.withColumnRenamed("node", node)
 
 
 def _rounds(rows: DataFrame) -> int:
@@ -174,8 +262,8 @@ def path_to_root(starts: DataFrame, parents: DataFrame, key: list[str], node: st
     """
     marked = materialize(starts.select(*key, F.col(node).alias("node")).distinct())
     for jump in doubled_parents(parents, key, node, parent):
-        found = jump.join(marked, [*key, "node"], "left_semi").select(*key, F.col("up").alias("node"))
-        marked = materialize(marked.unionByName(found).distinct())
+        found = jump.join(marked, [*key, "node"], "left_semi").select(*key, F.col("up").alias("node")).distinct()
+        marked = marked.unionByName(materialize(found.join(marked, [*key, "node"], "left_anti")))
     return marked
 
 
@@ -214,14 +302,10 @@ def spread_blocked(nodes: DataFrame, edges: DataFrame, blocked: DataFrame, node:
     Runs backwards over the edges, so the result is again a node set.
     """
     known = nodes.select(node)
-    links = edges.select(F.col(src).alias(node), F.col(dst).alias("_dep")).distinct()
-    missing = links.join(known.withColumnRenamed(node, "_dep"), "_dep", "left_anti").select(node)
-    reached = frontier = materialize(blocked.select(node).union(missing).distinct())
-    while not frontier.isEmpty():
-        sources = links.join(frontier.select(F.col(node).alias("_dep")), "_dep", "left_semi").select(node).distinct()
-        frontier = materialize(sources.join(reached, node, "left_anti"))
-        reached = materialize(reached.unionByName(frontier))
-    return reached.join(known, node, "left_semi")
+    links = materialize(edges.select(F.col(dst).alias("node"), F.col(src).alias("up")).distinct())
+    missing = links.join(known.withColumnRenamed(node, "node"), "node", "left_anti").select(F.col("up").alias("node"))
+    reached = _reach(blocked.select(F.col(node).alias("node")).union(missing).distinct(), links)
+    return reached.withColumnRenamed("node", node).join(known, node, "left_semi")
 
 
 def closure_pairs(roots: DataFrame, edges: DataFrame, node: str = "session_ref", src: str = "session_ref", dst: str = "parent_ref") -> DataFrame:

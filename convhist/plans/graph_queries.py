@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convhist.operators import graphs as H
+from convhist.operators.ordered import previous_row, scan
 from convhist.plans.beats_queries import duck_multiset
-from convhist.plans.bindings import EDGES, RECORDS, SESSIONS, records, session_edges, sessions
+from convhist.plans.bindings import EDGES, RECORDS, SESSIONS, records, session_edges, sessions, table
 from convhist.plans.registry import query
 
 
@@ -80,6 +81,28 @@ def topo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.select("session_ref", F.coalesce("level", F.lit(-1)).cast("bigint").alias("level"))
 
 
+def _event_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(events, each event's dependency on the same user's event before it)."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    rows = scan(events, ["user_id"], "event_id", {"_before": previous_row(F.col("event_id"))})
+    return events, rows.filter("_before IS NOT NULL").select("event_id", F.col("_before.v").alias("before"))
+
+
+@query(
+    "closure_chains",
+    """SELECT event_id FROM (SELECT event_id, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS e FROM events) WHERE event_id <= e""",
+)
+def closure_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, links = _event_chains(spark, sf_dir)
+    return H.closure(events.filter("event_type = 'error'"), links, events, "event_id", "event_id", "before")[0]
+
+
+@query("topo_chains", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS level FROM events")
+def topo_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, links = _event_chains(spark, sf_dir)
+    return H.topo_levels(events, links, "event_id", "event_id", "before")
+
+
 @query(
     "forest_depth",
     f"""WITH RECURSIVE {RECORDS}, d AS (SELECT session_ref, record_id, record_id AS root, 0::BIGINT AS depth FROM records WHERE parent_id IS NULL

@@ -305,3 +305,62 @@ def test_split_text_cuts_where_the_rule_says(spark):
         assert made[r.i].encode()[r.byte_start : r.byte_end].decode() == r.fragment_text
     assert {i: got.get(i, []) for i in range(len(made))} == {i: _cuts(t, 64) for i, t in enumerate(made)}
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def _levels_by_peeling(nodes, edges):
+    deps = {n: {d for s, d in edges if s == n and d in nodes} for n in nodes}
+    level, left = {}, dict(deps)
+    while True:
+        ready = [n for n, d in left.items() if all(x in level for x in d)]
+        if not ready:
+            return {n: level.get(n) for n in nodes}
+        for n in ready:
+            level[n] = max((level[x] + 1 for x in deps[n]), default=0)
+        left = {n: d for n, d in left.items() if n not in level}
+
+
+def _reached_by_search(start, edges):
+    out, todo = set(start), list(start)
+    while todo:
+        n = todo.pop()
+        for s, d in edges:
+            if s == n and d not in out:
+                out.add(d)
+                todo.append(d)
+    return out
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_reach_and_levels_on_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i:02}" for i in range(70)]
+    # Chains with some branchings; seed 2 adds a ring of single successors with a tail, seed 3 back edges.
+    edges = [(names[i], names[i - 1]) for i in range(1, 50) if i % 17] + [(names[i], names[rng.randrange(i)]) for i in range(20, 50, 7)]
+    edges += [(names[60 + i], names[60 + (i + 1) % 6]) for i in range(6)] + [(names[68], names[67]), (names[67], names[62]), (names[40], "missing")] if seed == 2 else []
+    edges += [(names[10], names[45])] if seed == 3 else []
+    nodes = spark.createDataFrame([(n,) for n in names], "session_ref string")
+    links = spark.createDataFrame(edges, "session_ref string, parent_ref string")
+    got = {r.session_ref: r.level for r in H.topo_levels(nodes, links).collect()}
+    assert got == _levels_by_peeling(set(names), edges)
+    start = [names[49], names[68], names[33]]
+    found, missing = H.closure(spark.createDataFrame([(n,) for n in start], "session_ref string"), links, nodes)
+    rows = [r.session_ref for r in found.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) | {r.session_ref for r in missing.collect()} == _reached_by_search(start, edges)
+    blocked = spark.createDataFrame([(names[3],)], "session_ref string")
+    back = _reached_by_search([names[3], "missing"], [(d, s) for s, d in edges]) - {"missing"}
+    assert {r.session_ref for r in H.spread_blocked(nodes, links, blocked).collect()} == back
+
+
+def test_long_chain_takes_logarithmic_rounds(spark, monkeypatch):
+    stored = []
+    real = H.materialize
+    monkeypatch.setattr(H, "materialize", lambda df: stored.append(1) or real(df))
+    n = 10_000
+    nodes = spark.range(n).select(F.col("id").cast("string").alias("session_ref"))
+    links = spark.range(1, n).select(F.col("id").cast("string").alias("session_ref"), (F.col("id") - 1).cast("string").alias("parent_ref"))
+    found, _ = H.closure(nodes.filter(f"session_ref = '{n - 1}'"), links, nodes)
+    assert found.count() == n and len(stored) < 45  # a table per round: 4 plain, 15 doublings, 15 from the jumps
+    stored.clear()
+    wrong = H.topo_levels(nodes, links).filter("level <> cast(session_ref as bigint) OR level IS NULL")
+    assert wrong.isEmpty() and len(stored) < 25
