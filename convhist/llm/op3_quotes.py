@@ -116,7 +116,7 @@ def quoted_links(turns: DataFrame) -> DataFrame:
 
 
 def link_quotations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, reply_to, n_quoted, max_level, text): see `reading_order` to read a conversation by replies."""
+    """(conv_id, turn, role, reply_to, n_quoted, max_level, text): see `conversations` for the order of replies."""
     base = turns.select("conv_id", "turn", "role", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 1), "[ \t]", ""))
     links = quoted_links(turns).groupBy("conv_id", "turn").agg(F.min_by("origin", "level").alias("reply_to"))
@@ -144,6 +144,13 @@ def reading_order(linked: DataFrame) -> DataFrame:
     return forest_depth(placed, ["conv_id"], "turn", "after").select("conv_id", F.col("node").alias("turn"), F.col("depth").alias("position"))
 
 
+def conversations(turns: DataFrame) -> DataFrame:
+    """`link_quotations` with the position of each turn, null where a turn is not numbered: sort by it to read a conversation."""
+    linked = materialize(link_quotations(turns))
+    order = materialize(reading_order(linked))
+    return linked.join(order.hint("merge"), ["conv_id", "turn"], "left").select("conv_id", "position", *linked.columns[1:])
+
+
 def op3_quotation_links(spark, sf_dir: str) -> DataFrame:
-    """Every turn with the turn it quotes and its text without quotes."""
-    return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """Every turn with the turn it quotes, its text without quotes and its place in the order of replies."""
+    return conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

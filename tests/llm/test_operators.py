@@ -600,6 +600,8 @@ def test_op3_links_and_order(spark):
 
     placed = {(r.conv_id, r.turn): r.position for r in op3_quotes.reading_order(linked).collect()}
     assert placed == {(c, t): i for c in "nwh" for i, t in enumerate(walk(c, None))}
+    whole = op3_quotes.conversations(df).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.position) for r in whole} == {k: (got[k], placed[k]) for k in got} and len(whole) == len(turns)
 
 
 def test_op3_defined_cases(spark):
@@ -608,3 +610,6 @@ def test_op3_defined_cases(spark):
     got = sorted((str(r.conv_id), str(r.turn), r.reply_to, r.n_quoted, r.max_level, r.text) for r in op3_quotes.link_quotations(df).collect())
     assert got == sorted([("a", "1", None, 0, 0, "Hello there"), ("a", "2", 1, 1, 1, "yes"), ("a", "2", 1, 1, 1, "yes"), ("None", "3", None, 1, 1, ""), ("a", "None", None, 1, 1, ""), ("a", "4", None, 0, 0, ""), ("a", "5", None, 2, 1, "")])
     assert op3_quotes.link_quotations(df.limit(0)).collect() == []
+    placed = sorted((str(r.conv_id), str(r.turn), r.position) for r in op3_quotes.conversations(df).collect())
+    assert placed == [("None", "3", None), ("a", "1", 0), ("a", "2", 1), ("a", "2", 1), ("a", "4", 2), ("a", "5", 3), ("a", "None", None)]
+    assert op3_quotes.conversations(df.limit(0)).collect() == []
