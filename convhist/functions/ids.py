@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The source kinds in product order. The order matters for sorting.
 SOURCE_KINDS = ("event_log", "uuid_graph", "table_store", "record_tree")
@@ -40,6 +41,39 @@ def framed_digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*framed), 256)
 
 
+def framed(text: Column) -> Column:
+    """Text behind its byte length."""
+    return F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+
+
+def structural_text(value: Column, kind: T.DataType) -> Column:
+    """Canonical text of a nested value, built bottom up along its type; null only for a null value.
+
+    Members of structs and maps are sorted by name and null ones left out, so a wider type gives the same text; list
+    elements keep their order and their nulls. Every part is framed and leaves carry a mark of their type, so different
+    values differ.
+    """
+    if isinstance(kind, T.StructType):
+        members = []
+        for field in sorted(kind.fields, key=lambda f: f.name):
+            inner = structural_text(value[field.name], field.dataType)
+            members.append(F.coalesce(F.concat(framed(F.lit(field.name)), framed(inner)), F.lit("")))
+        return F.when(value.isNotNull(), F.concat(F.lit("{"), *members, F.lit("}")))
+    if isinstance(kind, T.ArrayType):
+        element = lambda x: framed(F.coalesce(structural_text(x, kind.elementType), F.lit("null")))
+        return F.concat(F.lit("["), F.array_join(F.transform(value, element), ""), F.lit("]"))
+    if isinstance(kind, T.MapType):
+        member = lambda k: F.concat(framed(k.cast("string")), framed(structural_text(F.element_at(value, k), kind.valueType)))
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(value)), member), ""), F.lit("}"))
+    if isinstance(kind, T.VariantType):
+        return F.concat(F.lit("v"), F.to_json(value))  # a variant keeps its members sorted by name
+    if isinstance(kind, T.StringType):
+        return F.concat(F.lit('"'), value)
+    if isinstance(kind, T.BinaryType):
+        return F.concat(F.lit("x"), F.hex(value))
+    return F.concat(F.lit("?" if isinstance(kind, T.BooleanType) else "#"), value.cast("string"))
+
+
 def binary_framed_digest(*parts: Column) -> Column:
     """SHA-256 over parts framed with an eight-byte big-endian length."""
     framed = []

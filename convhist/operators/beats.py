@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from convhist.functions.ids import canonical_digest, framed_digest, multiset_digest
+from convhist.functions.ids import canonical_digest, framed, framed_digest, multiset_digest, structural_text
 from convhist.functions.paths import normalize_posix
-from convhist.functions.text import ENVELOPE_TAG, exceeds, strip_envelopes, token_estimate, utf8_bytes, utf8_prefix
+from convhist.functions.text import (
+    ENVELOPE_TAG,
+    envelope_name,
+    envelope_payload,
+    envelopes,
+    exceeds,
+    strip_envelopes,
+    token_estimate,
+    utf8_bytes,
+    utf8_prefix,
+)
 from convhist.operators.ordered import (
     following_row,
     last_value,
@@ -203,15 +214,79 @@ def project_key(context: Column) -> Column:
     return F.concat(F.lit("project1_"), F.sha2(F.when(context == "", "").otherwise(normalize_posix(context)), 256))
 
 
+# What of a block of each kind tells conversations apart; the other kinds count by their text. Texts and
+# tool calls are compared elsewhere.
+EVIDENCE_MEMBERS = {
+    "citations": ("citations",),
+    "context": ("source_role", "text"),
+    "event": ("event", "reason"),
+    "reasoning": ("summary",),
+    "reference": ("reference",),
+    "resource": ("resource",),
+    "work_state": ("source_kind", "work_items"),
+}
+RESOURCE_MEMBERS = ("media_type", "name", "sha256", "size_bytes")
+ENVELOPE_CONTEXT = ("notice", "resolve_against", "source_agent")
+
+
+def block_evidence(blocks: Column, kind: T.ArrayType) -> Column:
+    """Canonical text of the evidence in a list of wide blocks, in block order; empty if there is none."""
+    fields = {f.name: f.dataType for f in kind.elementType.fields}
+
+    def picked(block: Column, names: tuple[str, ...]) -> Column:
+        columns, types = [block["kind"].alias("kind")], [T.StructField("kind", T.StringType())]
+        for name in names:
+            value, type_ = block[name], fields.get(name)
+            if type_ is None:
+                continue
+            if name == "resource":
+                kept = [f for f in type_.fields if f.name in RESOURCE_MEMBERS]
+                value, type_ = F.when(value.isNotNull(), F.struct(*[value[f.name].alias(f.name) for f in kept])), T.StructType(kept)
+            columns.append(value.alias(name))
+            types.append(T.StructField(name, type_))
+        return structural_text(F.struct(*columns), T.StructType(types))
+
+    def one(block: Column) -> Column:
+        text = F.when(block["kind"].isin("text", "tool"), F.lit(""))
+        for name, members in EVIDENCE_MEMBERS.items():
+            text = text.when(block["kind"] == name, framed(picked(block, members)))
+        return text.otherwise(framed(picked(block, ("text",))))
+
+    return F.array_join(F.transform(blocks, one), "")
+
+
+def envelope_evidence(text: Column, tag: str = ENVELOPE_TAG) -> Column:
+    """Canonical text of the evidence embedded in a text: names and payloads of all envelopes but those of tools."""
+
+    def one(envelope: Column) -> Column:
+        payload = F.try_parse_json(envelope_payload(envelope)).cast("map<string,variant>")
+        said = F.map_filter(payload, lambda k, _: ~k.isin(*ENVELOPE_CONTEXT))
+        return F.concat(framed(envelope_name(envelope, tag)), framed(structural_text(said, T.MapType(T.StringType(), T.VariantType()))))
+
+    found = F.filter(envelopes(text, tag), lambda e: envelope_name(e, tag) != "HISTORICAL_TOOL_EVIDENCE")
+    return F.array_join(F.transform(found, one), "")
+
+
+def evidence_identity(items: DataFrame, tag: str = ENVELOPE_TAG) -> Column:
+    """Digest of what a message brings beside text and tools, empty if nothing: from its blocks, else its envelopes."""
+    embedded = envelope_evidence(F.col("text"), tag)
+    if "blocks" in items.columns:
+        embedded = F.when(F.col("blocks").isNull(), embedded).otherwise(block_evidence(F.col("blocks"), items.schema["blocks"].dataType))
+    text = F.coalesce(embedded, F.lit(""))
+    return F.when(text == "", "").otherwise(F.sha2(text, 256))
+
+
 def logical_digest(items: DataFrame, tools: DataFrame | None = None, chunk_rows: int | None = None, tag: str = ENVELOPE_TAG) -> DataFrame:
     """Order-sensitive digest of what a conversation says, equal for migrated copies.
 
     Positions come from a chunked scan and row digests are summed map-side, so one huge session
-    is never gathered in a task. ``tools`` may add a ``tools_digest`` per (session_ref, ordinal).
+    is never gathered in a task. ``tools`` may add a ``tools_digest`` per (session_ref, ordinal);
+    an optional column ``blocks`` of ``items`` brings evidence, see :func:`evidence_identity`.
     """
     # Texts are hashed where they are read; only fixed-size digests are shuffled.
     content = F.when(_is_gap(), framed_digest(F.col("code"), F.col("label"))).otherwise(F.sha2("visible", 256))
-    rows = with_visible(items, tag).select("session_ref", "ordinal", "kind", "role", "ts", content.alias("content"))
+    evidence = F.when(_is_gap(), "").otherwise(evidence_identity(items, tag))
+    rows = with_visible(items, tag).select("session_ref", "ordinal", "kind", "role", "ts", content.alias("content"), evidence.alias("evidence"))
     rows = scan(rows, ["session_ref"], "ordinal", {"_pos": position()}, chunk_rows)
     extra = F.lit("")
     if tools is not None:
@@ -219,7 +294,7 @@ def logical_digest(items: DataFrame, tools: DataFrame | None = None, chunk_rows:
         extra = F.coalesce(F.col("tools_digest"), F.lit(""))
     at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     gap = framed_digest(F.col("_pos"), F.lit("gap"), at, F.col("content"))
-    said = framed_digest(F.col("_pos"), F.col("role"), at, F.col("content"), extra)
+    said = framed_digest(F.col("_pos"), F.col("role"), at, F.col("content"), extra, F.col("evidence"))
     return rows.groupBy("session_ref").agg(
         multiset_digest("logical1_", F.when(_is_gap(), gap).otherwise(said)).alias("logical_digest")
     )

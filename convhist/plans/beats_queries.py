@@ -10,6 +10,7 @@ from convhist.operators import beats as B
 from convhist.operators import budget as J
 from convhist.operators.ordered import ranked
 from convhist.plans.bindings import ITEMS, SESSIONS, documents, items, sessions
+from convhist.plans.catalog_queries import BLOCK_TYPE, event_blocks
 from convhist.plans.registry import query
 from convhist.session import materialize
 
@@ -154,7 +155,7 @@ LOGICAL = f"""positions AS (
 logical AS (
   SELECT session_ref, {duck_multiset("logical1_", "d")} AS logical_digest FROM (
     SELECT session_ref, CASE WHEN kind = 'gap' THEN {duck_digest(["pos", "'gap'", _AT, duck_digest(["code", "label"])])}
-      ELSE {duck_digest(["pos", "role", _AT, "sha256(visible)", "''"])} END AS d FROM positions)
+      ELSE {duck_digest(["pos", "role", _AT, "sha256(visible)", "''", "''"])} END AS d FROM positions)
   GROUP BY session_ref)"""
 
 
@@ -163,6 +164,48 @@ def logical_digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.logical_digest(items(spark, sf_dir))
 
 
+def _duck_framed(text: str) -> str:
+    return f"strlen({text})::VARCHAR || ':' || {text}"
+
+
+def _duck_struct(**members: str) -> str:
+    """SQL of the canonical text of a struct whose members' canonical texts are given."""
+    return "('{' || " + " || ".join(f"'{len(k)}:{k}' || {_duck_framed(f'({members[k]})')}" for k in sorted(members)) + " || '}')"
+
+
+def _duck_list(*elements: str) -> str:
+    return "('[' || " + " || ".join(_duck_framed(f"({e})") for e in elements) + " || ']')"
+
+
+def _duck_string(text: str) -> str:
+    return f"chr(34) || {text}"
+
+
+_EVENT_REFERENCE = _duck_struct(type=_duck_string("'file'"), namespace=_duck_string("'fs'"), locator=_duck_string("'/f/' || event_id"))
+_EVENT_WORK = _duck_struct(id=_duck_string("'w' || event_id"), status=_duck_string("'open'"), blocks=_duck_list(_duck_string("'b1'"), _duck_string("'b2'")))
+_EVENT_EVIDENCE = f"""CASE event_type WHEN 'click' THEN {_duck_struct(kind=_duck_string("'reference'"), reference=_EVENT_REFERENCE)}
+  WHEN 'purchase' THEN {_duck_struct(kind=_duck_string("'event'"), event=_duck_string("'bought'"), reason=_duck_string("'why ' || event_id"))}
+  WHEN 'signup' THEN {_duck_struct(kind=_duck_string("'work_state'"), source_kind=_duck_string("'todo'"), work_items=_duck_list(_EVENT_WORK))}
+  WHEN 'error' THEN {_duck_struct(kind=_duck_string("'reasoning'"), summary=_duck_list(_duck_string("'thought'"), _duck_string("''"), _duck_string("event_type")))} END"""
+
+
+@query(
+    "logical_digest_evidence",
+    f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, {_EVENT_EVIDENCE} AS said FROM events),
+    d AS (SELECT user_id, {duck_digest(["pos", "'user'", "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')", "sha256('saw ' || event_type)", "''", f"CASE WHEN said IS NULL THEN '' ELSE sha256({_duck_framed('said')}) END"])} AS d FROM e)
+    SELECT 'u' || user_id AS session_ref, {duck_multiset("logical1_", "d")} AS logical_digest FROM d GROUP BY user_id""",
+)
+def logical_digest_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as messages of a text block and a block of their own kind."""
+    said = F.concat(F.lit("saw "), "event_type")
+    text = F.from_json(F.to_json(F.struct(F.lit("text").alias("kind"), said.alias("text"))), BLOCK_TYPE)
+    rows = event_blocks(spark, sf_dir).select(
+        F.concat(F.lit("u"), "user_id").alias("session_ref"), F.col("event_id").alias("ordinal"), F.lit("message").alias("kind"), F.lit("user").alias("role"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit("").alias("text"), F.lit("").alias("code"), F.lit("").alias("label"), F.array(text, "block").alias("blocks"),
+    )
+    return B.logical_digest(rows)
+
+
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir)
     heads = sessions(spark, sf_dir).withColumn("source_revision", F.concat(F.lit("rev"), F.col("n_items")))

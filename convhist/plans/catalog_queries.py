@@ -229,7 +229,7 @@ BLOCK_TYPE = (
 
 
 def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide content blocks derived from the events: one kind per event type."""
+    """Events with a wide content block: one kind per event type."""
     doc = F.to_json(
         F.when(F.col("event_type") == "view", F.struct(
             F.lit("tool").alias("kind"),
@@ -245,9 +245,7 @@ def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.concat(F.lit("w"), F.col("event_id")).alias("id"), F.lit("open").alias("status"), F.array(F.lit("b1"), F.lit("b2")).alias("blocks"))).alias("work_items"),
         F.array(F.lit("thought"), F.lit(""), F.col("event_type")).alias("summary"),
     ))
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.from_json(F.coalesce(doc, other), BLOCK_TYPE).alias("block")
-    )
+    return table(spark, sf_dir, "events").withColumn("block", F.from_json(F.coalesce(doc, other), BLOCK_TYPE))
 
 
 @query(

@@ -364,3 +364,75 @@ def test_long_chain_takes_logarithmic_rounds(spark, monkeypatch):
     stored.clear()
     wrong = H.topo_levels(nodes, links).filter("level <> cast(session_ref as bigint) OR level IS NULL")
     assert wrong.isEmpty() and len(stored) < 25
+
+
+def _digests(spark, kind, sessions, extra=""):
+    from datetime import datetime
+
+    rows = [(s, 0, "message", "user", datetime(2026, 7, 1), text, "", "", blocks) for s, (text, blocks) in sessions.items()]
+    df = spark.createDataFrame(rows, f"{ITEM}, blocks array<struct<{kind}{extra}>>")
+    return {r.session_ref: r.logical_digest for r in B.logical_digest(df).collect()}
+
+
+def test_logical_digest_tells_evidence_apart(spark):
+    kind = "kind string, text string, reference struct<locator:string, title:string>, summary array<string>, resource struct<name:string, relative_path:string, size_bytes:bigint>"
+    said = ("text", "hi", None, None, None)
+    at = lambda place, title=None: ("reference", None, (place, title), None, None)
+    file = lambda name, path, size: ("resource", None, None, None, (name, path, size))
+    sessions = {
+        "plain": ("hi", [said]), "none": ("hi", None), "tool": ("hi", [said, ("tool", None, None, None, None)]),
+        "ref_a": ("hi", [said, at("/a")]), "ref_a2": ("hi", [at("/a"), said]), "ref_b": ("hi", [said, at("/b")]), "ref_title": ("hi", [said, at("/a", "")]),
+        "two": ("hi", [said, at("/a"), at("/b")]), "swapped": ("hi", [said, at("/b"), at("/a")]),
+        "steps": ("hi", [said, ("reasoning", None, None, ["x", None], None)]), "step": ("hi", [said, ("reasoning", None, None, ["x"], None)]),
+        "file": ("hi", [said, file("n", "/here", 3)]), "moved": ("hi", [said, file("n", "/there", 3)]), "grown": ("hi", [said, file("n", "/here", 4)]),
+    }
+    got = _digests(spark, kind, sessions)
+    same = [{"plain", "none", "tool"}, {"ref_a", "ref_a2"}, {"ref_b"}, {"ref_title"}, {"two"}, {"swapped"}, {"steps"}, {"step"}, {"file", "moved"}, {"grown"}]
+    assert sorted(sorted(s for s in got if got[s] == d) for d in set(got.values())) == sorted(sorted(g) for g in same)
+    wider = {s: (text, blocks and [(*b, None) for b in blocks]) for s, (text, blocks) in sessions.items()}
+    assert _digests(spark, kind, wider, ", work_items array<struct<id:string>>") == got  # an unused member changes nothing
+
+
+def test_logical_digest_reads_embedded_evidence(spark):
+    mark = "<<<CONVHIST_{0}_V1>>>\n{1}\n<<<END_CONVHIST_{0}_V1>>>"
+    note = lambda name, body: "hi " + mark.format(name, '{"notice":"Historical x","source_agent":"a",' + body + "}")
+    sessions = {
+        "plain": ("hi", None), "tool": (note("HISTORICAL_TOOL_EVIDENCE", '"call_id":"c"'), None),
+        "one": (note("HISTORICAL_REFERENCE", '"b":1,"a":{"y":[1,2],"x":null}'), None), "order": (note("HISTORICAL_REFERENCE", '"a":{"x":null,"y":[1,2]},"b":1'), None),
+        "other": (note("HISTORICAL_REFERENCE", '"a":{"x":null,"y":[2,1]},"b":1'), None), "name": (note("HISTORICAL_RESOURCE", '"a":{"x":null,"y":[1,2]},"b":1'), None),
+        "against": (note("HISTORICAL_REFERENCE", '"a":{"x":null,"y":[1,2]},"b":1,"resolve_against":"/z"'), None),
+    }
+    got = _digests(spark, "kind string, text string", sessions)
+    same = [{"plain", "tool"}, {"one", "order", "against"}, {"other"}, {"name"}]
+    assert sorted(sorted(s for s in got if got[s] == d) for d in set(got.values())) == sorted(sorted(g) for g in same)
+
+
+def test_inherit_history_on_long_chains(spark, monkeypatch):
+    rng, n = random.Random(5), 120
+    heads = {i: (i - 1 if i % 50 else None, rng.choice([None, 1, 2, 3]) if i % 50 else None, i % 37 == 20) for i in range(n)}
+    heads[60] = (59, 0, False)  # nothing of what is further up
+    heads[118] = (500, 2, False)  # a base that doesn't exist
+    expected = set()
+    for s in heads:
+        owner, cut, distance = s, None, 0
+        while owner in heads:
+            expected |= {(str(s), str(owner), r, distance) for r in range(3) if cut is None or r < cut}
+            base, limit, compacted = heads[owner]
+            if base is None or compacted:
+                break
+            cut = limit if cut is None else cut if limit is None else min(cut, limit)
+            owner, distance = base, distance + 1
+    schema = "session_ref string, base_ref string, cutoff bigint, compacted boolean"
+    text = lambda v: None if v is None else str(v)
+    sessions = spark.createDataFrame([(str(s), text(b), c, z) for s, (b, c, z) in heads.items()], schema)
+    records = spark.createDataFrame([(str(s), r) for s in heads for r in range(3)], "session_ref string, record_no bigint")
+    stored = []
+    real = A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df: stored.append(1) or real(df))
+    rows = [(r.session_ref, r.owner, r.record_no, r.distance) for r in A.inherit_history(sessions, records).collect()]
+    assert len(rows) == len(expected) and set(rows) == expected
+    assert len(stored) <= 16  # chains of 50 bases: six doublings
+    ring = spark.createDataFrame([("a", "b", None, False), ("b", "a", None, False)], schema)
+    with pytest.raises(ValueError, match="cycle"):
+        A.inherit_history(ring, records)
+    assert A.inherit_history(sessions, records.limit(0)).collect() == []
