@@ -412,21 +412,32 @@ def merge_carriers(legacy: DataFrame, current: DataFrame, mixed_code: str = "mes
 def inherit_history(sessions: DataFrame, records: DataFrame) -> DataFrame:
     """Full history of each session: ancestor prefixes up to their cut-offs, then its own records.
 
-    ``sessions``: session_ref, base_ref, cutoff (both null without a base), compacted. Chains are
-    followed by joins on the pair list (session, ancestor, cut-off); a compacted session inherits
+    ``sessions``: session_ref, base_ref, cutoff (both null without a base), compacted. A compacted session inherits
     nothing further up. A cycle raises; see :func:`inheritance_issues` for bases that don't exist.
+
+    Bases at distance 1, 2, 4, ... with the least cut-off on the way come from pointer doubling, and each round doubles the
+    distance up to which the pairs (session, ancestor) are known, so the rounds are the logarithm of the longest chain.
+    Pairs whose cut-off lies below every record are left out, and with them all that is further up.
     """
-    links = sessions.select(F.col("session_ref").alias("owner"), "base_ref", F.col("cutoff").alias("_cut"), "compacted")
-    level = sessions.select("session_ref", F.col("session_ref").alias("owner"), F.lit(None).cast("bigint").alias("cutoff"), F.lit(0).cast("bigint").alias("distance"))
-    level, pairs = materialize(level), None
-    while not level.isEmpty():
-        pairs = level if pairs is None else pairs.unionByName(level)
-        up = lookup_join(level, links, ["owner"], "inner", ["session_ref"]).filter("base_ref IS NOT NULL AND NOT compacted")
-        level = materialize(
-            up.select("session_ref", F.col("base_ref").alias("owner"), F.least("cutoff", "_cut").alias("cutoff"), (F.col("distance") + 1).alias("distance"))
-        )
-        if not level.filter("owner = session_ref").isEmpty():
+    based = sessions.filter("base_ref IS NOT NULL AND NOT compacted")
+    jump = materialize(based.select(F.col("session_ref").alias("owner"), F.col("base_ref").alias("up"), F.col("cutoff").alias("_cut")))
+    jumps, left = [], max(jump.count(), 1).bit_length() + 1
+    while not jump.isEmpty():
+        if len(jumps) > left:
             raise ValueError("history base relation contains a cycle")
+        jumps.append(jump)
+        hop = jump.select(F.col("owner").alias("up"), F.col("up").alias("_far"), F.col("_cut").alias("_more"))
+        jump = materialize(lookup_join(jump, hop, ["up"], "inner").select("owner", F.col("_far").alias("up"), F.least("_cut", "_more").alias("_cut")))
+    lowest = records.agg(F.min("record_no")).head()[0]
+    seen = F.col("cutoff").isNull() | (F.col("cutoff") > F.lit(lowest))
+    pairs = materialize(
+        sessions.select("session_ref", F.col("session_ref").alias("owner"), F.lit(None).cast("bigint").alias("cutoff"), F.lit(0).cast("bigint").alias("distance"))
+    )
+    for k, jump in enumerate(jumps):
+        up = pairs.join(jump, "owner").select(
+            "session_ref", F.col("up").alias("owner"), F.least("cutoff", "_cut").alias("cutoff"), (F.col("distance") + (1 << k)).alias("distance")
+        )
+        pairs = pairs.unionByName(materialize(up.filter(seen)))
     joined = records.withColumnRenamed("session_ref", "owner").join(pairs, "owner")
     return joined.filter(F.col("cutoff").isNull() | (F.col("record_no") < F.col("cutoff")))
 
