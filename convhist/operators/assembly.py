@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convhist.operators.graphs import path_to_root
+from convhist.operators.graphs import chain_ends, path_to_root
 from convhist.operators.ordered import (
     last_value,
     next_value,
@@ -281,7 +281,9 @@ def apply_retractions(items: DataFrame, episodes: DataFrame) -> tuple[DataFrame,
     replacement_id, superseded ARRAY. An episode is valid if the replacement and all superseded ids
     name exactly one assistant message each, earlier than the replacement. Episodes that share a
     message are decided in order: each round settles every episode that is the first claimant of
-    all its messages, and rejects those that overlap a settled one.
+    all its messages, and rejects those that overlap a settled one. An episode with one earlier rival
+    is settled iff that one isn't, so chains of those are decided at once, by pointer doubling to the
+    start of the chain; only denser overlaps take rounds.
     """
     where = items.groupBy(*KEY, "message_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min("ordinal").alias("_at"),
@@ -297,9 +299,18 @@ def apply_retractions(items: DataFrame, episodes: DataFrame) -> tuple[DataFrame,
     open_claims = materialize(claims.join(sound, ids, "left_semi").select(*ids, "message_id"))
     settled = None
     while not open_claims.isEmpty():
-        first = open_claims.groupBy(*KEY, "message_id").agg(F.min("episode_no").alias("_first"))
-        ranked = open_claims.join(first, [*KEY, "message_id"])
-        won = ranked.groupBy(*ids).agg(F.bool_and(F.col("episode_no") == F.col("_first")).alias("_won")).filter("_won").select(*ids)
+        claimants = open_claims.groupBy(*KEY, "message_id").agg(F.min("episode_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        late = F.col("episode_no") != F.col("_first")
+        rivals = open_claims.join(claimants, [*KEY, "message_id"]).groupBy(*ids).agg(
+            F.min(F.when(late, F.col("_first"))).alias("_rival"), F.max(F.when(late, F.col("_first"))).alias("_other"), F.max(F.when(late, F.col("_n"))).alias("_most")
+        )
+        rivals = materialize(rivals)
+        won = rivals.filter("_rival IS NULL").select(*ids)
+        steps = rivals.filter("_rival = _other AND _most = 2").select(
+            F.struct(*ids).alias("node"), F.struct(*KEY, F.col("_rival").alias("episode_no")).alias("up"), F.lit(1).cast("bigint").alias("w")
+        )
+        even = chain_ends(steps)[0].filter("w % 2 = 0").join(won.select(F.struct(*ids).alias("up")), "up", "left_semi").select("node.*")
+        won = won.unionByName(even)
         taken = materialize(open_claims.join(won, ids, "left_semi"))
         settled = taken if settled is None else settled.unionByName(taken)
         clash = open_claims.join(taken.select(*KEY, "message_id"), [*KEY, "message_id"], "left_semi").select(*ids).distinct()

@@ -73,7 +73,7 @@ def children(edges: DataFrame) -> DataFrame:
     return edges.select("parent_ref", "session_ref").distinct()
 
 
-def _chain_ends(steps: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def chain_ends(steps: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Follow steps (node, up, w), one per node, to the first node without a step.
 
     Returns (node, up = end, w = total), the nodes that never get there as (node, up = a node of their cycle), and the
@@ -108,12 +108,12 @@ def _shortcuts(links: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]
     """
     single = links.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("up").alias("up")).filter("_n = 1")
     steps = materialize(single.select("node", "up", F.lit(1).cast("bigint").alias("w")))
-    ends, stuck, jumps = _chain_ends(steps)
+    ends, stuck, jumps = chain_ends(steps)
     if not stuck.isEmpty():
         ring = materialize(stuck.select(F.col("up").alias("node")).distinct())
         labels = components(ring, steps.join(ring, "node", "left_semi"), "node", "node", "up")
         steps = materialize(steps.join(labels.select(F.col("component_ref").alias("node")).distinct(), "node", "left_anti"))
-        ends, _, jumps = _chain_ends(steps)
+        ends, _, jumps = chain_ends(steps)
     return ends, links.join(steps, "node", "left_anti"), jumps
 
 
@@ -185,7 +185,7 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, node: str = "session_ref", s
         steps = materialize(single.select("node", "up", "w"))
         if steps.isEmpty():
             break
-        ends, stuck, _ = _chain_ends(steps)
+        ends, stuck, _ = chain_ends(steps)
         hung.append((ends, stuck))
         moves = ends.select(F.col("node").alias("up"), F.lit(True).alias("_on"), F.col("up").alias("_end"), F.col("w").alias("_more"))
         rest = left.join(steps, "node", "left_anti").join(moves, "up", "left")

@@ -436,3 +436,33 @@ def test_inherit_history_on_long_chains(spark, monkeypatch):
     with pytest.raises(ValueError, match="cycle"):
         A.inherit_history(ring, records)
     assert A.inherit_history(sessions, records.limit(0)).collect() == []
+
+
+def _retract(spark, claims):
+    """Verdicts of episodes (session, number) that claim lists of messages."""
+    messages = sorted({(s, m) for (s, _), ids in claims.items() for m in ids})
+    items = [(s, i, "assistant", "message", m) for i, (s, m) in enumerate(messages)]
+    items += [(s, 1_000_000 + e, "assistant", "message", f"r{e}") for s, e in claims]
+    episodes = [(s, e, f"r{e}", ids) for (s, e), ids in claims.items()]
+    _, verdicts = A.apply_retractions(
+        spark.createDataFrame(items, "session_ref string, ordinal bigint, role string, kind string, message_id string"),
+        spark.createDataFrame(episodes, "session_ref string, episode_no bigint, replacement_id string, superseded array<string>"),
+    )
+    return {(r.session_ref, r.episode_no): r.applied for r in verdicts.collect()}
+
+
+def test_retractions_are_decided_in_order(spark, monkeypatch):
+    rng = random.Random(3)
+    claims = {("dense", e): [f"m{rng.randrange(25)}" for _ in range(rng.randint(1, 3))] for e in range(40)}
+    claims |= {("sparse", e): [f"m{rng.randrange(90)}" for _ in range(rng.randint(1, 2))] for e in range(40)}
+    expected, gone = {}, set()
+    for (s, e), ids in sorted(claims.items()):
+        expected[s, e] = not gone & {(s, m) for m in ids}
+        gone |= {(s, m) for m in ids} if expected[s, e] else set()
+    assert _retract(spark, claims) == expected
+    stored = []
+    for module in (A, H):
+        monkeypatch.setattr(module, "materialize", lambda df, real=module.materialize: stored.append(1) or real(df))
+    chain = {("c", e): [f"m{e:04}", f"m{e + 1:04}"] for e in range(5_000)}
+    assert _retract(spark, chain) == {("c", e): e % 2 == 0 for e in range(5_000)}
+    assert len(stored) < 25  # one round of thirteen doublings
