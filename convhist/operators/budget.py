@@ -73,7 +73,8 @@ def stratified_order(cards: DataFrame, time: str = "user_ts") -> DataFrame:
     which Spark runs as a distributed top-n. Strata are ranked on their distinct list, not on cards.
     """
     strata = ["project_key", "lineage_ref"]
-    spread = spread_place(temporal_spread(cards, strata, [time, "card_ref"]), strata)
+    known = cards.withColumn("_unknown", F.col(time).isNull())  # unknown times come last
+    spread = spread_place(temporal_spread(known, strata, ["_unknown", time, "card_ref"]).drop("_unknown"), strata)
     groups = ranked(cards.select(*strata).distinct(), ["project_key"], ["lineage_ref"], "lineage_rank")
     return lookup_join(spread, groups, strata, "inner", ["card_ref"])
 

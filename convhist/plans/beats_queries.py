@@ -46,7 +46,7 @@ def beats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _cut_sql(column: str, limit: str) -> str:
+def cut_sql(column: str, limit: str) -> str:
     """UTF-8 prefix in SQL: drop characters from the end until the byte length fits."""
     return (
         f"CASE WHEN strlen({column}) <= {limit} THEN {column} ELSE left({column}, "
@@ -56,9 +56,9 @@ def _cut_sql(column: str, limit: str) -> str:
 
 @query(
     "adjacent_user",
-    f"""WITH {_BEATS} SELECT session_ref, turn_start, coalesce({_cut_sql("previous_text", "3072")}, '') AS previous_text,
+    f"""WITH {_BEATS} SELECT session_ref, turn_start, coalesce({cut_sql("previous_text", "3072")}, '') AS previous_text,
     coalesce(strlen(previous_text) > 3072, false) AS previous_truncated,
-    coalesce({_cut_sql("next_text", "3072")}, '') AS next_text, coalesce(strlen(next_text) > 3072, false) AS next_truncated
+    coalesce({cut_sql("next_text", "3072")}, '') AS next_text, coalesce(strlen(next_text) > 3072, false) AS next_truncated
     FROM beats""",
 )
 def adjacent_user_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ spent AS (
     - coalesce(sum(strlen(visible)) OVER (PARTITION BY session_ref, turn_start, side ORDER BY ordinal
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget FROM said),
 evidence AS (
-  SELECT session_ref, turn_start, side, ordinal, ts, {_cut_sql("visible", "budget")} AS text, strlen(visible) > budget AS truncated
+  SELECT session_ref, turn_start, side, ordinal, ts, {cut_sql("visible", "budget")} AS text, strlen(visible) > budget AS truncated
   FROM spent WHERE budget > 0)"""
 
 
@@ -150,15 +150,20 @@ def duck_multiset(prefix: str, digest: str) -> str:
 
 
 _AT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
-LOGICAL = f"""positions AS (
-  SELECT *, {_VISIBLE} AS visible, row_number() OVER (PARTITION BY session_ref ORDER BY ordinal) AS pos FROM items),
+def logical_sql(source: str = "items", tools: str = "''") -> str:
+    """SQL of the logical digests of a table of items without evidence; tools: digest of the tools of a row."""
+    return f"""positions AS (
+  SELECT *, {_VISIBLE} AS visible, row_number() OVER (PARTITION BY session_ref ORDER BY ordinal) AS pos FROM {source}),
 logical AS (
   SELECT session_ref, {duck_multiset("logical1_", "d")} AS logical_digest FROM (
     SELECT session_ref, CASE WHEN kind = 'gap' THEN {duck_digest(["pos", "'gap'", _AT, duck_digest(["code", "label"])])}
-      ELSE {duck_digest(["pos", "role", _AT, "sha256(visible)", "''", "''"])} END AS d FROM positions)
+      ELSE {duck_digest(["pos", "role", _AT, "sha256(visible)", tools, "''"])} END AS d FROM positions)
   GROUP BY session_ref)"""
 
 
+LOGICAL = logical_sql()
+
+
 @query("logical_digest", f"WITH {ITEMS}, {LOGICAL} SELECT * FROM logical")
 def logical_digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.logical_digest(items(spark, sf_dir))
@@ -213,7 +218,7 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.cards(B.beats(rows), B.assistant_evidence(rows), heads, lineages)
 
 
-_CARDS = f"""{SESSIONS.replace("items AS (", "items AS (", 1)}{_EVIDENCE[len(ITEMS):]},
+CARDS = f"""{SESSIONS.replace("items AS (", "items AS (", 1)}{_EVIDENCE[len(ITEMS):]},
 lists AS (
   SELECT session_ref, turn_start,
     coalesce(list(struct_pack(ordinal := ordinal, text := text, truncated := truncated) ORDER BY ordinal) FILTER (side = 'before'), []) AS pa,
@@ -221,7 +226,7 @@ lists AS (
   FROM evidence GROUP BY ALL),
 card_base AS (
   SELECT b.*, s.agent, s.context, 'rev' || s.n_items AS revision, 'lin' || (s.conv_id % 11) AS lineage_ref,
-    coalesce(l.pa, []) AS pa, coalesce(l.aa, []) AS aa, {_cut_sql("previous_text", "3072")} AS pt, {_cut_sql("next_text", "3072")} AS nt,
+    coalesce(l.pa, []) AS pa, coalesce(l.aa, []) AS aa, {cut_sql("previous_text", "3072")} AS pt, {cut_sql("next_text", "3072")} AS nt,
     strftime(user_ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp
   FROM beats b JOIN sessions s USING (session_ref) LEFT JOIN lists l USING (session_ref, turn_start)),
 digested AS (
@@ -245,7 +250,7 @@ sized AS (
 
 @query(
     "cards",
-    f"""WITH {_CARDS} SELECT card_ref, content_digest, session_ref, turn_start, project_key, lineage_ref,
+    f"""WITH {CARDS} SELECT card_ref, content_digest, session_ref, turn_start, project_key, lineage_ref,
     request_bytes, estimated_tokens FROM sized""",
 )
 def cards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +262,7 @@ def cards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fold_duplicates",
-    f"""WITH {_CARDS} SELECT lineage_ref, content_digest, min(card_ref) AS card_ref FROM sized GROUP BY 1, 2""",
+    f"""WITH {CARDS} SELECT lineage_ref, content_digest, min(card_ref) AS card_ref FROM sized GROUP BY 1, 2""",
 )
 def fold_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Folding reads the cards twice, so they are stored once.
@@ -266,7 +271,7 @@ def fold_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "corpus_profile",
-    f"""WITH {_CARDS}, {LOGICAL}, prof AS (SELECT s.*, l.logical_digest FROM sessions s JOIN logical l USING (session_ref)),
+    f"""WITH {CARDS}, {LOGICAL}, prof AS (SELECT s.*, l.logical_digest FROM sessions s JOIN logical l USING (session_ref)),
     agents AS (SELECT DISTINCT agent AS scope FROM sessions UNION ALL SELECT 'total')
     SELECT scope, (SELECT count(*) FROM prof WHERE scope IN (agent, 'total')) AS sessions,
       (SELECT count(*) FROM prof WHERE scope IN (agent, 'total') AND archived) AS archived,
@@ -289,13 +294,8 @@ def corpus_profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.corpus_profile(session_rows, card_rows, B.fold_duplicates(card_rows))
 
 
-# Strata of the spread queries: source and language of a document, ordered by size and id.
-_DOC_CARDS = """docs AS (
-  SELECT doc_id::VARCHAR AS card_ref, source AS project_key, lang AS lineage_ref, n_chars AS user_ts,
-    ceil((length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / 4 + (length(text)
-      - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::DOUBLE) * 1.2::DOUBLE)::BIGINT + 16 AS estimated_tokens
-  FROM documents),
-indexed AS (
+# Breadth-first order of the rows of docs in each stratum.
+SPREAD = """indexed AS (
   SELECT *, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY project_key, lineage_ref) AS n
   FROM docs WINDOW w AS (PARTITION BY project_key, lineage_ref ORDER BY user_ts, card_ref)),
 bisect AS (
@@ -311,6 +311,13 @@ spread AS (
   FROM indexed i JOIN depths d ON d.n = i.n AND d.idx = i.idx),
 stratified AS (
   SELECT *, dense_rank() OVER (PARTITION BY project_key ORDER BY lineage_ref) AS lineage_rank FROM spread)"""
+# Strata of the spread queries: source and language of a document, ordered by size and id.
+_DOC_CARDS = f"""docs AS (
+  SELECT doc_id::VARCHAR AS card_ref, source AS project_key, lang AS lineage_ref, n_chars AS user_ts,
+    ceil((length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / 4 + (length(text)
+      - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::DOUBLE) * 1.2::DOUBLE)::BIGINT + 16 AS estimated_tokens
+  FROM documents),
+{SPREAD}"""
 
 
 def _doc_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +348,7 @@ def stratified_order_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PLAN = f"""{_DOC_CARDS}, queue AS (
+PLAN = """queue AS (
   SELECT *, row_number() OVER (ORDER BY place, lineage_rank, project_key) AS q FROM stratified),
 fold AS (
   SELECT 0::BIGINT AS q, 0::BIGINT AS total, 0::BIGINT AS requests, 0::BIGINT AS cur, 0::BIGINT AS k
@@ -357,7 +364,7 @@ fold AS (
 
 @query(
     "plan_budget",
-    f"""WITH RECURSIVE {_PLAN}, last AS (SELECT * FROM fold ORDER BY q DESC LIMIT 1)
+    f"""WITH RECURSIVE {_DOC_CARDS}, {PLAN}, last AS (SELECT * FROM fold ORDER BY q DESC LIMIT 1)
     SELECT (SELECT count(*) FROM docs) AS total_cards, q AS selected_cards, (SELECT count(*) FROM docs) - q AS remaining_cards,
       total AS fast_input_tokens, requests AS fast_requests,
       CASE WHEN q = 0 OR q < (SELECT count(*) FROM docs) THEN 0 ELSE 128000 END::BIGINT AS deep_input_tokens,
@@ -369,7 +376,7 @@ def plan_budget_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "plan_budget_cards",
-    f"""WITH RECURSIVE {_PLAN} SELECT f.q - 1 AS place, c.card_ref, f.requests AS request_no, c.estimated_tokens AS tokens
+    f"""WITH RECURSIVE {_DOC_CARDS}, {PLAN} SELECT f.q - 1 AS place, c.card_ref, f.requests AS request_no, c.estimated_tokens AS tokens
     FROM fold f JOIN queue c USING (q) WHERE f.q > 0""",
 )
 def plan_budget_cards_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,18 +193,18 @@ def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_KEYS = """keys AS (SELECT session_ref, agent || ':' || native_id AS relation_key FROM sessions
+KEYS = """keys AS (SELECT session_ref, agent || ':' || native_id AS relation_key FROM sessions
   UNION SELECT session_ref, agent || ':' || (conv_id + 4) FROM sessions WHERE conv_id % 6 = 0)"""
 
 
-@query("relation_keys", f"WITH {SESSIONS}, {_KEYS} SELECT * FROM keys")
+@query("relation_keys", f"WITH {SESSIONS}, {KEYS} SELECT * FROM keys")
 def relation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.relation_keys(_related(spark, sf_dir))
 
 
 @query(
     "lineages",
-    f"""WITH RECURSIVE {SESSIONS}, {_KEYS}, vals AS (
+    f"""WITH RECURSIVE {SESSIONS}, {KEYS}, vals AS (
       SELECT session_ref, 'd|' || CASE WHEN conv_id % 5 = 0 THEN 'same' || (conv_id % 2) ELSE 'own' || conv_id END AS value FROM sessions
       UNION ALL SELECT session_ref, 'k|' || relation_key FROM keys),
     reach AS (SELECT session_ref AS a, session_ref AS b FROM sessions UNION SELECT r.a, w.session_ref FROM reach r JOIN vals v ON v.session_ref = r.b JOIN vals w ON w.value = v.value),
