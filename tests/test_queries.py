@@ -18,7 +18,8 @@ FAMILIES = [
     "rebuild_changed", "forward_compaction", "apply_retractions", "coalesce_runs", "gap_runs", "pending_evidence", "pair_tools", "tool_budget",
     "tools_closed", "work_graph_valid", "closure", "topo_order", "relation_keys", "quote_candidates", "validate_evidence", "explode_evidence",
     "cache_upsert", "workspace_plan", "classify_import", "portable_findings", "derived_ids", "project_rows", "classify_paths", "merge_datasets",
-    "canonical_digest", "path_identity", "stream_dedupe", "stream_activity",
+    "canonical_digest", "path_identity", "stream_dedupe", "stream_activity", "closure_chains", "topo_chains", "inherit_history",
+    "logical_digest_evidence", "discovery_queue",
 ]
 NAMES = list(catalogue.QUERIES) if os.environ.get("CONVHIST_ALL_QUERIES") else FAMILIES
 
