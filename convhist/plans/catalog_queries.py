@@ -163,7 +163,7 @@ def _fold_sql(column: str) -> str:
     return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _hits_sql(needle: str) -> str:
+def _hits_sql(needle: str, more: str = "") -> str:
     n = len(needle)
     start = "greatest(found - 121, 0)"
     end = f"least(found - 1 + {n} + 120, length(value))"
@@ -174,7 +174,7 @@ def _hits_sql(needle: str) -> str:
       UNION ALL SELECT session_ref, 0, 101, 'context', context FROM sessions
       UNION ALL SELECT session_ref, 0, 102, 'model', model FROM sessions
       UNION ALL SELECT session_ref, 0, 103, 'session_ref', session_ref FROM sessions
-      UNION ALL SELECT session_ref, 1, ordinal, 'content', CASE WHEN kind = 'gap' THEN label ELSE text END FROM items),
+      UNION ALL SELECT session_ref, 1, ordinal * 1000, 'content', CASE WHEN kind = 'gap' THEN label ELSE text END FROM items{more}),
     located AS (SELECT *, strpos({_fold_sql("value")}, '{needle.lower()}') AS found FROM candidates),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY session_ref ORDER BY p, o) AS rn FROM located WHERE found > 0),
     hits AS (SELECT session_ref, field, CASE WHEN {start} = 0 THEN '' ELSE '...' END
@@ -354,3 +354,40 @@ def valid_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compact_title_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", compact_title(F.col("text"), 160).alias("title"))
+
+
+# Each message has two blocks, a tool or its text and a reference; some sessions bring notes beside their items.
+_BLOCK_TEXTS = """blocked AS (SELECT session_ref, ordinal, list_filter(list_concat(
+    CASE WHEN ordinal % 3 = 0 THEN ['c' || ordinal, CASE WHEN conv_id % 7 = 0 THEN 'Quarry' || (conv_id % 3) ELSE 'grep' END, 'seen', 'pit.txt', 'at ' || ordinal] ELSE [text] END,
+    ['file', 'fs', '/f/' || ordinal, CASE WHEN conv_id % 4 = 1 THEN 'The QUARRY of ' || conv_id END]), lambda x: x IS NOT NULL AND x <> '') AS vals
+  FROM items WHERE kind <> 'gap'),
+notes AS (SELECT session_ref, ordinal, trim(CASE WHEN conv_id % 5 = 2 THEN '  Quarry note ' || (ordinal % 2) || ' ' ELSE ' ' END) AS note FROM items)"""
+_MORE = """
+      UNION ALL SELECT session_ref, 1, ordinal * 1000 + u.i, 'content', vals[u.i] FROM blocked, LATERAL (SELECT unnest(range(1, len(vals) + 1)) AS i) u
+      UNION ALL SELECT session_ref, 2, min(ordinal), 'content', note FROM notes WHERE note <> '' GROUP BY session_ref, note"""
+
+
+def _with_blocks(rows: DataFrame) -> DataFrame:
+    c, o = F.col("conv_id"), F.col("ordinal")
+    tool = F.struct(
+        F.concat(F.lit("c"), o).alias("call_id"), F.when(c % 7 == 0, F.concat(F.lit("Quarry"), c % 3)).otherwise("grep").alias("name"),
+        F.lit("").alias("namespace"), F.lit("seen").alias("output"), F.array(F.struct(F.lit("pit.txt").alias("name"), F.concat(F.lit("at "), o).alias("source_reference"))).alias("resources"),
+    )
+    first = F.to_json(F.struct(F.when(o % 3 == 0, "tool").otherwise("text").alias("kind"), F.when(o % 3 == 0, tool).alias("tool"), "text"))
+    place = F.struct(
+        F.lit("file").alias("type"), F.lit("fs").alias("namespace"), F.concat(F.lit("/f/"), o).alias("locator"),
+        F.when(c % 4 == 1, F.concat(F.lit("The QUARRY of "), c)).alias("title"),
+    )
+    second = F.to_json(F.struct(F.lit("reference").alias("kind"), place.alias("reference")))
+    return rows.withColumn("blocks", F.array(F.from_json(first, BLOCK_TYPE), F.from_json(second, BLOCK_TYPE)))
+
+
+def _notes(rows: DataFrame) -> DataFrame:
+    note = F.when(F.col("conv_id") % 5 == 2, F.concat(F.lit("  Quarry note "), F.col("ordinal") % 2, F.lit(" "))).otherwise(" ")
+    return S.extra_search_text(rows.select("session_ref", "ordinal", note.alias("text")))
+
+
+@query("search_blocks", f"WITH {SESSIONS}, {_BLOCK_TEXTS}, {_hits_sql('quarrY', _MORE)} SELECT * FROM hits")
+def search_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir)
+    return S.first_hits(sessions(spark, sf_dir), _with_blocks(rows), "quarrY", _notes(rows))
