@@ -13,15 +13,15 @@ from convhist.plans.registry import query
 
 @query(
     "session_header",
-    f"""WITH {RECORDS}, m AS (SELECT session_ref, record_no, 'h' || (k % 3) AS header_id, CASE WHEN record_no % 2 = 0 THEN 'h1' END AS expected_id FROM records WHERE type = 'signup' AND k % 4 = 0),
+    f"""WITH {RECORDS}, m AS (SELECT session_ref || '/' || type || '/' || (k % 10) AS session_ref, record_no, 'h' || (k % 3) AS header_id, CASE WHEN record_no % 2 = 0 THEN 'h1' END AS expected_id FROM records),
     f AS (SELECT session_ref, min(record_no) AS record_no, min_by(header_id, record_no) AS header_id, count(*) AS n, max(expected_id) AS e FROM m GROUP BY 1),
     s AS (SELECT m.session_ref, count(*) FILTER (m.header_id = coalesce(f.e, f.header_id)) AS same FROM m JOIN f USING (session_ref) GROUP BY 1)
     SELECT session_ref, record_no, header_id, CASE WHEN n > 1 AND header_id <> coalesce(e, header_id) THEN 'unidentified' WHEN n > 1 AND same <> 1 THEN 'ambiguous'
       WHEN e IS NOT NULL AND header_id <> e THEN 'disagrees' ELSE 'ok' END AS status FROM f JOIN s USING (session_ref)""",
 )
 def session_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir).filter("type = 'signup' AND k % 4 = 0").select(
-        "session_ref", "record_no", F.concat(F.lit("h"), F.col("k") % 3).alias("header_id"),
+    rows = records(spark, sf_dir).select(
+        F.concat_ws("/", "session_ref", "type", F.col("k") % 10).alias("session_ref"), "record_no", F.concat(F.lit("h"), F.col("k") % 3).alias("header_id"),
         F.when(F.col("record_no") % 2 == 0, "h1").alias("expected_id"),
     )
     return A.session_header(rows)
@@ -248,8 +248,8 @@ def apply_retractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "apply_replacements",
-    """WITH res AS (SELECT 'u' || (user_id % 50) AS session_ref, 'c' || (event_id // 60) AS call_id, event_id, event_id % 4 <> 0 AS active, event_id % 5 <> 0 AS replaceable FROM events WHERE event_type = 'click'),
-    rep AS (SELECT 'u' || (user_id % 50) AS session_ref, 'c' || (event_id // 60) AS call_id, max_by('new' || event_id, event_id) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+    """WITH res AS (SELECT 'u' || (user_id % 50) AS session_ref, 'c' || (event_id // 60) AS call_id, event_id, event_id % 4 <> 0 AS active, event_id % 5 <> 0 AS replaceable FROM events WHERE event_type NOT IN ('view', 'signup')),
+    rep AS (SELECT 'u' || (user_id % 50) AS session_ref, 'c' || (event_id // 60) AS call_id, max_by('new' || event_id, event_id) AS v FROM events WHERE event_type IN ('view', 'signup') GROUP BY 1, 2),
     f AS (SELECT session_ref, call_id, count(*) AS n, count(*) FILTER (active) AS a, bool_and(replaceable) AS can FROM res GROUP BY 1, 2),
     g AS (SELECT session_ref, bool_or(NOT active) AS folded FROM res GROUP BY 1),
     o AS (SELECT r.*, CASE WHEN coalesce(n, 0) <> 1 OR NOT coalesce(can, false) THEN 'unsupported' WHEN a = 0 AND folded THEN 'inactive' WHEN a <> 1 THEN 'unsupported' ELSE 'applied' END AS outcome
@@ -263,7 +263,8 @@ def apply_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.alias("record_no"), (e % 4 != 0).alias("active"), (e % 5 != 0).alias("replaceable"), F.lit("old").alias("output"),
         F.concat(F.lit("new"), e).alias("replacement"), "event_type",
     )
-    return A.apply_replacements(base.filter("event_type = 'click'"), base.filter("event_type = 'view'"))[1]
+    is_new = F.col("event_type").isin("view", "signup")
+    return A.apply_replacements(base.filter(~is_new), base.filter(is_new))[1]
 
 
 def _mirror(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -455,13 +456,13 @@ def record_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "latest_links",
-    f"""WITH {RECORDS} SELECT session_ref, 'a' || (k % 5) AS url, max_by('t' || k, record_no) AS title, max(record_no) AS record_no FROM records WHERE type = 'purchase' GROUP BY 1, 2
-    UNION ALL SELECT session_ref, '' AS url, max_by('t' || k, record_no), max(record_no) FROM records WHERE type = 'error' GROUP BY 1""",
+    f"""WITH {RECORDS} SELECT session_ref, 'a' || (k % 5) AS url, max_by('t' || k, record_no) AS title, max(record_no) AS record_no FROM records WHERE type NOT IN ('error', 'signup') GROUP BY 1, 2
+    UNION ALL SELECT session_ref, '' AS url, max_by('t' || k, record_no), max(record_no) FROM records WHERE type IN ('error', 'signup') GROUP BY 1""",
 )
 def latest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).withColumn("url", F.concat(F.lit("a"), F.col("k") % 5)).withColumn("title", F.concat(F.lit("t"), "k"))
-    by_url = A.latest_links(rows.filter("type = 'purchase'"), ["session_ref", "url"], "title")
-    by_session = A.latest_links(rows.filter("type = 'error'"), ["session_ref"], "title").withColumn("url", F.lit(""))
+    by_url = A.latest_links(rows.filter("type NOT IN ('error', 'signup')"), ["session_ref", "url"], "title")
+    by_session = A.latest_links(rows.filter("type IN ('error', 'signup')"), ["session_ref"], "title").withColumn("url", F.lit(""))
     return by_url.unionByName(by_session)
 
 

@@ -378,15 +378,15 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cache_upsert",
-    """WITH r AS (SELECT 'k' || (event_id % 700) AS cache_key, ts AS completed_at, 'v' || event_id AS result FROM events WHERE event_type IN ('view', 'click'))
+    """WITH r AS (SELECT 'k' || (event_id % 700) AS cache_key, ts AS completed_at, 'v' || event_id AS result FROM events)
     SELECT cache_key, max(completed_at) AS completed_at, max_by(result, completed_at) AS result FROM r GROUP BY 1""",
 )
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         F.concat(F.lit("k"), F.col("event_id") % 700).alias("cache_key"), F.col("ts").alias("completed_at"), F.concat(F.lit("v"), "event_id").alias("result"), "event_type"
     )
-    parts = [rows.filter(F.col("event_type") == kind).drop("event_type") for kind in ("view", "click")]
-    return J.cache_upsert(*parts)
+    fresh = F.col("event_type").isin("click", "purchase")
+    return J.cache_upsert(*[rows.filter(part).drop("event_type") for part in (~fresh, fresh)])
 
 
 @query(

@@ -234,8 +234,8 @@ def tool_output_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "result_file_binding",
-    """WITH calls AS (SELECT 'c' || (event_id // 11) AS call_id, 't' || (user_id % 4) AS transcript FROM events WHERE event_type = 'view'),
-    refs AS (SELECT 'c' || (event_id // 11) AS call_id, 't' || (user_id % 4) AS transcript, 'f' || (event_id // 13) AS file FROM events WHERE event_type = 'click'),
+    """WITH calls AS (SELECT 'c' || (event_id // 11) AS call_id, 't' || (user_id % 4) AS transcript FROM events WHERE event_type IN ('view', 'signup')),
+    refs AS (SELECT 'c' || (event_id // 11) AS call_id, 't' || (user_id % 4) AS transcript, 'f' || (event_id // 13) AS file FROM events WHERE event_type IN ('click', 'error')),
     files AS (SELECT DISTINCT 'f' || (event_id // 13) AS file FROM events WHERE event_type = 'purchase')
     SELECT 'call_repeated' AS violation, call_id AS subject FROM calls GROUP BY call_id HAVING count(*) > 1
     UNION ALL SELECT 'result_repeated', call_id FROM refs GROUP BY call_id HAVING count(*) > 1
@@ -250,7 +250,7 @@ def result_file_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.concat(F.lit("t"), F.col("user_id") % 4).alias("transcript")
     file = F.concat(F.lit("f"), F.expr("event_id div 13")).alias("file")
     return G.result_file_binding(
-        base.filter("event_type = 'view'").select(call, side), base.filter("event_type = 'click'").select(call, side, file),
+        base.filter("event_type IN ('view', 'signup')").select(call, side), base.filter("event_type IN ('click', 'error')").select(call, side, file),
         base.filter("event_type = 'purchase'").select(file).distinct(),
     )
 
@@ -317,13 +317,13 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "attach_results",
     """WITH b AS (SELECT 'u' || (user_id % 30) AS session_ref, 'c' || (event_id // 40) AS call_id, event_type, user_id, event_id FROM events),
-    main AS (SELECT session_ref, call_id, count(*) AS n FROM b WHERE event_type = 'view' AND event_id % 6 <> 0 GROUP BY ALL),
-    live AS (SELECT session_ref, call_id, count(*) AS n, bool_or(event_id % 9 = 0) AS taken FROM b WHERE event_type = 'click' GROUP BY ALL),
-    known AS (SELECT session_ref, call_id, count(*) AS n FROM b WHERE event_type IN ('click', 'purchase') GROUP BY ALL)
+    main AS (SELECT session_ref, call_id, count(*) AS n FROM b WHERE event_type IN ('view', 'signup') AND event_id % 6 <> 0 GROUP BY ALL),
+    live AS (SELECT session_ref, call_id, count(*) AS n, bool_or(event_id % 9 = 0) AS taken FROM b WHERE event_type IN ('click', 'error') GROUP BY ALL),
+    known AS (SELECT session_ref, call_id, count(*) AS n FROM b WHERE event_type IN ('click', 'error', 'purchase') GROUP BY ALL)
     SELECT m.session_ref, CASE WHEN m.n <> 1 THEN 'unmaterialised' WHEN coalesce(l.n, 0) = 0 AND m.session_ref IN (SELECT session_ref FROM b WHERE user_id % 3 = 0) AND coalesce(k.n, 0) = 1 THEN 'inactive'
       WHEN coalesce(l.n, 0) <> 1 OR l.taken THEN 'unmaterialised' ELSE 'materialised' END AS outcome, sum(m.n)::BIGINT AS n
     FROM main m LEFT JOIN live l USING (session_ref, call_id) LEFT JOIN known k USING (session_ref, call_id) GROUP BY 1, 2
-    UNION ALL SELECT session_ref, 'private', count(*) FROM b WHERE event_type = 'view' AND event_id % 6 = 0 GROUP BY 1""",
+    UNION ALL SELECT session_ref, 'private', count(*) FROM b WHERE event_type IN ('view', 'signup') AND event_id % 6 = 0 GROUP BY 1""",
 )
 def attach_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "events").select(
@@ -331,6 +331,6 @@ def attach_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type", "user_id", (F.col("event_id") % 6 != 0).alias("in_main"), (F.col("event_id") % 9 == 0).alias("has_resources"),
     )
     return G.attach_results(
-        base.filter("event_type = 'view'"), base.filter("event_type = 'click'"), base.filter("event_type IN ('click', 'purchase')"),
+        base.filter("event_type IN ('view', 'signup')"), base.filter("event_type IN ('click', 'error')"), base.filter("event_type IN ('click', 'error', 'purchase')"),
         base.filter("user_id % 3 = 0"),
     )
