@@ -118,7 +118,6 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls, results and exchanges of each session; a beat starts at each signup event."""
     raw = (
         table(spark, sf_dir, "events")
-        .filter(F.col("event_type").isin("view", "click", "purchase", "signup"))
         .select(
             F.col("user_id"),
             F.col("event_id").alias("ordinal"),
@@ -135,11 +134,12 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ordinal",
             "beat",
             F.when(F.col("event_type") == "view", "call")
-            .when(F.col("event_type") == "click", "result")
+            .when(F.col("event_type").isin("click", "error"), "result")
             .otherwise("exchange")
             .alias("phase"),
             F.concat(F.lit("c"), F.col("k") % 10).alias("call_id"),
             "k",
+            "event_type",
         )
         .select(
             "session_ref", "ordinal", "beat", "phase", "call_id",
@@ -148,7 +148,7 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when((phase == "exchange") & (F.col("k") % 5 == 0), "denied").otherwise("").alias("status"),
             F.when(phase == "call", F.concat(F.lit('{"k": '), F.col("k"), F.lit("}"))).otherwise("").alias("input"),
             F.when(phase != "call", F.concat(F.lit('{"ok": '), F.col("ordinal"), F.lit("}"))).otherwise("").alias("output"),
-            F.when((phase == "result") & (F.col("k") % 7 == 0), F.lit('{"message": "failed"}')).otherwise("").alias("error"),
+            F.when((F.col("event_type") == "error") | ((phase == "result") & (F.col("k") % 7 == 0)), F.lit('{"message": "failed"}')).otherwise("").alias("error"),
         )
     )
 
@@ -245,9 +245,9 @@ TOOLS = """tool_raw AS (
   SELECT 'user:' || lpad(user_id::VARCHAR, 12, '0') AS session_ref, event_id AS ordinal, event_type,
     json_extract_string(props, '$.k')::BIGINT AS k,
     sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS beat
-  FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup')),
+  FROM events),
 tool_phase AS (
-  SELECT *, CASE event_type WHEN 'view' THEN 'call' WHEN 'click' THEN 'result' ELSE 'exchange' END AS phase
+  SELECT *, CASE WHEN event_type = 'view' THEN 'call' WHEN event_type IN ('click', 'error') THEN 'result' ELSE 'exchange' END AS phase
   FROM tool_raw WHERE event_type <> 'signup'),
 tool_events AS (
   SELECT session_ref, ordinal, beat, phase, 'c' || (k % 10) AS call_id,
@@ -256,7 +256,7 @@ tool_events AS (
     CASE WHEN phase = 'exchange' AND k % 5 = 0 THEN 'denied' ELSE '' END AS status,
     CASE WHEN phase = 'call' THEN '{"k": ' || k || '}' ELSE '' END AS input,
     CASE WHEN phase <> 'call' THEN '{"ok": ' || ordinal || '}' ELSE '' END AS output,
-    CASE WHEN phase = 'result' AND k % 7 = 0 THEN '{"message": "failed"}' ELSE '' END AS error
+    CASE WHEN event_type = 'error' OR (phase = 'result' AND k % 7 = 0) THEN '{"message": "failed"}' ELSE '' END AS error
   FROM tool_phase)"""
 
 RECORDS = """record_raw AS (

@@ -446,8 +446,8 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", _utc("session_start"), "records")
 
 
-_CALLS = """c AS (SELECT 'u' || user_id AS session_ref, event_id AS ordinal, ts, CASE event_type WHEN 'view' THEN 'call' WHEN 'click' THEN 'result' ELSE 'exchange' END AS phase, 'c' || (json_extract_string(props, '$.k')::BIGINT % 10) AS call_id
-  FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+_CALLS = """c AS (SELECT 'u' || user_id AS session_ref, event_id AS ordinal, ts, CASE WHEN event_type IN ('view', 'signup') THEN 'call' WHEN event_type IN ('click', 'error') THEN 'result' ELSE 'exchange' END AS phase, 'c' || (json_extract_string(props, '$.k')::BIGINT % 10) AS call_id
+  FROM events),
 l AS (SELECT *, lag(phase) OVER (PARTITION BY session_ref, call_id ORDER BY ordinal) AS pp, row_number() OVER (PARTITION BY session_ref, call_id ORDER BY ordinal DESC) AS back FROM c WHERE phase <> 'exchange')"""
 
 
@@ -457,9 +457,9 @@ l AS (SELECT *, lag(phase) OVER (PARTITION BY session_ref, call_id ORDER BY ordi
     UNION ALL SELECT session_ref, ordinal, call_id, CASE WHEN ts < (SELECT max(ts) FROM c) - INTERVAL 1 DAY THEN 'unanswered' ELSE 'open' END FROM l WHERE back = 1 AND phase = 'call'""",
 )
 def stream_pair_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phase = F.when(F.col("event_type") == "view", "call").when(F.col("event_type") == "click", "result").otherwise("exchange")
-    blank = F.lit("")
-    rows = _stream(spark, sf_dir).filter(F.col("event_type").isin("view", "click", "purchase")).select(
+    kind, blank = F.col("event_type"), F.lit("")
+    phase = F.when(kind.isin("view", "signup"), "call").when(kind.isin("click", "error"), "result").otherwise("exchange")
+    rows = _stream(spark, sf_dir).select(
         F.concat(F.lit("u"), "user_id").alias("session_ref"), F.col("event_id").alias("ordinal"), phase.alias("phase"),
         F.concat(F.lit("c"), F.get_json_object("props", "$.k").cast("bigint") % 10).alias("call_id"),
         *[blank.alias(c) for c in ("name", "namespace", "status", "input", "output", "error")], "ts",
