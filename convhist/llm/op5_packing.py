@@ -1,10 +1,11 @@
 """Harmonic packing of token ids into sequences of fixed capacity.
 
-A document's ids (with an end id) are cut into full sequences and a rest; the rest is cut at C/2, C/4 .. C/32 and a tail
-shorter than that. A piece of length n belongs to the class k = C // n: lengths in (C/(k+1), C/k]. A bin of class k holds k
-pieces, no more and no fewer, so every worker fills its own bins without looking at others, with at most k - 1 pieces of
-a class waiting. What waits when a partition ends is laid end to end: cut at the capacity, and its rest at powers of two,
-which need no padding. Padding is left in bins of tails alone, less than one tail each.
+A document of n ids (with an end id), n below the capacity C, belongs whole to the class k = C // n: lengths in
+(C/(k+1), C/k]. A bin of class k takes k documents, no more and no fewer, so every worker fills its own bins without looking at
+others, with at most k - 1 documents of a class waiting. The room that the k documents leave is filled with cut ids:
+the rests of documents longer than C, whose full sequences are bins of their own, and else the next documents that come.
+So there is no padding, and one bin at most waits for ids to be cut. What waits when a partition ends is laid end to
+end: cut at the capacity, and its rest at powers of two, which need no padding.
 
 Defined cases: null and empty texts are one piece with the end id alone; rows with null or repeated ids are packed each on
 its own; other columns are ignored. Nothing is shuffled; a lost task packs its split again with the same result.
@@ -12,6 +13,7 @@ its own; other columns are ignored. Nothing is shuffled; a lost task packs its s
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,29 +30,16 @@ PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequ
 LOCAL_BITS = 36
 
 
-def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of the pieces of a document of n ids."""
-    at = 0
-    while n - at >= capacity:
-        yield at, capacity
-        at += capacity
-    for k in (2, 4, 8, 16, 32):
-        size = capacity // k
-        if size and n - at >= size:
-            yield at, size
-            at += size
-    while n > at:  # one tail; more only where capacity isn't a power of two
-        size = min(n - at, max(1, capacity // 32))
-        yield at, size
-        at += size
-
-
 class Bins:
-    """The open bins of one worker, one per class."""
+    """The open bins of one worker: documents that wait by class, one bin that waits for cut ids, and ids to be cut."""
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
+        self.counted: list[tuple] = []
+        self.room = 0
+        self.loose: deque[tuple] = deque()
+        self.loose_size = 0
 
     def _close(self, pieces: list[tuple]) -> list[tuple]:
         offset, rows = 0, []
@@ -60,34 +49,55 @@ class Bins:
         self.next_id += 1
         return rows
 
-    def add(self, piece: tuple) -> list[tuple]:
-        k = self.capacity // piece[2]
-        waiting = self.open.setdefault(k, [])
-        waiting.append(piece)
-        if len(waiting) < k:
-            return []
-        del self.open[k]
-        return self._close(waiting)
+    def _loosen(self, piece: tuple) -> None:
+        self.loose.append(piece)
+        self.loose_size += piece[2]
+
+    def _cut(self, room: int) -> list[tuple]:
+        """Pieces of exactly `room` ids, which there must be."""
+        self.loose_size -= room
+        taken = []
+        while room:
+            doc_id, start, length, ids, total = self.loose.popleft()
+            if length > room:
+                width = len(ids) // length
+                self.loose.appendleft((doc_id, start + room, length - room, ids[room * width :], total))
+                length, ids = room, ids[: room * width]
+            taken.append((doc_id, start, length, ids, total))
+            room -= length
+        return taken
+
+    def add(self, doc_id: int | None, ids: bytes, total: int) -> list[tuple]:
+        """The pieces of the bins that a document of `total` ids completes."""
+        rows, at, width = [], 0, len(ids) // total
+        while total - at >= self.capacity:
+            rows += self._close([(doc_id, at, self.capacity, ids[at * width : (at + self.capacity) * width], total)])
+            at += self.capacity
+        if at == total:
+            return rows
+        piece = (doc_id, at, total - at, ids[at * width :], total)
+        if at or self.counted:
+            self._loosen(piece)
+        else:
+            k = self.capacity // total
+            waiting = self.open.setdefault(k, [])
+            waiting.append(piece)
+            if len(waiting) == k:
+                self.counted, self.room = self.open.pop(k), self.capacity - sum(p[2] for p in waiting)
+        if self.counted and self.loose_size >= self.room:
+            rows += self._close(self.counted + self._cut(self.room))
+            self.counted = []
+        if self.loose_size >= 2 * self.capacity:
+            rows += self._close(self._cut(self.capacity))
+        return rows
 
     def finish(self) -> list[tuple]:
-        """Lay the waiting pieces end to end: full sequences, then powers of two."""
-        waiting = [p for k in sorted(self.open) for p in self.open[k]]
-        self.open = {}
-        left, rows = sum(p[2] for p in waiting), []
-        waiting.reverse()
-        while left:
-            room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-            left -= room
-            taken = []
-            while room:
-                doc_id, start, length, ids, total = waiting.pop()
-                if length > room:
-                    width = len(ids) // length
-                    waiting.append((doc_id, start + room, length - room, ids[room * width :], total))
-                    length, ids = room, ids[: room * width]
-                taken.append((doc_id, start, length, ids, total))
-                room -= length
-            rows += self._close(taken)
+        """Lay what waits end to end: full sequences, then powers of two."""
+        for piece in self.counted + [p for k in sorted(self.open) for p in self.open[k]]:
+            self._loosen(piece)
+        self.open, self.counted, rows = {}, [], []
+        while left := self.loose_size:
+            rows += self._close(self._cut(self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)))
         return rows
 
 
@@ -109,10 +119,7 @@ def _pack(path: str, capacity: int, end_id: int):
                 flat, sizes = ids_of.encode(texts[a:b])
                 data, stops = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
                 for doc_id, x, y in zip(doc_ids[a:b], [0, *stops], stops, strict=False):
-                    ids = data[x:y] + end
-                    n = len(ids) // 4
-                    for start, length in cuts(n, capacity):
-                        rows += bins.add((doc_id, start, length, ids[start * 4 : (start + length) * 4], n))
+                    rows += bins.add(doc_id, data[x:y] + end, (y - x) // 4 + 1)
                 if rows:
                     yield _batch(rows)
         ids_of.table.clear()  # the worker may go on with other work that needs its memory

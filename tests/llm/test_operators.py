@@ -193,18 +193,45 @@ def test_op5_defined_cases(spark, cases, none):
     assert op5_packing.pack(none, vocabulary(BYTE)).collect() == []
 
 
-def test_op5_bins_hold_a_fixed_number():
-    bins, rows = op5_packing.Bins(64, 0), []
-    for i, n in enumerate(random.Random(3).choices(range(1, 400), k=200)):
-        for start, length in op5_packing.cuts(n, 64):
-            rows += bins.add((i, start, length, bytes(4 * length), n))
-    assert all(len(b) == 64 // b[0] for b in (
-        [r[2] for r in rows if r[5] == s] for s in {r[5] for r in rows}))
+@pytest.mark.parametrize("capacity", [1, 7, 64])
+@pytest.mark.parametrize("sizes", ["mixed", "long", "short"])
+def test_op5_bins_hold_a_fixed_number_of_whole_documents(capacity, sizes):
+    most = {"mixed": 6 * capacity, "long": 9 * capacity, "short": max(1, capacity // 3)}[sizes]
+    least = 2 * capacity + 1 if sizes == "long" else 1
+    bins, rows = op5_packing.Bins(capacity, 0), []
+    totals = random.Random(3).choices(range(least, most + 1), k=300)
+    for i, n in enumerate(totals):
+        rows += bins.add(i, b"".join(x.to_bytes(4, "little") for x in range(n)), n)
+        assert bins.loose_size < 2 * capacity
     rest = bins.finish()
+    parts = defaultdict(list)
+    for r in rows:
+        parts[r[5]].append(r)
+    for own in parts.values():
+        assert sum(r[2] for r in own) == capacity
+        if sizes == "short":  # without long documents every bin starts with the documents of its class
+            k = capacity // own[0][2]
+            assert all(r[2] == r[4] and capacity // r[2] == k for r in own[:k])
     tokens = Counter()
     for r in rest:
         tokens[r[5]] += r[2]
-    assert all(t & (t - 1) == 0 for t in tokens.values())
+    assert all(t == capacity or t & (t - 1) == 0 for t in tokens.values())
+    seen = defaultdict(list)
+    for doc_id, start, length, ids, total, *_ in rows + rest:
+        assert total == totals[doc_id] and ids == b"".join(x.to_bytes(4, "little") for x in range(start, start + length))
+        seen[doc_id].append((start, length))
+    for doc_id, pieces in seen.items():
+        ends = [0, *(start + length for start, length in sorted(pieces))]
+        assert [start for start, _ in sorted(pieces)] == ends[:-1] and ends[-1] == totals[doc_id]
+    assert len(seen) == len(totals)
+
+
+def test_op5_counts_documents_by_class():
+    bins, rows = op5_packing.Bins(64, 0), []
+    for i, n in enumerate([20, 20, 30, 18, 30, 40, 3]):
+        rows += bins.add(i, bytes(4 * n), n)
+    first = [(r[0], r[2]) for r in rows if r[5] == 0]
+    assert first == [(0, 20), (1, 20), (3, 18), (4, 6)]  # three of class 3, then ids cut from the next document
 
 
 def test_op7_reads_back_what_it_wrote(spark, sf_dir, texts):
