@@ -10,9 +10,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
+import pyarrow as pa
 
 #: Words a worker keeps, and ids of theirs; beyond either it forgets the words that it met in one batch only.
 WORDS = 500_000
@@ -142,11 +143,15 @@ class WordEncoder:
 
 
 class SpacedWords(WordEncoder):
-    """Byte-level vocabularies whose words carry the white space before them."""
+    """Byte-level vocabularies whose words carry the white space before them.
 
-    _units = re.compile(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
-    #: ASCII and the Latin letters up to U+024F, which all libraries know alike.
-    _plain = re.compile(rb"(?:[\x00-\x1b\x20-\x7f]|[\xc3-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])*")
+    Word ends are found in the bytes of all texts at once, and Arrow numbers the distinct words of a batch, so Python touches
+    each distinct word of a batch once. New plain words are encoded in one call and told apart by the lengths of their tokens.
+    """
+
+    _space = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+    #: Bytes outside ASCII and the Latin letters up to U+024F, which all libraries know alike. U+0240 on needs a second look.
+    _foreign = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, *range(0xCA, 0x100)])
     #: Characters that some take for white space: a text that holds one goes to the library whole.
     _odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     #: By first byte of their UTF-8 form: whether a batch may hold any.
@@ -154,11 +159,10 @@ class SpacedWords(WordEncoder):
 
     def __init__(self, path: str, dtype: str):
         super().__init__(path, dtype)
-        self.split = self._units.findall
-        self.quick = self._quick(path)
+        self.quick, self.token_bytes = self._quick(path)
 
     def _quick(self, path: str):
-        """The ranks library's encoder for ASCII words, where the file is the plain kind that it knows; else None."""
+        """The ranks library's encoder and the bytes of each token, where the file is the plain kind that it knows; else None."""
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -171,21 +175,59 @@ class SpacedWords(WordEncoder):
         options = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         ordered = len(model["vocab"]) == 256 + len(made) and ids == sorted(set(ids)) and (not ids or ids[0] >= 256)
         if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or options or not ordered:
-            return None
+            return None, None
         ranks = {bytes([byte_of[c] for c in token]): i for token, i in model["vocab"].items()}
-        return tiktoken.Encoding("ascii", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        token_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        token_bytes[list(ranks.values())] = list(map(len, ranks))
+        return tiktoken.Encoding("ascii", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, token_bytes
+
+    def joinable(self, words: list[bytes], ends: np.ndarray) -> np.ndarray:
+        """Which words are plain and can stand behind each other: white space first, none at the end, no mark."""
+        data = np.frombuffer(b"".join([*words, b" "]), dtype=np.uint8)
+        here, after = data[:-1], data[1:]
+        bad = self._foreign[here] | ((here == 0xC9) & (after >= 0x90)) | ((here == ord("<")) & (after == ord("|")))
+        total = np.concatenate(([0], np.cumsum(bad)))
+        begin = np.concatenate(([0], ends[:-1]))
+        return (total[ends] == total[begin]) & self._space[data[begin]] & ~self._space[data[ends - 1]]
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        quick, plain = self.quick, self._plain.fullmatch
-        return flattened([quick(w.decode()) if quick and plain(w) and b"<|" not in w else self.whole(w.decode()) for w in words])
+        if not self.quick:
+            return flattened([self.whole(w.decode()) for w in words])
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        plain = self.joinable(words, np.cumsum(size))
+        joined = np.array(self.quick(b"".join(compress(words, plain)).decode()), dtype=np.int64)
+        token_ends = np.cumsum(self.token_bytes[joined])
+        sizes = np.empty(len(words), dtype=np.int64)
+        sizes[plain] = np.diff(np.searchsorted(token_ends, np.cumsum(size[plain]), side="right"), prepend=0)
+        odd_ids, sizes[~plain] = flattened([self.whole(w.decode()) for w in compress(words, ~plain)])
+        owner = np.repeat(plain, sizes)
+        ids = np.empty(len(owner), dtype=np.int64)
+        ids[owner], ids[~owner] = joined, odd_ids
+        return ids, sizes
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        may = self._may[np.frombuffer(b"".join(texts), dtype=np.uint8)].any()
-        odd = [bool(may and self._odd.search(t.decode())) for t in texts]
-        if not any(odd):
-            return super().encode(texts)
-        parts = [flattened([self.whole(t.decode())]) if o else super(SpacedWords, self).encode([t]) for t, o in zip(texts, odd, strict=True)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        data = b"".join(texts)
+        if self._may[np.frombuffer(data, dtype=np.uint8)].any():
+            odd = [bool(self._odd.search(t.decode())) for t in texts]
+            if any(odd):
+                parts = [flattened([self.whole(t.decode())]) if o else self.by_words(t, [t]) for t, o in zip(texts, odd, strict=True)]
+                return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return self.by_words(data, texts)
+
+    def by_words(self, data: bytes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each text; `data` is all texts, one after the other."""
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))))
+        if not data:
+            return flattened([[] for _ in texts])
+        space = self._space[np.frombuffer(data, dtype=np.uint8)]
+        first = space & ~np.concatenate(([True], space[:-1]))
+        first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        at = np.flatnonzero(first)
+        offsets = np.append(at, len(data))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        numbers = self.table.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        sizes = np.diff(np.concatenate(([0], np.cumsum(self.table.size[numbers])))[np.searchsorted(at, bounds)])
+        return self.table.gather(numbers), sizes
 
 
 class BareWords(WordEncoder):

@@ -15,7 +15,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from convhist.llm import op11_byte_bpe, op12_squares, op13_fim  # noqa: E402
+from convhist.llm import encoders, op11_byte_bpe, op12_squares, op13_fim  # noqa: E402
 
 RANKS = str(P.path("byte_bpe_50k.tiktoken"))
 SCHEMA = "doc_id long, text string, word string, chunk string, number int, key string, form string"
@@ -274,3 +274,19 @@ def test_forgetting_words_changes_nothing(monkeypatch):
             got = coder.batch(texts[a : a + 3])
             assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[a : a + 3]]
             assert len(coder.table.known) <= 60 + 100
+
+
+def test_byte_level_words_join_only_where_they_may():
+    """New words are encoded in one call: white space of every kind, marks, letters beyond the plain ones, empty texts."""
+    kinds = ["a", "I'll", "word", "<|", "<", "|b", "<|endoftext|>", "ȿ", "ɀ", "ɏ", "ɐ", "é", "日本", "😀", "12", "...", "\x00"]
+    blanks = ["", " ", "  ", "\n", "\n\n ", "\t", "\x0b", "\x0c", "\r\n", "\x1c", "\x85", "\xa0", "　"]
+    rng = random.Random(5)
+    texts = ["", " ", "\n\n", "x", " x", "x ", "\x0bx\x0c"]
+    texts += ["".join(rng.choice(blanks[: rng.choice((9, 13))]) + rng.choice(kinds) for _ in range(rng.randint(0, 12))) + rng.choice(blanks) for _ in range(600)]
+    path = encoders.vocabulary("byte_bpe_50k.json")
+    words, plain = encoders.SpacedWords(path, "<u4"), encoders.library(path)
+    for a in range(0, len(texts), 50):
+        ids, sizes = words.encode([t.encode() for t in texts[a : a + 50]])
+        wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts[a : a + 50]]
+        assert sizes.tolist() == [len(w) for w in wanted]
+        assert ids.tolist() == [i for w in wanted for i in w]
