@@ -2,7 +2,7 @@
 
 Vectors get one more dimension that makes all norms equal, so the largest inner product is the smallest distance, and are
 turned by a random rotation. Centroids from a bounded sample split them into lists; a query probes its nearest lists
-until they hold `probe_share` of all vectors. Within a list the dimensions are read in column blocks: from the first d of D,
+until they hold a share of all vectors that the sample shows to be enough. Within a list the dimensions are read in column blocks: from the first d of D,
 the distance is estimated at D/d times the partial one, and a candidate is given up once that exceeds the k-th best so far
 by the factor (1 + eps / sqrt(d))^2, a test that a true neighbour fails with small probability. What is left is scored
 exactly on the original vectors, in double precision, summed from the first dimension on.
@@ -35,7 +35,10 @@ from convhist.llm.common import materialize
 TRAIN_ROWS = 20_000
 MAX_LISTS = 1024
 LIST_BLOCK = 4096
-QUERY_CHUNK = 512
+QUERY_CHUNK = 8192
+#: Recall that the probed lists are to have, and the sample's vectors asked to learn what share of all that takes.
+TARGET_RECALL = 0.95
+ASKED_ROWS = 500
 _turns: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -71,30 +74,41 @@ def nearest_lists(vectors: np.ndarray, centers: np.ndarray, n: int) -> np.ndarra
     return near.argmin(axis=1)[:, None] if n == 1 else np.argsort(near, axis=1, kind="stable")[:, :n]
 
 
-def adaptive_scan(rows: np.ndarray, queries: np.ndarray, k: int, width: int = 16, eps: float = 2.1, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) that survive: the k nearest of each query and few more."""
+def adaptive_scan(rows: np.ndarray, queries: np.ndarray, k: int, width: int = 16, eps: float = 2.1, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that survive: the k nearest of each query and few more.
+
+    Rows are read in parts of growing size, so that the first ones set the limits. While many pairs of a part are left, a
+    column block is one matrix product over all of them; then the pairs left are followed one by one.
+    """
     n, dim = rows.shape
     best = np.full((len(queries), k), np.inf)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, n, step):
-        part = rows[a : a + step]
-        limit = best[:, -1]
-        left = part[:, :width], queries[:, :width]
-        first = np.einsum("ij,ij->i", left[0], left[0])[None, :] + np.einsum("ij,ij->i", left[1], left[1])[:, None] - 2 * left[1] @ left[0].T
-        d = min(width, dim)
-        q, x = np.nonzero(first * (dim / d) <= (limit * (1 + eps / math.sqrt(d)) ** 2 + 1e-9)[:, None])
-        so_far = first[q, x]
+    a = 0
+    while a < n:
+        part, limit, d = rows[a : a + step], best[:, -1], 0
+        total, alive, pairs = np.zeros((len(queries), len(part))), True, None
         while d < dim:
-            more = part[x, d : d + width] - queries[q, d : d + width]
-            so_far = so_far + np.einsum("ij,ij->i", more, more)
+            asked, given = queries[:, d : d + width], part[:, d : d + width]
             d = min(d + width, dim)
-            factor = (1 + eps / math.sqrt(d)) ** 2 if d < dim else 1.0
-            keep = so_far * (dim / d) <= limit[q] * factor + 1e-9
-            q, x, so_far = q[keep], x[keep], so_far[keep]
+            bound = limit * (1 + eps / math.sqrt(d)) ** 2 + 1e-9 if d < dim else limit + 1e-9
+            if pairs is None:
+                total += np.einsum("ij,ij->i", asked, asked)[:, None] + np.einsum("ij,ij->i", given, given)[None, :] - 2 * asked @ given.T
+                alive = alive & (total * (dim / d) <= bound[:, None])
+                if d == dim or 8 * np.count_nonzero(alive) < alive.size:
+                    pairs = np.nonzero(alive)
+                    q, x = pairs
+                    so_far = total[q, x]
+            else:
+                more = given[x] - asked[q]
+                so_far = so_far + np.einsum("ij,ij->i", more, more)
+                keep = so_far * (dim / d) <= bound[q]
+                q, x, so_far = q[keep], x[keep], so_far[keep]
         found.append((q, x + a, so_far))
         dense = np.full((len(queries), len(part)), np.inf)
         dense[q, x] = so_far
         best = np.sort(np.partition(np.concatenate((best, dense), axis=1), k - 1, axis=1)[:, :k], axis=1)
+        a += len(part)
+        step = min(4 * step, 1024)
     q, x, so_far = (np.concatenate(c) for c in zip(*found, strict=True))
     keep = so_far <= best[q, -1] * (1 + 1e-9) + 1e-9
     return q[keep], x[keep]
@@ -108,6 +122,22 @@ def exact_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
+def learned_share(sample: np.ndarray, placed: np.ndarray, asked: np.ndarray, centers: np.ndarray, neighbours: int) -> float:
+    """Share of all vectors that the nearest lists must hold to have TARGET_RECALL of the neighbours of a sample's vectors.
+
+    `placed` and `asked` are the sample turned as vectors and its first ASKED_ROWS turned as queries.
+    """
+    n = len(asked)
+    scores = sample[:n] @ sample.T
+    scores[np.arange(n), np.arange(n)] = -np.inf
+    near = np.argpartition(-scores, neighbours - 1, axis=1)[:, :neighbours]
+    lists = nearest_lists(placed, centers, 1)[:, 0]
+    order = nearest_lists(asked, centers, len(centers))
+    held = np.cumsum(np.bincount(lists, minlength=len(centers))[order], axis=1) / len(sample)
+    place = np.argsort(order, axis=1)
+    return float(np.quantile(np.take_along_axis(held, np.take_along_axis(place, lists[near], axis=1), axis=1), TARGET_RECALL, method="higher"))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -148,8 +178,8 @@ def _scan_block(k: int, dim: int, square: float, seed: int, eps: float):
         ids, plain = ids[keep], plain[keep]
         rows, wanted = turned(plain, square, seed), turned(asked, 0.0, seed, query=True)
         out = []
-        for a in range(0, len(wanted), 64):
-            q, x = adaptive_scan(rows, wanted[a : a + 64], k + 1, eps=eps)  # one more: the query's own row may be among them
+        for a in range(0, len(wanted), 256):
+            q, x = adaptive_scan(rows, wanted[a : a + 256], k + 1, eps=eps)  # one more: the query's own row may be among them
             q += a
             other = ids[x] != query_ids[q]
             q, x = q[other], x[other]
@@ -171,10 +201,11 @@ def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return rows.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).filter(finite).filter(F.exists("vec", lambda v: v != 0.0))
 
 
-def search(table: DataFrame, is_query: Column, k: int = 20, probe_share: float = 0.75, eps: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
+def search(table: DataFrame, is_query: Column, k: int = 20, probe_share: float | None = None, eps: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query. is_query: over vec_id and vec.
 
-    probe_share trades recall for work; 0.75 suits vectors with little structure, as real ones need far less.
+    probe_share trades recall for work. If it isn't given, it is learnt from the sample: see `learned_share`. A sample's
+    neighbours are no nearer than those among all vectors, so the share learnt errs to the safe side.
     """
     rows = valid_vectors(table, id_col, vector_col)
     norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
@@ -188,11 +219,17 @@ def search(table: DataFrame, is_query: Column, k: int = 20, probe_share: float =
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_length(rows: DataFrame, is_query: Column, dim: int, n: int, square: float, k: int, probe_share: float, eps: float, seed: int) -> DataFrame:
+def _search_length(rows: DataFrame, is_query: Column, dim: int, n: int, square: float, k: int, probe_share: float | None, eps: float, seed: int) -> DataFrame:
     """The nearest of each query among the n vectors of one length."""
     sample = rows.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("vec").toArrow()
     lists = max(1, min(MAX_LISTS, round(math.sqrt(n) / 2)))
-    centers = centroids(turned(_matrix(sample.column("vec"), dim), square, seed), lists)
+    sample = _matrix(sample.column("vec"), dim)
+    turned_sample = turned(sample, square, seed)
+    centers = centroids(turned_sample, lists)
+    if probe_share is None:
+        neighbours = min(len(sample) - 1, max(1, round(k * len(sample) / n)))
+        asked_sample = turned(sample[:ASKED_ROWS], 0.0, seed, query=True)
+        probe_share = learned_share(sample, turned_sample, asked_sample, centers, neighbours) if neighbours else 1.0
     placed = materialize(rows.mapInArrow(_assign(centers, square, dim, seed), "vec_id long, vec array<double>, list int"))
     sizes = np.zeros(len(centers), dtype=np.int64)
     for r in placed.groupBy("list").count().collect():  # one row per list
