@@ -178,3 +178,35 @@ def _nfkc_lower(values: pd.Series) -> pd.Series:
 def normalize_phrase(value: Column) -> Column:
     """NFKC, lower case, runs of other characters to one blank. NFKC has no SQL form: Arrow UDF."""
     return F.trim(F.regexp_replace(_nfkc_lower(value), r"[^\p{L}\p{N}_.:/+-]+", " "))
+
+
+# Character classes of the Unicode sentence rules (UAX 29), as members of a regular expression's set.
+_SEPARATOR = r"\n\r\u0085\u2028\u2029"
+_BLANK = r"\t\x0B\f \u00A0\u1680\u2000-\u200A\u202F\u205F\u3000"
+_UPPER, _LOWER, _LETTER, _NUMBER = r"\p{Lu}\p{Lt}", r"\p{Ll}", r"\p{L}\p{Nl}", r"\p{Nd}"
+_FULL_STOP = r".\u2024\uFE52\uFF0E"
+_TERMINAL = r"!?\u0589\u061D-\u061F\u06D4\u0964\u0965\u104A\u104B\u1362\u1367\u1368\u203C\u203D\u2047-\u2049\u2E2E\u3002\uFE56\uFE57\uFF01\uFF1F\uFF61"
+_CLOSING = r"\p{Ps}\p{Pe}\p{Pi}\p{Pf}\"'"
+_GOES_ON = r",\-:\u055D\u060C\u060D\u1802\u1808\u2013\u2014\u3001\uFE10\uFE11\uFE13\uFE50\uFE51\uFE55\uFE58\uFE63\uFF0C\uFF0D\uFF1A\uFF64"
+
+
+def _sentence_pattern() -> str:
+    """One sentence: up to the first place where the rules break, or to the end.
+
+    A line break always ends one (SB4). A mark with the closing marks and blanks behind it does (SB9 to SB11) unless a
+    comma or another mark follows (SB8a); a full stop also doesn't before a digit (SB6), between letters of which the second
+    is upper case (SB7), or if the next letter is lower case (SB8).
+    """
+    line_end = rf"(?:\r\n|[{_SEPARATOR}])"
+    behind = rf"[{_CLOSING}]*+[{_BLANK}]*+"
+    no_mark = rf"(?![{_GOES_ON}{_FULL_STOP}{_TERMINAL}])"
+    no_lower = rf"(?![^{_LETTER}{_SEPARATOR}{_FULL_STOP}{_TERMINAL}]*+[{_LOWER}])"
+    cased = _UPPER + _LOWER
+    stop = rf"(?:(?<![{cased}])[{_FULL_STOP}]|(?<=[{cased}])[{_FULL_STOP}](?![{_UPPER}]))(?![{_NUMBER}])"
+    ends = rf"{line_end}|[{_TERMINAL}]{behind}(?:{line_end}|{no_mark})|{stop}{behind}(?:{line_end}|{no_mark}{no_lower})"
+    return rf"(?s)(?=.).*?(?:{ends}|\z)"
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a text by the Unicode rules; together they are the text. Combining and format characters have no special role."""
+    return F.regexp_extract_all(text, F.lit(_sentence_pattern()), F.lit(0))

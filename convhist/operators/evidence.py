@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convhist.functions.ids import framed_digest
-from convhist.functions.text import normalize_phrase, trim_space
+from convhist.functions.text import normalize_phrase, sentences, trim_space
 from convhist.operators.skew import lookup_join
 
 # Enumerations and limits of labelled evidence.
@@ -27,16 +27,13 @@ LENSES = ("style", "workflow", "quality", "scope", "verification", "correction")
 MAX_EVENTS, MAX_LENSES, MAX_QUOTES = 6, 3, 6
 MAX_QUOTE_CHARS, TARGET_QUOTE_CHARS = 900, 450
 
-# A piece ends after a run of sentence marks or line breaks and the white space behind it.
-_PIECE = r"(?s)[^.!?。！？\n]*[.!?。！？\n]+\s*|[^.!?。！？\n]+$"
-
 
 def quote_chunks(text: Column) -> Column:
-    """Sentence pieces glued up to at least 450 and at most 900 characters, trimmed.
+    """Sentences glued up to at least 450 and at most 900 characters, trimmed.
 
     Card texts are bounded by the card byte budget, so this per-row fold stays small.
     """
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    pieces = sentences(text)
     short = F.flatten(
         F.transform(
             pieces,

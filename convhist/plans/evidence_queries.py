@@ -39,8 +39,23 @@ _CARDS = """cards AS (
 _TRIM = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 _QUOTES = f"""{_CARDS}, sources AS (
   SELECT card_ref, 'user_text' AS source, user_text AS text FROM cards UNION ALL SELECT card_ref, 'next_user', next_user_text FROM cards WHERE next_user_text IS NOT NULL),
+classes AS (SELECT card_ref, source, text, list_aggregate(list_transform(string_split(text, ''), lambda c: CASE
+    WHEN c = chr(13) THEN 'R' WHEN c IN (chr(10), chr(133), chr(8232), chr(8233)) THEN 'P' WHEN regexp_matches(c, '^[\\s\\x0b\\p{{Zs}}]$') THEN 'W'
+    WHEN regexp_matches(c, '^[\\p{{Lu}}\\p{{Lt}}]$') THEN 'U' WHEN regexp_matches(c, '^\\p{{Ll}}$') THEN 'L' WHEN regexp_matches(c, '^[\\p{{L}}\\p{{Nl}}]$') THEN 'O'
+    WHEN regexp_matches(c, '^\\p{{Nd}}$') THEN 'N' WHEN c IN ('.', '․', '﹒', '．') THEN 'A' WHEN c IN ('!', '?', '。', '！', '？', '؟', '۔', '‼', '⁇', '｡') THEN 'S'
+    WHEN regexp_matches(c, '^[\\p{{Ps}}\\p{{Pe}}\\p{{Pi}}\\p{{Pf}}"'']$') THEN 'C' WHEN c IN (',', '-', ':', '–', '—', '、', '，', '：') THEN 'K' ELSE 'X' END), 'string_agg', '') AS cls
+  FROM sources WHERE text <> ''),
+breaks AS (SELECT card_ref, source, text, list_filter(range(1, length(text)), lambda i: CASE
+    WHEN substr(cls, i::INT, 1) = 'P' THEN true
+    WHEN substr(cls, i::INT, 1) = 'R' THEN substr(cls, (i + 1)::INT, 1) <> 'P'
+    WHEN NOT regexp_matches(left(cls, i::INT), '[AS]C*W*$') OR regexp_matches(substr(cls, (i + 1)::INT, 1), '[WPRASK]') THEN false
+    WHEN substr(cls, (i + 1)::INT, 1) = 'C' AND substr(cls, i::INT, 1) <> 'W' THEN false
+    WHEN regexp_matches(left(cls, i::INT), 'SC*W*$') THEN true
+    ELSE NOT (regexp_matches(left(cls, i::INT), 'A$') AND substr(cls, (i + 1)::INT, 1) = 'N' OR regexp_matches(left(cls, i::INT), '[UL]A$') AND substr(cls, (i + 1)::INT, 1) = 'U')
+      AND NOT regexp_matches(substr(cls, (i + 1)::INT), '^[^OULPRSA]*L') END) AS b FROM classes),
+bounds AS (SELECT card_ref, source, text, list_concat(list_concat([0::BIGINT], b), [length(text)::BIGINT]) AS b FROM breaks),
 raw AS (SELECT card_ref, source, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
-  SELECT card_ref, source, regexp_extract_all(text, '[^.!?。！？\\n]*[.!?。！？\\n]+\\s*|[^.!?。！？\\n]+$') AS p FROM sources)),
+  SELECT card_ref, source, list_transform(range(1, len(b)), lambda j: substr(text, (b[j] + 1)::INT, (b[j + 1] - b[j])::INT)) AS p FROM bounds)),
 cutp AS (SELECT card_ref, source, i, g.k AS k, substr(piece, (g.k * 900 + 1)::INT, 900) AS piece FROM raw, LATERAL (SELECT unnest(range(0, greatest(ceil(length(piece) / 900.0)::BIGINT, 1))) AS k) g),
 pieces AS (SELECT card_ref, source, piece, row_number() OVER (PARTITION BY card_ref, source ORDER BY i, k) AS n, {_TRIM.format("piece")} = '' AS blank FROM cutp),
 fold AS (

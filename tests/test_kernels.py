@@ -466,3 +466,34 @@ def test_retractions_are_decided_in_order(spark, monkeypatch):
     chain = {("c", e): [f"m{e:04}", f"m{e + 1:04}"] for e in range(5_000)}
     assert _retract(spark, chain) == {("c", e): e % 2 == 0 for e in range(5_000)}
     assert len(stored) < 25  # one round of thirteen doublings
+
+
+SENTENCES = [
+    ["Hello there. ", "How are you? ", "Fine!"],
+    ["Version 3.4 is out, e.g. the U.S.A. build etc. and more. ", "Next one."],
+    ["Wait... what?! ", "No."],
+    ["He said \"stop.\" ", "Then (really!) ", "left."],
+    ["Yes!, he said. ", "Done"],
+    ["你好。", "再见！（", "好。）", "完"],  # an opening mark is a closing one to the rules
+    ["one\n", "\n", "two\r\n", "three\r", "four. \n", " five"],
+    ["See p. ", "5. ", "See fig. ", "Five"],  # only a lower-case letter further on holds a blank and a digit back
+    ["a.b c.D (x.) ", "Y. ", "«Z.» ", "W"],
+    ["no mark at all"],
+    ["   "],
+    ["..."],
+    ["x. 1 is lower. ", "2 IS not"],
+]
+
+
+def test_sentences(spark):
+    df = spark.createDataFrame([(i, "".join(parts)) for i, parts in enumerate(SENTENCES)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", text.sentences(F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(SENTENCES))] == SENTENCES
+
+
+def test_sentences_of_odd_texts_are_the_text(spark):
+    rng = random.Random(11)
+    texts = ["", "a" * 200_000, "a. " * 20_000, "." * 50_000 + "x", "\n" * 5_000]
+    texts += ["".join(rng.choice("aB1.!?,\"') \n\r。é\u2028") for _ in range(40)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.sentences(F.col("t")).alias("s")).collect()
+    assert all("".join(r.s) == r.t and "" not in r.s for r in rows)
