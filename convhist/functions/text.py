@@ -181,13 +181,13 @@ def normalize_phrase(value: Column) -> Column:
 
 
 # Character classes of the Unicode sentence rules (UAX 29), as members of a regular expression's set.
-_SEPARATOR = r"\n\r\u0085\u2028\u2029"
-_BLANK = r"\t\x0B\f \u00A0\u1680\u2000-\u200A\u202F\u205F\u3000"
-_UPPER, _LOWER, _LETTER, _NUMBER = r"\p{Lu}\p{Lt}", r"\p{Ll}", r"\p{L}\p{Nl}", r"\p{Nd}"
-_FULL_STOP = r".\u2024\uFE52\uFF0E"
-_TERMINAL = r"!?\u0589\u061D-\u061F\u06D4\u0964\u0965\u104A\u104B\u1362\u1367\u1368\u203C\u203D\u2047-\u2049\u2E2E\u3002\uFE56\uFE57\uFF01\uFF1F\uFF61"
-_CLOSING = r"\p{Ps}\p{Pe}\p{Pi}\p{Pf}\"'"
-_GOES_ON = r",\-:\u055D\u060C\u060D\u1802\u1808\u2013\u2014\u3001\uFE10\uFE11\uFE13\uFE50\uFE51\uFE55\uFE58\uFE63\uFF0C\uFF0D\uFF1A\uFF64"
+_SB_SEPARATOR = r"\n\r\u0085\u2028\u2029"
+_SB_BLANK = r"\t\x0B\f \u00A0\u1680\u2000-\u200A\u202F\u205F\u3000"
+_SB_UPPER, _SB_LOWER, _SB_LETTER, _SB_NUMBER = r"\p{Lu}\p{Lt}", r"\p{Ll}", r"\p{L}\p{Nl}", r"\p{Nd}"
+_SB_FULL_STOP = r".\u2024\uFE52\uFF0E"
+_SB_TERMINAL = r"!?\u0589\u061D-\u061F\u06D4\u0964\u0965\u104A\u104B\u1362\u1367\u1368\u203C\u203D\u2047-\u2049\u2E2E\u3002\uFE56\uFE57\uFF01\uFF1F\uFF61"
+_SB_CLOSING = r"\p{Ps}\p{Pe}\p{Pi}\p{Pf}\"'"
+_SB_GOES_ON = r",\-:\u055D\u060C\u060D\u1802\u1808\u2013\u2014\u3001\uFE10\uFE11\uFE13\uFE50\uFE51\uFE55\uFE58\uFE63\uFF0C\uFF0D\uFF1A\uFF64"
 
 
 def _sentence_pattern() -> str:
@@ -197,13 +197,13 @@ def _sentence_pattern() -> str:
     comma or another mark follows (SB8a); a full stop also doesn't before a digit (SB6), between letters of which the second
     is upper case (SB7), or if the next letter is lower case (SB8).
     """
-    line_end = rf"(?:\r\n|[{_SEPARATOR}])"
-    behind = rf"[{_CLOSING}]*+[{_BLANK}]*+"
-    no_mark = rf"(?![{_GOES_ON}{_FULL_STOP}{_TERMINAL}])"
-    no_lower = rf"(?![^{_LETTER}{_SEPARATOR}{_FULL_STOP}{_TERMINAL}]*+[{_LOWER}])"
-    cased = _UPPER + _LOWER
-    stop = rf"(?:(?<![{cased}])[{_FULL_STOP}]|(?<=[{cased}])[{_FULL_STOP}](?![{_UPPER}]))(?![{_NUMBER}])"
-    ends = rf"{line_end}|[{_TERMINAL}]{behind}(?:{line_end}|{no_mark})|{stop}{behind}(?:{line_end}|{no_mark}{no_lower})"
+    line_end = rf"(?:\r\n|[{_SB_SEPARATOR}])"
+    behind = rf"[{_SB_CLOSING}]*+[{_SB_BLANK}]*+"
+    no_mark = rf"(?![{_SB_GOES_ON}{_SB_FULL_STOP}{_SB_TERMINAL}])"
+    no_lower = rf"(?![^{_SB_LETTER}{_SB_SEPARATOR}{_SB_FULL_STOP}{_SB_TERMINAL}]*+[{_SB_LOWER}])"
+    cased = _SB_UPPER + _SB_LOWER
+    stop = rf"(?:(?<![{cased}])[{_SB_FULL_STOP}]|(?<=[{cased}])[{_SB_FULL_STOP}](?![{_SB_UPPER}]))(?![{_SB_NUMBER}])"
+    ends = rf"{line_end}|[{_SB_TERMINAL}]{behind}(?:{line_end}|{no_mark})|{stop}{behind}(?:{line_end}|{no_mark}{no_lower})"
     return rf"(?s)(?=.).*?(?:{ends}|\z)"
 
 
