@@ -241,32 +241,42 @@ def alias_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_ref", "occurrence_ref", "alias", "episode_alias", "lineage_alias")
 
 
+#: Aliases of one request: seven groups of three, so no answer needs more groups than a request may have.
+ASKED = 21
+
+
+def _asked(aliases: DataFrame) -> DataFrame:
+    """Aliases in requests of at most ASKED consecutive ones; ``part`` numbers the requests of one comparable scope (``whole_ref``)."""
+    part = F.expr(f"cast(substring(alias, 2, 19) AS bigint) div {ASKED}")
+    rows = aliases.withColumn("whole_ref", F.col("request_ref")).withColumn("part", part)
+    return rows.withColumn("request_ref", F.concat_ws("-", "whole_ref", "part"))
+
+
 def _proposed(aliases: DataFrame) -> DataFrame:
-    """Proposed groups: up to 84 aliases spread evenly over all of a request's, dealt to seven groups; one group repeated, some requests with a defect."""
-    n = F.substring("alias", 2, 10).cast("bigint")
-    sizes = aliases.groupBy("request_ref").agg(F.count(F.lit(1)).alias("_size"))
-    rows = aliases.withColumn("_n", n).join(sizes, "request_ref")
-    rows = rows.filter("_n = 0 OR _n * 84 div _size <> (_n - 1) * 84 div _size").withColumn("group_no", F.expr("_n * 84 div _size % 7"))
+    """Proposed groups: every three consecutive aliases of a request, none left out but a last single one; one group repeated, some requests with a defect."""
+    rows = aliases.withColumn("_n", F.substring("alias", 2, 19).cast("bigint")).withColumn("group_no", F.expr(f"_n % {ASKED} div 3"))
     sets = rows.groupBy("request_ref", "group_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", "alias"))), lambda r: r["alias"]).alias("event_ids")
+        F.min("part").alias("part"), F.transform(F.array_sort(F.collect_list(F.struct("_n", "alias"))), lambda r: r["alias"]).alias("event_ids")
     ).filter(F.size("event_ids") >= 2)
-    flaw = F.conv(F.substring("request_ref", 10, 1), 16, 10).cast("int") % 5
+    flaw = (F.conv(F.substring("request_ref", 10, 1), 16, 10).cast("int") + F.col("part")) % 8
+    odd = lambda number, group: (flaw == number) & (F.col("group_no") == group)
     sets = sets.select(
         "request_ref", "group_no", F.lit("style").alias("lens"), F.concat(F.lit("idea "), "group_no").alias("hypothesis"), F.lit("general").alias("topic"),
-        F.when((flaw == 0) & (F.col("group_no") == 1), "guess").otherwise("shared_principle").alias("relation"),
-        F.when((flaw == 1) & (F.col("group_no") == 0), F.array_append("event_ids", F.lit("a99999"))).otherwise(F.col("event_ids")).alias("event_ids"),
+        F.when(odd(0, 1), "guess").otherwise("shared_principle").alias("relation"),
+        F.when(odd(1, 0), F.array_append("event_ids", F.lit("a"))).when(odd(3, 0), F.flatten(F.array_repeat("event_ids", 7))).otherwise(F.col("event_ids")).alias("event_ids"),
+        odd(2, 1).alias("_ninth"),
     )
     again = sets.filter("group_no = 2").withColumn("group_no", F.lit(-1).cast("bigint"))
-    ninth = sets.filter((flaw == 2) & (F.col("group_no") == 1)).withColumn("group_no", F.lit(-2).cast("bigint"))
-    return sets.unionByName(again).unionByName(ninth)
+    ninth = sets.filter("_ninth").withColumn("group_no", F.lit(-2).cast("bigint"))
+    return sets.unionByName(again).unionByName(ninth).drop("_ninth")
 
 
-_GROUPS = f"""{_SCOPED}, nums AS (SELECT *, substr(alias, 2)::BIGINT AS n, ('0x' || substr(request_ref, 10, 1))::INT % 5 AS flaw, count(*) OVER (PARTITION BY request_ref) AS total FROM aliased),
-drawn AS (SELECT *, n * 84 // total % 7 AS group_no FROM nums WHERE n = 0 OR n * 84 // total <> (n - 1) * 84 // total),
+_GROUPS = f"""{_SCOPED}, nums AS (SELECT * REPLACE (request_ref || '-' || (substr(alias, 2)::BIGINT // {ASKED}) AS request_ref), substr(alias, 2)::BIGINT AS n, (('0x' || substr(request_ref, 10, 1))::INT + substr(alias, 2)::BIGINT // {ASKED}) % 8 AS flaw FROM aliased),
+drawn AS (SELECT *, n % {ASKED} // 3 AS group_no FROM nums),
 sets AS (SELECT request_ref, group_no, min(flaw) AS flaw, count(*) AS size, string_agg(occurrence_ref, ',' ORDER BY n) AS members FROM drawn GROUP BY 1, 2 HAVING count(*) >= 2),
 bad AS (SELECT DISTINCT request_ref, 'relation' AS code FROM sets WHERE flaw = 0 AND group_no = 1 UNION SELECT DISTINCT request_ref, 'unknown_member' FROM sets WHERE flaw = 1 AND group_no = 0
   UNION SELECT request_ref, 'too_many_groups' FROM sets GROUP BY 1 HAVING count(*) + count(*) FILTER (group_no = 2) + count(*) FILTER (flaw = 2 AND group_no = 1) > 8
-  UNION SELECT request_ref, 'members' FROM sets WHERE size + CASE WHEN flaw = 1 AND group_no = 0 THEN 1 ELSE 0 END > 12),
+  UNION SELECT request_ref, unnest(['members', 'duplicate_members']) FROM sets WHERE flaw = 3 AND group_no = 0),
 issue AS (SELECT request_ref, string_agg(code, ',' ORDER BY code) AS codes FROM bad GROUP BY 1),
 kept AS (SELECT s.*, 'group1_' || {duck_digest(["s.request_ref", "'style'", "'idea ' || s.group_no", "'general'", "'shared_principle'", "s.members"])} AS group_ref FROM sets s WHERE request_ref NOT IN (SELECT request_ref FROM bad)),
 member AS (SELECT k.group_ref, k.request_ref, d.occurrence_ref FROM kept k JOIN drawn d ON d.request_ref = k.request_ref AND d.group_no = k.group_no),
@@ -276,8 +286,8 @@ rest AS (SELECT request_ref, occurrence_ref FROM nums WHERE request_ref NOT IN (
 def _validated(spark: SparkSession, sf_dir: str):
     pooled = _pooled(spark, sf_dir)
     evidence = L.plan_groups(pooled, ["pool"])[0]
-    aliases = L.alias_ids(evidence)
-    return pooled, evidence, L.validate_groups(_proposed(aliases), aliases)
+    asked = _asked(L.alias_ids(evidence))
+    return pooled, evidence, asked, L.validate_groups(_proposed(asked), asked)
 
 
 @query(
@@ -286,7 +296,7 @@ def _validated(spark: SparkSession, sf_dir: str):
     UNION ALL SELECT request_ref, occurrence_ref, 'not_grouped' FROM rest""",
 )
 def validate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, (issues, members, rest) = _validated(spark, sf_dir)
+    _, _, _, (issues, members, rest) = _validated(spark, sf_dir)
     return (
         issues.select("request_ref", F.array_join("issues", ",").alias("value"), F.lit("issue").alias("kind"))
         .unionByName(members.select("request_ref", F.concat_ws(":", "group_ref", "occurrence_ref").alias("value"), F.lit("member").alias("kind")))
@@ -301,12 +311,12 @@ def validate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT request_ref, bool_and((g AND l = 0) OR (NOT g AND l = 1)) AS complete, 0::BIGINT AS "foreign", count(*) FILTER (NOT g AND l = 0) AS unlisted, count(*) FILTER (g AND l > 0) AS "both" FROM j GROUP BY 1""",
 )
 def audit_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, evidence, (_, members, rest) = _validated(spark, sf_dir)
+    _, _, asked, (_, members, rest) = _validated(spark, sf_dir)
     digit = F.substring("occurrence_ref", 13, 1)
     listed = rest.filter(digit != "7").select("request_ref", "occurrence_ref").unionByName(
         members.filter(digit == "3").select("request_ref", "occurrence_ref")
     )
-    return L.audit_complete(evidence, members, listed)
+    return L.audit_complete(asked, members, listed)
 
 
 @query(
@@ -316,7 +326,7 @@ def audit_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM member m JOIN occ USING (occurrence_ref) GROUP BY group_ref""",
 )
 def group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled, _, (_, members, _) = _validated(spark, sf_dir)
+    pooled, _, _, (_, members, _) = _validated(spark, sf_dir)
     return L.group_metrics(members, pooled)
 
 
@@ -341,15 +351,16 @@ def select_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "routing_totals",
-    f"""WITH RECURSIVE {_GROUPS}, {_REQ}, pools AS (SELECT DISTINCT request_ref, pool FROM evid)
+    f"""WITH RECURSIVE {_GROUPS}, {_REQ}, pools AS (SELECT DISTINCT request_ref, pool FROM nums)
     SELECT p.pool, (SELECT count(*) FROM scoped s WHERE s.pool = p.pool) AS occurrences, (SELECT count(DISTINCT occurrence_ref) FROM member m JOIN pools q USING (request_ref) WHERE q.pool = p.pool) AS "grouped",
       (SELECT count(DISTINCT group_ref) FROM member m JOIN pools q USING (request_ref) WHERE q.pool = p.pool) AS "groups", (SELECT count(*) FROM rest r JOIN pools q USING (request_ref) WHERE q.pool = p.pool) AS unrouted,
       (SELECT count(*) FROM status s WHERE s.pool = p.pool AND status = 'cached') AS cached, (SELECT count(*) FROM status s WHERE s.pool = p.pool AND status = 'completed') AS completed,
       (SELECT count(*) FROM status s WHERE s.pool = p.pool AND status LIKE 'pending%') AS pending FROM (SELECT DISTINCT pool FROM scoped) p""",
 )
 def routing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled, evidence, (_, members, rest) = _validated(spark, sf_dir)
-    pools = evidence.select("request_ref", "pool").distinct()
+    pooled, evidence, asked, (_, members, rest) = _validated(spark, sf_dir)
+    pools = evidence.select(F.col("request_ref").alias("whole_ref"), "pool").distinct()
+    pools = asked.select("whole_ref", "request_ref").distinct().join(pools, "whole_ref").select("request_ref", "pool")
     statuses = J.select_requests(_requests(pooled), ["pool"], 4_000, 6_000)
     return L.routing_totals(pooled, members.join(pools, "request_ref"), rest.join(pools, "request_ref"), statuses, ["pool"])
 
@@ -435,7 +446,7 @@ def cache_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
       || '- Coverage: ' || o || ' occurrences, ' || m || ' messages, ' || s || ' sessions, ' || l || ' lineages, ' || p || ' projects' || chr(10) AS text FROM num""",
 )
 def render_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled, _, (_, members, _) = _validated(spark, sf_dir)
+    pooled, _, _, (_, members, _) = _validated(spark, sf_dir)
     rows = L.group_metrics(members, pooled).withColumn("review_ref", F.lit("r")).withColumn("draft", F.lit("draft"))
     rows = ranked(rows, ["review_ref"], ["topic", "group_ref"], "place")
     return rows.select("review_ref", "place", R.candidate_text(F.col("place")).alias("text"))

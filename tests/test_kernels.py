@@ -497,3 +497,21 @@ def test_sentences_of_odd_texts_are_the_text(spark):
     texts += ["".join(rng.choice("aB1.!?,\"') \n\r。é\u2028") for _ in range(40)) for _ in range(300)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.sentences(F.col("t")).alias("s")).collect()
     assert all("".join(r.s) == r.t and "" not in r.s for r in rows)
+
+
+def test_every_alias_of_a_request_is_proposed(spark):
+    from convhist.operators import groups as L
+    from convhist.plans import evidence_queries as E
+
+    ref = "request1_f" + "0" * 63
+    aliases = spark.createDataFrame([(ref, f"a{i}", f"occ{i:04}") for i in range(400)], "request_ref string, alias string, occurrence_ref string")
+    asked = E._asked(aliases)
+    proposed = E._proposed(asked)
+    assert proposed.selectExpr("explode(event_ids) AS alias").join(aliases, "alias").select("alias").distinct().count() == 399  # the last alias is alone in its group
+    issues, members, rest = L.validate_groups(proposed, asked)
+    assert {c for r in issues.collect() for c in r.issues} == {"relation", "unknown_member", "too_many_groups", "members", "duplicate_members"}
+    bad = {r.request_ref for r in issues.collect()}
+    good = [r.occurrence_ref for r in asked.collect() if r.request_ref not in bad]
+    assert len(bad) == 10 and len(good) == 400 - 210
+    assert sorted(r.occurrence_ref for r in members.unionByName(rest, True).collect()) == sorted(good)
+    assert [r.occurrence_ref for r in rest.collect()] == ["occ0399"]
