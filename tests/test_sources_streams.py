@@ -128,3 +128,43 @@ def test_calls_in_any_order_equal_the_batch_pairing(spark, tmp_path):
     got = sorted((r.ordinal, r.call_id, r.name) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.ordinal < 1000)
     df = spark.createDataFrame([(s, o, p, c, f"n{o}" if p == "call" else "", "", "", "", "", "") for s, o, p, c, _ in events], CALL_SCHEMA.replace(", ts timestamp", ""))
     assert got == sorted((r.ordinal, r.call_id, r.name) for r in pair_tools(df, ["session_ref"]).collect())
+
+
+def test_calls_take_few_round_trips_to_the_store():
+    from collections import Counter
+    from datetime import datetime, timedelta, timezone
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    trips = Counter()
+
+    class State(list):
+        def __getattribute__(self, name):
+            if name in ("get", "put", "clear", "exists", "update", "appendList", "appendValue"):
+                trips["state"] += 1
+            return super().__getattribute__(name)
+
+        def get(self):
+            return iter(list(self))
+
+        def put(self, rows):
+            self[:] = rows
+
+        def appendList(self, rows):
+            self.extend(rows)
+
+    def register(moment):
+        trips["timer"] += 1
+
+    processor = calls.CallPairing(timedelta(days=1))
+    processor.init(SimpleNamespace(getListState=lambda *_: State(), registerTimer=register))
+    start = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    blank = dict.fromkeys(("name", "namespace", "status", "input", "output", "error"), "")
+    rows = [Row(session_ref="s", call_id=f"c{i % 20}", ts=start + timedelta(minutes=i), ordinal=i, phase="call" if i < 20 else "result", **blank) for i in range(40)]
+    assert not list(processor.handleInputRows((7,), iter(reversed(rows)), None))
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: calls._milliseconds(start + timedelta(minutes=29)))
+    got = sorted((r.ordinal, r.call_id, r.outcome) for r in processor.handleExpiredTimer((7,), now, None))
+    assert got == [(i, f"c{i % 20}", "paired") for i in range(20, 30)]
+    assert len(processor.waiting) == 10 and len(processor.open) == 10
+    assert trips["timer"] == 2 and trips["state"] <= 6
