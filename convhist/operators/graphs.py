@@ -127,13 +127,15 @@ def _reach(start: DataFrame, links: DataFrame) -> DataFrame:
     A shallow search ends within PLAIN_ROUNDS. Beyond, a round goes from a node to the end of its chain of single
     successors and then to what follows that end, so only branchings cost rounds; the nodes passed are added at last, from
     the jump tables of the chains.
+
+    The result is one table: a semi or anti join with a union would be done for each of its parts, all in one task.
     """
     links = materialize(links)
     reached = frontier = materialize(start)
     for _ in range(PLAIN_ROUNDS):
         frontier = _fresh(links, frontier, reached)
         if frontier.isEmpty():
-            return reached
+            return materialize(reached)
         reached = reached.unionByName(frontier)
     ends, forks, jumps = _shortcuts(links)
     ends, forks = ends.select("node", F.col("up").alias("_end")), materialize(forks)
@@ -145,7 +147,7 @@ def _reach(start: DataFrame, links: DataFrame) -> DataFrame:
     passed = heads
     for jump in jumps:
         passed = passed.unionByName(_fresh(jump, passed, passed))
-    return reached.unionByName(materialize(passed.join(reached, "node", "left_anti")))
+    return materialize(reached.unionByName(materialize(passed).join(reached, "node", "left_anti")))
 
 
 def _fresh(links: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:

@@ -515,3 +515,11 @@ def test_every_alias_of_a_request_is_proposed(spark):
     assert len(bad) == 10 and len(good) == 400 - 210
     assert sorted(r.occurrence_ref for r in members.unionByName(rest, True).collect()) == sorted(good)
     assert [r.occurrence_ref for r in rest.collect()] == ["occ0399"]
+
+
+def test_reached_nodes_are_one_table(spark):
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 60)] + [(100, 101)], "node long, up long")
+    for start, found in ((59, list(range(60))), (100, [100, 101])):
+        reached = H._reach(spark.createDataFrame([(start,)], "node long"), links)
+        assert sorted(r.node for r in reached.collect()) == found
+        assert "Union" not in reached._jdf.queryExecution().optimizedPlan().toString()
