@@ -358,26 +358,32 @@ def reconcile_mirror(model: DataFrame, display: DataFrame, chunk_rows: int | Non
     The greedy match is the least solution of "match(i) is the first equal model message behind
     all earlier matches". It is reached by raising lower bounds: start from the k-th occurrence for
     the k-th equal display message, then repeat two scans (running maximum, next occurrence) until
-    nothing moves. Ordinary mirrors settle in the first round; no session is ever gathered.
+    nothing moves. Ordinary mirrors settle in the first round; no session is ever gathered. A session where nothing moved is
+    final, so a round works on the other sessions alone.
     """
     content = [*KEY, "content_key"]
+    model = materialize(model.select(*content, "ordinal"))
     shown = scan(display, content, "ordinal", {"_k": position()}, chunk_rows)
     known = scan(model, content, "ordinal", {"_k": position()}, chunk_rows).select(*content, "_k", F.col("ordinal").alias("match"))
-    state = materialize(shown.join(known, [*content, "_k"], "left").drop("_k"))
+    state, settled = materialize(shown.join(known, [*content, "_k"], "left").drop("_k")), None
     spots = model.select(*content, (F.col("ordinal") * 2).alias("_o"), F.col("ordinal").alias("_pos"), F.lit(None).cast("bigint").alias("_i"))
     while True:
         bound = scan(state, KEY, "ordinal", {"_x": running_max(F.col("match"), strict=True)}, chunk_rows)
         bound = bound.withColumn("_x", F.coalesce("_x", F.lit(-1)))
-        late = bound.filter(F.col("match").isNotNull() & (F.col("match") <= F.col("_x")))
+        late = materialize(bound.filter(F.col("match").isNotNull() & (F.col("match") <= F.col("_x"))).select(*content, "ordinal", "_x"))
         if late.isEmpty():
             break
+        moving = materialize(late.select(*KEY).distinct())
+        final = materialize(state.join(moving, KEY, "left_anti"))
+        settled = final if settled is None else settled.unionByName(final)
         asked = late.select(*content, (F.col("_x") * 2 + 1).alias("_o"), F.lit(None).cast("bigint").alias("_pos"), F.col("ordinal").alias("_i"))
         # Questions of one bound tie, but only occurrences carry a value, so their order is irrelevant.
-        found = scan(spots.unionByName(asked), content, "_o", {"_next": next_value(F.col("_pos"))}, chunk_rows)
+        found = scan(spots.join(moving, KEY, "left_semi").unionByName(asked), content, "_o", {"_next": next_value(F.col("_pos"))}, chunk_rows)
         found = found.filter("_i IS NOT NULL").select(*KEY, F.col("_i").alias("ordinal"), "_next", F.lit(True).alias("_hit"))
-        state = materialize(
-            state.join(found, [*KEY, "ordinal"], "left").withColumn("match", F.when(F.col("_hit"), F.col("_next")).otherwise(F.col("match"))).drop("_next", "_hit")
-        )
+        moved = state.join(moving, KEY, "left_semi").join(found, [*KEY, "ordinal"], "left")
+        state = materialize(moved.withColumn("match", F.when(F.col("_hit"), F.col("_next")).otherwise(F.col("match"))).drop("_next", "_hit"))
+    if settled is not None:
+        state = materialize(state.unionByName(settled))
     verdict = state.groupBy(*KEY).agg(F.bool_and(F.col("match").isNotNull()).alias("matched"))
     return state, verdict
 

@@ -523,3 +523,21 @@ def test_reached_nodes_are_one_table(spark):
         reached = H._reach(spark.createDataFrame([(start,)], "node long"), links)
         assert sorted(r.node for r in reached.collect()) == found
         assert "Union" not in reached._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mirror_rounds_leave_settled_sessions_alone(spark, monkeypatch):
+    schema = "session_ref string, ordinal bigint, content_key string"
+    model = [("easy", i, f"k{i}") for i in range(6)] + [("hard", i, k) for i, k in enumerate("abcabcabc")]
+    shown = [("easy", i, f"k{i}") for i in range(6)] + [("hard", i, k) for i, k in enumerate("cbab")]
+    real, seen = A.scan, []
+
+    def spy(df, *rest):
+        seen.append({r.session_ref for r in df.select("session_ref").distinct().collect()})
+        return real(df, *rest)
+
+    monkeypatch.setattr(A, "scan", spy)
+    state, verdict = A.reconcile_mirror(spark.createDataFrame(model, schema), spark.createDataFrame(shown, schema), 3)
+    got = {(r.session_ref, r.ordinal): r.match for r in state.collect()}
+    assert got == {**{("easy", i): i for i in range(6)}, **dict(zip([("hard", i) for i in range(4)], (2, 4, 6, 7), strict=True))}
+    assert {(r.session_ref, r.matched) for r in verdict.collect()} == {("easy", True), ("hard", True)}
+    assert len(seen) > 3 and all(s == {"hard"} for s in seen[3:])
