@@ -290,6 +290,34 @@ def _validated(spark: SparkSession, sf_dir: str):
     return pooled, evidence, asked, L.validate_groups(_proposed(asked), asked)
 
 
+#: Members of a group in a repaired answer; the most a group may have.
+REPAIRED = 12
+
+
+def _repaired(aliases: DataFrame) -> DataFrame:
+    """Answers to requests asked again: every twelve consecutive aliases of a request, without a defect."""
+    rows = aliases.withColumn("_n", F.substring("alias", 2, 19).cast("bigint")).withColumn("group_no", F.expr(f"_n % {ASKED} div {REPAIRED}"))
+    sets = rows.groupBy("request_ref", "group_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "alias"))), lambda r: r["alias"]).alias("event_ids"))
+    return sets.filter(F.size("event_ids") >= 2).select(
+        "request_ref", "group_no", F.lit("style").alias("lens"), F.concat(F.lit("idea "), "group_no").alias("hypothesis"), F.lit("general").alias("topic"),
+        F.lit("shared_principle").alias("relation"), "event_ids",
+    )
+
+
+def _settled(asked: DataFrame, issues: DataFrame, members: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(member rows, leftovers) of every request: of its first answer or, where that was rejected, of the repaired one."""
+    again = asked.join(issues.select("request_ref"), "request_ref", "left_semi")
+    _, mended, left = L.validate_groups(_repaired(again), again)
+    return members.unionByName(mended), rest.unionByName(left)
+
+
+_SETTLED = f"""{_GROUPS},
+mended AS (SELECT request_ref, n % {ASKED} // {REPAIRED} AS group_no, string_agg(occurrence_ref, ',' ORDER BY n) AS members FROM nums WHERE request_ref IN (SELECT request_ref FROM bad) GROUP BY 1, 2 HAVING count(*) >= 2),
+final_group AS (SELECT request_ref, group_no, 'group1_' || {duck_digest(["request_ref", "'style'", "'idea ' || group_no", "'general'", "'shared_principle'", "members"])} AS group_ref FROM mended),
+final_member AS (SELECT group_ref, request_ref, occurrence_ref FROM member UNION ALL SELECT g.group_ref, g.request_ref, n.occurrence_ref FROM final_group g JOIN nums n ON n.request_ref = g.request_ref AND n.n % {ASKED} // {REPAIRED} = g.group_no),
+final_rest AS (SELECT request_ref, occurrence_ref FROM nums WHERE (request_ref, occurrence_ref) NOT IN (SELECT (request_ref, occurrence_ref) FROM final_member))"""
+
+
 @query(
     "validate_groups",
     f"""WITH {_GROUPS} SELECT request_ref, codes AS value, 'issue' AS kind FROM issue UNION ALL SELECT request_ref, group_ref || ':' || occurrence_ref, 'member' FROM member
@@ -306,17 +334,21 @@ def validate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "audit_complete",
-    f"""WITH {_GROUPS}, u AS (SELECT * FROM rest WHERE substr(occurrence_ref, 13, 1) <> '7' UNION ALL SELECT request_ref, occurrence_ref FROM member WHERE substr(occurrence_ref, 13, 1) = '3'),
-    j AS (SELECT request_ref, occurrence_ref, occurrence_ref IN (SELECT occurrence_ref FROM member) AS g, (SELECT count(*) FROM u WHERE u.request_ref = n.request_ref AND u.occurrence_ref = n.occurrence_ref) AS l FROM nums n)
+    f"""WITH {_SETTLED}, whole AS (SELECT split_part(request_ref, '-', 1) AS request_ref, occurrence_ref FROM nums),
+    m AS (SELECT split_part(request_ref, '-', 1) AS request_ref, occurrence_ref FROM final_member WHERE substr(occurrence_ref, 13, 1) <> '7'),
+    u AS (SELECT split_part(request_ref, '-', 1) AS request_ref, occurrence_ref FROM final_rest WHERE substr(occurrence_ref, 13, 1) <> '7' UNION ALL SELECT request_ref, occurrence_ref FROM m WHERE substr(occurrence_ref, 13, 1) = '3'),
+    j AS (SELECT request_ref, occurrence_ref, (request_ref, occurrence_ref) IN (SELECT (request_ref, occurrence_ref) FROM m) AS g, (SELECT count(*) FROM u WHERE u.request_ref = n.request_ref AND u.occurrence_ref = n.occurrence_ref) AS l FROM whole n)
     SELECT request_ref, bool_and((g AND l = 0) OR (NOT g AND l = 1)) AS complete, 0::BIGINT AS "foreign", count(*) FILTER (NOT g AND l = 0) AS unlisted, count(*) FILTER (g AND l > 0) AS "both" FROM j GROUP BY 1""",
 )
 def audit_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, asked, (_, members, rest) = _validated(spark, sf_dir)
+    _, _, asked, (issues, members, rest) = _validated(spark, sf_dir)
+    members, rest = _settled(asked, issues, members, rest)
+    # The answers to a scope are audited as one; some rows are lost on the way, some listed twice.
+    whole = lambda df: df.select(F.substring_index("request_ref", "-", 1).alias("request_ref"), "occurrence_ref")
     digit = F.substring("occurrence_ref", 13, 1)
-    listed = rest.filter(digit != "7").select("request_ref", "occurrence_ref").unionByName(
-        members.filter(digit == "3").select("request_ref", "occurrence_ref")
-    )
-    return L.audit_complete(asked, members, listed)
+    grouped = whole(members).filter(digit != "7")
+    listed = whole(rest).filter(digit != "7").unionByName(grouped.filter(digit == "3"))
+    return L.audit_complete(whole(asked), grouped, listed)
 
 
 @query(

@@ -541,3 +541,19 @@ def test_mirror_rounds_leave_settled_sessions_alone(spark, monkeypatch):
     assert got == {**{("easy", i): i for i in range(6)}, **dict(zip([("hard", i) for i in range(4)], (2, 4, 6, 7), strict=True))}
     assert {(r.session_ref, r.matched) for r in verdict.collect()} == {("easy", True), ("hard", True)}
     assert len(seen) > 3 and all(s == {"hard"} for s in seen[3:])
+
+
+def test_rejected_requests_are_asked_again(spark):
+    from convhist.operators import groups as L
+    from convhist.plans import evidence_queries as E
+
+    ref = "request1_f" + "0" * 63
+    aliases = spark.createDataFrame([(ref, f"a{i}", f"occ{i:04}") for i in range(400)], "request_ref string, alias string, occurrence_ref string")
+    asked = E._asked(aliases)
+    issues, members, rest = L.validate_groups(E._proposed(asked), asked)
+    assert members.count() == 190 - 1 and issues.count() == 10
+    members, rest = E._settled(asked, issues, members, rest)
+    assert sorted(r.occurrence_ref for r in members.unionByName(rest, True).collect()) == [f"occ{i:04}" for i in range(400)]
+    assert [r.occurrence_ref for r in rest.collect()] == ["occ0399"]
+    sizes = [r["count"] for r in members.groupBy("group_ref").count().collect()]
+    assert sorted(set(sizes)) == [3, 9, 12] and sizes.count(12) == sizes.count(9) == 10
