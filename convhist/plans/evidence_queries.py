@@ -353,13 +353,13 @@ def audit_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "group_metrics",
-    f"""WITH {_GROUPS} SELECT group_ref, 'general' AS topic, 'style' AS lens, 'shared_principle' AS relation, count(*) AS occurrences, count(DISTINCT mention_ref) AS messages, count(DISTINCT episode_ref) AS episodes,
+    f"""WITH {_SETTLED} SELECT group_ref, 'general' AS topic, 'style' AS lens, 'shared_principle' AS relation, count(*) AS occurrences, count(DISTINCT mention_ref) AS messages, count(DISTINCT episode_ref) AS episodes,
     count(DISTINCT session_ref) AS sessions, count(DISTINCT lineage_ref) AS lineages, count(DISTINCT project_key) AS projects, min(user_ts) AS earliest, max(user_ts) AS latest
-    FROM member m JOIN occ USING (occurrence_ref) GROUP BY group_ref""",
+    FROM final_member m JOIN occ USING (occurrence_ref) GROUP BY group_ref""",
 )
 def group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled, _, _, (_, members, _) = _validated(spark, sf_dir)
-    return L.group_metrics(members, pooled)
+    pooled, _, asked, (issues, members, rest) = _validated(spark, sf_dir)
+    return L.group_metrics(_settled(asked, issues, members, rest)[0], pooled)
 
 
 def _requests(pooled: DataFrame) -> DataFrame:
