@@ -285,9 +285,9 @@ rest AS (SELECT request_ref, occurrence_ref FROM nums WHERE request_ref NOT IN (
 
 def _validated(spark: SparkSession, sf_dir: str):
     pooled = _pooled(spark, sf_dir)
-    evidence = L.plan_groups(pooled, ["pool"])[0]
+    evidence, lone = L.plan_groups(pooled, ["pool"])
     asked = _asked(L.alias_ids(evidence))
-    return pooled, evidence, asked, L.validate_groups(_proposed(asked), asked)
+    return pooled, (evidence, lone), asked, L.validate_groups(_proposed(asked), asked)
 
 
 #: Members of a group in a repaired answer; the most a group may have.
@@ -383,18 +383,21 @@ def select_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "routing_totals",
-    f"""WITH RECURSIVE {_GROUPS}, {_REQ}, pools AS (SELECT DISTINCT request_ref, pool FROM nums)
-    SELECT p.pool, (SELECT count(*) FROM scoped s WHERE s.pool = p.pool) AS occurrences, (SELECT count(DISTINCT occurrence_ref) FROM member m JOIN pools q USING (request_ref) WHERE q.pool = p.pool) AS "grouped",
-      (SELECT count(DISTINCT group_ref) FROM member m JOIN pools q USING (request_ref) WHERE q.pool = p.pool) AS "groups", (SELECT count(*) FROM rest r JOIN pools q USING (request_ref) WHERE q.pool = p.pool) AS unrouted,
+    f"""WITH RECURSIVE {_SETTLED}, {_REQ}, pools AS (SELECT DISTINCT request_ref, pool FROM nums),
+    unrouted AS (SELECT q.pool FROM final_rest r JOIN pools q USING (request_ref) UNION ALL SELECT s.pool FROM scoped s JOIN verdict v ON v.pool = s.pool AND v.scope = s.scope WHERE NOT v.ok)
+    SELECT p.pool, (SELECT count(*) FROM scoped s WHERE s.pool = p.pool) AS occurrences, (SELECT count(DISTINCT occurrence_ref) FROM final_member m JOIN pools q USING (request_ref) WHERE q.pool = p.pool) AS "grouped",
+      (SELECT count(DISTINCT group_ref) FROM final_member m JOIN pools q USING (request_ref) WHERE q.pool = p.pool) AS "groups", (SELECT count(*) FROM unrouted r WHERE r.pool = p.pool) AS unrouted,
       (SELECT count(*) FROM status s WHERE s.pool = p.pool AND status = 'cached') AS cached, (SELECT count(*) FROM status s WHERE s.pool = p.pool AND status = 'completed') AS completed,
       (SELECT count(*) FROM status s WHERE s.pool = p.pool AND status LIKE 'pending%') AS pending FROM (SELECT DISTINCT pool FROM scoped) p""",
 )
 def routing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled, evidence, asked, (_, members, rest) = _validated(spark, sf_dir)
+    pooled, (evidence, lone), asked, (issues, members, rest) = _validated(spark, sf_dir)
+    members, rest = _settled(asked, issues, members, rest)
     pools = evidence.select(F.col("request_ref").alias("whole_ref"), "pool").distinct()
     pools = asked.select("whole_ref", "request_ref").distinct().join(pools, "whole_ref").select("request_ref", "pool")
+    unrouted = rest.join(pools, "request_ref").select("pool").unionByName(lone.select("pool"))
     statuses = J.select_requests(_requests(pooled), ["pool"], 4_000, 6_000)
-    return L.routing_totals(pooled, members.join(pools, "request_ref"), rest.join(pools, "request_ref"), statuses, ["pool"])
+    return L.routing_totals(pooled, members.join(pools, "request_ref"), unrouted, statuses, ["pool"])
 
 
 @query(

@@ -557,3 +557,16 @@ def test_rejected_requests_are_asked_again(spark):
     assert [r.occurrence_ref for r in rest.collect()] == ["occ0399"]
     sizes = [r["count"] for r in members.groupBy("group_ref").count().collect()]
     assert sorted(set(sizes)) == [3, 9, 12] and sizes.count(12) == sizes.count(9) == 10
+
+
+def test_routing_accounts_for_every_occurrence(spark, tmp_path):
+    from convhist.plans import evidence_queries as E
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}", "m") for c in range(40) for t in range(8)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, model string").write.parquet(f"{tmp_path}/conversations.parquet")
+    totals = E.routing_totals(spark, str(tmp_path)).collect()
+    assert sum(r.occurrences for r in totals) > 100 and all(r.occurrences == r.grouped + r.unrouted for r in totals)
+    audit = E.audit_complete(spark, str(tmp_path)).collect()
+    assert audit and all("-" not in r.request_ref for r in audit)
+    grouped = sum(r.grouped for r in totals)
+    assert sum(r.occurrences for r in E.group_metrics(spark, str(tmp_path)).collect()) == grouped
