@@ -124,8 +124,13 @@ def strip_envelopes(value: Column, tag: str = ENVELOPE_TAG) -> Column:
 
 
 def trim_space(value: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(value, rf"^{_SPACE}+|{_SPACE}+$", "")
+    """Trim every kind of white space, not only blanks.
+
+    The pattern tries every run of white space, so only texts that begin or end with some are searched; it also trims in
+    front of a last line terminator, and U+0085 is one.
+    """
+    edge = F.substring(value, 1, 1).rlike(_SPACE) | F.substring(value, -1, 1).rlike(rf"{_SPACE}|\x{{85}}")
+    return F.when(edge, F.regexp_replace(value, rf"^{_SPACE}+|{_SPACE}+$", "")).otherwise(value)
 
 
 def quote_lines(value: Column) -> Column:

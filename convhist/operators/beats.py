@@ -55,6 +55,13 @@ def with_visible(items: DataFrame, tag: str = ENVELOPE_TAG) -> DataFrame:
     return items.withColumn("visible", visible_text(F.col("text"), blocks, tag))
 
 
+def spoken_items(items: DataFrame, tag: str = ENVELOPE_TAG) -> DataFrame:
+    """What beats, evidence and digests read of items, with ``visible`` and ``evidence``: stored once, they pass ``known``."""
+    return with_visible(items, tag).select(
+        "session_ref", "ordinal", "kind", "role", "ts", "code", "label", "visible", evidence_identity(items, tag).alias("evidence")
+    )
+
+
 def _is_gap() -> Column:
     return F.col("kind") == "gap"
 
@@ -63,15 +70,17 @@ def _says(role: str) -> Column:
     return ~_is_gap() & (F.col("role") == role)
 
 
-def beats(items: DataFrame, chunk_rows: int | None = None, tag: str = ENVELOPE_TAG, adjacent_bytes: int = ADJACENT_USER_BYTES) -> DataFrame:
-    """One row per user message with visible text, with its neighbours and the end of its turn.
+def beats(
+    items: DataFrame, chunk_rows: int | None = None, tag: str = ENVELOPE_TAG, adjacent_bytes: int = ADJACENT_USER_BYTES, known: bool = False
+) -> DataFrame:
+    """One row per user message with visible text, with its neighbours and the end of its turn; ``known``: see :func:`spoken_items`.
 
     The first scan looks at every item but carries two integers only; the second runs over the
     boundary rows (user messages and gaps) and carries at most ``adjacent_bytes`` of text.
     """
     # Only user texts travel; assistant texts, the bulk of a corpus, stay out of this shuffle.
     said = F.when(_says("user"), F.col("visible")).alias("visible")
-    rows = with_visible(items, tag).select("session_ref", "ordinal", "kind", "role", "ts", said)
+    rows = (items if known else with_visible(items, tag)).select("session_ref", "ordinal", "kind", "role", "ts", said)
     assistant = F.when(_says("assistant"), F.col("ordinal"))
     rows = scan(
         rows, ["session_ref"], "ordinal",
@@ -107,9 +116,9 @@ def beats(items: DataFrame, chunk_rows: int | None = None, tag: str = ENVELOPE_T
 
 def assistant_evidence(
     items: DataFrame, chunk_rows: int | None = None, tag: str = ENVELOPE_TAG,
-    before_bytes: int = PRECEDING_ASSISTANT_BYTES, after_bytes: int = FOLLOWING_ASSISTANT_BYTES,
+    before_bytes: int = PRECEDING_ASSISTANT_BYTES, after_bytes: int = FOLLOWING_ASSISTANT_BYTES, known: bool = False,
 ) -> DataFrame:
-    """Assistant messages before and after each beat, within their byte budgets.
+    """Assistant messages before and after each beat, within their byte budgets; ``known``: see :func:`spoken_items`.
 
     A message is cut at the first budget overrun; later messages of that side are left out. The
     rows kept per beat are therefore bounded by the budget itself.
@@ -117,7 +126,7 @@ def assistant_evidence(
     # No more than the larger budget of a message can be kept, so the shuffles carry that prefix and
     # the true size; user rows carry a flag instead of their text.
     most = max(before_bytes, after_bytes)
-    rows = with_visible(items, tag).select(
+    rows = (items if known else with_visible(items, tag)).select(
         "session_ref", "ordinal", "kind", "role", "ts", (F.col("visible") != "").alias("spoken"),
         F.when(_says("assistant"), utf8_prefix(F.col("visible"), most)).alias("head"),
         F.when(_says("assistant"), utf8_bytes(F.col("visible"))).alias("size"),
@@ -276,17 +285,20 @@ def evidence_identity(items: DataFrame, tag: str = ENVELOPE_TAG) -> Column:
     return F.when(text == "", "").otherwise(F.sha2(text, 256))
 
 
-def logical_digest(items: DataFrame, tools: DataFrame | None = None, chunk_rows: int | None = None, tag: str = ENVELOPE_TAG) -> DataFrame:
+def logical_digest(
+    items: DataFrame, tools: DataFrame | None = None, chunk_rows: int | None = None, tag: str = ENVELOPE_TAG, known: bool = False
+) -> DataFrame:
     """Order-sensitive digest of what a conversation says, equal for migrated copies.
 
     Positions come from a chunked scan and row digests are summed map-side, so one huge session
     is never gathered in a task. ``tools`` may add a ``tools_digest`` per (session_ref, ordinal);
-    an optional column ``blocks`` of ``items`` brings evidence, see :func:`evidence_identity`.
+    an optional column ``blocks`` of ``items`` brings evidence, see :func:`evidence_identity`; ``known``: see
+    :func:`spoken_items`.
     """
     # Texts are hashed where they are read; only fixed-size digests are shuffled.
     content = F.when(_is_gap(), framed_digest(F.col("code"), F.col("label"))).otherwise(F.sha2("visible", 256))
-    evidence = F.when(_is_gap(), "").otherwise(evidence_identity(items, tag))
-    rows = with_visible(items, tag).select("session_ref", "ordinal", "kind", "role", "ts", content.alias("content"), evidence.alias("evidence"))
+    evidence = F.when(_is_gap(), "").otherwise(F.col("evidence") if known else evidence_identity(items, tag))
+    rows = (items if known else with_visible(items, tag)).select("session_ref", "ordinal", "kind", "role", "ts", content.alias("content"), evidence.alias("evidence"))
     rows = scan(rows, ["session_ref"], "ordinal", {"_pos": position()}, chunk_rows)
     extra = F.lit("")
     if tools is not None:

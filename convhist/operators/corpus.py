@@ -49,10 +49,12 @@ def discovery_queue(items: DataFrame, sessions: DataFrame, keys: DataFrame, even
     and evidence included, or with a common key are one lineage.
     """
     paired = materialize(message_tools(events, chunk_rows))
-    digests = B.logical_digest(items, tool_digests(paired), chunk_rows)
+    # Stored once: digests, beats and evidence read the visible texts, each in several passes.
+    spoken = materialize(B.spoken_items(items))
+    digests = B.logical_digest(spoken, tool_digests(paired), chunk_rows, known=True)
     lineages = materialize(H.lineages(materialize(digests), keys))
-    beat_rows = materialize(B.beats(items, chunk_rows))
-    cards = B.cards(beat_rows, B.assistant_evidence(items, chunk_rows), sessions, lineages, turn_tools(paired, beat_rows, chunk_rows))
+    beat_rows = materialize(B.beats(spoken, chunk_rows, known=True))
+    cards = B.cards(beat_rows, B.assistant_evidence(spoken, chunk_rows, known=True), sessions, lineages, turn_tools(paired, beat_rows, chunk_rows))
     return J.stratified_order(materialize(B.fold_duplicates(materialize(cards))))
 
 

@@ -570,3 +570,25 @@ def test_routing_accounts_for_every_occurrence(spark, tmp_path):
     assert audit and all("-" not in r.request_ref for r in audit)
     grouped = sum(r.grouped for r in totals)
     assert sum(r.occurrences for r in E.group_metrics(spark, str(tmp_path)).collect()) == grouped
+
+
+def test_stored_visible_texts_give_the_same_beats(spark):
+    from convhist.session import materialize
+
+    rng = random.Random(5)
+    pieces = [" ", "\n", "\u0085", "\u2028", "a", "word", "\u3000", "\u00e9", "<<<CONVHIST_X_V1>>>"]
+    rows = [(f"s{s}", i, rng.choice(["message", "message", "message", "gap"]), rng.choice(["user", "assistant"]), None,
+             None if rng.random() < 0.05 else "".join(rng.choices(pieces, k=rng.randrange(7))), "c", "l") for s in range(12) for i in range(25)]
+    items = spark.createDataFrame(rows, ITEM)
+    stored = materialize(B.spoken_items(items))
+    for build in (B.beats, B.assistant_evidence, lambda df, **known: B.logical_digest(df, **known)):
+        assert sorted(map(repr, build(stored, known=True).collect())) == sorted(map(repr, build(items).collect()))
+
+
+def test_guarded_trim_is_the_pattern(spark):
+    rng = random.Random(6)
+    odd = " \t\n\r\u0085\u00a0\u2028\u3000\ufeffab\u200b\u00e9\U0001d4b3"
+    texts = [None, "", "\u0085", "a \u0085", "a\u0085 ", " \r\n", "a\r\n"] + ["".join(rng.choices(odd, k=rng.randrange(9))) for _ in range(500)]
+    plain = F.regexp_replace("t", rf"^{text._SPACE}+|{text._SPACE}+$", "")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.trim_space(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
