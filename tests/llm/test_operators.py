@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -20,6 +21,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from convhist.llm import (  # noqa: E402
+    common,
     near_text,
     op1_adaptive,
     op2_bpe,
@@ -296,6 +298,36 @@ def test_op4_overlaps_and_periods(spark):
         assert {r.doc_id: [(s.a, s.b) for s in r.spans] for r in op4_suffix.dedup_substrings(df, 80, keep).collect()} == want
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_op4_hot_hashes_hash_only_windows_of_mixed_bins(spark, monkeypatch, keep):
+    rng = random.Random(11)
+    fresh = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    base, head, tail = fresh(250), fresh(350), fresh(350)
+    alone = [fresh(300) + base + fresh(300) for _ in range(40)]
+    shared = [fresh(300) + base + tail + fresh(100) for _ in range(6)] + [fresh(90) + head + base + fresh(300) for _ in range(6)]
+    edges = [base + tail[:200], base + tail[:170] + "x" * 40, head[-160:] + base, head + base + tail, head[-100:] + base + tail[:90] + fresh(50)]
+    texts = dict(enumerate(alone + shared + edges))
+    df = spark.createDataFrame([*texts.items(), (3, texts[3]), (45, texts[45])], "doc_id long, text string")
+    hashed, store = [], op4_suffix.materialize
+    monkeypatch.setattr(op4_suffix, "HOT_CLASSES", 4)
+    monkeypatch.setattr(op4_suffix, "materialize", lambda t: hashed.append(x) or x if "rel" in (x := store(t)).columns else x)
+    want = op4_suffix.brute_force({d: t.encode() for d, t in texts.items()}, 400, keep)
+    assert {r.doc_id: [(s.a, s.b) for s in r.spans] for r in op4_suffix.dedup_substrings(df, 400, keep).collect()} == want
+    assert any(want.values()) and len(hashed) == 1
+    assert 0 < hashed[0].count() < 40 * 150  # the texts that share only `base` have more than 150 windows each
+
+
+def test_op4_columns_of_spans_merge_like_lists():
+    rng = random.Random(3)
+    rows = [None, [], *([(a, a + rng.randrange(1, 9)) for a in rng.choices(range(60), k=rng.randrange(12))] for _ in range(200)), [(0, 70)], [(0, 3), (3, 5)], None]
+    column = pa.array([None if r is None else [{"a": a, "b": b} for a, b in r] for r in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+    for cut in (column, column[1:], column[150:], column[:2], column[:0]):
+        bounds, starts, ends = op4_suffix.merged_column(cut)
+        found = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        want = rows[len(rows) - len(cut) :] if len(cut) > 2 else rows[: len(cut)]
+        assert [found[a:b] for a, b in zip(bounds, bounds[1:], strict=False)] == [common.merged(r or ()) for r in want]
+
+
 @pytest.mark.parametrize(("window", "hot"), [(50, 1024), (12, 1024), (12, 1)])
 def test_op6_removes_what_a_table_of_windows_removes(spark, sf_dir, texts, monkeypatch, window, hot):
     monkeypatch.setattr(op6_phrases, "HOT_CLASSES", hot)
